@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import bpe, orc_tokens, packing, urls
+from verdikt.llm import bpe, merkle, orc_tokens, packing, pii, urls
 from verdikt.llm.common import Scratch, table
 
 
@@ -23,6 +23,14 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(spark, path)
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -57,6 +65,8 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1 LEFT JOIN fou
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_orc_tokens": op2_orc_tokens,
+    "op3_pii_spans": op3_pii_spans,
+    "op4_merkle": op4_merkle,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_bm25_packing": op10_bm25_packing,
 }
