@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import bpe, merkle, orc_tokens, packing, pii, urls
+from verdikt.llm import bpe, merkle, minhash, orc_tokens, packing, pii, urls
 from verdikt.llm.common import Scratch, table
 
 
@@ -31,6 +31,10 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_orc_tokens": op2_orc_tokens,
     "op3_pii_spans": op3_pii_spans,
     "op4_merkle": op4_merkle,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_bm25_packing": op10_bm25_packing,
 }

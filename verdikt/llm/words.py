@@ -108,9 +108,7 @@ def shingle_sets(column: pa.Array, k: int) -> Sets:
     at = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(starts)][:-1], starts) + first[owner]
     to = np.minimum(at + k, first[owner + 1]) if len(owner) else at
     value = mix(_segments(word, _Q, at, to) + (to - at).astype(np.uint64))
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    keep = np.ones(len(value), bool)
-    keep[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-    owner, value = owner[keep], value[keep]
-    return Sets(np.r_[0, np.cumsum(np.bincount(owner, minlength=n_docs))], value)
+    cuts = np.r_[0, np.cumsum(starts)]
+    kept = [np.unique(value[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    sizes = np.array([len(x) for x in kept], np.int64)
+    return Sets(np.r_[0, np.cumsum(sizes)], np.concatenate([*kept, np.zeros(0, np.uint64)]))
