@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import bpe, merkle, minhash, orc_tokens, packing, pii, urls
+from verdikt.llm import bpe, ego, merkle, minhash, orc_tokens, packing, pii, urls
 from verdikt.llm.common import Scratch, table
 
 
@@ -35,6 +35,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
 
+def op7_ego_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.linked(table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -66,14 +70,28 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1 LEFT JOIN found w ON w.page_id = p.page_id"""
 
 
+def _op7_sql() -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.q > 0 AND b.q > 0
+  WHERE list_inner_product(a.e, b.e) / sqrt(a.q) / sqrt(b.q) >= {ego.COSINE}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN least m USING (vec_id) LEFT JOIN counted c USING (vec_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_orc_tokens": op2_orc_tokens,
     "op3_pii_spans": op3_pii_spans,
     "op4_merkle": op4_merkle,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_ego_embeddings": op7_ego_embeddings,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_bm25_packing": op10_bm25_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql()}
+ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op7_ego_embeddings": _op7_sql()}
