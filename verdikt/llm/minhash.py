@@ -11,10 +11,10 @@
    union), and the links' components are found.
 4. A bucket whose members are now in one component can add nothing. In each of
    the others all pairs from different components are compared by sketch, block
-   against block of at most ``BLOCK`` members, so that a bucket of any size is
-   dealt out and nothing is dropped; pairs whose sketches agree in ``AGREE``
-   coordinates or more (over six standard deviations under the limit) are
-   verified as in 3 and join the links.
+   against block of about ``BLOCK`` members, so that a bucket of any size is
+   dealt out and nothing is dropped. Where sketches agree in ``AGREE``
+   coordinates or more (five standard deviations under the limit), the texts of
+   the two blocks meet in one task, which verifies the pairs on full sets.
 
 A null text, and one without words, has an empty set, links with nothing and is
 kept. A row without doc_id links with nothing. Rows that repeat a doc_id count
@@ -40,7 +40,7 @@ from verdikt.llm.words import mix, shingle_sets
 SHINGLE, T, ROWS = 5, 128, 4
 #: Of 100: the least similarity of a link.
 LIMIT = 75
-AGREE, BLOCK = 64, 1024
+AGREE, BLOCK = 70, 512
 
 
 def _digest(values: np.ndarray) -> tuple[int, int]:
@@ -110,32 +110,74 @@ def _could(a: str, b: str):
     return 100 * F.least(a, b) >= LIMIT * F.greatest(a, b)
 
 
-def compared(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) from different roots of one bucket whose sketches agree enough. ``members``: key, doc_id, n, root, sketch."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def candidates(members: DataFrame) -> DataFrame:
+    """Whom to hold against whom: key, i, j, doc_id, partners array<long>.
+
+    ``members`` has key, doc_id, n, root, bands and sketch. Pairs are from
+    different roots, of sizes and sketches that allow a link, and stand in the
+    first bucket that the two share. Each document of a pair gets one row for
+    its pair of blocks, with the partners that it leads, if any.
+    """
+    schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc_id", pa.int64()), ("partners", pa.list_(pa.int64()))])
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A block goes to its pairings with every block of its bucket: one copy for buckets of one block.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "n", "root", "sketch")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "n", "root", "bands", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
         mine, ids, n, root = (group.column(c).to_numpy() for c in ("mine", "doc_id", "n", "root"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
+        band = np.array(group.column("bands").to_pylist(), np.int64)
+        band = band[:, : int(np.argmax(band[0] == key))]  # those before this bucket's
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        found = []
+        partners: dict[int, list[int]] = {}
         for x in left.tolist():
             ys = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= LIMIT * np.maximum(n[right], n[x]))]
             if i == j:
                 ys = ys[ys > x]
+            ys = ys[~(band[ys] == band[x]).any(axis=1)]
             ys = ys[(sketch[ys] == sketch[x]).sum(axis=1) >= AGREE]
-            found += [(ids[x], y) for y in ids[ys].tolist()]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], schema=schema)
+            if len(ys):
+                partners.setdefault(int(ids[x]), []).extend(ids[ys].tolist())
+                for y in ids[ys].tolist():
+                    partners.setdefault(y, [])
+        return pa.Table.from_batches(list(batches(schema, ((key, i, j, x, ys) for x, ys in partners.items()))), schema)
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, doc_id long, partners array<long>")
+
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def confirmed(held: DataFrame, shelf: DataFrame) -> DataFrame:
+    """Links (a, b) among the pairs of ``candidates``, by full sets; the texts meet once for each pair of blocks."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, partners = group.column("doc_id").to_pylist(), group.column("partners").to_pylist()
+        sets = shingle_sets(group.column("text").combine_chunks(), SHINGLE)
+        _, values = np.unique(sets.values, return_inverse=True)
+        size, cuts = np.diff(sets.cuts), sets.cuts
+        rows_of: dict[int, list[int]] = {}
+        for row, key in enumerate(ids):
+            rows_of.setdefault(key, []).append(row)
+        present = np.zeros(len(values) + 1, bool)
+        found = []
+        for x, ys in enumerate(partners):
+            others = np.array([r for y in ys for r in rows_of[y]], np.int64)
+            others = others[size[others] > 0]
+            if not len(others) or not size[x]:
+                continue
+            own = values[cuts[x] : cuts[x + 1]]
+            present[own] = True
+            at = np.concatenate([values[cuts[y] : cuts[y + 1]] for y in others])
+            shared = np.add.reduceat(present[at].astype(np.int64), np.r_[0, np.cumsum(size[others])[:-1]])
+            present[own] = False
+            hits = others[100 * shared >= LIMIT * (size[others] + size[x] - shared)]
+            found += [(ids[x], ids[y]) for y in hits.tolist()]
+        return pa.Table.from_batches(list(batches(schema, set(found))), schema)
+
+    return held.join(shelf, "doc_id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -161,9 +203,8 @@ def linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     named = members.select("key", "doc_id", "n").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     named = scratch.save(named, "named")
     torn = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    open_members = named.join(torn, "key", "left_semi").join(reps.select("doc_id", "sketch"), "doc_id")
-    pairs = scratch.save(compared(open_members), "pairs")
-    more = scratch.save(verified(pairs.join(star, ["a", "b"], "left_anti"), shelf), "more")
+    open_members = named.join(torn, "key", "left_semi").join(reps.select("doc_id", "bands", "sketch"), "doc_id")
+    more = scratch.save(confirmed(candidates(open_members), shelf), "more")
     if more.head(1):
         labels = components(labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, "all")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
