@@ -77,3 +77,23 @@ def batches(schema: pa.Schema, rows, size: int = 1024):
 def train_row(doc_id):
     """True for rows whose labels may be learned from; the others are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
+    """(doc_id, text, label) of about ``bound`` documents at most whose labels may be learned from.
+
+    Rows are taken where a hash of the doc_id is under the threshold that leaves
+    ``bound`` of them on average; the chosen ids, a bounded list, are broadcast,
+    so that texts are not shuffled. Null labels and ids are left out, and of
+    repeated ids one row is taken.
+    """
+    known = labels.where(f"doc_id is not null and {column} is not null").where(train_row(F.col("doc_id")))
+    chosen = hash_sample(known.groupBy("doc_id").agg(F.min(column).cast("int").alias("label")), bound)
+    found = texts(docs, "doc_id").join(F.broadcast(chosen), "doc_id")
+    return found.dropDuplicates(["doc_id"])
+
+
+def hash_sample(keys: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows at most of a table with distinct doc_id, by a hash of doc_id."""
+    n = keys.count()
+    return keys if n <= bound else keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * (bound / n)))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import bpe, ego, merkle, minhash, orc_tokens, packing, pii, urls
-from verdikt.llm.common import Scratch, table
+from verdikt.llm import bpe, ego, merkle, minhash, orc_tokens, packing, pii, quality, toxicity, urls
+from verdikt.llm.common import Scratch, table, train_row
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scores = quality.score(docs, model)
+    return scores.select("doc_id", (~train_row(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
@@ -43,6 +50,13 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scores = toxicity.score(docs, model)
+    return scores.select("doc_id", (~train_row(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -88,9 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_orc_tokens": op2_orc_tokens,
     "op3_pii_spans": op3_pii_spans,
     "op4_merkle": op4_merkle,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_ego_embeddings": op7_ego_embeddings,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_toxicity": op9_toxicity,
     "op10_bm25_packing": op10_bm25_packing,
 }
 
