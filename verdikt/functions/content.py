@@ -52,13 +52,11 @@ def looks_like_text(sample: bytes, whole: bool) -> bool:
     text = sample.decode("utf-8", "surrogateescape")
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     broken = (codes >= 0xDC80) & (codes <= 0xDCFF)
-    if not whole:  # a character that the sample's end cuts off isn't broken
-        tail = 0
-        while tail < min(3, len(codes)) and broken[len(codes) - 1 - tail]:
-            tail += 1
-        lead = codes[len(codes) - tail] & 0xFF if tail else 0
-        if tail and lead >= 0xC2 and tail < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
-            broken[len(codes) - tail :] = False
+    if not whole:  # what is broken within the last three bytes may be a character that the sample cuts off
+        ends = np.cumsum((1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))[::-1] * ~broken[::-1] + broken[::-1])[::-1]
+        cut = np.flatnonzero(broken & (ends < 4))
+        if len(cut):
+            codes, broken = codes[: cut[0]], broken[: cut[0]]
     control = (codes < 0x20) & ~np.isin(codes, (9, 10, 12, 13, 27))
     return int((broken | control).sum()) * 20 < len(sample)
 

@@ -237,3 +237,13 @@ def distinct_findings(found: Column) -> Column:
     kept = F.filter(found, lambda f: f["score"] > 0)
     names = F.transform(kept, lambda f: f["name"])
     return F.filter(kept, lambda f, i: F.array_position(names, f["name"]) == i + 1)
+
+
+def exploded(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """One row for each finding: the kept columns, seq (its place), name, score.
+
+    The outer form of explode is meant: the other one makes Spark filter by the
+    array's size first, which would compute all rules twice.
+    """
+    each = rows.select(*keep, F.posexplode_outer(column).alias("seq", "f")).where("f is not null")
+    return each.select(*keep, "seq", F.col("f.name").alias("name"), F.col("f.score").alias("score"))

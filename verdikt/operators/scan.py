@@ -22,6 +22,7 @@ from verdikt.config import Config
 from verdikt.functions.content import ARCHIVES, SEALED, base_name, file_type, hashes, is_archive, is_encrypted_office
 from verdikt.operators import archives, documents, programs
 from verdikt.operators.inspect import inspected
+from verdikt.operators.rules import exploded
 from verdikt.operators.signatures import ARCHIVE, HEURISTIC, MATCH, SIGNATURE, looked_up
 from verdikt.sources.scratch import Scratch
 
@@ -161,8 +162,8 @@ def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None,
             whole = open_.where(F.col("kind").isin(*parsed)).join(apart.select(*place, *detail), place, "left")
             both = whole.select(*open_.columns, *detail).unionByName(rest.select(*open_.columns, *empty))
             found = inspected(both.withColumn("decoded", F.when(F.col("kind") == "text", _wide(F.col("content")))).withColumnRenamed("kind", "file_type"))
-            hits = found.select(*place, "path", F.posexplode("findings").alias("seq", "f"))
-            detections.append(scratch.save(hits.select(*place, "path", (F.col("seq") + 1).alias("seq"), F.lit(HEURISTIC).alias("engine"), F.col("f.name").alias("name"), F.col("f.score").alias("score")), f"found-{depth}"))
+            hits = exploded(found, "findings", *place, "path")
+            detections.append(scratch.save(hits.select(*place, "path", (F.col("seq") + 1).alias("seq"), F.lit(HEURISTIC).alias("engine"), "name", "score"), f"found-{depth}"))
         paths = known.select(*place, "path", "depth")
         taken = apart.join(paths, place)
         detections.append(taken.select(*place, "path", F.posexplode("opened").alias("seq", "f")).select(*place, "path", (F.col("seq") + 1000).alias("seq"), F.lit(ARCHIVE).alias("engine"), F.col("f.name").alias("name"), F.col("f.score").alias("score")))

@@ -215,7 +215,8 @@ def name_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _table(spark, sf_dir, "part").select(F.concat("p_name", F.element_at(F.array(F.lit(".pdf.exe"), F.lit(".docx"), F.lit(".txt")), (F.col("p_size") % 3 + 1).cast("int"))).alias("name")).distinct()
     kinds = F.explode(F.array(*(F.lit(k) for k in KINDS))).alias("file_type")
     rows = given.unionByName(parts).distinct().select("name", kinds)
-    return rows.select("name", "file_type", F.explode(I.name_findings(F.col("name"), F.col("file_type"))).alias("f")).select("name", "file_type", F.col("f.name").alias("finding"), F.col("f.score").alias("score"))
+    found = rows.select(F.col("name").alias("file"), "file_type", I.name_findings(F.col("name"), F.col("file_type")).alias("f"))
+    return R.exploded(found, "f", "file", "file_type").select(F.col("file").alias("name"), "file_type", F.col("name").alias("finding"), "score")
 
 
 def _names_sql() -> str:
@@ -260,7 +261,7 @@ def _rules(catalogue: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _texts(spark, sf_dir).where("text is not null").select("case", C.ascii_lower(C.latin1(F.encode("text", "UTF-8"))).alias("low"))
         found = R.findings(rows, "low", R.CATALOGUES[catalogue], "f")
-        return found.select("case", F.explode("f").alias("f")).select("case", F.col("f.name").alias("finding"), F.col("f.score").alias("score"))
+        return R.exploded(found, "f", "case").select("case", F.col("name").alias("finding"), "score")
 
     return query
 
@@ -276,7 +277,7 @@ def inspect_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _texts(spark, sf_dir).where("text is not null").select("case", "name", F.lit("text").alias("file_type"), F.encode("text", "UTF-8").alias("content"))
     absent = {"names": "array<string>", "macros": "string", "pdf_body": "string", "pdf_streams": "string", "pdf_renamed": "boolean", "decoded": "string"}
     found = I.inspected(rows.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()}))
-    return found.select("case", F.explode("findings").alias("f")).select("case", F.col("f.name").alias("finding"), F.col("f.score").alias("score"))
+    return R.exploded(found, "findings", "case").select("case", F.col("name").alias("finding"), "score")
 
 
 def _inspect_sql() -> str:
