@@ -40,7 +40,7 @@ from verdikt.llm.common import batches, labelled_sample, texts
 from verdikt.llm.words import mix
 
 BUCKETS, DIMENSIONS, WINDOW, ORDERS = 1 << 17, 8, 5, (3, 4, 5, 6)
-SAMPLE, CHARS = 8000, 20_000
+SAMPLE, CHARS, CLEAN_WINDOWS = 6000, 20_000, 300_000
 ROUNDS, STEPS, BATCH, RATE = 4, 60, 4096, 0.5
 #: Word logits remembered by one worker; emptied when full.
 MEMORY = 500_000
@@ -132,18 +132,22 @@ def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), -30.0, 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    found = [words_of(t) for t in documents]
     vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in found]
+    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in documents]
     cuts, bucket = word_units(list(vocabulary))
-    count = np.diff(cuts)
-    # Windows as rows of word numbers; -1 where a document has fewer words.
+    bucket, count = bucket.astype(np.int32), np.diff(cuts)
+    # Windows as rows of word numbers; -1 where a document has fewer words. Of clean ones a bounded number is drawn.
+    share = min(1.0, CLEAN_WINDOWS / max(1, sum(len(w) for w, y in zip(coded, labels) if not y)))
     rows, owner = [], []
     for doc, words in enumerate(coded):
-        if len(words):
-            held = words[np.arange(max(1, len(words) - WINDOW + 1))[:, None] + np.arange(WINDOW)] if len(words) >= WINDOW else np.r_[words, [-1] * (WINDOW - len(words))][None]
-            rows.append(held)
-            owner.append(np.full(len(held), doc))
+        if not len(words):
+            continue
+        first = np.arange(max(1, len(words) - WINDOW + 1))
+        if not labels[doc]:
+            first = first[rng.random(len(first)) < share]
+        held = words[first[:, None] + np.arange(WINDOW)] if len(words) >= WINDOW else np.r_[words, [-1] * (WINDOW - len(words))].astype(np.int32)[None]
+        rows.append(held)
+        owner.append(np.full(len(held), doc, np.int32))
     rows, owner = np.concatenate(rows), np.concatenate(owner)
     toxic, clean = np.flatnonzero(labels[owner] == 1), np.flatnonzero(labels[owner] == 0)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -154,8 +158,9 @@ def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         return np.add.reduceat((vectors @ (softmax[:, 1] - softmax[:, 0]))[bucket], cuts[:-1])
 
     def window_logits(which: np.ndarray) -> np.ndarray:
-        sums, sizes, real = np.r_[word_logits(), 0.0], np.r_[count, 0], rows[which]
-        return sums[real].sum(axis=1) / np.maximum(1, sizes[real].sum(axis=1)) + bias[1] - bias[0]
+        sums, sizes = np.r_[word_logits(), 0.0], np.r_[count, 0]
+        parts = [rows[which[at : at + 50_000]] for at in range(0, len(which), 50_000)]
+        return np.concatenate([sums[p].sum(axis=1) / np.maximum(1, sizes[p].sum(axis=1)) for p in parts]) + bias[1] - bias[0]
 
     positives = toxic
     for turn in range(ROUNDS):
@@ -200,9 +205,8 @@ def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             seen_b += grad_b * grad_b
             bias -= RATE * grad_b / np.sqrt(seen_b)
     model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64), float(bias[1] - bias[0]), 1.0, 0.0)
-    scorer = Scorer(model)
-    scorer.learn(set(vocabulary))
-    highest = np.array([scorer.logit(words) for words in found])
+    sums = np.add.reduceat(model.bucket[bucket], cuts[:-1])
+    highest = np.array([(window_sums(sums[w]) / window_sums(count[w])).max() if len(w) else 0.0 for w in coded]) + model.bias
     return model._replace(**curve(highest, labels))
 
 
