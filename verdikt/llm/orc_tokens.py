@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm.bpe import file_encoder, slices
-from verdikt.llm.common import batches, partitions, texts
+from verdikt.llm.common import partitions, texts
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, ahead long, part int"
 #: Rows between two entries of the row index, bytes of a stripe, false positives of the Bloom filter.
@@ -41,12 +41,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         encoder, place, ahead = file_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for part in parts:
             for at, some in slices(part.column("text")):
-                rows = []
-                for key, raw in zip(part.column("doc_id").slice(at, len(some)).to_pylist(), encoder.encode(some)):
-                    ids = np.frombuffer(raw + end, "<i4")
-                    rows.append((key, ids, len(ids), ahead, place))
-                    ahead += len(ids)
-                yield from batches(schema, iter(rows))
+                ids = [raw + end for raw in encoder.encode(some)]
+                cuts = np.cumsum([0, *(len(raw) // 4 for raw in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                columns = [part.column("doc_id").slice(at, len(some)), lists, pa.array(np.diff(cuts)), pa.array(ahead + cuts[:-1]), pa.array(np.full(len(some), place, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                ahead += int(cuts[-1])
 
     n = partitions(docs.sparkSession)
     keyed = texts(docs, "doc_id").withColumn("tie", F.xxhash64("text"))
@@ -54,7 +54,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     ranged = keyed.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     ids = ranged.select("doc_id", "text").mapInArrow(run, SCHEMA)
     (
-        ids.write.mode("overwrite").option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE)
+        ids.write.mode("overwrite").option("orc.compress", "SNAPPY").option("orc.stripe.size", STRIPE)
         .option("orc.create.index", "true").option("orc.row.index.stride", ROW_GROUP)
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", FALSE_HITS).orc(path)
     )

@@ -19,7 +19,7 @@ import numpy as np
 
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Units remembered by one Python worker; the memory is emptied when it is full.
-MEMORY = 1_000_000
+MEMORY = 800_000
 #: A unit over this many characters is tokenised anew each time.
 LONGEST_KEPT = 200
 
@@ -28,6 +28,11 @@ def _plain(piece: str) -> bool:
     return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
 
+def _lines(piece: str) -> bool:
+    """Whether a piece is solid but for lone line breaks."""
+    return " " not in piece and all(line and line.isprintable() for line in piece.split("\n"))
+
+
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -46,12 +51,15 @@ class UnitEncoder:
 
     def _units(self, pieces: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        solid = [p for p in pieces if len(p) <= LONGEST_KEPT and len(p.split()) == 1] if len(self._break) == 1 else []
+        solid = [p for p in pieces if len(p) <= LONGEST_KEPT and (p.isprintable() and " " not in p or _lines(p))] if len(self._break) == 1 else []
         for at in range(0, len(solid), 256):
             some = solid[at : at + 256]
-            ids = self._all([" " + "\n ".join(some)])[0]
+            whole = " " + "\n ".join(some)
+            ids = self._all([whole])[0]
             cuts = np.flatnonzero(ids == self._break[0])
-            if len(cuts) == len(some) - 1:
+            if len(cuts) == whole.count("\n"):
+                if len(cuts) >= len(some):  # breaks inside units stay with them
+                    cuts = cuts[np.cumsum([1 + p.count("\n") for p in some[:-1]], dtype=np.int64) - 1]
                 raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
                 found.update(zip(some, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends))))
         left = [p for p in pieces if p not in found]
@@ -64,8 +72,10 @@ class UnitEncoder:
         cut = [text.split(" ") for text in texts]
         heads = [pieces.pop(0) for pieces in cut]
         new = set(chain.from_iterable(cut)).difference(known)
-        unsafe = {p for p in chain(new, heads) if not _plain(p)}
-        if unsafe:
+        pieces = [*new, *heads]
+        # Stripping gives back the same strings unless one is empty or touches white space.
+        if "" in pieces or [*map(str.strip, pieces)] != pieces:
+            unsafe = {p for p in pieces if not _plain(p)}
             for i, head in enumerate(heads):
                 if head in unsafe or not unsafe.isdisjoint(cut[i]):
                     cut[i] = SAFE_CUT.split(texts[i])
