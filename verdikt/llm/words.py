@@ -87,6 +87,12 @@ def hashed_words(column: pa.Array) -> Words:
     return Words(doc, mix(_segments(_BYTE[_LOWER[data]], _P, start, end)))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 class Sets(NamedTuple):
     """Sets of documents one after another: values are sorted and distinct within each."""
 
@@ -109,6 +115,6 @@ def shingle_sets(column: pa.Array, k: int) -> Sets:
     to = np.minimum(at + k, first[owner + 1]) if len(owner) else at
     value = mix(_segments(word, _Q, at, to) + (to - at).astype(np.uint64))
     cuts = np.r_[0, np.cumsum(starts)]
-    kept = [np.unique(value[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    kept = [distinct(value[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     sizes = np.array([len(x) for x in kept], np.int64)
     return Sets(np.r_[0, np.cumsum(sizes)], np.concatenate([*kept, np.zeros(0, np.uint64)]))
