@@ -2,10 +2,10 @@
 
 ``write`` range-partitions the documents by id, so that each file holds one
 interval of ids in ascending order, and tokenises after the shuffle. The ORC
-writer stores ids as run-length encoded integers in stripes, keeps minima and
-maxima for every ``ROW_GROUP`` rows and a Bloom filter on ``doc_id``; a lookup
-by id therefore skips files, stripes and row groups by their metadata, and a
-scan is dealt out by stripe. Each row also has the number of ids that stand
+writer stores ids as run-length encoded integers in stripes, compressed lightly
+on top, and keeps minima and maxima for every ``ROW_GROUP`` rows and a Bloom
+filter on ``doc_id``; a lookup by id therefore skips files, stripes and row
+groups by their metadata, and a scan is dealt out by stripe. Each row also has the number of ids that stand
 before it in its own file (``ahead``) and the file's place in order (``part``),
 so a document's global start needs only one total for each file.
 
@@ -87,8 +87,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def run(parts):
         for part in parts:
             ids = part.column("ids")
-            flat, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+            cuts = ids.offsets.to_numpy()
+            raw, at = memoryview(ids.values.to_numpy(zero_copy_only=False)).cast("B"), (4 * cuts).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ahead"), part.column("part"), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())], schema=schema)
 
     rows = read(spark, path).select("doc_id", "ids", "ahead", "part").mapInArrow(run, "doc_id long, ahead long, part int, n_tokens long, ids_crc32 long")

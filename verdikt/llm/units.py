@@ -3,9 +3,10 @@
 A byte-level BPE pre-tokeniser never joins a non-space character to a space
 that follows it, and a lone space always opens the next pre-token. A text may
 therefore be cut before every single space that stands between two non-space
-characters, and the ids of the text are the ids of its units in order. Natural
-text repeats its units, so a bounded memory of unit -> ids spares the tokeniser
-most of its work. Where a piece touches other white space the cut would not be
+characters, and the ids of the text are the ids of its units in order. A lone
+line break between two such characters is a pre-token of its own, and so is a
+run of plain punctuation after letters. Natural text repeats its units and their
+parts, so a bounded memory of their ids spares the tokeniser most of its work. Where a piece touches other white space the cut would not be
 safe, and neighbouring pieces stay together.
 """
 
@@ -13,15 +14,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Units remembered by one Python worker; the memory is emptied when it is full.
-MEMORY = 800_000
+#: Units remembered by one Python worker. When the memory is full, its first quarter stays: common units come up early.
+MEMORY = 1_000_000
 #: A unit over this many characters is tokenised anew each time.
 LONGEST_KEPT = 200
+#: Punctuation that parts from letters before it; apostrophes are not among it.
+SUFFIX = ".,!?;:#$%&*|"
 
 
 def _plain(piece: str) -> bool:
@@ -44,27 +47,49 @@ class UnitEncoder:
     def __init__(self, encode_all: Callable[[Sequence[str]], list[np.ndarray]], memory: int = MEMORY):
         self._all, self._memory = encode_all, memory
         self._after: dict[str, bytes] = {}  # piece -> ids of " " + piece
+        self._bare: dict[str, bytes] = {}  # words after line breaks, and punctuation -> ids
         self._break = encode_all(["\n"])[0]
+        self._lone_break = self._break.tobytes()
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         return [ids.tobytes() for ids in self._all(texts)]
 
-    def _units(self, pieces: list[str]) -> list[bytes]:
+    def _library(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, given as it stands, by the library."""
         found: dict[str, bytes] = {}
-        solid = [p for p in pieces if len(p) <= LONGEST_KEPT and (p.isprintable() and " " not in p or _lines(p))] if len(self._break) == 1 else []
+        solid = [u for u in units if len(u) <= LONGEST_KEPT and u.isprintable() and " " not in u[1:] and u != " "] if len(self._break) == 1 else []
         for at in range(0, len(solid), 256):
             some = solid[at : at + 256]
-            whole = " " + "\n ".join(some)
-            ids = self._all([whole])[0]
+            ids = self._all(["\n".join(some)])[0]
             cuts = np.flatnonzero(ids == self._break[0])
-            if len(cuts) == whole.count("\n"):
-                if len(cuts) >= len(some):  # breaks inside units stay with them
-                    cuts = cuts[np.cumsum([1 + p.count("\n") for p in some[:-1]], dtype=np.int64) - 1]
+            if len(cuts) == len(some) - 1:
                 raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                found.update(zip(some, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends))))
-        left = [p for p in pieces if p not in found]
-        found.update(zip(left, self._encode([" " + p for p in left])))
-        return [found[p] for p in pieces]
+                found.update(zip(some, [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends)]))
+        if len(found) == len(units):
+            return [found[u] for u in units]
+        left = [u for u in units if u not in found]
+        found.update(zip(left, self._encode(left)))
+        return [found[u] for u in units]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts pieces' ids into the memory. A piece over one line break, or letters with
+        plain punctuation after them, is put together from parts that others share."""
+        known, bare = self._after, self._bare
+        broken = [p for p in pieces if "\n" in p]
+        halves = [(p, *p.split("\n")) for p in broken if p.count("\n") == 1 and _lines(p)]
+        if halves:
+            pieces = pieces.difference([p for p, _, _ in halves]).union([a for _, a, _ in halves if a not in known])
+            seconds = list({b for _, _, b in halves}.difference(bare))
+            bare.update(zip(seconds, self._library(seconds)))
+        joint = [(p, s) for p in pieces if p[-1] in SUFFIX and (s := p.rstrip(SUFFIX)).isalpha()]
+        if joint:
+            pieces = pieces.difference([p for p, _ in joint]).union([s for _, s in joint if s not in known])
+            ends = list({p[len(s) :] for p, s in joint}.difference(bare))
+            bare.update(zip(ends, self._library(ends)))
+        plain = list(pieces)
+        known.update(zip(plain, self._library([" " + p for p in plain])))
+        known.update([(p, known[s] + bare[p[len(s) :]]) for p, s in joint])
+        known.update([(p, known[a] + self._lone_break + bare[b]) for p, a, b in halves])
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text; equal to tokenising the whole text at once."""
@@ -82,12 +107,14 @@ class UnitEncoder:
                     heads[i] = cut[i].pop(0)
             new = set(chain.from_iterable(cut)).difference(known)
         if len(known) + len(new) > self._memory:
+            first = dict(islice(known.items(), self._memory // 4))
             known.clear()
-            new = set(chain.from_iterable(cut))
-        pieces = list(new)
-        known.update(zip(pieces, self._units(pieces)))
+            known.update(first)
+            new = set(chain.from_iterable(cut)).difference(known)
+        if len(self._bare) > self._memory // 4:
+            self._bare.clear()
+        self._learn(new)
         out = [first + b"".join(map(known.__getitem__, rest)) for first, rest in zip(self._encode(heads), cut)]
-        for p in pieces:
-            if len(p) > LONGEST_KEPT:
-                del known[p]
+        for p in [p for p in new if len(p) > LONGEST_KEPT]:
+            del known[p]
         return out
