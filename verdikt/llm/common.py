@@ -1,58 +1,21 @@
-"""Helpers shared by the text operators: tables, scratch storage, output batches."""
+"""Helpers shared by the text operators: tables, samples, output batches."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdikt.sources.scratch import Scratch
+
+__all__ = ["Scratch", "batches", "hash_sample", "labelled_sample", "partitions", "table", "texts", "train_row"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Scratch:
-    """Parquet tables in the cluster's shared checkpoint folder, used to cut lineage.
-
-    A written table survives the loss of any executor, unlike a local
-    checkpoint, and is column-pruned when it is read again. ``drop`` removes a
-    table that no later plan needs; whatever is left goes when the Python
-    process ends.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # local tests only: a cluster names its shared folder
-            root = tempfile.mkdtemp(prefix="verdikt-")
-        self.spark, self.root = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._clear)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        self._delete(self.path(name))
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    def _clear(self) -> None:
-        with contextlib.suppress(Exception):
-            self._delete(self.root)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -130,6 +130,8 @@ def separate(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, by the best bin of a held-back half."""
+    rng = np.random.default_rng(11)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
     w = separate(positive[::2], unlabelled[::2])
     p, u = np.sort(positive[1::2] @ w), np.sort(unlabelled[1::2] @ w)
     if not len(p) or not len(u):
@@ -199,3 +201,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], schema=schema)
 
     return texts(docs, "doc_id").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, all columns, whose texts the model takes for good. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts):
+        for part in parts:
+            for at in range(0, part.num_rows, 256):
+                rows = part.slice(at, 256)
+                yield rows.filter(pa.array(shared.value.scores(features(rows.column("text"))) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

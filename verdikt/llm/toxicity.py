@@ -20,7 +20,8 @@ once and remembered, and scoring makes no vectors.
 Training takes at most about ``SAMPLE`` labelled texts of at most ``CHARS``
 characters, taken by a hash of the doc_id; scoring takes every text whole. A
 text without letters, empty or null gets the prior of an empty window (the
-softmax's bias alone). Without labels of both kinds every score is 0. Repeated
+softmax's bias alone). Without labelled texts of both
+kinds that have words every score is 0. Repeated
 rows are scored one by one, an empty table gives no rows, and columns other than
 doc_id and text are ignored.
 """
@@ -78,6 +79,13 @@ def word_units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))], bucket[order]
 
 
+def _units_in_parts(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """As word_units, some words at a time, which takes less memory."""
+    parts = [word_units(words[at : at + at_once]) for at in range(0, len(words), at_once)]
+    count = np.concatenate([np.diff(cuts) for cuts, _ in parts])
+    return np.r_[0, np.cumsum(count)], np.concatenate([bucket.astype(np.int32) for _, bucket in parts])
+
+
 class Model(NamedTuple):
     """Logits of buckets, the bias, and the curve from a document's highest logit to a probability."""
 
@@ -129,13 +137,14 @@ class Scorer:
 def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """A model from whole texts and 0/1 labels."""
     labels = np.asarray(labels)
-    if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), -30.0, 1.0, 0.0)
+    nothing = Model(np.zeros(BUCKETS), -30.0, 1.0, 0.0)
+    if not all(any(y == label and words_of(t) for t, y in zip(documents, labels)) for label in (0, 1)):
+        return nothing
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in documents]
-    cuts, bucket = word_units(list(vocabulary))
-    bucket, count = bucket.astype(np.int32), np.diff(cuts)
+    cuts, bucket = _units_in_parts(list(vocabulary))
+    count = np.diff(cuts)
     # Windows as rows of word numbers; -1 where a document has fewer words. Of clean ones a bounded number is drawn.
     share = min(1.0, CLEAN_WINDOWS / max(1, sum(len(w) for w, y in zip(coded, labels) if not y)))
     rows, owner = [], []
@@ -144,12 +153,14 @@ def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             continue
         first = np.arange(max(1, len(words) - WINDOW + 1))
         if not labels[doc]:
-            first = first[rng.random(len(first)) < share]
+            first = first[rng.random(len(first)) < share] if share < 1 else first
         held = words[first[:, None] + np.arange(WINDOW)] if len(words) >= WINDOW else np.r_[words, [-1] * (WINDOW - len(words))].astype(np.int32)[None]
         rows.append(held)
         owner.append(np.full(len(held), doc, np.int32))
     rows, owner = np.concatenate(rows), np.concatenate(owner)
     toxic, clean = np.flatnonzero(labels[owner] == 1), np.flatnonzero(labels[owner] == 0)
+    if not len(clean):
+        return nothing
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen_v, seen_s, seen_b = np.full((BUCKETS, 1), 1e-3, np.float32), np.full(softmax.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
@@ -173,7 +184,7 @@ def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             best = logit[order][np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))]
             # A document's best window, and those about as high.
             positives = toxic[order][(rank == 0) | ((rank < 40) & (logit[order] >= 0.5 * best) & (best > 0))]
-            hard = clean[np.argsort(-window_logits(clean))[: len(clean) // 20]]
+            hard = clean[np.argsort(-window_logits(clean))[: max(1, len(clean) // 20)]]
         for _ in range(STEPS):
             half = BATCH // 2
             # Half of the clean windows are hard ones, those that the last round took for toxic most.
@@ -243,3 +254,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield from batches(schema, ((k, p, int(p >= THRESHOLD)) for k, p in zip(keys, chances)))
 
     return texts(docs, "doc_id").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, all columns, whose texts the model takes for clean. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts):
+        scorer = Scorer(shared.value)
+        for part in parts:
+            for at, some in slices(part.column("text")):
+                chances = [shared.value.probability(x) for x in scorer.logits([t or "" for t in some])]
+                yield part.slice(at, len(some)).filter(pa.array([p < THRESHOLD for p in chances]))
+
+    return docs.mapInArrow(run, docs.schema)
