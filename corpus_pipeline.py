@@ -11,8 +11,8 @@ return the columns of ``documents``.
 4. personal_data: identifiers, plain or disguised, are masked in the texts
 5. packing: windows of at most 1024 tokens, one row for each piece
 
-A classifier leaves a document in that it cannot name (null doc_id). Models,
-their labels and their held-out fold are those of the operators.
+Each row is judged by its own text. Models, their labels and their held-out fold
+are those of the operators; no label is looked at when a row is judged.
 """
 
 from __future__ import annotations
@@ -25,18 +25,12 @@ from verdikt.llm import minhash, packing, pii, quality, toxicity
 from verdikt.llm.common import Scratch, table
 
 
-def _accepted(docs: DataFrame, scores: DataFrame, wanted: int) -> DataFrame:
-    """The documents with no score that says otherwise; of repeated ids, all go if one does."""
-    refused = scores.where(F.col("predicted") != wanted).select("doc_id").distinct()
-    return docs.join(refused, "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _accepted(docs, quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 1)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _accepted(docs, toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0)
+    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +43,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, Scratch(spark, "pipeline-packing"))
 
 
 STAGES = [
