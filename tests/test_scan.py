@@ -281,3 +281,19 @@ def test_shortcut_and_names(spark):
     got = run(spark, [("invoice.pdf.lnk", link)]).first()
     assert {"Heuristic.Name.DoubleExtension", "Heuristic.Name.DisguisedExecutable", "Heuristic.LNK.LaunchesInterpreter", "Heuristic.LNK.HiddenArguments", "Heuristic.PowerShell.HiddenWindow"} <= {d["name"] for d in got["detections"]}
     assert got["verdict"] == "malicious"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from verdikt.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_bytes(b"hello")
+    (tmp_path / "in/b.txt").write_bytes(marker().encode())
+    common = ["--data", str(tmp_path / "db"), "--config", str(tmp_path / "none.json")]
+    assert main([*common, "scan", str(tmp_path / "in")], spark) == 3
+    assert main([*common, "scan", "--allow-no-signatures", "--json", str(tmp_path / "in")], spark) == 1
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x["verdict"] for x in lines] == ["safe", "malicious"]
+    assert main([*common, "scan", "--allow-no-signatures", "--quiet", str(tmp_path / "in/a.txt")], spark) == 0
+    assert capsys.readouterr().out == ""
+    assert main([*common, "status"], spark) == 0 and main([*common, "version"], spark) == 0 and main([*common, "config"], spark) == 0
