@@ -297,3 +297,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*common, "scan", "--allow-no-signatures", "--quiet", str(tmp_path / "in/a.txt")], spark) == 0
     assert capsys.readouterr().out == ""
     assert main([*common, "status"], spark) == 0 and main([*common, "version"], spark) == 0 and main([*common, "config"], spark) == 0
+
+
+def test_antivirus_daemon(spark, tmp_path):
+    import socketserver
+    import threading
+
+    class Daemon(socketserver.StreamRequestHandler):
+        def handle(self):
+            assert self.rfile.read(10) == b"zINSTREAM\0"
+            data = b""
+            while n := int.from_bytes(self.rfile.read(4), "big"):
+                data += self.rfile.read(n)
+            name = b"Fake.Sig FOUND" if b"BADMARK" in data else b"Heuristics.Encrypted.Zip FOUND" if b"LOCKED" in data else b"OK"
+            self.wfile.write(b"stream: " + name + b"\0")
+
+    with socketserver.ThreadingUnixStreamServer(str(tmp_path / "clamd"), Daemon) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        files = [("bad.txt", b"x BADMARK" * 9000), ("ok.txt", b"fine"), ("a.7z", b"7z\xbc\xaf\x27\x1c" + b"\0" * 64), ("l.txt", b"LOCKED")]
+        config = Config(clamav="required", clamav_address=str(tmp_path / "clamd"))
+        got = run(spark, files, config).collect()
+        server.shutdown()
+    assert [r["verdict"] for r in got] == ["malicious", "safe", "safe", "error"] and got[0]["detections"][0]["name"] == "Fake.Sig"
+    gone = Config(clamav="required", clamav_address=str(tmp_path / "gone"))
+    assert "cannot be reached" in run(spark, files[1:2], gone).first()["error"]
+    auto = run(spark, files[1:2], Config(clamav="auto", clamav_address=str(tmp_path / "gone"))).first()
+    assert auto["verdict"] == "safe" and auto["warnings"]

@@ -65,6 +65,8 @@ class Config:
     update_interval: float = 3_600
     full_refresh_interval: float = 7 * 86_400
     clamav: str = "off"
+    clamav_address: str = ""
+    clamav_timeout: float = 60
     feeds: tuple[Feed, ...] = field(default=FEEDS)
 
     def __post_init__(self):
@@ -91,7 +93,7 @@ def load(path: str | Path) -> Config:
     known = {f.name for f in fields(Config)}
     if unknown := set(raw) - known:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-    for name in ("max_signature_age", "update_interval", "full_refresh_interval"):
+    for name in ("max_signature_age", "update_interval", "full_refresh_interval", "clamav_timeout"):
         if name in raw:
             raw[name] = seconds(raw[name])
     if "feeds" in raw:

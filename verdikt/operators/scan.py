@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from verdikt.config import Config
 from verdikt.functions.content import ARCHIVES, SEALED, base_name, file_type, hashes, is_archive, is_encrypted_office
-from verdikt.operators import archives, documents, programs
+from verdikt.operators import archives, clamd, documents, programs
 from verdikt.operators.inspect import inspected
 from verdikt.operators.rules import exploded
 from verdikt.operators.signatures import ARCHIVE, HEURISTIC, MATCH, SIGNATURE, looked_up
@@ -137,7 +137,7 @@ def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None,
     if signatures is None:
         signatures = spark.createDataFrame([], "algo string, hash string, source string")
     objects, detections, issues, warnings = [], [], [], []
-    level, depth = scratch.save(top_level(files), "objects-0"), 0
+    level, depth, covered = scratch.save(top_level(files), "objects-0"), 0, None
     while True:
         known = level.withColumns(hashes(F.col("content")))
         known = looked_up(known, signatures, custom, allowed)
@@ -150,6 +150,14 @@ def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None,
         issues.append(known.where("problem is not null and not allowed").select("file_id", "ord", "path", F.lit(-1).alias("seq"), F.col("problem").alias("reason")))
 
         open_ = known.where("not closed")
+        if depth == 0 and config.clamav != "off":
+            # The daemon sees whole files and opens archives itself; its match counts beside the objects' sums, not in them.
+            seen = scratch.save(clamd.scanned(known.where("content is not null and not allowed"), config.clamav_address, config.clamav_timeout), "clamd").join(known.select("file_id", "ord", "path"), ["file_id", "ord"])
+            beside = F.array(F.lit((1 << 31) - 1)).alias("ord")
+            detections.append(seen.where("signature is not null").select("file_id", beside, "path", F.lit(0).alias("seq"), F.lit(clamd.ENGINE).alias("engine"), F.col("signature").alias("name"), F.lit(MATCH).alias("score")))
+            notes = issues if config.clamav == "required" else warnings
+            notes.append(seen.where("problem is not null").select("file_id", "ord", "path", F.lit(8000).alias("seq"), F.col("problem").alias("reason")))
+            covered = seen.where("problem is null").select("file_id")
         deep = depth >= config.max_archive_depth
         parsed = PARSED if not deep else tuple(k for k in PARSED if k not in ARCHIVES)
         apart = scratch.save(dissect(open_.where(F.col("kind").isin(*parsed)), config, password), f"apart-{depth}")
@@ -170,7 +178,9 @@ def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None,
         issues.append(taken.select(*place, "path", F.posexplode("issues").alias("seq", "reason")))
         warnings.append(taken.select(*place, "path", F.posexplode("warnings").alias("seq", "reason")))
         issues.append(open_.where(is_encrypted_office(F.col("content"))).select(*place, "path", F.lit(-1).alias("seq"), F.lit("password-protected Office document; content cannot be inspected").alias("reason")))
-        issues.append(open_.where(F.col("kind").isin(*SEALED)).select(*place, "path", F.lit(0).alias("seq"), F.concat("kind", F.lit(" containers can only be inspected with ClamAV, which did not scan it")).alias("reason")))
+        sealed = open_.where(F.col("kind").isin(*SEALED))
+        sealed = sealed if covered is None else sealed.join(covered, "file_id", "left_anti")
+        issues.append(sealed.select(*place, "path", F.lit(0).alias("seq"), F.concat("kind", F.lit(" containers can only be inspected with ClamAV, which did not scan it")).alias("reason")))
         holds = is_archive(F.col("kind"))
         if deep:
             nested = open_.where(holds).select(*place, "path").unionByName(taken.where("size(members) > 0").select(*place, "path"))
