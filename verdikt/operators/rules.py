@@ -3,9 +3,10 @@
 A rule fires where one of its ``any_of`` literals, all of its ``all_of``
 literals and its regular expression are found in the lower-cased text. With
 ``near`` literals the expression must match within 1024 characters of one of
-them, which bounds what it may span. ``findings`` evaluates a whole catalogue
-in one pass; only texts over 1024 characters that hold an anchor of a near rule
-are sent to Python, where windows are cut.
+them, which bounds what it may span. ``findings`` evaluates a whole catalogue:
+one Aho-Corasick pass over the text finds all literals, and Spark expressions
+put the rules together, trying a regular expression only where its literals are.
+Windows are cut in Python, for texts over 1024 characters that hold an anchor.
 
 The patterns are in RE2 syntax and meaning; ``java`` and ``python`` say the same
 to the other engines, for which word boundaries and white space mean more.
@@ -164,13 +165,38 @@ def _either(parts: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a | b, parts)
 
 
-def _literals(text: Column, rule: Rule) -> Column:
-    held = [text.contains(x) for x in rule.all_of]
+def literals_of(rules: tuple[Rule, ...]) -> tuple[str, ...]:
+    return tuple(sorted({x for r in rules for x in (*r.any_of, *r.all_of, *r.near)}))
+
+
+@functools.cache
+def _automaton(literals: tuple[str, ...]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for place, literal in enumerate(literals):
+        found.add_word(literal, place)
+    found.make_automaton()
+    return found
+
+
+def held_literals(text: Column, literals: tuple[str, ...]) -> Column:
+    """Places of the literals that the text holds: one pass for all of them, where a search for each takes as many."""
+
+    def held(texts: pd.Series) -> pd.Series:
+        found = _automaton(literals)
+        return pd.Series([None if t is None else sorted({place for _, place in found.iter(t)}) for t in texts], dtype=object)
+
+    return F.pandas_udf(held, ArrayType(IntegerType()))(text)
+
+
+def _literals(has, rule: Rule) -> Column:
+    tests = [has(x) for x in rule.all_of]
     if rule.any_of:
-        held.append(_either([text.contains(x) for x in rule.any_of]))
+        tests.append(_either([has(x) for x in rule.any_of]))
     if rule.near:
-        held.append(_either([text.contains(x) for x in rule.near]))
-    return functools.reduce(lambda a, b: a & b, held, F.lit(True))
+        tests.append(_either([has(x) for x in rule.near]))
+    return functools.reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def windows(text: str, rule: Rule) -> Iterator[str]:
@@ -194,13 +220,18 @@ def _near_udf(rules: tuple[Rule, ...]):
     return F.pandas_udf(confirmed, ArrayType(IntegerType()))
 
 
-def matched(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """Places in the catalogue, ascending, of the rules that fire in the lower-cased text (null: none)."""
+def matched(text: Column, held: Column, rules: tuple[Rule, ...]) -> Column:
+    """Places in the catalogue, ascending, of the rules that fire in the lower-cased text (null: none).
+
+    ``held`` is what ``held_literals`` finds in the text. Expressions are tried
+    only where a rule's literals are there.
+    """
+    place = {x: i for i, x in enumerate(literals_of(rules))}
     none = F.array().cast("array<int>")
     short = F.char_length(text) <= REACH
     here, later = [], []
     for i, rule in enumerate(rules):
-        fires = _literals(text, rule)
+        fires = _literals(lambda x: F.array_contains(held, place[x]), rule)
         if rule.near:
             later.append(F.when(~short & fires, F.lit(i)))
             fires = short & fires
@@ -227,9 +258,9 @@ def chosen(*tests: tuple[Column, str, int]) -> Column:
 def findings(rows: DataFrame, text: str, rules: tuple[Rule, ...], out: str) -> DataFrame:
     """The rows with ``out``, array<FINDING>, of the rules that fire in column ``text`` (lower-cased)."""
     known = F.array(*(finding(r.name, r.score) for r in rules))
-    places = f"__{out}_places"
-    placed = rows.withColumn(places, matched(F.col(text), rules))
-    return placed.withColumn(out, F.transform(places, lambda i: F.get(known, i))).drop(places)
+    places, held = f"__{out}_places", f"__{out}_held"
+    placed = rows.withColumn(held, held_literals(F.col(text), literals_of(rules))).withColumn(places, matched(F.col(text), F.col(held), rules))
+    return placed.withColumn(out, F.transform(places, lambda i: F.get(known, i))).drop(places, held)
 
 
 def distinct_findings(found: Column) -> Column:
