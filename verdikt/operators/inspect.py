@@ -20,6 +20,8 @@ DOCUMENTS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".txt",
 RISKY = (".exe", ".scr", ".com", ".pif", ".bat", ".cmd", ".js", ".jse", ".vbs", ".vbe", ".wsf", ".wsh", ".hta", ".lnk", ".ps1", ".msi", ".cpl", ".jar", ".dll", ".iso", ".img", ".vhd", ".vhdx", ".docm", ".xlsm", ".pptm", ".one")
 INTERPRETERS = ("cmd.exe", "powershell", "pwsh", "mshta", "wscript", "cscript", "rundll32", "regsvr32", "certutil", "bitsadmin", "msiexec", "conhost", "forfiles", "curl.exe")
 MACRO_SHEET = r"(exec|call|register|formula\.fill|halt)\s*\("
+#: Names of the Office parts that are looked into.
+OFFICE_PART = r"(?i)(\.rels\z|macrosheets/|workbook\.xml\z)"
 PDF_SCRIPT, PDF_AUTO = r"/(javascript|js)[\s/<(\[]", r"/(openaction|aa)[\s/<\[]"
 #: Characters of a text that the script rules see.
 TEXT_SEEN = 16 << 20
@@ -87,11 +89,11 @@ def office_part_findings(name: Column, low: Column) -> Column:
     )
 
 
-def embedded_findings(text: Column, low: Column) -> Column:
+def embedded_findings(text: Column) -> Column:
     """Programs in base64 (by case), and pages that put a download together."""
     return R.chosen(
         (text.contains("TVqQAAMAAAAEAAAA") | text.contains("TVpQAAIAAAAEAA8A"), "Heuristic.Script.EmbeddedPE", 50),
-        (low.contains("createobjecturl") & low.contains("atob(") & (low.contains(".download") | low.contains("mssaveoropenblob")), "Heuristic.HTML.Smuggling", 40),
+        (R.mentions(text, "createobjecturl") & R.mentions(text, "atob(") & (R.mentions(text, ".download") | R.mentions(text, "mssaveoropenblob")), "Heuristic.HTML.Smuggling", 40),
     )
 
 
@@ -155,15 +157,17 @@ def inspected(objects: DataFrame) -> DataFrame:
     rows = objects.withColumns(
         {
             "__text": text,
-            "__script": F.when(kind == "text", ascii_lower(text)).when(kind == "lnk", ascii_lower(bare)),
+            "__script": F.when(kind == "text", text).when(kind == "lnk", bare),
+            "__part": F.when((kind == "text") & F.col("name").rlike(OFFICE_PART), ascii_lower(text)),
+            "__link": F.when(kind == "lnk", ascii_lower(bare)),
             "__rtf": F.when(kind == "rtf", ascii_lower(latin1(content))),
-            "__strings": F.when(is_executable(kind), ascii_lower(latin1(content))),
+            "__strings": F.when(is_executable(kind), latin1(content)),
         }
     )
     rows = rows.withColumns(
         {
             # Exported modules and macros as plain text.
-            "__vba": F.lower(F.when((kind == "text") & F.col("__script").contains("attribute vb_name"), F.col("__text")).otherwise(F.col("macros"))),
+            "__vba": F.lower(F.when((kind == "text") & R.mentions(F.col("__text"), "attribute vb_name"), F.col("__text")).otherwise(F.col("macros"))),
             "__pdf_js": F.when(F.col("pdf_body").rlike(R.java(PDF_SCRIPT)), F.concat_ws("\n", "pdf_body", "pdf_streams")),
         }
     )
@@ -172,15 +176,15 @@ def inspected(objects: DataFrame) -> DataFrame:
     is_text, macro = kind == "text", F.array(R.finding("Heuristic.Macro.Present", 10))
     parts = [
         name_findings(F.col("name"), kind),
-        F.when(kind.isin("lnk"), shortcut_findings(F.col("__script"))),
+        F.when(kind.isin("lnk"), shortcut_findings(F.col("__link"))),
         named_findings(F.col("names")),
         F.when(F.col("pdf_body").isNotNull(), pdf_findings(F.col("pdf_body"), F.col("pdf_renamed"))),
         F.when(kind == "rtf", rtf_findings(F.col("__rtf"))),
         F.col("__found__script"),
-        F.when(is_text, office_part_findings(F.col("name"), F.col("__script"))),
+        F.when(F.col("__part").isNotNull(), office_part_findings(F.col("name"), F.col("__part"))),
         F.when(F.col("__vba").isNotNull(), F.concat(macro, F.col("__found__vba"))),
         F.when(kind == "ole", ole_findings(content)),
-        F.when(is_text, embedded_findings(F.col("__text"), F.col("__script"))),
+        F.when(is_text, embedded_findings(F.col("__text"))),
         F.col("__found__strings"),
         F.col("__found__pdf_js"),
     ]

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from verdikt.functions.content import ascii_lower
+
 
 class Rule(NamedTuple):
     name: str
@@ -180,12 +182,17 @@ def _automaton(literals: tuple[str, ...]):
     return found
 
 
+def lowered(text: str) -> str:
+    """A to Z lower-cased, in ISO-8859-1 text."""
+    return text.encode("latin-1", "replace").lower().decode("latin-1")
+
+
 def held_literals(text: Column, literals: tuple[str, ...]) -> Column:
-    """Places of the literals that the text holds: one pass for all of them, where a search for each takes as many."""
+    """Places of the literals that the lower-cased text holds: one pass for all of them, where a search for each takes as many."""
 
     def held(texts: pd.Series) -> pd.Series:
         found = _automaton(literals)
-        return pd.Series([None if t is None else sorted({place for _, place in found.iter(t)}) for t in texts], dtype=object)
+        return pd.Series([None if t is None else sorted({place for _, place in found.iter(lowered(t))}) for t in texts], dtype=object)
 
     return F.pandas_udf(held, ArrayType(IntegerType()))(text)
 
@@ -256,11 +263,23 @@ def chosen(*tests: tuple[Column, str, int]) -> Column:
 
 
 def findings(rows: DataFrame, text: str, rules: tuple[Rule, ...], out: str) -> DataFrame:
-    """The rows with ``out``, array<FINDING>, of the rules that fire in column ``text`` (lower-cased)."""
+    """The rows with ``out``, array<FINDING>, of the rules that fire in column ``text``, upper case read as lower.
+
+    Texts are lower-cased by Spark only where a literal was found, unless a rule
+    of the catalogue does without literals.
+    """
     known = F.array(*(finding(r.name, r.score) for r in rules))
-    places, held = f"__{out}_places", f"__{out}_held"
-    placed = rows.withColumn(held, held_literals(F.col(text), literals_of(rules))).withColumn(places, matched(F.col(text), F.col(held), rules))
-    return placed.withColumn(out, F.transform(places, lambda i: F.get(known, i))).drop(places, held)
+    places, held, low = (f"__{out}_{x}" for x in ("places", "held", "low"))
+    always = any(not (r.any_of or r.all_of or r.near) for r in rules)
+    placed = rows.withColumn(held, held_literals(F.col(text), literals_of(rules)))
+    placed = placed.withColumn(low, F.when(F.lit(always) | (F.size(held) > 0), ascii_lower(F.col(text))))
+    placed = placed.withColumn(places, matched(F.col(low), F.col(held), rules))
+    return placed.withColumn(out, F.transform(places, lambda i: F.get(known, i))).drop(places, held, low)
+
+
+def mentions(text: Column, literal: str) -> Column:
+    """Whether the text holds a lower-case literal, upper case read as lower."""
+    return text.rlike("(?i)" + re.escape(literal))
 
 
 def distinct_findings(found: Column) -> Column:

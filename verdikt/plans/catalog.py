@@ -259,8 +259,8 @@ def _rule_sql(rule: R.Rule, text: str) -> str:
 
 def _rules(catalogue: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _texts(spark, sf_dir).where("text is not null").select("case", C.ascii_lower(C.latin1(F.encode("text", "UTF-8"))).alias("low"))
-        found = R.findings(rows, "low", R.CATALOGUES[catalogue], "f")
+        rows = _texts(spark, sf_dir).where("text is not null").select("case", C.latin1(F.encode("text", "UTF-8")).alias("body"))
+        found = R.findings(rows, "body", R.CATALOGUES[catalogue], "f")
         return R.exploded(found, "f", "case").select("case", F.col("name").alias("finding"), "score")
 
     return query
