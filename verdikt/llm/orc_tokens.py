@@ -5,9 +5,10 @@ interval of ids in ascending order, and tokenises after the shuffle. The ORC
 writer stores ids as run-length encoded integers in stripes, compressed lightly
 on top, and keeps minima and maxima for every ``ROW_GROUP`` rows and a Bloom
 filter on ``doc_id``; a lookup by id therefore skips files, stripes and row
-groups by their metadata, and a scan is dealt out by stripe. Each row also has the number of ids that stand
-before it in its own file (``ahead``) and the file's place in order (``part``),
-so a document's global start needs only one total for each file.
+groups by their metadata, and a scan is dealt out by stripe. Each row also has
+the number of ids that stand before it in its own file (``ahead``) and the
+file's place in order (``part``), so a document's global start needs only one
+total for each file.
 
 Null text is written as an empty document (the end id alone), a null doc_id
 comes first, repeated rows are all written, extra columns are not. An empty

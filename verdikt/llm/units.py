@@ -20,7 +20,7 @@ import numpy as np
 
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Units remembered by one Python worker. When the memory is full, its first quarter stays: common units come up early.
-MEMORY = 1_000_000
+MEMORY = 700_000
 #: A unit over this many characters is tokenised anew each time.
 LONGEST_KEPT = 200
 #: Punctuation that parts from letters before it; apostrophes are not among it.
