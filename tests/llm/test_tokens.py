@@ -114,6 +114,34 @@ def test_packing_joins_like_documents(documents, scratch):
     assert sum(len(v) == 1 for v in windows.values()) > 0.8 * len(windows)
 
 
+@pytest.mark.parametrize("topics", [40, 160])
+def test_packing_joins_like_documents_of_many_shards(documents, scratch, topics):
+    """Four documents of each topic fill about a window; the shards hold few of all topics."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    common = [word() for _ in range(30)]
+    texts = []
+    for _ in range(topics):
+        base = [word() if rng.random() < 0.7 else rng.choice(common) for _ in range(80)]
+        texts += [" ".join(w if rng.random() < 0.95 else rng.choice(common) for w in base) for _ in range(4)]
+    order = rng.sample(range(len(texts)), len(texts))
+    rows = packing.pack(documents([(i, texts[i]) for i in order]), FILE, 0, scratch(), shard_tokens=10_000).collect()
+    assert check_packing(rows, list(enumerate(texts))) == 0
+    assert len({r["sequence_id"] >> 32 for r in rows}) >= topics // 16
+    windows = {}
+    for r in rows:
+        windows.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    met = [any(windows[i] & windows[j] for j in range(i // 4 * 4, i // 4 * 4 + 4) if j != i) for i in range(len(texts))]
+    assert sum(met) > 0.8 * len(met)
+
+
+def test_a_sketch_of_many_documents_is_dealt_among_shards():
+    bounds = np.array([3, 7, 7, 7, 9])
+    shards = packing.dealt(np.array([1, 3, 8, 10] + [7] * 3000), np.arange(3004), bounds)
+    assert shards[:4].tolist() == [0, 0, 4, 5]
+    assert np.bincount(shards[4:]).tolist()[:1] == [0] and (np.bincount(shards[4:])[1:4] > 800).all() and len(np.bincount(shards[4:])) == 4
+
+
 def test_packing_of_real_documents(spark, small, scratch):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     assert check_packing(packing.pack(docs, FILE, 0, scratch(), shard_tokens=50_000).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()]) == 0

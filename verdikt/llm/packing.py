@@ -2,15 +2,17 @@
 
 Documents are tokenised once, into a table of ids in the shared scratch folder;
 each task adds to it one row of document frequencies, so that counting over all
-documents costs no second pass. The documents are dealt at random into shards of
-about ``SHARD_TOKENS`` ids. In each shard a BM25 inverted index, whose terms are
-the tokens, returns for the document that a window began with (its seed) the
-unused documents most like it; they fill the window in that order. A document
+documents costs no second pass. The documents are sorted by a sketch of their
+tokens into shards of about ``SHARD_TOKENS`` ids, so that like documents meet
+however many shards there are (``routes``). In each shard a BM25 inverted index,
+whose terms are the tokens, returns for the document that a window began with
+(its seed) the unused documents most like it; they fill the window in that
+order. Neighbours that the sketch sends to another shard are not seen. A document
 longer than the space left is cut, and its rest opens the next window as its
 seed. When the seed has no unused neighbour left, the next unused document
 follows. Frequencies, the number of documents and their mean length are those of
 all documents, so every shard weighs tokens alike; what reaches the tasks is one
-weight for each token of the vocabulary.
+weight for each token of the vocabulary and one bound for each shard.
 
 All windows of a shard but the last are full. What is left at its end is cut
 into windows whose lengths are powers of two, which take no padding.
@@ -37,9 +39,14 @@ SHARD_TOKENS = 400_000
 K1, B = 1.2, 0.75
 #: The heaviest tokens of a seed that are looked up.
 QUERY_TOKENS = 24
+#: Documents for each shard whose sketches give the shards' bounds, on average.
+BOUND_SAMPLE = 64
+#: Parts of a sketch, 16 bits each.
+PARTS = 4
 #: Partial sums of frequencies that reach the driver.
 SUMS = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
+ROUTED = "doc_id long, place long, ids binary, shard long"
 TOKENS = "doc_id long, place long, ids binary, df binary, documents long, tokens long"
 
 
@@ -69,7 +76,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, len(raw)), part.column("place").slice(at, len(raw)), pa.array(ids, pa.binary()), *none], schema=schema)
         yield from batches(schema, [(None, None, None, df.tobytes(), documents, tokens)])
 
-    # A row's place in the input spreads repeated rows over shards as well.
+    # A row's place in the input tells repeated rows apart.
     return texts(docs, "doc_id").withColumn("place", F.monotonically_increasing_id()).mapInArrow(run, TOKENS)
 
 
@@ -83,8 +90,8 @@ def _width(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def statistics(table: DataFrame, size: int) -> tuple[np.ndarray, float, int]:
-    """(idf of each token, mean length, all ids with end ids) over all documents."""
+def statistics(table: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
+    """(documents that hold each token, documents, tokens without end ids) over all documents."""
 
     def run(parts):
         df, documents, tokens = np.zeros(size, np.int64), 0, 0
@@ -96,8 +103,65 @@ def statistics(table: DataFrame, size: int) -> tuple[np.ndarray, float, int]:
     rows = table.where("df is not null").select("df", "documents", "tokens")
     sums = rows.coalesce(SUMS).mapInArrow(run, "df binary, documents long, tokens long").collect()
     df = sum((np.frombuffer(r["df"], np.int64) for r in sums), np.zeros(size, np.int64))
-    n, tokens = sum(r["documents"] for r in sums), sum(r["tokens"] for r in sums)
-    return np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(n, 1), tokens + n
+    return df, sum(r["documents"] for r in sums), sum(r["tokens"] for r in sums)
+
+
+def rankings(df: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """PARTS random orders of the tokens, in which heavy ones come early and those that no two documents share last."""
+    draws = np.random.default_rng(0).exponential(size=(PARTS, len(idf)))
+    late = np.where(df > 1, draws / np.maximum(idf, 1e-12), np.inf)
+    ranks = np.argsort(np.argsort(late, axis=1, kind="stable"), axis=1, kind="stable")
+    return np.minimum(np.where(df > 1, ranks, 0xFFFF), 0xFFFF).astype(np.uint16)
+
+
+def sketches(ids: list[bytes], kind: str, ranks: np.ndarray) -> np.ndarray:
+    """A 63-bit number for each document: its first token in each of the orders.
+
+    Two documents have a part in common about as often as the share, by idf, of
+    all their tokens that both hold.
+    """
+    flat = np.frombuffer(b"".join(ids), kind)
+    starts = np.cumsum([0, *(len(i) for i in ids)])[:-1] // np.dtype(kind).itemsize  # an end id each: none is empty
+    out = np.zeros(len(ids), np.uint64)
+    for rank in ranks if len(ids) else ():
+        out = (out << np.uint64(16)) | np.minimum.reduceat(rank[flat], starts).astype(np.uint64)
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
+def dealt(sketch: np.ndarray, place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The shard of each document; a sketch that fills several is dealt among them by place."""
+    low, high = np.searchsorted(bounds, sketch, "left"), np.searchsorted(bounds, sketch, "right")
+    salt = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return low + (salt % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64)
+
+
+def routes(documents: DataFrame, kind: str, ranks: np.ndarray, n: int, shards: int) -> DataFrame:
+    """ROUTED: documents (doc_id, place, ids) by ranges of their sketches with about as many ids each.
+
+    The bounds are quantiles of a sample by a hash of the place. The more
+    documents there are, the more parts of a sketch a shard's documents share.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+
+    def measured(parts):
+        for part in parts:
+            ids = part.column("ids").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(sketches(ids, kind, shared.value), pa.int64()), pa.array([len(i) for i in ids], pa.int64())], names=["sketch", "bytes"])
+
+    few = documents.where(F.pmod(F.xxhash64("place"), F.lit(max(1, n // (shards * BOUND_SAMPLE)))) == 0)
+    seen = few.select("ids").mapInArrow(measured, "sketch long, bytes long").toArrow()
+    sketch, size = seen.column("sketch").to_numpy(), seen.column("bytes").to_numpy()
+    order = np.argsort(sketch, kind="stable")
+    upto = np.cumsum(size[order])
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards) if len(upto) else np.zeros(0, np.int64)
+    bounds = documents.sparkSession.sparkContext.broadcast(sketch[order][cuts])
+
+    def run(parts):
+        for part in parts:
+            shard = dealt(sketches(part.column("ids").to_pylist(), kind, shared.value), part.column("place").to_numpy(), bounds.value)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shard, pa.int64())], names=["doc_id", "place", "ids", "shard"])
+
+    return documents.mapInArrow(run, ROUTED)
 
 
 class Index:
@@ -179,8 +243,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, window:
     size = max(vocabulary_size(tokenizer), end_id + 1)
     kind = _width(size)
     table = scratch.save(tokenised(docs, tokenizer, end_id, size), "tokens")
-    idf, mean_tokens, total = statistics(table, size)
-    shards = max(1, -(-total // shard_tokens))
+    df, n, tokens = statistics(table, size)
+    idf, mean_tokens = np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(n, 1)
+    shards = max(1, -(-(tokens + n) // shard_tokens))
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(shard: pa.Table) -> pa.Table:
@@ -196,5 +261,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, window:
                 column.append(value)
         return pa.table([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    dealt = table.where("ids is not null").select("doc_id", "place", "ids", F.pmod(F.xxhash64("place"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(run, SCHEMA)
+    documents = table.where("ids is not null").select("doc_id", "place", "ids")
+    return routes(documents, kind, rankings(df, idf), n, shards).groupBy("shard").applyInArrow(run, SCHEMA)
