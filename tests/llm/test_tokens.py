@@ -135,6 +135,24 @@ def test_packing_joins_like_documents_of_many_shards(documents, scratch, topics)
     assert sum(met) > 0.8 * len(met)
 
 
+@pytest.mark.parametrize("at_once", [2000, 10])
+def test_packing_ranks_by_all_tokens_of_a_seed(monkeypatch, at_once):
+    """Ranks equal those of BM25 written out, for seeds of far more tokens than the heaviest few."""
+    monkeypatch.setattr(packing, "AT_ONCE", at_once)
+    rng = np.random.default_rng(2)
+    ids = [rng.choice(400, size=rng.integers(0, 300), p=(w := 1 / np.arange(1, 401)) / w.sum()) for _ in range(150)]
+    ids += [ids[3], ids[3], np.array([399] * 5), np.zeros(0, np.int64)]
+    held = np.array([np.bincount(i, minlength=400) for i in ids])
+    df, length = (held > 0).sum(0), held.sum(1)
+    idf, mean = np.log1p((len(ids) - df + 0.5) / (df + 0.5)), length.mean()
+    weights = idf * held * (packing.K1 + 1) / (held + packing.K1 * (1 - packing.B + packing.B * length[:, None] / mean))
+    index = packing.Index([i.astype(np.uint16) for i in ids], idf, mean)
+    for seed in range(len(ids)):
+        score = np.round((weights * (held[seed] > 0) * (df > 1)).sum(1), 9)
+        found = np.flatnonzero(score)
+        assert index.ranked(seed).tolist() == found[np.argsort(-score[found], kind="stable")].tolist()
+
+
 def test_a_sketch_of_many_documents_is_dealt_among_shards():
     bounds = np.array([3, 7, 7, 7, 9])
     shards = packing.dealt(np.array([1, 3, 8, 10] + [7] * 3000), np.arange(3004), bounds)

@@ -37,8 +37,8 @@ from verdikt.llm.words import distinct
 
 SHARD_TOKENS = 400_000
 K1, B = 1.2, 0.75
-#: The heaviest tokens of a seed that are looked up.
-QUERY_TOKENS = 24
+#: In a shard of up to AT_ONCE documents, tokens in more than one of DENSE are scored by a matrix of up to CELLS, the others by postings.
+AT_ONCE, DENSE, CELLS = 2000, 64, 1 << 21
 #: Documents for each shard whose sketches give the shards' bounds, on average.
 BOUND_SAMPLE = 64
 #: Parts of a sketch, 16 bits each.
@@ -165,7 +165,11 @@ def routes(documents: DataFrame, kind: str, ranks: np.ndarray, n: int, shards: i
 
 
 class Index:
-    """BM25 over the documents of one shard: postings by token, in numpy."""
+    """BM25 over the documents of one shard: postings by token, in numpy.
+
+    All tokens of a seed count; common ones are scored for all seeds at once by a
+    matrix product, which makes no difference but for speed.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_tokens: float):
         n, size = len(ids), len(idf)
@@ -180,23 +184,28 @@ class Index:
         shared = np.bincount(token, minlength=size)
         self._cuts = np.r_[0, np.cumsum(shared)]
         self._n, self._token = n, token
-        self._use = np.where(shared[token] > 1, idf[token], -1.0)  # a token of one document finds nothing
+        most = min(np.count_nonzero(shared * DENSE > n), CELLS // n) if 0 < n <= AT_ONCE else 0
+        common = np.argsort(-shared, kind="stable")[:most]
+        self._row = np.full(size, -1, np.int32)
+        self._row[common] = np.arange(most)
+        self._row[shared <= 1] = -2  # a token of one document finds nothing
+        row = self._row[token]
+        matrix = np.zeros((most, n))
+        matrix[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        self._scores = (matrix > 0).T.astype(float) @ matrix if most else None
         self._of = np.searchsorted(doc, np.arange(n + 1))
 
     def ranked(self, seed: int) -> np.ndarray:
         """Documents that share tokens with the seed, best first, ties by place."""
-        a, b = self._of[seed], self._of[seed + 1]
-        tokens, use = self._token[a:b], self._use[a:b]
-        if len(tokens) > QUERY_TOKENS:
-            top = np.argpartition(-use, QUERY_TOKENS)[:QUERY_TOKENS]
-            tokens, use = tokens[top], use[top]
-        tokens = tokens[use > 0]
-        if not len(tokens):
-            return tokens
-        spans = [slice(self._cuts[t], self._cuts[t + 1]) for t in tokens.tolist()]
-        score = np.bincount(np.concatenate([self._docs[s] for s in spans]), np.concatenate([self._weights[s] for s in spans]), self._n)
+        tokens = self._token[self._of[seed] : self._of[seed + 1]]
+        row = self._row[tokens]
+        score = np.zeros(self._n) if self._scores is None else self._scores[seed]
+        spans = [slice(self._cuts[t], self._cuts[t + 1]) for t in tokens[row == -1].tolist()]
+        if spans:
+            score = score + np.bincount(np.concatenate([self._docs[s] for s in spans]), np.concatenate([self._weights[s] for s in spans]), self._n)
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        # Equal documents tie, whatever the order in which their weights were summed.
+        return found[np.argsort(-np.round(score[found], 9), kind="stable")]
 
 
 def fill(lengths: list[int], ranked, window: int):
