@@ -244,6 +244,45 @@ def test_never_safe_when_broken(spark):
     assert all(r["verdict"] != "safe" for r in run(spark, cuts).collect())
 
 
+def test_files_over_the_limit(spark, tmp_path):
+    """Only their hashes and the daemon speak for files too large to hold; what neither knows is an issue."""
+    import socketserver
+    import threading
+
+    class Daemon(socketserver.StreamRequestHandler):
+        def handle(self):
+            self.rfile.read(10)
+            data = b""
+            while n := int.from_bytes(self.rfile.read(4), "big"):
+                data += self.rfile.read(n)
+            self.wfile.write(b"stream: " + (b"Fake.Sig FOUND" if b"BADMARK" in data else b"OK") + b"\0")
+
+    contents = {"bad": b"%PDF-1.4\n" + b"b" * 100_000, "bad5": b"c" * 9000, "fine": b"d" * 9000, "marked": b"e" * 90_000 + b"BADMARK", "other": b"f" * 9000}
+    for name, data in contents.items():
+        (tmp_path / "in" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    signatures = spark.createDataFrame([("sha256", hashlib.sha256(contents["bad"]).hexdigest(), "feed"), ("md5", hashlib.md5(contents["bad5"]).hexdigest(), "feed")], "algo string, hash string, source string")
+    allowed = spark.createDataFrame([("sha256", hashlib.sha256(contents["fine"]).hexdigest(), "ok")], "algo string, hash string, name string")
+    files = read_files(spark, [str(tmp_path / "in")], limit=1024)
+
+    def verdicts(**more):
+        config = Config(max_file_size=1024, **more)
+        return {os.path.basename(r["file"]): r for r in results(files, scan(files, config, signatures, None, allowed), config, 2).collect()}
+
+    got = verdicts()
+    assert {n: r["verdict"] for n, r in got.items()} == {"bad": "malicious", "bad5": "malicious", "fine": "safe", "marked": "error", "other": "error"}
+    for name, data in contents.items():
+        assert (got[name]["sha256"], got[name]["md5"], got[name]["size"]) == (hashlib.sha256(data).hexdigest(), hashlib.md5(data).hexdigest(), len(data))
+    assert got["bad"]["type"] == "pdf" and got["other"]["type"] == "text" and not got["bad"]["unscannable"] and "limit" in got["other"]["error"]
+    with socketserver.ThreadingUnixStreamServer(str(tmp_path / "clamd"), Daemon) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        got = verdicts(clamav="auto", clamav_address=str(tmp_path / "clamd"))
+        server.shutdown()
+    assert {n: r["verdict"] for n, r in got.items()} == {"bad": "malicious", "bad5": "malicious", "fine": "safe", "marked": "malicious", "other": "safe"}
+    gone = verdicts(clamav="auto", clamav_address=str(tmp_path / "gone"))
+    assert gone["other"]["verdict"] == "error" and gone["bad"]["verdict"] == "malicious"
+
+
 def test_files_on_disk(spark, tmp_path):
     (tmp_path / "_u").mkdir()
     for name, data in (("a.bin", b"x"), ("_u/b", b"y"), (".hid", b"z"), ("empty", b""), ("big", b"A" * 4096)):

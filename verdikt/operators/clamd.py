@@ -30,14 +30,24 @@ def connected(address: str, timeout: float) -> socket.socket:
     return socket.create_connection((host, int(port)), timeout)
 
 
-def asked(address: str, command: bytes, content: bytes | None = None, timeout: float = 60) -> str:
+def pieces(content: bytes | None, file: str | None = None):
+    """A content, or that of a file too large to hold, bit by bit."""
+    if content is not None:
+        for at in range(0, len(content), PIECE):
+            yield content[at : at + PIECE]
+    elif file is not None:
+        with open(file, "rb") as f:
+            while piece := f.read(PIECE):
+                yield piece
+
+
+def asked(address: str, command: bytes, content: bytes | None = None, timeout: float = 60, file: str | None = None) -> str:
     """The daemon's reply; it may come before all of the content was taken."""
     with connected(address, timeout) as link:
         try:
             link.sendall(b"z" + command + b"\0")
-            if content is not None:
-                for at in range(0, len(content), PIECE):
-                    piece = content[at : at + PIECE]
+            if content is not None or file is not None:
+                for piece in pieces(content, file):
                     link.sendall(struct.pack(">I", len(piece)) + piece)
                 link.sendall(b"\0\0\0\0")
         except (BrokenPipeError, ConnectionResetError):
@@ -64,17 +74,17 @@ def outcome(reply: str) -> tuple[str | None, str | None]:
 
 
 def scanned(objects: DataFrame, address: str, timeout: float = 60) -> DataFrame:
-    """(file_id, ord, signature, problem) of objects with content."""
+    """(file_id, ord, signature, problem) of objects with content, or with a ``file`` that holds it."""
     schema = pa.schema([("file_id", pa.int64()), ("ord", pa.list_(pa.int32())), ("signature", pa.string()), ("problem", pa.string())])
 
     def run(parts):
         for part in parts:
             for i in range(part.num_rows):
-                file_id, ord_, content = (part.column(c)[i].as_py() for c in ("file_id", "ord", "content"))
+                file_id, ord_, content, file = (part.column(c)[i].as_py() for c in ("file_id", "ord", "content", "file"))
                 try:
-                    signature, problem = outcome(asked(address, b"INSTREAM", content, timeout))
+                    signature, problem = outcome(asked(address, b"INSTREAM", content, timeout, file))
                 except (OSError, ValueError) as e:
                     signature, problem = None, f"ClamAV at {address or 'no address'} cannot be reached: {e}"
                 yield pa.RecordBatch.from_pylist([{"file_id": file_id, "ord": ord_, "signature": signature, "problem": problem}], schema=schema)
 
-    return objects.select("file_id", "ord", "content").mapInArrow(run, "file_id long, ord array<int>, signature string, problem string")
+    return objects.select("file_id", "ord", "content", "file").mapInArrow(run, "file_id long, ord array<int>, signature string, problem string")

@@ -24,9 +24,10 @@ from verdikt.operators import archives, clamd, documents, programs
 from verdikt.operators.inspect import inspected
 from verdikt.operators.rules import exploded
 from verdikt.operators.signatures import ARCHIVE, HEURISTIC, MATCH, SIGNATURE, looked_up
+from verdikt.sources.files import LARGE
 from verdikt.sources.scratch import Scratch
 
-OBJECTS = "file_id long, ord array<int>, path string, name string, depth int, content binary, decoded string, problem string"
+OBJECTS = f"file_id long, ord array<int>, path string, name string, depth int, content binary, decoded string, problem string, large {LARGE}"
 #: Types that ``dissect`` takes apart.
 PARSED = ("pe", "elf", "ole", "pdf", "unknown", *ARCHIVES)
 _PARTS = pa.schema(
@@ -48,7 +49,7 @@ PARTS = "names array<string>, macros string, pdf_body string, pdf_streams string
 
 
 def top_level(files: DataFrame) -> DataFrame:
-    """OBJECTS of files (file_id, name, content); an optional column ``problem`` says why a content is missing."""
+    """OBJECTS of files (file_id, name, content); optional columns say why a content is missing (``problem``) and what is known of one over the limit (``large``)."""
     has = set(files.columns)
     name = base_name(F.col("name"))
     return files.select(
@@ -60,6 +61,7 @@ def top_level(files: DataFrame) -> DataFrame:
         F.col("content").cast("binary").alias("content"),
         F.lit(None).cast("string").alias("decoded"),
         (F.col("problem") if "problem" in has else F.when(F.col("content").isNull(), "content could not be read")).alias("problem"),
+        (F.col("large") if "large" in has else F.lit(None).cast(LARGE)).alias("large"),
     )
 
 
@@ -139,25 +141,28 @@ def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None,
     objects, detections, issues, warnings = [], [], [], []
     level, depth, covered = scratch.save(top_level(files), "objects-0"), 0, None
     while True:
-        known = level.withColumns(hashes(F.col("content")))
+        known = level.withColumns({c: F.coalesce(h, F.col(f"large.{c}")) for c, h in hashes(F.col("content")).items()})
         known = looked_up(known, signatures, custom, allowed)
         closed = F.col("allowed") | F.col("hit").isNotNull() | F.col("content").isNull()
-        known = known.withColumn("kind", file_type(F.col("content"))).withColumn("closed", closed)
+        known = known.withColumn("kind", file_type(F.coalesce("content", "large.head"))).withColumn("closed", closed)
         known = scratch.save(known, f"known-{depth}")
         slim = known.select("file_id", "ord", "path", "depth", "size", "sha256", "md5", F.col("kind").alias("file_type"), "allowed")
         objects.append(slim)
         detections.append(known.where("hit is not null").select("file_id", "ord", "path", F.lit(0).alias("seq"), F.lit(SIGNATURE).alias("engine"), F.col("hit").alias("name"), F.lit(MATCH).alias("score")))
-        issues.append(known.where("problem is not null and not allowed").select("file_id", "ord", "path", F.lit(-1).alias("seq"), F.col("problem").alias("reason")))
 
         open_ = known.where("not closed")
         if depth == 0 and config.clamav != "off":
             # The daemon sees whole files and opens archives itself; its match counts beside the objects' sums, not in them.
-            seen = scratch.save(clamd.scanned(known.where("content is not null and not allowed"), config.clamav_address, config.clamav_timeout), "clamd").join(known.select("file_id", "ord", "path"), ["file_id", "ord"])
+            seen = scratch.save(clamd.scanned(known.where("(content is not null or large is not null and hit is null) and not allowed").withColumn("file", F.col("large.file")), config.clamav_address, config.clamav_timeout), "clamd").join(known.select("file_id", "ord", "path"), ["file_id", "ord"])
             beside = F.array(F.lit((1 << 31) - 1)).alias("ord")
             detections.append(seen.where("signature is not null").select("file_id", beside, "path", F.lit(0).alias("seq"), F.lit(clamd.ENGINE).alias("engine"), F.col("signature").alias("name"), F.lit(MATCH).alias("score")))
             notes = issues if config.clamav == "required" else warnings
             notes.append(seen.where("problem is not null").select("file_id", "ord", "path", F.lit(8000).alias("seq"), F.col("problem").alias("reason")))
             covered = seen.where("problem is null").select("file_id")
+        # Of a file too large to open, a hit or the daemon's answer says enough.
+        unseen = known.where("problem is not null and not allowed and (large is null or hit is null)")
+        unseen = unseen if covered is None else unseen.join(covered, "file_id", "left_anti")
+        issues.append(unseen.select("file_id", "ord", "path", F.lit(-1).alias("seq"), F.col("problem").alias("reason")))
         deep = depth >= config.max_archive_depth
         parsed = PARSED if not deep else tuple(k for k in PARSED if k not in ARCHIVES)
         apart = scratch.save(dissect(open_.where(F.col("kind").isin(*parsed)), config, password), f"apart-{depth}")
@@ -196,6 +201,7 @@ def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None,
             F.col("m.data").alias("content"),
             F.lit(None).cast("string").alias("decoded"),
             F.lit(None).cast("string").alias("problem"),
+            F.lit(None).cast(LARGE).alias("large"),
         )
         depth += 1
         level = scratch.save(inner, f"objects-{depth}")

@@ -3,7 +3,8 @@
 Spark's own binary source leaves out empty files and names that begin with a
 dot or an underscore, which a scan may not. The walk lists regular files on the
 driver (paths and sizes only); contents are read in tasks. A file that cannot
-be listed or read, or is over the size limit, is a row with a problem.
+be listed or read, or is over the size limit, is a row with a problem; one over
+the limit is read in pieces, and its row has hashes, size and head (``large``).
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-FILES = "file_id long, name string, content binary, problem string"
+#: What is known of a file too large to hold.
+LARGE = "struct<sha256:string,md5:string,size:bigint,head:binary,file:string>"
+FILES = f"file_id long, name string, content binary, problem string, large {LARGE}"
 #: Bytes read at a time of a file too large to hold.
 CHUNK = 1 << 20
+#: Bytes of such a file that its type is told from.
+HEAD = 64 << 10
 
 
 def walk(paths: Iterable[str]) -> Iterator[tuple[str, int, str | None]]:
@@ -56,25 +61,38 @@ def read_files(spark: SparkSession, paths: Iterable[str], limit: int, per_task:
     rows = [(i, p, n, problem) for i, (p, n, problem) in enumerate(walk(paths))]
     listed = spark.createDataFrame(rows, "file_id long, name string, size long, problem string")
     tasks = max(1, -(-sum(r[2] for r in rows) // per_task), -(-len(rows) // 10_000))
-    schema = pa.schema([("file_id", pa.int64()), ("name", pa.string()), ("content", pa.binary()), ("problem", pa.string())])
+    known = pa.struct([("sha256", pa.string()), ("md5", pa.string()), ("size", pa.int64()), ("head", pa.binary()), ("file", pa.string())])
+    schema = pa.schema([("file_id", pa.int64()), ("name", pa.string()), ("content", pa.binary()), ("problem", pa.string()), ("large", known)])
 
     def run(parts):
         for part in parts:
             for row in part.to_pylist():
-                content, problem = None, row["problem"]
-                if problem is None and row["size"] > limit:
-                    problem = f"file exceeds the size limit ({row['size']} bytes); only its hash was checked"
-                elif problem is None:
-                    try:
+                content, problem, large = None, row["problem"], None
+                try:
+                    if problem is None and row["size"] > limit:
+                        large = hashed(row["name"]) | {"file": row["name"]}
+                        problem = f"file exceeds the size limit ({row['size']} bytes); only its hash was checked"
+                    elif problem is None:
                         with open(row["name"], "rb") as f:
                             content = f.read()
-                    except OSError as e:
-                        problem = str(e)
-                yield pa.RecordBatch.from_pylist([{"file_id": row["file_id"], "name": row["name"], "content": content, "problem": problem}], schema=schema)
+                except OSError as e:
+                    problem = str(e)
+                yield pa.RecordBatch.from_pylist([{"file_id": row["file_id"], "name": row["name"], "content": content, "problem": problem, "large": large}], schema=schema)
 
     return listed.repartition(tasks, "file_id").mapInArrow(run, FILES)
 
 
+def hashed(path: str) -> dict:
+    """size, sha256, md5 and head of a file, read in pieces."""
+    one, two, size, head = hashlib.sha256(), hashlib.md5(), 0, b""
+    with open(path, "rb") as f:
+        while piece := f.read(CHUNK):
+            one.update(piece)
+            two.update(piece)
+            head, size = head or piece[:HEAD], size + len(piece)
+    return {"size": size, "sha256": one.hexdigest(), "md5": two.hexdigest(), "head": head}
+
+
 def hash_files(files: DataFrame) -> DataFrame:
     """(file_id, size, sha256, md5) of (file_id, name), read in pieces: for files too large to hold."""
     schema = pa.schema([("file_id", pa.int64()), ("size", pa.int64()), ("sha256", pa.string()), ("md5", pa.string())])
@@ -82,13 +100,8 @@ def hash_files(files: DataFrame) -> DataFrame:
     def run(parts):
         for part in parts:
             for row in part.to_pylist():
-                one, two, size = hashlib.sha256(), hashlib.md5(), 0
-                with open(row["name"], "rb") as f:
-                    while piece := f.read(CHUNK):
-                        one.update(piece)
-                        two.update(piece)
-                        size += len(piece)
-                yield pa.RecordBatch.from_pylist([{"file_id": row["file_id"], "size": size, "sha256": one.hexdigest(), "md5": two.hexdigest()}], schema=schema)
+                got = hashed(row["name"])
+                yield pa.RecordBatch.from_pylist([{"file_id": row["file_id"]} | {k: got[k] for k in ("size", "sha256", "md5")}], schema=schema)
 
     return files.select("file_id", "name").mapInArrow(run, "file_id long, size long, sha256 string, md5 string")
 
