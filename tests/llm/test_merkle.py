@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -54,6 +55,19 @@ def test_trees(spark):
     assert len(shared) >= len(nodes) - 1
 
 
+def test_likeness_inside_long_paragraphs(documents, spark):
+    """Edits inside one long clause, and repeated pieces, count by their length."""
+    words = ["".join(random.Random(i).choices("eeetttaaoooiiinnnssshhrrrddllcummfpygvb", k=6)) for i in range(900)]
+    long, other = " ".join(words[:600]), " ".join(words[600:] * 2)
+    got = {r["doc_id"]: r for r in M.digests(documents([(1, long), (2, other), (3, "x" * 60_000)])).collect()}
+    assert 0.7 < got[1]["near_edited"] < 0.8 and got[1]["near_next"] < 0.1
+    assert 0.7 < got[3]["near_edited"] < 1  # as long a text gives way only to as much as the next one has
+    rows = spark.createDataFrame([("x" * 6400, "x" * 4800 + other[:1600], "new words " + long, long)], "a string, b string, c string, d string")
+    prints = M.fingerprints(rows, {f"_{x}": x for x in "abcd"})
+    near = prints.select(M.likeness(F.col("_a"), F.col("_b")), M.likeness(F.col("_c"), F.col("_d"))).first()
+    assert 0.8 < near[0] < 0.9 and 0.98 < near[1] < 1  # of 12,800 characters 1,600 have no match
+
+
 def test_no_python_on_the_main_path(documents):
     plan = M.digests(documents(["a", "b"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
