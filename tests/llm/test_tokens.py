@@ -30,11 +30,30 @@ def test_units_equal_whole_texts(memory):
     texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 14))) for _ in range(6000)] + ["", "x" * 3000, " ", "a\n", "\na"]
     whole = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
     for encoder in (bpe.file_encoder(FILE), bpe.rank_encoder(RANKS, P.PATTERN)):
-        encoder = UnitEncoder(encoder._all, memory)
+        encoder = UnitEncoder(encoder._all, encoder._piece, memory)
         got = [np.frombuffer(raw, "<u4").tolist() for at in range(0, len(texts), 100) for raw in encoder.encode(texts[at : at + 100])]
         assert got == whole
 
 
+@pytest.mark.parametrize("n", [4095, 4096, 4097, 9000])
+def test_runs_of_white_space_equal_whole_texts(n):
+    """About the length from which runs are cut out; the separator 0x1C is no white space to the patterns."""
+    runs = [" " * n, "\n" * n, " \n" * n, "\u00a0\u2003" * n, "\t" * n + " ", " " * n + "\x1c" + " " * n]
+    texts = [before + run + after for run in runs for before in ("", "a", "漢 ") for after in ("", "b", "'s", "é  ", "\x1c", " !" + run + "x")]
+    whole = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    for encoder in (bpe.file_encoder(FILE), bpe.rank_encoder(RANKS, P.PATTERN)):
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(texts)] == whole
+
+
+def test_two_million_characters_of_one_class(documents):
+    n = 2_000_000
+    runs = [" " * n, "\n" * n, "\t" * n, "\u3000" * n, " \r\n" * (n // 3) + "end", "漢" * n, "x" * n, "5" * n, "!" * n, "'" * n, "漢a1!" * (n // 4), "a " * (n // 2)]
+    rows = {r["doc_id"]: r for r in bpe.digests(documents(runs, parts=4), RANKS, P.PATTERN).collect()}
+    assert all(rows[i]["exact"] and rows[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(runs))
+    encoder = bpe.file_encoder(FILE)
+    assert [len(encoder.encode([t])[0]) // 4 for t in runs] == [rows[i]["n_tokens"] for i in range(len(runs))]
+
+
 def test_codec(spark, awkward):
     encoding = bpe.rank_encoding(RANKS, P.PATTERN)
     assert isinstance(encoding, tiktoken.Encoding)

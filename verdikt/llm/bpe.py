@@ -1,10 +1,14 @@
 """Byte-level BPE: encoding with a local rank file or tokenizer file, and decoding.
 
-``UnitEncoder`` cuts long texts at boundaries that no pre-token crosses, so a
-text of any length is handed to the library in short pieces. All ids come from
-the named library. Workers read the vocabulary file themselves, once each.
-
-Null text counts as empty and has no ids. Repeated rows each get their own row.
+``UnitEncoder`` cuts texts at boundaries that no pre-token crosses, so what the
+library gets at once is no longer than the longest pre-token, or stretch without
+a lone space, of the text. All ids come from the named library. Workers read the
+vocabulary file themselves, once each.
+
+Null text counts as empty and has no ids. A text may be very long, in one run of
+any character too. Repeated rows, and rows with equal or null ids, each get their
+own row; an empty table gives no rows; columns other than doc_id and text (or
+ids) are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from verdikt.llm.common import batches, texts
 from verdikt.llm.units import UnitEncoder
 
 
+#: A pattern that takes a whole text for one pre-token.
+WHOLE = r"[\s\S]+"
+
+
 @functools.cache
 def rank_encoding(path: str, pattern: str):
     """The tiktoken encoding of a rank file: base64 token and rank on each line."""
@@ -35,21 +43,33 @@ def rank_encoding(path: str, pattern: str):
 @functools.cache
 def rank_encoder(path: str, pattern: str) -> UnitEncoder:
     encode = rank_encoding(path, pattern).encode_ordinary
-    return UnitEncoder(lambda units: [np.array(encode(u), "<u4") for u in units])
+    return UnitEncoder(lambda units: [np.array(encode(u), "<u4") for u in units], lambda piece: np.array(rank_encoding(path, WHOLE).encode_ordinary(piece), "<u4"))
 
 
 @functools.cache
 def file_encoder(path: str) -> UnitEncoder:
     """The encoder of a ``tokenizers`` file; special tokens' strings are ordinary text."""
+    encode = file_tokenizer(path).encode_batch_fast
+    return UnitEncoder(
+        lambda units: [np.array(e.ids, "<u4") for e in encode(list(units), add_special_tokens=False)],
+        lambda piece: np.array(file_tokenizer(path, whole=True).encode(piece, add_special_tokens=False).ids, "<u4"),
+    )
+
+
+@functools.cache
+def file_tokenizer(path: str, whole: bool = False):
+    """The tokenizer of a file; ``whole``: it takes each text for one pre-token."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    encode = tokenizer.encode_batch_fast
-    return UnitEncoder(lambda units: [np.array(e.ids, "<u4") for e in encode(list(units), add_special_tokens=False)])
+    if whole:
+        tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    return tokenizer
 
 
 def slices(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[str]]]:

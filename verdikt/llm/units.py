@@ -6,8 +6,14 @@ therefore be cut before every single space that stands between two non-space
 characters, and the ids of the text are the ids of its units in order. A lone
 line break between two such characters is a pre-token of its own, and so is a
 run of plain punctuation after letters. Natural text repeats its units and their
-parts, so a bounded memory of their ids spares the tokeniser most of its work. Where a piece touches other white space the cut would not be
-safe, and neighbouring pieces stay together.
+parts, so a bounded memory of their ids spares the tokeniser most of its work.
+Where a piece touches other white space the cut would not be safe, and
+neighbouring pieces stay together.
+
+A run of white space is one pre-token but for its last character, which goes
+with what follows it, and at a text's end it is one whole. Runs of ``LONG_RUN``
+characters or more, which a library's pattern may not have the stack for, are
+cut out by that rule and encoded as the single pre-tokens that they are.
 """
 
 from __future__ import annotations
@@ -23,6 +29,10 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 MEMORY = 700_000
 #: A unit over this many characters is tokenised anew each time.
 LONGEST_KEPT = 200
+#: White space as Unicode has it, and as the pre-tokenisers' patterns do: without the four separators 0x1C to 0x1F.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 4096
+_LONG = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 #: Punctuation that parts from letters before it; apostrophes are not among it.
 SUFFIX = ".,!?;:#$%&*|"
 
@@ -40,12 +50,13 @@ class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     ``encode_all`` tokenises a list of strings and returns an array of ids for
-    each. Units without inner white space are handed to it many to a string,
-    parted by line breaks, which are pre-tokens of their own there.
+    each, ``encode_piece`` one string without pre-tokenising it. Units without
+    inner white space are handed over many to a string, parted by line breaks,
+    which are pre-tokens of their own there.
     """
 
-    def __init__(self, encode_all: Callable[[Sequence[str]], list[np.ndarray]], memory: int = MEMORY):
-        self._all, self._memory = encode_all, memory
+    def __init__(self, encode_all: Callable[[Sequence[str]], list[np.ndarray]], encode_piece: Callable[[str], np.ndarray], memory: int = MEMORY):
+        self._all, self._piece, self._memory = encode_all, encode_piece, memory
         self._after: dict[str, bytes] = {}  # piece -> ids of " " + piece
         self._bare: dict[str, bytes] = {}  # words after line breaks, and punctuation -> ids
         self._break = encode_all(["\n"])[0]
@@ -93,6 +104,21 @@ class UnitEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text; equal to tokenising the whole text at once."""
+        blank = {i: runs for i, text in enumerate(texts) if len(text) >= LONG_RUN and (runs := [m.span() for m in _LONG.finditer(text)])}
+        if not blank:
+            return self._cut(texts)
+        out = self._cut(["" if i in blank else text for i, text in enumerate(texts)])
+        for i, runs in blank.items():
+            text, done, ids = texts[i], 0, []
+            for start, end in runs:
+                end -= end < len(text)
+                ids += [*self._cut([text[done:start]]), self._piece(text[start:end]).tobytes()]
+                done = end
+            out[i] = b"".join([*ids, *self._cut([text[done:]])])
+        return out
+
+    def _cut(self, texts: Sequence[str]) -> list[bytes]:
+        """As encode, for texts without long runs of white space."""
         known = self._after
         cut = [text.split(" ") for text in texts]
         heads = [pieces.pop(0) for pieces in cut]
