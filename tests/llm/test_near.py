@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import same
+from pyspark.sql import functions as F
 
 from verdikt.llm import ego, minhash
 from verdikt.llm.components import components
@@ -109,27 +110,55 @@ def test_embeddings_query(spark):
     folder = "/root/testdata/sf0.001"
     same(QUERIES["op7_ego_embeddings"](spark, folder), folder, ORACLES["op7_ego_embeddings"])
 
-
-def test_grid_join(spark, scratch, monkeypatch):
-    """Clusters, copies, scaled copies and unusable vectors, with intervals small enough to recurse."""
-    monkeypatch.setattr(ego, "INTERVAL", 16)
-    monkeypatch.setattr(ego, "LEAF", 4)
-    monkeypatch.setattr(ego, "FAN", 3)
+def brute_links(vectors):
+    """(links of each usable vector, union of what is linked), length by length."""
+    count, union = {}, Union()
+    usable = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)]
+    for size in {len(vectors[i]) for i in usable}:
+        some = [i for i in usable if len(vectors[i]) == size]
+        x = np.array([vectors[i] for i in some], np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links = x @ x.T >= 0.95
+        for a, b in zip(*np.nonzero(links)):
+            union.join(some[a], some[b])
+        count.update(zip(some, links.sum(axis=1) - 1))
+    return count, union
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_grid_join(spark, scratch, monkeypatch, kind):
+    """Clusters, copies, scaled copies, other lengths and unusable vectors, with intervals small enough to recurse."""
+    for name, value in {"INTERVAL": 16, "LEAF": 4, "FAN": 3, "STRIP_INTERVALS": 5}.items():
+        monkeypatch.setattr(ego, name, value)
     rng = np.random.default_rng(1)
     vectors = [v.tolist() for c in rng.normal(0, 1, (12, 8)) for v in c + rng.normal(0, 0.12, (15, 8))]
     vectors += [vectors[0]] * 6 + [[2 * x for x in vectors[1]], [-x for x in vectors[1]], [0.0] * 8, [1.0, None] * 4, [float("nan")] * 8, [float("inf")] * 8, [], None, [1.0] * 5, [1e-38] * 8, [1e38] * 8]
-    rows = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int, raw string").repartition(5)
+    vectors += [[1.0, 0.01], [1.0, 0.0], [3.0], [1.0], [-2.0], [1.0, 0.02], *[v.tolist() for v in rng.normal(1, 0.3, (30, 9))], [1.0] * 100, [1.0] * 99 + [1.1], [1.0, *[0.0] * 7, 0.0]]
+    if kind == "double":
+        vectors += [[1e300] * 8, [1e-300] * 8, [5e-324, 0.0, 0.0], [1.0, 0.0, 0.0], [1e-60, 1e-60, 0.0], [1e200, 1e200, 0.0], [1 + 1e-12, 1.0], [1.0, 1.0]]
+    else:
+        vectors = [v and [x if x is None else float(np.float32(x)) for x in v] for v in vectors]
+    rows = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>, size int, raw string").repartition(5)
     rows = rows.unionByName(spark.createDataFrame([(None, vectors[0], 1, "x")], rows.schema))
-    usable = [i for i, v in enumerate(vectors) if v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.array([vectors[i] for i in usable], np.float32).astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links, union = x @ x.T >= 0.95, Union()
-    for a, b in zip(*np.nonzero(links)):
-        union.join(usable[a], usable[b])
+    count, union = brute_links(vectors)
     got = {r["vec_id"]: r for r in ego.linked(rows, scratch()).collect()}
     assert len(got) == len(vectors) + 1 and got[None]["n_links"] == 0 and got[None]["kept"]
-    count = dict(zip(usable, links.sum(axis=1) - 1))
     for i in range(len(vectors)):
         assert (got[i]["n_links"], got[i]["component_id"]) == (count.get(i, 0), union.find(i)), i
     assert ego.linked(rows.limit(0), scratch()).count() == 0
+
+
+def test_a_vector_is_sent_to_few_tasks(spark, scratch):
+    """However little the boxes can tell apart, an interval goes to at most STRIPS groups, not to one for each partner."""
+    rng = np.random.default_rng(5)
+    grid = ego.Axes("<f4", np.eye(16))
+    rows = [(i, rng.normal(0, 1, 16).astype("<f4").tobytes()) for i in range(2000)]
+    classes = spark.createDataFrame(rows, "rep long, raw binary").selectExpr("rep", "1L as weight", "16 as size", "raw")
+    cut = ego.ordered(classes, grid, ego.epsilon(0.95), 1).toPandas()
+    assert cut["ids"].map(len).sum() == 2000 and len(cut) == 1
+    nodes = spark.range(64).selectExpr("id as node", "array(id) as ids", "array(1L) as weights").withColumn("raw", F.lit(np.ones(16, "<f4").tobytes()))
+    pairs = spark.range(64).selectExpr("id as a").crossJoin(spark.range(64).selectExpr("id as b")).where("a <= b")
+    out = ego.joined(pairs, nodes, 8, grid, 0.95)
+    tasks = out.where("n is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("tasks"), F.sum("n").alias("n")).collect()
+    assert len(tasks) == 64 and all(r["tasks"] == 8 and r["n"] == 63 for r in tasks)
