@@ -3,11 +3,15 @@ import random
 
 import pytest
 
+from oracle import same
 from pyspark.sql import functions as F
+
 from verdikt.llm import merkle as M
+from verdikt.llm.queries import ORACLES, QUERIES
 
 
 def brute(docs):
+    """(id, text) -> its edited texts; ids are distinct."""
     rows = sorted(((k is not None, k or 0), t or "") for k, t in docs)
     out = {}
     for i, (key, text) in enumerate(rows):
@@ -20,7 +24,7 @@ def brute(docs):
 def test_edits_and_pairing(awkward, few, block, monkeypatch):
     monkeypatch.setattr(M, "FEW", few)
     monkeypatch.setattr(M, "BLOCK", block)
-    docs = awkward
+    docs = awkward  # its one repeated id has equal texts
     expected = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = M.digests(docs).collect()
     want = sorted((str(k), hashlib.sha256(e.encode()).hexdigest()) for (k, _), es in expected.items() for e in es)
@@ -28,6 +32,22 @@ def test_edits_and_pairing(awkward, few, block, monkeypatch):
     assert sum(r["n_chars"] for r in got) == sum(len(r["text"] or "") for r in docs.collect())
 
 
+@pytest.mark.parametrize("big", [4096, 6])
+def test_hot_ids_are_cut(spark, monkeypatch, big):
+    """Many rows without an id or of one id, identical ones too: each row has one follower, each is one's, in order of the ids."""
+    for name, value in {"BIG": big, "RUN": 4, "BLOCK": 8, "FEW": 3}.items():
+        monkeypatch.setattr(M, name, value)
+    rows = [(None, f"none {i}") for i in range(20)] + [(9, f"nine {i % 3}") for i in range(30)] + [(10, "ten")] * 25 + [(k, f"other {k}") for k in (-40, 8, 11, 12, 70, 71, 10**12)]
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = [(r["doc_id"], r["text"], r["next_text"]) for r in M.with_next(docs).collect()]
+    assert sorted(map(str, ((k, t) for k, t, _ in pairs))) == sorted(map(str, rows))
+    assert sorted(n for _, _, n in pairs) == sorted(t for _, t in rows)
+    ids, of = sorted({-(10**6) if k is None else k for k, _ in rows}), {t: -(10**6) if k is None else k for k, t in rows}
+    steps = [(of[t], of[n]) for _, t, n in pairs]
+    assert sorted(s for s in steps if s[0] != s[1]) == sorted(zip(ids, [*ids[1:], ids[0]]))
+
+
 def test_sparse_and_single_ids(documents):
     for ids in ([7], [-5, 10**12, 3, 4, 10**15], list(range(0, 4000, 137))):
         docs = documents([(i, f"text {i}\nmore") for i in ids])
@@ -71,3 +91,14 @@ def test_likeness_inside_long_paragraphs(documents, spark):
 def test_no_python_on_the_main_path(documents):
     plan = M.digests(documents(["a", "b"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_digests_equal_their_sql(spark, small):
+    """All columns, likeness too, against the same in DuckDB, which compares pieces themselves, not hashes."""
+    same(QUERIES["op4_merkle"](spark, small), small, ORACLES["op4_merkle"])
+
+
+def test_texts_are_shuffled_once(documents):
+    plan = M.digests(documents([(i, f"text {i}") for i in range(50)]))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(block" in line and "REPARTITION" in line]
+    assert len(exchanges) <= 2  # the dealt texts, and the same again for the groups' first texts

@@ -77,6 +77,11 @@ def test_near_duplicates(documents, scratch, monkeypatch, block):
     assert len(set(expected.values())) < len(expected) - 35
 
 
+def test_near_duplicates_query(spark):
+    folder = "/root/testdata/sf0.001"
+    same(QUERIES["op6_minhash_dedup"](spark, folder), folder, ORACLES["op6_minhash_dedup"])
+
+
 def test_dedup_keeps_one(documents, scratch, awkward):
     docs = documents(["one two three four five six"] * 3 + ["else"] + [None, None])
     assert sorted(r["doc_id"] for r in minhash.deduplicate(docs, scratch()).collect()) == [0, 3, 4, 5]

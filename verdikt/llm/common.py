@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verdikt.sources.scratch import Scratch
 
-__all__ = ["Scratch", "batches", "hash_sample", "labelled_sample", "partitions", "table", "texts", "train_row"]
+__all__ = ["Scratch", "batches", "for_splits", "hash_sample", "labelled_sample", "table", "tasks", "texts", "train_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tasks(scanned: DataFrame) -> int:
+    """Tasks for a shuffle of all of a table that is read from files: its splits, which follow its bytes, or the session's number if that is greater."""
+    last = scanned.select(F.spark_partition_id().alias("split")).agg(F.max("split")).first()[0]  # reads no column
+    return for_splits(scanned.sparkSession, 0 if last is None else last + 1)
+
+
+def for_splits(spark: SparkSession, splits: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * splits)
 
 
 def texts(df: DataFrame, *keep: str) -> DataFrame:

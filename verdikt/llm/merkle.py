@@ -19,13 +19,15 @@ global sort: ids are dealt into blocks of ``BLOCK`` consecutive values, so one
 shuffle and a window inside the block give all followers but those of blocks'
 last rows; these meet the first row of the next block that has any, which is
 found by the same step over the blocks' numbers, level by level, until the
-numbers that are left are few.
+numbers that are left are few. A block of more rows than ``BIG``, or a share of
+all that bounds the number of such blocks, has ids that repeat: of its identical
+rows one stands for all and the others follow each other, and each id's rows are
+cut by a hash of the text, so that no id's rows have to meet in one task.
 
 Null text is an empty text: no paragraphs, no pieces, a root of its own; two
 empty texts are alike (1), an empty and another are not (0). A null id precedes
-all others. Rows with the same id follow each other by text, and identical rows
-by chance, which makes no difference. An empty table gives no rows; other
-columns are ignored.
+all others. Rows with the same id follow each other by a hash of their texts, and
+identical rows each other. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +35,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdikt.llm.common import for_splits
+
 #: Consecutive ids that share a block of the pairing; a level of this few block numbers is ordered at once.
 BLOCK, FEW = 32, 4096
+#: Rows from which a block is cut, blocks that are at most, copies of a row that are made at once.
+BIG, BIG_BLOCKS, RUN = 4096, 10_000, 4096
 #: One paragraph in so many ends a section.
 SECTION = 8
 #: Characters that end a piece, about one in 17 of Western texts: rarer letters, two digits, marks, parts of the Han block.
 ENDS = r"gkqxzjvbGKQXZJVB07.,;:!?|\u3001\u3002\u5000-\u50ff\u6000-\u60ff\u7000-\u70ff"
 LONGEST = 64
-_PIECE = rf"[^{ENDS}]{{0,{LONGEST - 1}}}[{ENDS}]|[^{ENDS}]{{1,{LONGEST}}}"
+PIECE = rf"[^{ENDS}]{{0,{LONGEST - 1}}}[{ENDS}]|[^{ENDS}]{{1,{LONGEST}}}"
 #: Low bits of a piece's hash, in which its length stands.
 _LENGTH = 127
 
@@ -57,7 +63,7 @@ def paragraphs(lines: Column) -> Column:
 def pieces(lines: Column) -> Column:
     """Of each line, its pieces: 57 bits of a hash and 7 of the length."""
     numbered = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.char_length(p).cast("long"))
-    return F.transform(lines, lambda line: F.transform(F.regexp_extract_all(line, F.lit(_PIECE), F.lit(0)), numbered))
+    return F.transform(lines, lambda line: F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), numbered))
 
 
 def section_ends(leaves: Column) -> Column:
@@ -151,22 +157,39 @@ def following(keys: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row (doc_id, text) with next_text: that of the next row by id, of the first for the last."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # A null id stands before all others, in a block of its own.
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(1 << 62))))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    inside = Window.partitionBy("block").orderBy(*order)
-    placed = rows.repartition(n, "block").withColumns({"next_text": F.lead("text").over(inside), "at": F.row_number().over(inside)})
-
-    blocks = rows.select(F.col("block").alias("key")).distinct()
-    after = following(blocks)
-    lowest = blocks.agg(F.min("key")).first()[0]
-    after = after.select(F.col("key").alias("block"), F.coalesce("next_key", F.lit(lowest)).alias("next_block"))
-    first = placed.where("at = 1").select(F.col("block").alias("next_block"), F.col("text").alias("halo"))
-    last = placed.where("next_text is null").select("doc_id", "text", "block")
-    halo = last.join(after, "block").join(first, "next_block").select("doc_id", "text", F.col("halo").alias("next_text"))
-    return placed.where("next_text is not null").select("doc_id", "text", "next_text").unionByName(halo)
+    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(1 << 62))).alias("block")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), block)
+    counts = rows.select("block", F.spark_partition_id().alias("split")).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("split").alias("split"))
+    total, lowest, split = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("block"), F.coalesce(F.max("split"), F.lit(0))).first()
+    tasks = for_splits(docs.sparkSession, split + 1)
+    big = counts.where(F.col("n") > max(BIG, total // BIG_BLOCKS)).select("block", F.ceil(F.log2(F.col("n") / RUN)).cast("int").alias("bits"))
+    rows, group = rows.withColumns({"id": F.lit(0).cast("long"), "run": F.lit(0).cast("long")}), ["block", "id", "run"]
+    copies = None
+    if big.head(1):
+        few = F.broadcast(big)  # at most BIG_BLOCKS rows
+        single = rows.join(few, "block").groupBy("block", "bits", "doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+        cut = F.expr("shiftright(xxhash64(text), 64 - greatest(bits, 1))")
+        rows = rows.join(few, "block", "left_anti").unionByName(single.select("doc_id", "text", "block", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), cut.alias("run")))
+        more = single.where("n > 1").select("doc_id", "text", "n", F.explode(F.expr(f"sequence(0, (n - 2) div {RUN})")).alias("at")).repartition(tasks)
+        copies = more.select("doc_id", "text", F.col("text").alias("next_text"), F.explode(F.expr(f"sequence(1, least({RUN}, n - 1 - at * {RUN}))"))).drop("col")
+
+    # Each group and the one before it; blocks that are not cut have one group.
+    after = following(rows.select(F.col("block").alias("key")).distinct()).select(F.col("key").alias("block"), F.coalesce("next_key", F.lit(lowest)).alias("then"))
+    inside = Window.partitionBy("block").orderBy("id", "run")
+    placed = rows.select(*group).distinct().withColumns({"at": F.row_number().over(inside), "next": F.lead(F.struct("id", "run")).over(inside)})
+    heads = placed.where("at = 1").select(F.col("block").alias("then"), F.struct("id", "run").alias("head"))
+    follows = placed.join(after, "block").join(heads, "then")
+    next_ = F.coalesce("next", "head")
+    before = follows.select(F.when(F.col("next").isNull(), F.col("then")).otherwise(F.col("block")).alias("block"), next_["id"].alias("id"), next_["run"].alias("run"), F.struct(*group).alias("to"))
+
+    # The texts are shuffled once. Of each group the first goes to the group before it.
+    dealt = rows.repartition(tasks, *group)
+    first = dealt.groupBy(*group).agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"), "text")).alias("halo"))
+    halo = first.join(before, group).select("to.*", "halo")
+    order = Window.partitionBy(*group).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    out = dealt.withColumn("next_text", F.lead("text").over(order)).join(halo, group).select("doc_id", "text", F.coalesce("next_text", "halo").alias("next_text"))
+    return out if copies is None else out.unionByName(copies)
 
 
 def edited(text: Column, after: Column) -> Column:

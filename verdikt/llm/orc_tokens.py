@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm.bpe import file_encoder, slices
-from verdikt.llm.common import partitions, texts
+from verdikt.llm.common import tasks, texts
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, ahead long, part int"
 #: Rows between two entries of the row index, bytes of a stripe, false positives of the Bloom filter.
@@ -49,10 +49,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 ahead += int(cuts[-1])
 
-    n = partitions(docs.sparkSession)
     keyed = texts(docs, "doc_id").withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text")]
-    ranged = keyed.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    ranged = keyed.repartitionByRange(tasks(docs), *order[:2]).sortWithinPartitions(*order)
     ids = ranged.select("doc_id", "text").mapInArrow(run, SCHEMA)
     (
         ids.write.mode("overwrite").option("orc.compress", "SNAPPY").option("orc.stripe.size", STRIPE)
@@ -94,6 +93,6 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ahead"), part.column("part"), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())], schema=schema)
 
     rows = read(spark, path).select("doc_id", "ids", "ahead", "part").mapInArrow(run, "doc_id long, ahead long, part int, n_tokens long, ids_crc32 long")
-    # One row for each file: its number is bounded by the shuffle partitions of write().
+    # One row for each file: its number is that of write()'s tasks.
     joined = rows.join(F.broadcast(starts(spark, path)), "part")
     return joined.select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")

@@ -84,6 +84,47 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1 LEFT JOIN found w ON w.page_id = p.page_id"""
 
 
+def _op4_sql() -> str:
+    """The tree and its pieces, spelled out row by row. ``near`` holds pieces against pieces, not hashes of them."""
+    piece = merkle.PIECE.replace("\\u", "\\x").replace("\\x3001\\x3002", "\\x{3001}\\x{3002}")
+    for bound in ("5000", "50ff", "6000", "60ff", "7000", "70ff"):
+        piece = piece.replace(f"\\x{bound}", f"\\x{{{bound}}}")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n FROM documents),
+pairs AS (SELECT d.doc_id, d.k, d.text AS a, left(d.text, length(d.text) - length(d.text) // 4) || left(e.text, length(d.text) // 4) AS b, e.text AS c
+  FROM d JOIN d e ON e.k = d.k % d.n + 1),
+texts AS (SELECT k, x, t FROM pairs, LATERAL (VALUES ('a', a), ('b', b), ('c', c)) v(x, t)),
+lines AS (SELECT k, x, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM texts WHERE t <> ''),
+leaves AS (SELECT *, sha256(line) AS leaf FROM lines),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN strpos('08192a3b4c5d6e7f', left(leaf, 1)) <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY k, x ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM leaves),
+sections AS (SELECT k, x, s, sha256(string_agg(leaf, '' ORDER BY i)) AS node, string_agg(left(leaf, 16), '' ORDER BY i) AS short FROM numbered GROUP BY ALL),
+prints AS (SELECT t.k, t.x, sha256(coalesce(p.nodes, '')) AS root, p.short, length(replace(t.t, chr(10), '')) AS size FROM texts t
+  LEFT JOIN (SELECT k, x, string_agg(node, '' ORDER BY s) AS nodes, string_agg(left(node, 16) || ':' || short, '/' ORDER BY s) AS short FROM sections GROUP BY ALL) p USING (k, x)),
+pieces AS (SELECT k, x, node, unnest(regexp_extract_all(line, '{piece}')) AS piece FROM numbered JOIN sections USING (k, x, s)),
+sides AS (SELECT v.* FROM (VALUES ('b', 'a', 'b'), ('b', 'b', 'a'), ('c', 'a', 'c'), ('c', 'c', 'a')) v(pair, mine, other)),
+loose AS (SELECT sides.pair, sides.mine, p.k, p.piece FROM pieces p JOIN sides ON p.x = sides.mine WHERE NOT EXISTS (SELECT 1 FROM sections s WHERE s.k = p.k AND s.x = sides.other AND s.node = p.node)),
+missed AS (SELECT l.k, l.pair, sum(length(l.piece)) AS n FROM loose l WHERE NOT EXISTS (SELECT 1 FROM loose m WHERE m.k = l.k AND m.pair = l.pair AND m.mine <> l.mine AND m.piece = l.piece) GROUP BY ALL),
+near AS (SELECT p.k, q.x AS pair, p.size + q.size AS total, CASE WHEN p.root = q.root THEN 1.0 WHEN p.size + q.size = 0 THEN 0.0
+  ELSE least((p.size + q.size - coalesce(m.n, 0))::DOUBLE / (p.size + q.size), (p.size + q.size)::DOUBLE / (p.size + q.size + 1)) END::DOUBLE AS near
+  FROM prints p JOIN prints q ON p.k = q.k AND p.x = 'a' AND q.x <> 'a' LEFT JOIN missed m ON m.k = p.k AND m.pair = q.x)
+SELECT o.doc_id, length(o.a) AS n_chars, sha256(o.b) AS edited_sha256, concat_ws('/', p.root, p.short) AS fingerprint, concat_ws('/', q.root, q.short) AS edited_fingerprint, y.near AS near_edited, z.near AS near_next
+FROM pairs o JOIN prints p ON p.k = o.k AND p.x = 'a' JOIN prints q ON q.k = o.k AND q.x = 'b' JOIN near y ON y.k = o.k AND y.pair = 'b' JOIN near z ON z.k = o.k AND z.pair = 'c'"""
+
+
+def _op6_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - {minhash.SHINGLE - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {minhash.SHINGLE - 1}], ' ')) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared.n >= {minhash.LIMIT} * (p.n + q.n - shared.n)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, s.b FROM reach r JOIN steps s ON s.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept FROM documents d JOIN least l USING (doc_id) LEFT JOIN sizes s USING (doc_id)"""
+
+
 def _op7_sql() -> str:
     return f"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS q
@@ -110,4 +151,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bm25_packing": op10_bm25_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op7_ego_embeddings": _op7_sql()}
+ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql()}
