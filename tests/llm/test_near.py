@@ -77,6 +77,39 @@ def test_near_duplicates(documents, scratch, monkeypatch, block):
     assert len(set(expected.values())) < len(expected) - 35
 
 
+@pytest.mark.parametrize("block", [512, 100])
+def test_a_template_below_the_limit_emits_no_pairs(spark, documents, scratch, monkeypatch, block):
+    """2,000 documents of pairwise similarity about 0.65 share buckets but not links; what leaves the tasks grows with the documents."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    template = [word() for _ in range(80)]
+    docs = documents([(i, " ".join([*template, *(word() for _ in range(17))])) for i in range(2000)])
+    seen = {}
+    for name in ("candidates", "confirmed"):
+        monkeypatch.setattr(minhash, name, lambda *a, f=getattr(minhash, name), name=name: seen.setdefault(name, f(*a).cache()))
+    rows = minhash.linked(docs, scratch()).collect()
+    assert all(r["kept"] for r in rows) and len(rows) == 2000
+    held = seen["candidates"]
+    blocks = held.select("key").distinct().count() * -(-2000 // block)
+    assert held.count() > 2000 and held.count() <= 2000 * blocks and "partners" not in held.columns and seen["confirmed"].count() == 0
+    assert [f.dataType.typeName() for f in held.schema] == ["long", "integer", "integer", "integer", "long", "long", "long", "array", "binary"]
+
+
+def test_a_clique_comes_out_as_a_forest(spark):
+    """Of the links among documents of one pair of blocks a task gives one less than there are documents in each component."""
+    texts = [f"one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen end{i % 3}" for i in range(60)] + ["something else altogether here now " + str(i) * 3 for i in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sketched = minhash.sketched(docs).where("n > 0")
+    held = sketched.select(F.element_at("bands", 1).alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("mine"), "doc_id", "n", F.col("doc_id").alias("root"), F.transform("bands", lambda b: b * 0 + F.xxhash64("doc_id")).alias("bands"), "sketch")
+    held = held.withColumn("key", F.lit(1).cast("long")).withColumn("bands", F.concat(F.array(F.lit(1).cast("long")), F.slice("bands", 2, 31)))
+    edges = minhash.confirmed(held, docs).collect()
+    union = Union()
+    for a, b in edges:
+        union.join(a, b)
+    assert len(edges) == 59 and len({union.find(i) for i in range(60)}) == 1
+
+
 def test_near_duplicates_query(spark):
     folder = "/root/testdata/sf0.001"
     same(QUERIES["op6_minhash_dedup"](spark, folder), folder, ORACLES["op6_minhash_dedup"])

@@ -22,10 +22,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Edges may be repeated, reversed or loops; null ends are dropped. An empty
     table gives no rows.
     """
-    count = iter(range(1_000_000))
+    saved: list[str] = []
 
     def save(df: DataFrame, what: str) -> DataFrame:
-        return scratch.save(df, f"{name}-{what}-{next(count)}")
+        saved.append(f"{name}-{what}-{len(saved)}")
+        return scratch.save(df, saved[-1])
 
     def empty(df: DataFrame) -> bool:
         return not df.head(1)
@@ -53,4 +54,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     if labels is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
     roots = labels.select(F.col("root").alias("a")).distinct().withColumn("root", F.col("a"))
-    return save(labels.unionByName(roots), "labels").withColumnRenamed("a", "id")
+    found = save(labels.unionByName(roots), "labels")
+    for table in saved[:-1]:
+        scratch.drop(table)
+    return found.withColumnRenamed("a", "id")

@@ -333,6 +333,8 @@ def linked(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -> Data
     edges = links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     edges = edges.unionByName(copies.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     labels = components(edges, scratch, "ego")
+    for table in ("valid", "classes", "cut", "intervals"):
+        scratch.drop(table)
     counts = links.where("n is not null").groupBy("rep").agg(F.sum("n").alias("n"))
     known = copies.join(counts, "rep", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).exceptAll(known.select("vec_id")).withColumn("n_links", F.lit(0).cast("long"))

@@ -11,10 +11,13 @@
    union), and the links' components are found.
 4. A bucket whose members are now in one component can add nothing. In each of
    the others all pairs from different components are compared by sketch, block
-   against block of about ``BLOCK`` members, so that a bucket of any size is
-   dealt out and nothing is dropped. Where sketches agree in ``AGREE``
-   coordinates or more (five standard deviations under the limit), the texts of
-   the two blocks meet in one task, which verifies the pairs on full sets.
+   against block of about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles, so
+   that a bucket of any size is dealt out and nothing is dropped. Where sketches
+   agree in ``AGREE`` coordinates or more (five standard deviations under the
+   limit), the pair has to be verified. No pairs leave these tasks: the members
+   that have a partner go on with their texts to a task for the two blocks, which
+   finds their pairs again, verifies on full sets those that are not in one
+   component by then, and gives the edges of a spanning forest.
 
 A null text, and one without words, has an empty set, links with nothing and is
 kept. A row without doc_id links with nothing. Rows that repeat a doc_id count
@@ -24,14 +27,11 @@ are ignored.
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.llm.bpe import slices
 from verdikt.llm.common import Scratch, batches, texts
 from verdikt.llm.components import components
 from verdikt.llm.sketch import bands, sketches
@@ -40,7 +40,7 @@ from verdikt.llm.words import mix, shingle_sets
 SHINGLE, T, ROWS = 5, 128, 4
 #: Of 100: the least similarity of a link.
 LIMIT = 75
-AGREE, BLOCK = 70, 512
+AGREE, BLOCK, BLOCK_SHINGLES = 70, 512, 1 << 21
 
 
 def _digest(values: np.ndarray) -> tuple[int, int]:
@@ -110,62 +110,68 @@ def _could(a: str, b: str):
     return 100 * F.least(a, b) >= LIMIT * F.greatest(a, b)
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Whom to hold against whom: key, i, j, doc_id, partners array<long>.
+_MEMBER = "key long, i int, j int, mine int, doc_id long, n long, root long, bands array<long>, sketch binary"
+_MEMBERS = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("mine", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
-    ``members`` has key, doc_id, n, root, bands and sketch. Pairs are from
-    different roots, of sizes and sketches that allow a link, and stand in the
-    first bucket that the two share. Each document of a pair gets one row for
-    its pair of blocks, with the partners that it leads, if any.
-    """
-    schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc_id", pa.int64()), ("partners", pa.list_(pa.int64()))])
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+def dealt(members: DataFrame) -> DataFrame:
+    """The members of buckets (key, doc_id, n, root, bands, sketch), once for each pair of blocks (i, j) that theirs is in."""
+    sizes = members.groupBy("key").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("size"))
+    rows = members.join(sizes.select("key", F.ceil("size").cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A block goes to its pairings with every block of its bucket: one copy for buckets of one block.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "n", "root", "bands", "sketch")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "n", "root", "bands", "sketch")
+
+
+def partners(group: pa.Table):
+    """(x, ys): rows of one pair of blocks that have to be verified with row x.
+
+    They are of different roots, and of sizes and sketches that allow a link;
+    each pair comes up in the first bucket that the two share.
+    """
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+    mine, n, root = (group.column(c).to_numpy() for c in ("mine", "n", "root"))
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
+    band = np.array(group.column("bands").to_pylist(), np.int64)
+    band = band[:, : int(np.argmax(band[0] == key))]  # those before this bucket's
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    for x in left.tolist():
+        ys = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= LIMIT * np.maximum(n[right], n[x]))]
+        if i == j:
+            ys = ys[ys > x]
+        ys = ys[~(band[ys] == band[x]).any(axis=1)]
+        ys = ys[(sketch[ys] == sketch[x]).sum(axis=1) >= AGREE]
+        if len(ys):
+            yield x, ys
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Of the dealt members those that have partners in their pair of blocks."""
 
     def run(group: pa.Table) -> pa.Table:
-        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
-        mine, ids, n, root = (group.column(c).to_numpy() for c in ("mine", "doc_id", "n", "root"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
-        band = np.array(group.column("bands").to_pylist(), np.int64)
-        band = band[:, : int(np.argmax(band[0] == key))]  # those before this bucket's
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        partners: dict[int, list[int]] = {}
-        for x in left.tolist():
-            ys = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= LIMIT * np.maximum(n[right], n[x]))]
-            if i == j:
-                ys = ys[ys > x]
-            ys = ys[~(band[ys] == band[x]).any(axis=1)]
-            ys = ys[(sketch[ys] == sketch[x]).sum(axis=1) >= AGREE]
-            if len(ys):
-                partners.setdefault(int(ids[x]), []).extend(ids[ys].tolist())
-                for y in ids[ys].tolist():
-                    partners.setdefault(y, [])
-        return pa.Table.from_batches(list(batches(schema, ((key, i, j, x, ys) for x, ys in partners.items()))), schema)
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, doc_id long, partners array<long>")
+        wanted = np.zeros(group.num_rows, bool)
+        for x, ys in partners(group):
+            wanted[x] = wanted[ys] = True
+        return group.filter(pa.array(wanted)).select(_MEMBERS.names)
+
+    return dealt(members).groupBy("key", "i", "j").applyInArrow(run, _MEMBER)
 
 
 def confirmed(held: DataFrame, shelf: DataFrame) -> DataFrame:
-    """Links (a, b) among the pairs of ``candidates``, by full sets; the texts meet once for each pair of blocks."""
+    """Spanning forests (a, b) of the links among ``candidates``, by full sets; the texts meet once for each pair of blocks."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        ids, partners = group.column("doc_id").to_pylist(), group.column("partners").to_pylist()
+        ids, group = group.column("doc_id").to_pylist(), group.combine_chunks()
         sets = shingle_sets(group.column("text").combine_chunks(), SHINGLE)
         _, values = np.unique(sets.values, return_inverse=True)
         size, cuts = np.diff(sets.cuts), sets.cuts
-        rows_of: dict[int, list[int]] = {}
-        for row, key in enumerate(ids):
-            rows_of.setdefault(key, []).append(row)
         present = np.zeros(len(values) + 1, bool)
-        found = []
-        for x, ys in enumerate(partners):
-            others = np.array([r for y in ys for r in rows_of[y]], np.int64)
-            others = others[size[others] > 0]
+        _, tree = np.unique(group.column("root").to_numpy(), return_inverse=True)
+        edges = []
+        for x, ys in partners(group):
+            others = ys[(size[ys] > 0) & (tree[ys] != tree[x])]
             if not len(others) or not size[x]:
                 continue
             own = values[cuts[x] : cuts[x + 1]]
@@ -173,9 +179,11 @@ def confirmed(held: DataFrame, shelf: DataFrame) -> DataFrame:
             at = np.concatenate([values[cuts[y] : cuts[y + 1]] for y in others])
             shared = np.add.reduceat(present[at].astype(np.int64), np.r_[0, np.cumsum(size[others])[:-1]])
             present[own] = False
-            hits = others[100 * shared >= LIMIT * (size[others] + size[x] - shared)]
-            found += [(ids[x], ids[y]) for y in hits.tolist()]
-        return pa.Table.from_batches(list(batches(schema, set(found))), schema)
+            for y in others[100 * shared >= LIMIT * (size[others] + size[x] - shared)].tolist():
+                if tree[y] != tree[x]:
+                    edges.append((ids[x], ids[y]))
+                    tree[tree == tree[y]] = tree[x]
+        return pa.Table.from_batches(list(batches(schema, edges)), schema)
 
     return held.join(shelf, "doc_id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -207,6 +215,8 @@ def linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     more = scratch.save(confirmed(candidates(open_members), shelf), "more")
     if more.head(1):
         labels = components(labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, "all")
+    for table in ("classes", "buckets", "members", "star", "shelf", "links", "named", "more"):
+        scratch.drop(table)
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
