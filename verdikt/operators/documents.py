@@ -5,65 +5,77 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 VBA_PROJECT = "_VBA_PROJECT".encode("utf-16-le")
 #: Bounds: modules of an object, bytes of a module; bytes of all and of one PDF stream, streams.
 MODULES, MODULE_BYTES = 256, 4 << 20
 STREAM_BYTES, ONE_STREAM, STREAMS = 64 << 20, 32 << 20, 4096
+#: Bytes that a stream is inflated by, so that what comes before damage is kept.
+STEP = 256
 _NAME = re.compile(rb"/[A-Za-z0-9]*#[0-9A-Fa-f]{2}[A-Za-z0-9#]*")
 _ESCAPE = re.compile(rb"#([0-9A-Fa-f]{2})")
+#: The first line of a module's source, as its compressed container begins.
+_MODULE = re.compile(rb"(?<=\x01..)\0Attribut", re.DOTALL)
 #: Magic bytes of streams that are objects of their own.
 OBJECT_MAGIC = (b"MZ", b"\x7fELF", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"PK\x03\x04", b"PK\x05\x06", b"{\\rt", b"\xfe\xed\xfa\xce", b"\xfe\xed\xfa\xcf", b"\xce\xfa\xed\xfe", b"\xcf\xfa\xed\xfe")
 
 
-def decompressed(source: bytes, limit: int) -> bytes | None:
-    """A compressed VBA container (MS-OVBA 2.4.1), up to the first bad chunk; None where none is there."""
-    if len(source) < 3 or source[0] != 1:
+def _chunks(container: bytes) -> Iterator[tuple[bool, bytes]]:
+    """(compressed, data) of a container's chunks (MS-OVBA 2.4.1.1.4), up to the first whose signature is wrong."""
+    at = 1
+    while at + 2 <= len(container):
+        (header,) = struct.unpack_from("<H", container, at)
+        if header >> 12 & 7 != 3:
+            return
+        packed = bool(header & 0x8000)
+        size = (header & 0xFFF) + 1 if packed else 4096
+        yield packed, container[at + 2 : at + 2 + size]
+        at += 2 + size
+
+
+def _expanded(chunk: bytes) -> tuple[bytes, bool]:
+    """(text of a compressed chunk, whether all of it made sense): literals, and copies of what the chunk gave before."""
+    out, left = bytearray(), memoryview(chunk)
+    while len(left):
+        flags, left = left[0], left[1:]
+        for bit in range(8):
+            if flags >> bit & 1 == 0:
+                out += left[:1]
+                left = left[1:]
+                continue
+            if len(left) < 2:
+                return bytes(out), True
+            token, left = int.from_bytes(left[:2], "little"), left[2:]
+            # The more there is to copy from, the more bits say from where and the fewer how much.
+            low = 16 - min(12, max(4, (len(out) - 1).bit_length()))
+            back, length = (token >> low) + 1, (token & (1 << low) - 1) + 3
+            if back > len(out):
+                return bytes(out), False
+            window = bytes(out[-back:])
+            out += (window * (length // back + 1))[:length]
+    return bytes(out), True
+
+
+def decompressed(container: bytes, limit: int) -> bytes | None:
+    """The source in a compressed VBA container, as far as it is sound; None where there is none."""
+    if container[:1] != b"\1":
         return None
-    out, at = bytearray(), 1
-    while at + 2 <= len(source) and len(out) < limit:
-        (head,) = struct.unpack_from("<H", source, at)
-        if head >> 12 & 7 != 3:
+    out = bytearray()
+    for packed, data in _chunks(container):
+        text, sound = _expanded(data) if packed else (data, True)
+        out += text
+        if not sound or len(out) >= limit:
             break
-        stop, at, start = min(len(source), at + (head & 0xFFF) + 3), at + 2, len(out)
-        if not head & 0x8000:
-            out += source[at : at + 4096]
-            at = min(len(source), at + 4096)
-            continue
-        while at < stop:
-            flags, at = source[at], at + 1
-            for bit in range(8):
-                if at >= stop:
-                    break
-                if not flags >> bit & 1:
-                    out.append(source[at])
-                    at += 1
-                elif at + 2 > stop:
-                    at = stop
-                else:
-                    (token,) = struct.unpack_from("<H", source, at)
-                    at += 2
-                    bits = min(12, max(4, (len(out) - start - 1).bit_length()))
-                    back, length = (token >> 16 - bits) + 1, (token & 0xFFFF >> bits) + 3
-                    if len(out) - back < start:
-                        return bytes(out)
-                    for _ in range(length):
-                        out.append(out[-back])
-        at = stop
     return bytes(out) or None
 
 
 def modules(data: bytes) -> list[str]:
     """Sources of the VBA modules anywhere in the data."""
-    out, seen, at = [], 0, data.find(b"\0Attribut")
-    while at >= 0 and seen < MODULES:
-        if at >= 3 and data[at - 3] == 1:
-            seen += 1
-            text = decompressed(data[at - 3 :], MODULE_BYTES)
-            if text and text.startswith(b"Attribut"):
-                out.append(text.decode("latin-1"))
-        at = data.find(b"\0Attribut", at + 9)
-    return out
+    starts = (m.start() - 3 for m in islice(_MODULE.finditer(data), MODULES))
+    texts = (decompressed(data[at : at + 2 * MODULE_BYTES], MODULE_BYTES) for at in starts)
+    return [text.decode("latin-1") for text in texts if text and text.startswith(b"Attribut")]
 
 
 def plain_names(data: bytes) -> tuple[bytes, bool]:
@@ -78,38 +90,34 @@ def plain_names(data: bytes) -> tuple[bytes, bool]:
     return _NAME.sub(undo, data), changed
 
 
-def streams(data: bytes) -> list[bytes]:
-    """Inflated streams; what a broken one gave before it broke is kept."""
-    out, left, at = [], STREAM_BYTES, data.find(b"stream")
-    while at >= 0 and left > 0 and len(out) < STREAMS:
-        start = at + 6
-        if data[max(0, at - 3) : at] == b"end":
-            at = data.find(b"stream", start)
-            continue
-        start += data[start : start + 1] == b"\r"
-        start += data[start : start + 1] == b"\n"
-        end = data.find(b"endstream", start)
-        if end < 0:
-            break
-        raw, inflated, reader = data[start:end], b"", zlib.decompressobj()
-        try:
-            inflated = reader.decompress(raw, min(left, ONE_STREAM))
-        except zlib.error:
-            inflated = _until_broken(raw, min(left, ONE_STREAM))
-        if inflated:
-            out.append(inflated)
-            left -= len(inflated)
-        at = data.find(b"stream", end + 9)
-    return out
-
-
-def _until_broken(raw: bytes, limit: int) -> bytes:
+def _bodies(data: bytes) -> Iterator[bytes]:
+    """What stands between the keywords stream, with its line end, and endstream."""
+    for piece in data.split(b"endstream")[:-1]:
+        _, keyword, body = piece.partition(b"stream")
+        if keyword:
+            yield body.removeprefix(b"\r").removeprefix(b"\n")
+
+
+def _inflated(body: bytes, limit: int) -> bytes:
+    """At most ``limit`` bytes of a deflated stream; of a damaged one, what comes before the damage."""
     reader, out = zlib.decompressobj(), bytearray()
     try:
-        for at in range(0, len(raw), 256):
-            out += reader.decompress(raw[at : at + 256], limit - len(out))
-            if len(out) >= limit:
+        for at in range(0, len(body), STEP):
+            out += reader.decompress(body[at : at + STEP], limit - len(out))
+            if len(out) >= limit or reader.eof:
                 break
     except zlib.error:
         pass
     return bytes(out)
+
+
+def streams(data: bytes) -> tuple[list[bytes], bool]:
+    """(the PDF's inflated streams, whether all of them were read)."""
+    out, left = [], STREAM_BYTES
+    for body in _bodies(data):
+        if left <= 0 or len(out) >= STREAMS:
+            return out, False
+        if plain := _inflated(body, min(left, ONE_STREAM)):
+            out.append(plain)
+            left -= len(plain)
+    return out, True

@@ -1,15 +1,20 @@
 """The scan: every file, and every object inside it, to findings and issues.
 
-Objects go level by level. A level is hashed and looked up (an allowed object
-and one with a match are not opened), typed, taken apart where bytes must be
-parsed, and inspected by expressions; its archives' members and PDF streams are
-the next level. Each level is a table in the shared scratch folder, so a lost
+Objects go level by level. A level is typed and hashed and written once, with
+its contents. Its hashes, without contents, are looked up (an allowed object and
+one with a match are not opened); the others are taken apart where bytes must be
+parsed, and inspected by expressions; archives' members and PDF streams are the
+next level. Each level is a table in the shared scratch folder, so a lost
 executor costs no more than its own tasks, and contents are read again only
 where the next step needs them.
 
 An object's place is ``ord``, the path of child numbers from the file down, so
 that results have a fixed order. Whatever could not be inspected is an issue
 row; no step drops an object.
+
+All archives of a file share its limits on bytes and members: what the levels
+above used up is known, and a file's archives of one level are opened one after
+another.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from verdikt.config import Config
 from verdikt.functions.content import ARCHIVES, SEALED, base_name, file_type, hashes, is_archive, is_encrypted_office
 from verdikt.operators import archives, clamd, documents, programs
-from verdikt.operators.inspect import inspected
+from verdikt.operators.inspect import TEXT_SEEN, inspected
 from verdikt.operators.rules import exploded
 from verdikt.operators.signatures import ARCHIVE, HEURISTIC, MATCH, SIGNATURE, looked_up
 from verdikt.sources.files import LARGE
@@ -30,10 +35,14 @@ from verdikt.sources.scratch import Scratch
 OBJECTS = f"file_id long, ord array<int>, path string, name string, depth int, content binary, decoded string, problem string, large {LARGE}"
 #: Types that ``dissect`` takes apart.
 PARSED = ("pe", "elf", "ole", "pdf", "unknown", *ARCHIVES)
+#: What an object turned out to be (``at`` is null), or one of its members.
 _PARTS = pa.schema(
     [
         ("file_id", pa.int64()),
         ("ord", pa.list_(pa.int32())),
+        ("at", pa.int32()),
+        ("member", pa.string()),
+        ("data", pa.binary()),
         ("names", pa.list_(pa.string())),
         ("macros", pa.string()),
         ("pdf_body", pa.string()),
@@ -42,10 +51,9 @@ _PARTS = pa.schema(
         ("opened", pa.list_(pa.struct([("name", pa.string()), ("score", pa.int32())]))),
         ("issues", pa.list_(pa.string())),
         ("warnings", pa.list_(pa.string())),
-        ("members", pa.list_(pa.struct([("name", pa.string()), ("data", pa.binary())]))),
     ]
 )
-PARTS = "names array<string>, macros string, pdf_body string, pdf_streams string, pdf_renamed boolean, opened array<struct<name:string,score:int>>, issues array<string>, warnings array<string>, members array<struct<name:string,data:binary>>"
+PARTS = "at int, member string, data binary, names array<string>, macros string, pdf_body string, pdf_streams string, pdf_renamed boolean, opened array<struct<name:string,score:int>>, issues array<string>, warnings array<string>"
 
 
 def top_level(files: DataFrame) -> DataFrame:
@@ -74,48 +82,68 @@ def _wide(content):
     return F.when(F.octet_length(body) > 0, F.regexp_replace(text, r"[^\x00-\xff]", "?"))
 
 
+def described(objects: DataFrame) -> DataFrame:
+    """The objects with size, sha256, md5, kind and locked_office."""
+    known = {c: F.coalesce(h, F.col(f"large.{c}")) for c, h in hashes(F.col("content")).items()}
+    return objects.withColumns(known | {"kind": file_type(F.coalesce("content", "large.head")), "locked_office": F.coalesce(is_encrypted_office(F.col("content")), F.lit(False))})
+
+
 def dissect(objects: DataFrame, config: Config, password: str | None = None) -> DataFrame:
-    """file_id, ord and PARTS of the objects (file_id, ord, name, kind, content).
+    """file_id, ord and PARTS of the objects (file_id, ord, name, kind, content, used_bytes, used_members).
 
-    One object is taken apart at a time, in Arrow batches of few rows; limits
-    bound what it may become.
+    One object is taken apart at a time and each of its members is a row of its
+    own; limits bound what it may become. The used columns say how much of a
+    file's limits the levels above took. Objects of a file that share limits
+    come one after another in one partition.
     """
-    limits = archives.Limits(config.max_file_size, config.max_total_extract, config.max_archive_files, config.max_compress_ratio)
+    schema = f"file_id long, ord array<int>, {PARTS}"
 
-    def parts_of(name: str, kind: str, data: bytes) -> dict:
-        row = dict.fromkeys(_PARTS.names[2:]) | {"names": [], "opened": [], "issues": [], "warnings": [], "members": []}
+    def parts_of(name: str, kind: str, data: bytes, used: list[int]):
+        """Rows of an object: members, then what there is to say of it."""
+        row = {"names": [], "opened": [], "issues": [], "warnings": []}
         if kind in ARCHIVES:
-            got = archives.opened(kind, name, data, limits, password)
-            row |= {"opened": [{"name": n, "score": s} for n, s in got.findings], "issues": got.issues, "warnings": got.warnings, "members": [{"name": m.name, "data": m.data} for m in got.members]}
+            got = archives.Opened()
+            limits = archives.Limits(config.max_file_size, config.max_total_extract - used[0], config.max_archive_files - used[1], config.max_compress_ratio)
+            for at, member in enumerate(archives.opened(kind, name, data, limits, password, got)):
+                used[0] += len(member.data)
+                used[1] += 1
+                yield {"at": at, "member": member.name, "data": member.data}
+            row |= {"opened": [{"name": n, "score": s} for n, s in got.findings], "issues": got.issues, "warnings": got.warnings}
         elif kind == "pe":
             row["names"] = programs.pe_findings(data)
         elif kind == "elf":
             row["names"] = programs.elf_findings(data)
         elif kind == "pdf":
             plain, row["pdf_renamed"] = documents.plain_names(data)
-            inflated = documents.streams(data)
+            inflated, whole = documents.streams(data)
             row["pdf_body"] = plain.lower().decode("latin-1")
             row["pdf_streams"] = b"\n".join(inflated).lower().decode("latin-1")
-            row["members"] = [{"name": f"stream{i}", "data": s} for i, s in enumerate(inflated) if s.startswith(documents.OBJECT_MAGIC)]
+            if not whole:
+                row["warnings"].append(f"{name}: PDF streams beyond the first {len(inflated)} were not inspected")
+            for at, stream in enumerate(inflated):
+                if stream.startswith(documents.OBJECT_MAGIC):
+                    yield {"at": at, "member": f"stream{at}", "data": stream}
         else:
             macros = documents.modules(data)
             row["macros"] = "\n".join(macros) if macros else None
             if kind == "ole" and not macros and documents.VBA_PROJECT in data:
                 row["names"] = ["Heuristic.Macro.Present"]
-        return row
+        yield row
 
     def run(parts):
+        file, used = None, [0, 0]
         for part in parts:
             for i in range(part.num_rows):
-                name, kind, data = (part.column(c)[i].as_py() for c in ("name", "kind", "content"))
+                get = {c: part.column(c)[i].as_py() for c in part.schema.names}
+                if get["file_id"] != file:
+                    file, used = get["file_id"], [get["used_bytes"], get["used_members"]]
                 try:
-                    row = parts_of(name, kind, data)
+                    for row in parts_of(get["name"], get["kind"], get["content"], used):
+                        yield pa.RecordBatch.from_pylist([{"file_id": file, "ord": get["ord"]} | row], schema=_PARTS)
                 except Exception as e:  # a reader's failure is this object's issue, not the job's
-                    row = dict.fromkeys(_PARTS.names[2:]) | {"issues": [f"could not be parsed: {type(e).__name__}: {e}"]}
-                head = {"file_id": part.column("file_id")[i].as_py(), "ord": part.column("ord")[i].as_py()}
-                yield pa.RecordBatch.from_pylist([head | row], schema=_PARTS)
+                    yield pa.RecordBatch.from_pylist([{"file_id": file, "ord": get["ord"], "issues": [f"could not be parsed: {type(e).__name__}: {e}"]}], schema=_PARTS)
 
-    return objects.select("file_id", "ord", "name", "kind", "content").mapInArrow(run, f"file_id long, ord array<int>, {PARTS}")
+    return objects.select("file_id", "ord", "name", "kind", "content", "used_bytes", "used_members").mapInArrow(run, schema)
 
 
 class Scanned:
@@ -139,78 +167,81 @@ def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None,
     if signatures is None:
         signatures = spark.createDataFrame([], "algo string, hash string, source string")
     objects, detections, issues, warnings = [], [], [], []
-    level, depth, covered = scratch.save(top_level(files), "objects-0"), 0, None
+    place, detail = ["file_id", "ord"], ["names", "macros", "pdf_body", "pdf_streams", "pdf_renamed"]
+    nothing = [F.lit(0).cast("long").alias(c) for c in ("used_bytes", "used_members")]
+    level, depth, covered = scratch.save(described(top_level(files)), "objects-0"), 0, None
     while True:
-        known = level.withColumns({c: F.coalesce(h, F.col(f"large.{c}")) for c, h in hashes(F.col("content")).items()})
-        known = looked_up(known, signatures, custom, allowed)
-        closed = F.col("allowed") | F.col("hit").isNotNull() | F.col("content").isNull()
-        known = known.withColumn("kind", file_type(F.coalesce("content", "large.head"))).withColumn("closed", closed)
-        known = scratch.save(known, f"known-{depth}")
-        slim = known.select("file_id", "ord", "path", "depth", "size", "sha256", "md5", F.col("kind").alias("file_type"), "allowed")
-        objects.append(slim)
-        detections.append(known.where("hit is not null").select("file_id", "ord", "path", F.lit(0).alias("seq"), F.lit(SIGNATURE).alias("engine"), F.col("hit").alias("name"), F.lit(MATCH).alias("score")))
-
-        open_ = known.where("not closed")
+        slim = level.select(*place, "path", "depth", "size", "sha256", "md5", "kind", "problem", F.col("content").isNotNull().alias("held"), F.col("large").isNotNull().alias("is_large"))
+        known = scratch.save(looked_up(slim, signatures, custom, allowed), f"known-{depth}")
+        objects.append(known.select(*place, "path", "depth", "size", "sha256", "md5", F.col("kind").alias("file_type"), "allowed"))
+        detections.append(known.where("hit is not null").select(*place, "path", F.lit(0).alias("seq"), F.lit(SIGNATURE).alias("engine"), F.col("hit").alias("name"), F.lit(MATCH).alias("score")))
+
+        # Contents meet only the places of what needs no opening.
+        open_ = level.where("content is not null").join(known.where("allowed or hit is not null").select(*place), place, "left_anti")
+        open_slim = known.where("held and not allowed and hit is null")
         if depth == 0 and config.clamav != "off":
             # The daemon sees whole files and opens archives itself; its match counts beside the objects' sums, not in them.
-            seen = scratch.save(clamd.scanned(known.where("(content is not null or large is not null and hit is null) and not allowed").withColumn("file", F.col("large.file")), config.clamav_address, config.clamav_timeout), "clamd").join(known.select("file_id", "ord", "path"), ["file_id", "ord"])
+            asked = level.where("content is not null or large is not null").join(known.where("allowed or is_large and hit is not null").select(*place), place, "left_anti")
+            seen = scratch.save(clamd.scanned(asked.withColumn("file", F.col("large.file")), config.clamav_address, config.clamav_timeout), "clamd").join(known.select(*place, "path"), place)
             beside = F.array(F.lit((1 << 31) - 1)).alias("ord")
             detections.append(seen.where("signature is not null").select("file_id", beside, "path", F.lit(0).alias("seq"), F.lit(clamd.ENGINE).alias("engine"), F.col("signature").alias("name"), F.lit(MATCH).alias("score")))
             notes = issues if config.clamav == "required" else warnings
-            notes.append(seen.where("problem is not null").select("file_id", "ord", "path", F.lit(8000).alias("seq"), F.col("problem").alias("reason")))
+            notes.append(seen.where("problem is not null").select(*place, "path", F.lit(8000).alias("seq"), F.col("problem").alias("reason")))
             covered = seen.where("problem is null").select("file_id")
         # Of a file too large to open, a hit or the daemon's answer says enough.
-        unseen = known.where("problem is not null and not allowed and (large is null or hit is null)")
+        unseen = known.where("problem is not null and not allowed and (not is_large or hit is null)")
         unseen = unseen if covered is None else unseen.join(covered, "file_id", "left_anti")
-        issues.append(unseen.select("file_id", "ord", "path", F.lit(-1).alias("seq"), F.col("problem").alias("reason")))
+        issues.append(unseen.select(*place, "path", F.lit(-1).alias("seq"), F.col("problem").alias("reason")))
         deep = depth >= config.max_archive_depth
         parsed = PARSED if not deep else tuple(k for k in PARSED if k not in ARCHIVES)
-        apart = scratch.save(dissect(open_.where(F.col("kind").isin(*parsed)), config, password), f"apart-{depth}")
-        detail = ["names", "macros", "pdf_body", "pdf_streams", "pdf_renamed"]
-        place = ["file_id", "ord"]
+        taken_apart = open_.where(F.col("kind").isin(*parsed))
+        if depth:
+            # Archives of one file share its limits, so they come together and in order.
+            used = _union(objects).where("depth > 0").groupBy("file_id").agg(F.sum("size").alias("used_bytes"), F.count(F.lit(1)).alias("used_members"))
+            boxes = taken_apart.where(is_archive(F.col("kind"))).join(used, "file_id").repartition("file_id").sortWithinPartitions("file_id", "ord")
+            taken_apart = boxes.select(*level.columns, "used_bytes", "used_members").unionByName(taken_apart.where(~is_archive(F.col("kind"))).select(*level.columns, *nothing))
+        else:
+            taken_apart = taken_apart.select(*level.columns, *nothing)
+        apart = scratch.save(dissect(taken_apart, config, password), f"apart-{depth}")
+        said = apart.where("at is null")
         if config.heuristics:
             # Objects that were not taken apart have nothing to wait for and skip the join.
             rest = open_.where(~F.col("kind").isin(*parsed))
             empty = [F.lit(None).cast(t).alias(c) for c, t in zip(detail, ("array<string>", "string", "string", "string", "boolean"))]
-            whole = open_.where(F.col("kind").isin(*parsed)).join(apart.select(*place, *detail), place, "left")
+            whole = open_.where(F.col("kind").isin(*parsed)).join(said.select(*place, *detail), place, "left")
             both = whole.select(*open_.columns, *detail).unionByName(rest.select(*open_.columns, *empty))
             found = inspected(both.withColumn("decoded", F.when(F.col("kind") == "text", _wide(F.col("content")))).withColumnRenamed("kind", "file_type"))
             hits = exploded(found, "findings", *place, "path")
             detections.append(scratch.save(hits.select(*place, "path", (F.col("seq") + 1).alias("seq"), F.lit(HEURISTIC).alias("engine"), "name", "score"), f"found-{depth}"))
+            warnings.append(known.where((F.col("kind") == "text") & F.col("held") & (F.col("size") > TEXT_SEEN)).select(*place, "path", F.lit(900).alias("seq"), F.lit(f"script rules saw the first {TEXT_SEEN} characters only").alias("reason")))
         paths = known.select(*place, "path", "depth")
-        taken = apart.join(paths, place)
+        taken = said.join(paths, place)
         detections.append(taken.select(*place, "path", F.posexplode("opened").alias("seq", "f")).select(*place, "path", (F.col("seq") + 1000).alias("seq"), F.lit(ARCHIVE).alias("engine"), F.col("f.name").alias("name"), F.col("f.score").alias("score")))
         issues.append(taken.select(*place, "path", F.posexplode("issues").alias("seq", "reason")))
         warnings.append(taken.select(*place, "path", F.posexplode("warnings").alias("seq", "reason")))
-        issues.append(open_.where(is_encrypted_office(F.col("content"))).select(*place, "path", F.lit(-1).alias("seq"), F.lit("password-protected Office document; content cannot be inspected").alias("reason")))
-        sealed = open_.where(F.col("kind").isin(*SEALED))
+        issues.append(open_.where("locked_office").select(*place, "path", F.lit(-1).alias("seq"), F.lit("password-protected Office document; content cannot be inspected").alias("reason")))
+        sealed = open_slim.where(F.col("kind").isin(*SEALED))
         sealed = sealed if covered is None else sealed.join(covered, "file_id", "left_anti")
         issues.append(sealed.select(*place, "path", F.lit(0).alias("seq"), F.concat("kind", F.lit(" containers can only be inspected with ClamAV, which did not scan it")).alias("reason")))
-        holds = is_archive(F.col("kind"))
+        members = apart.where("at is not null")
         if deep:
-            nested = open_.where(holds).select(*place, "path").unionByName(taken.where("size(members) > 0").select(*place, "path"))
+            nested = open_slim.where(is_archive(F.col("kind"))).select(*place, "path").unionByName(members.select(*place).distinct().join(paths, place).select(*place, "path"))
             detections.append(nested.select(*place, "path", F.lit(2000).alias("seq"), F.lit(ARCHIVE).alias("engine"), F.lit("Heuristic.Archive.TooDeep").alias("name"), F.lit(50).alias("score")))
             issues.append(nested.select(*place, "path", F.lit(0).alias("seq"), F.lit(f"nested deeper than max_archive_depth ({config.max_archive_depth})").alias("reason")))
             break
-        inner = taken.select("file_id", "ord", "path", "depth", F.posexplode("members").alias("at", "m")).select(
+        inner = members.join(paths, place).select(
             "file_id",
             F.concat("ord", F.array("at")).alias("ord"),
-            F.concat("path", F.lit("!"), F.col("m.name")).alias("path"),
-            F.col("m.name").alias("name"),
+            F.concat("path", F.lit("!"), F.col("member")).alias("path"),
+            F.col("member").alias("name"),
             (F.col("depth") + 1).alias("depth"),
-            F.col("m.data").alias("content"),
+            F.col("data").alias("content"),
             F.lit(None).cast("string").alias("decoded"),
             F.lit(None).cast("string").alias("problem"),
             F.lit(None).cast(LARGE).alias("large"),
         )
         depth += 1
-        level = scratch.save(inner, f"objects-{depth}")
+        level = scratch.save(described(inner), f"objects-{depth}")
         if not level.head(1):
             break
-    everything = _union(objects)
-    # Limits of a whole file: a level's tasks don't see each other's, so what goes beyond them together is an issue.
-    totals = everything.where("depth > 0").groupBy("file_id").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("members"))
-    over = totals.where((F.col("bytes") > config.max_total_extract) | (F.col("members") > config.max_archive_files))
-    top = everything.where("depth = 0").select("file_id", "ord", "path")
-    issues.append(over.join(top, "file_id").select("file_id", "ord", "path", F.lit(9000).alias("seq"), F.lit("decompression budget exhausted; archive members beyond it were scanned in part").alias("reason")))
-    return Scanned(everything, _union(detections), _union(issues), _union(warnings))
+    return Scanned(_union(objects), _union(detections), _union(issues), _union(warnings))

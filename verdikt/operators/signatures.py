@@ -105,22 +105,28 @@ def looked_up(objects: DataFrame, signatures: DataFrame, custom: DataFrame | Non
     Order: allowed SHA-256, custom SHA-256, signature SHA-256, custom MD5,
     signature MD5. Objects of no bytes are not looked up, and an MD5 never
     allows. ``signatures`` has one row a hash (see ``merged``), local lists too.
+
+    The distinct hashes of the objects meet all lists in one join; what was
+    found, which is little as a rule, then goes back to the objects by one join
+    for each algorithm, so the objects need not be shuffled for a large list.
     """
-    found = objects.withColumns({"__key256": F.when(F.col("size") > 0, F.col("sha256")), "__key5": F.when(F.col("size") > 0, F.col("md5"))})
-
-    def matched(rows: DataFrame, table: DataFrame | None, algo: str, key: str, name: Column, out: str) -> DataFrame:
-        if table is None:
-            return rows.withColumn(out, F.lit(None).cast("string"))
-        wanted = table.where(F.col("algo") == algo).select(F.col("hash").alias(key), name.alias(out))
-        return rows.join(wanted, key, "left")
-
-    found = matched(found, allowed, "sha256", "__key256", F.lit("allowed"), "__allow")
-    found = matched(found, custom, "sha256", "__key256", F.col("name"), "__c256")
-    found = matched(found, signatures, "sha256", "__key256", F.concat(F.lit("Malware.SHA256."), F.col("source")), "__d256")
-    found = matched(found, custom, "md5", "__key5", F.col("name"), "__c5")
-    found = matched(found, signatures, "md5", "__key5", F.concat(F.lit("Malware.MD5."), F.col("source")), "__d5")
-    found = found.withColumns({"allowed": F.col("__allow").isNotNull(), "hit": F.when(F.col("__allow").isNull(), F.coalesce("__c256", "__d256", "__c5", "__d5"))})
-    return found.drop("__key256", "__key5", "__allow", "__c256", "__d256", "__c5", "__d5")
+    lists = [signatures.select("algo", "hash", F.lit(1).alias("rank"), F.concat(F.lit("Malware."), F.upper("algo"), F.lit("."), F.col("source")).alias("name"))]
+    if custom is not None:
+        lists.append(custom.select("algo", "hash", F.lit(0).alias("rank"), "name"))
+    if allowed is not None:
+        lists.append(allowed.where("algo = 'sha256'").select("algo", "hash", F.lit(-1).alias("rank"), F.lit(None).cast("string").alias("name")))
+    every = lists[0]
+    for more in lists[1:]:
+        every = every.unionByName(more)
+    asked = objects.where("size > 0").select(F.explode(F.array(*(F.struct(F.lit(a).alias("algo"), F.col(a).alias("hash")) for a in ("sha256", "md5")))).alias("h"))
+    asked = asked.select("h.algo", "h.hash").where("hash is not null").distinct()
+    best = asked.join(every, ["algo", "hash"]).groupBy("algo", "hash").agg(F.min(F.struct("rank", "name")).alias("best"))
+    found = objects.withColumns({"__sha256": F.when(F.col("size") > 0, F.col("sha256")), "__md5": F.when(F.col("size") > 0, F.col("md5"))})
+    for algo in ("sha256", "md5"):
+        found = found.join(best.where(F.col("algo") == algo).select(F.col("hash").alias(f"__{algo}"), F.col("best").alias(f"__by_{algo}")), f"__{algo}", "left")
+    is_allowed = F.coalesce(F.col("__by_sha256.rank") == -1, F.lit(False))
+    found = found.withColumns({"allowed": is_allowed, "hit": F.when(~is_allowed, F.coalesce("__by_sha256.name", "__by_md5.name"))})
+    return found.drop("__sha256", "__md5", "__by_sha256", "__by_md5")
 
 
 def hash_answer(hashes: DataFrame, signatures: DataFrame, custom: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
