@@ -164,24 +164,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     total, lowest, split = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("block"), F.coalesce(F.max("split"), F.lit(0))).first()
     tasks = for_splits(docs.sparkSession, split + 1)
     big = counts.where(F.col("n") > max(BIG, total // BIG_BLOCKS)).select("block", F.ceil(F.log2(F.col("n") / RUN)).cast("int").alias("bits"))
-    rows, group = rows.withColumns({"id": F.lit(0).cast("long"), "run": F.lit(0).cast("long")}), ["block", "id", "run"]
-    copies = None
+    group, copies = ["block"], None
     if big.head(1):
+        group = ["block", "id", "run"]
         few = F.broadcast(big)  # at most BIG_BLOCKS rows
         single = rows.join(few, "block").groupBy("block", "bits", "doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
         cut = F.expr("shiftright(xxhash64(text), 64 - greatest(bits, 1))")
-        rows = rows.join(few, "block", "left_anti").unionByName(single.select("doc_id", "text", "block", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), cut.alias("run")))
+        whole = rows.join(few, "block", "left_anti").withColumns({"id": F.lit(0).cast("long"), "run": F.lit(0).cast("long")})
+        rows = whole.unionByName(single.select("doc_id", "text", "block", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), cut.alias("run")))
         more = single.where("n > 1").select("doc_id", "text", "n", F.explode(F.expr(f"sequence(0, (n - 2) div {RUN})")).alias("at")).repartition(tasks)
         copies = more.select("doc_id", "text", F.col("text").alias("next_text"), F.explode(F.expr(f"sequence(1, least({RUN}, n - 1 - at * {RUN}))"))).drop("col")
 
     # Each group and the one before it; blocks that are not cut have one group.
-    after = following(rows.select(F.col("block").alias("key")).distinct()).select(F.col("key").alias("block"), F.coalesce("next_key", F.lit(lowest)).alias("then"))
-    inside = Window.partitionBy("block").orderBy("id", "run")
-    placed = rows.select(*group).distinct().withColumns({"at": F.row_number().over(inside), "next": F.lead(F.struct("id", "run")).over(inside)})
-    heads = placed.where("at = 1").select(F.col("block").alias("then"), F.struct("id", "run").alias("head"))
-    follows = placed.join(after, "block").join(heads, "then")
-    next_ = F.coalesce("next", "head")
-    before = follows.select(F.when(F.col("next").isNull(), F.col("then")).otherwise(F.col("block")).alias("block"), next_["id"].alias("id"), next_["run"].alias("run"), F.struct(*group).alias("to"))
+    after = following(counts.select(F.col("block").alias("key"))).select(F.col("key").alias("block"), F.coalesce("next_key", F.lit(lowest)).alias("then"))
+    if copies is None:
+        before = after.select(F.col("then").alias("block"), F.struct("block").alias("to"))
+    else:
+        inside = Window.partitionBy("block").orderBy("id", "run")
+        placed = rows.select(*group).distinct().withColumns({"at": F.row_number().over(inside), "next": F.lead(F.struct("id", "run")).over(inside)})
+        heads = placed.where("at = 1").select(F.col("block").alias("then"), F.struct("id", "run").alias("head"))
+        next_, last = F.coalesce("next", "head"), F.col("next").isNull()
+        before = placed.join(after, "block").join(heads, "then").select(F.when(last, F.col("then")).otherwise(F.col("block")).alias("block"), next_["id"].alias("id"), next_["run"].alias("run"), F.struct(*group).alias("to"))
 
     # The texts are shuffled once. Of each group the first goes to the group before it.
     dealt = rows.repartition(tasks, *group)
