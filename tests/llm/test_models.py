@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -81,3 +83,115 @@ def test_awkward_tables(spark, awkward, model):
         assert len(rows) == awkward.count() and all(0 <= r["score"] <= 1 for r in rows)
     nothing = awkward.limit(0)
     assert model.score(nothing, model.fit(nothing, known.limit(0))).count() == 0
+
+
+def test_risk_written_out():
+    """The training direction against finite differences of the risk, summed document by document."""
+    rng = random.Random(6)
+    row = lambda shift: [rng.gauss(shift, 1), rng.gauss(0, 1), 1.0]
+    p, u = [row(1) for _ in range(30)], [row(0) for _ in range(40)]
+    loss = lambda z: max(z, 0) + math.log1p(math.exp(-abs(z)))
+
+    def parts(w, prior):
+        f = lambda x: sum(a * b for a, b in zip(x, w))
+        good = prior * sum(loss(-f(x)) for x in p) / len(p)
+        bad = sum(loss(f(x)) for x in u) / len(u) - prior * sum(loss(f(x)) for x in p) / len(p)
+        return good + quality.DECAY / 2 * sum(a * a for a in w[:-1]), bad
+
+    signs = set()
+    for prior in (0.1, 0.6, 0.95):
+        for w in ([0.0, 0.0, 0.0], [0.7, -0.2, 0.1], [4.0, 1.0, 6.0]):
+            step, want = 1e-5, []
+            bad = parts(w, prior)[1]
+            signs.add(bad >= 0)
+            for k in range(3):
+                up, down = ([x + (s if i == k else 0) for i, x in enumerate(w)] for s in (step, -step))
+                (g1, b1), (g0, b0) = parts(up, prior), parts(down, prior)
+                want.append((g1 + b1 - g0 - b0 if bad >= 0 else b0 - b1) / 2 / step)
+            assert np.allclose(quality.direction(np.array(p), np.array(u), np.array(w), prior), want, atol=1e-6)
+    assert signs == {True, False}
+
+
+def slow_mix(h):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * factor % 2**64
+    return h ^ h >> 31
+
+
+def slow_units(word):
+    """Buckets of a word, n-gram by n-gram."""
+    data, found = f"<{word}>".encode(), []
+    for n in (3, 4, 5, 6):
+        for i in range(len(data) - n + 1):
+            h = 0
+            for byte in data[i : i + n]:
+                h = (h * 0x100000001B3 + byte) % 2**64
+            found.append(slow_mix((h + n) % 2**64) % toxicity.BUCKETS)
+    total = sum(slow_mix(byte + (i << 8)) for i, byte in enumerate(data)) % 2**64
+    return [*found, slow_mix((total + 99) % 2**64) % toxicity.BUCKETS]
+
+
+def slow_score(model, text):
+    """The probability of the window whose units' logits have the highest mean, window by window."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    units = [[float(model.bucket[b]) for b in slow_units(w)] for w in words]
+    windows = [sum(units[i : i + 5], []) for i in range(max(1, len(words) - 4))] if words else []
+    best = max((sum(w) / len(w) for w in windows), default=0.0) + model.bias
+    return 1 / (1 + math.exp(-min(30, max(-30, model.slope * best + model.shift))))
+
+
+def test_scores_written_out(spark, documents):
+    folder = f"{DATA}/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.bucket.any() and model.slope > 0
+    some = [*(r["text"] for r in docs.limit(25).collect()), "", None, "one", "é 5 ß", "a b c d", "x" * 3000, "word " * 3000]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(some), model).collect()}
+    assert np.allclose([got[i] for i in range(len(some))], [slow_score(model, t or "") for t in some], atol=1e-9)
+
+
+def test_quality_scores_written_out(spark, documents):
+    """Scores of a fitted model, byte shares counted one by one, equal those of the batch; the rest of the features are held against loops in part."""
+    folder = f"{DATA}/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    some = [*(r["text"] for r in docs.limit(25).collect()), "", "one", "é 5 ß", "x" * 3000, "Word word Word\nx. "]
+    x = quality.features(pa.array(some))
+    for row, text in zip(x, some):
+        data, words = text.encode(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+        assert np.allclose(row[:256], [math.sqrt(data.count(bytes([b])) / max(1, len(data))) for b in range(256)])
+        upper, lower = sum(65 <= b < 91 for b in data), sum(97 <= b < 123 for b in data)
+        mean = sum(map(len, words)) / max(1, len(words))
+        lines = data.count(b"\n") + (len(data) > 0)
+        want = [upper / max(1, upper + lower), mean / 10, math.sqrt(sum(len(w) ** 2 for w in words) / max(1, len(words))) / 10]
+        want += [sum(not (w[-1:].isalnum() or w[-1] >= 128) for w in words) / max(1, len(words)), sum(len(w) == 1 for w in words) / max(1, len(words))]
+        want += [math.log1p(len(words)) / 10, math.log1p(len(words) / max(1, lines)) / 5, len(set(data)) / 100, float(not data)]
+        assert np.allclose(row[256:265], want)
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents(some), model).collect()}
+    for i, row in enumerate(x):
+        z = sum(min(10, max(-10, (v - m) / s)) * w for v, m, s, w in zip(row, model.mean, model.scale, model.weights)) + model.bias
+        assert abs(got[i] - 1 / (1 + math.exp(-min(30, max(-30, z))))) < 1e-6
+
+
+@pytest.mark.parametrize("model", [quality, toxicity])
+def test_accepted_rows_of_awkward_tables(spark, awkward, model):
+    column, wanted = ("quality", 1) if model is quality else ("toxic", 0)
+    known = spark.createDataFrame([(5, 1), (9, 0), (4, 1), (8, 0), (3, 1), (2, 0)], f"doc_id long, {column} int")
+    fitted = model.fit(awkward, known)
+    kept, scores = model.accepted(awkward, fitted), model.score(awkward, fitted).collect()
+    assert kept.columns == awkward.columns and kept.count() == sum(r["predicted"] == wanted for r in scores)
+    assert model.accepted(awkward.limit(0), fitted).count() == 0
+
+
+def test_one_doc_id_of_many_rows_is_learned_from_once(spark, documents):
+    docs = documents([(7, f"text {i}") for i in range(500)] + [(i, f"other words {i} here") for i in range(20, 60)])
+    labels = spark.createDataFrame([(i, 1) for i in range(20, 40)], "doc_id long, quality int")
+    keys = docs.select("doc_id").distinct().count()
+    seen = []
+    plain = quality._matrix
+    quality._matrix = lambda rows: seen.append(m := plain(rows)) or m
+    try:
+        quality.fit(docs, labels)
+    finally:
+        quality._matrix = plain
+    assert sum(map(len, seen)) <= keys

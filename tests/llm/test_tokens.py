@@ -172,6 +172,16 @@ def test_packing_ranks_by_all_tokens_of_a_seed(monkeypatch, at_once):
         assert index.ranked(seed).tolist() == found[np.argsort(-score[found], kind="stable")].tolist()
 
 
+def test_frequencies_are_summed_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SUMS", 3)
+    rng = np.random.default_rng(4)
+    parts = [(rng.integers(0, 9, 20), int(rng.integers(1, 5)), int(rng.integers(0, 50))) for _ in range(40)]
+    rows = spark.createDataFrame([(bytearray(df.astype(np.int64).tobytes()), d, t) for df, d, t in parts], "df binary, documents long, tokens long").repartition(13)
+    df, documents, tokens = packing.statistics(rows, 20)
+    assert df.tolist() == sum(p[0] for p in parts).tolist() and (documents, tokens) == (sum(p[1] for p in parts), sum(p[2] for p in parts))
+    assert packing.statistics(rows.limit(0), 20)[0].tolist() == [0] * 20
+
+
 def test_a_sketch_of_many_documents_is_dealt_among_shards():
     bounds = np.array([3, 7, 7, 7, 9])
     shards = packing.dealt(np.array([1, 3, 8, 10] + [7] * 3000), np.arange(3004), bounds)

@@ -43,8 +43,8 @@ AT_ONCE, DENSE, CELLS = 2000, 64, 1 << 21
 BOUND_SAMPLE = 64
 #: Parts of a sketch, 16 bits each.
 PARTS = 4
-#: Partial sums of frequencies that reach the driver.
-SUMS = 8
+#: Rows of frequencies that are summed by one task, until so few are left for the driver.
+SUMS = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 ROUTED = "doc_id long, place long, ids binary, shard long"
 TOKENS = "doc_id long, place long, ids binary, df binary, documents long, tokens long"
@@ -90,18 +90,26 @@ def _width(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def statistics(table: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
-    """(documents that hold each token, documents, tokens without end ids) over all documents."""
+def statistics(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
+    """(documents that hold each token, documents, tokens without end ids) over all documents.
+
+    ``rows`` has one row for each task that tokenised. They are added up by
+    SUMS at a time, level by level, until SUMS are left.
+    """
 
     def run(parts):
         df, documents, tokens = np.zeros(size, np.int64), 0, 0
         for part in parts:
             for row in part.to_pylist():
                 df, documents, tokens = df + np.frombuffer(row["df"], np.int64), documents + row["documents"], tokens + row["tokens"]
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([documents]), pa.array([tokens])], names=["df", "documents", "tokens"])
-
-    rows = table.where("df is not null").select("df", "documents", "tokens")
-    sums = rows.coalesce(SUMS).mapInArrow(run, "df binary, documents long, tokens long").collect()
+        if documents:
+            yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([documents]), pa.array([tokens])], names=["df", "documents", "tokens"])
+
+    n = rows.count()
+    while n > SUMS:
+        n = -(-n // SUMS)
+        rows = rows.repartition(n).mapInArrow(run, "df binary, documents long, tokens long")
+    sums = rows.collect()
     df = sum((np.frombuffer(r["df"], np.int64) for r in sums), np.zeros(size, np.int64))
     return df, sum(r["documents"] for r in sums), sum(r["tokens"] for r in sums)
 
@@ -252,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, window:
     size = max(vocabulary_size(tokenizer), end_id + 1)
     kind = _width(size)
     table = scratch.save(tokenised(docs, tokenizer, end_id, size), "tokens")
-    df, n, tokens = statistics(table, size)
+    df, n, tokens = statistics(table.where("df is not null").select("df", "documents", "tokens"), size)
     idf, mean_tokens = np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(n, 1)
     shards = max(1, -(-(tokens + n) // shard_tokens))
     shared = docs.sparkSession.sparkContext.broadcast(idf)

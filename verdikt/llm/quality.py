@@ -20,7 +20,7 @@ array operations on their bytes; no label, language, source or id is among them.
 At most about ``SAMPLE`` documents of either kind are learned from, taken by a
 hash of the doc_id; their features, not their texts, come to the driver. Every
 text is scored whole. An empty or null text has zero features and a score like
-any other. Without positives every score is 0; where no document is unlabelled,
+any other. Without positives every score is next to 0 (1e-13); where no document is unlabelled,
 the labelled ones stand in with their labels hidden. Repeated rows are scored
 one by one, an empty table gives no rows, other columns are ignored.
 """
@@ -143,6 +143,16 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
+def direction(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the risk with decay; where the part of the hidden bad is negative, the opposite of that part's."""
+    fp, fu = p @ w, u @ w
+    hidden = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    bad = u.T @ _sigmoid(fu) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
+    if hidden < 0:
+        return -bad
+    return bad - prior * (p.T @ _sigmoid(-fp)) / len(p) + DECAY * np.r_[w[:-1], 0.0]
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     """Minimises the non-negative risk over two matrices of features."""
     width = 256 + EXTRA
@@ -154,12 +164,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     prior = class_prior(p, u)
     w, adam = np.zeros(p.shape[1], np.float32), _Adam(p.shape[1])
     for step in range(STEPS):
-        fp, fu = p @ w, u @ w
-        hidden = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        good = -prior * (p.T @ _sigmoid(-fp)) / len(p)
-        bad = u.T @ _sigmoid(fu) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
-        decay = DECAY * np.r_[w[:-1], 0.0]
-        grad = good + bad + decay if hidden >= 0 else -bad
+        grad = direction(p, u, w, prior)
         w -= adam.step(grad, RATE * (1 - step / STEPS) + 1e-3).astype(np.float32)
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
@@ -182,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     positive = _matrix(labelled_sample(docs, labels.where("quality = 1"), "quality", SAMPLE))
     keys = docs.where("doc_id is not null").where(train_row(F.col("doc_id"))).select("doc_id").distinct()
     unknown = hash_sample(keys.join(labels.select("doc_id"), "doc_id", "left_anti"), SAMPLE)
-    unlabelled = _matrix(texts(docs, "doc_id").join(F.broadcast(unknown), "doc_id"))
+    unlabelled = _matrix(texts(docs, "doc_id").join(F.broadcast(unknown), "doc_id").dropDuplicates(["doc_id"]))
     if not len(unlabelled):
         unlabelled = _matrix(labelled_sample(docs, labels, "quality", SAMPLE))
     return train(positive, unlabelled)

@@ -65,11 +65,13 @@ def _op1_sql() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
     terms = ", ".join(f"('{t}', {w})" for t, w in sorted(urls.WEIGHTS.items()))
+    # Printable characters' escapes, the percent sign's last so that nothing is undone twice.
+    escapes = ", ".join("'" + f"%{code:02x}{chr(code)}".lower().replace("'", "''") + "'" for code in [c for c in range(0x7E, 0x1F, -1) if c != 0x25] + [0x25])
     return f"""
 WITH rules(verdict, host, path) AS (VALUES {rules}),
 terms(term, weight) AS (VALUES {terms}),
 rest AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
-parts AS (SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
+parts AS (SELECT page_id, list_reduce(list_prepend(translate(coalesce(url, ''), '{upper}', '{lower}'), [{escapes}]), lambda a, e: replace(a, e[1:3], e[4:4])) AS low,
   translate(regexp_extract(r, '^[^/?#]*'), '{upper}', '{lower}') AS host,
   regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
 fits AS (SELECT p.page_id, r.verdict, r.host || r.path AS rule,

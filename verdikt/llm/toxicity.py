@@ -11,18 +11,20 @@ Labels belong to documents, while a few words make one toxic: windows of clean
 documents are all clean, and of a toxic document only those count as toxic that
 the model of the round before ranks highest there (in the first round, all).
 A document's logit is its highest window's, set to a probability by a logistic
-curve of two parameters that is fitted on the training documents.
+curve of two parameters that is fitted on the sample's whole texts of any length,
+whose logits the executors compute.
 
 As the softmax is linear, an average's logit is the average of the logits of
 its parts: after training each bucket is one number, a word's logit is computed
 once and remembered, and scoring makes no vectors.
 
-Training takes at most about ``SAMPLE`` labelled texts of at most ``CHARS``
-characters, taken by a hash of the doc_id; scoring takes every text whole. A
-text without letters, empty or null gets the prior of an empty window (the
-softmax's bias alone). Without labelled texts of both
-kinds that have words every score is 0. Repeated
-rows are scored one by one, an empty table gives no rows, and columns other than
+The sample is at most about ``SAMPLE`` labelled texts, taken by a hash of the
+doc_id. Windows are learned from in those of at most ``CHARS`` characters, and in
+as much of a longer clean text, from a place that its doc_id's hash gives; a
+longer toxic text, of which a part may be clean, has a say in the curve only.
+Scoring takes every text whole. A text without letters, empty or null gets the prior of an empty window (the
+softmax's bias alone). Without labelled texts of both kinds that have words
+every score is next to 0 (1e-13). Repeated rows are scored one by one, an empty table gives no rows, and columns other than
 doc_id and text are ignored.
 """
 
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.llm.bpe import slices
-from verdikt.llm.common import batches, labelled_sample, texts
+from verdikt.llm.common import Scratch, batches, labelled_sample, texts
 from verdikt.llm.words import mix
 
 BUCKETS, DIMENSIONS, WINDOW, ORDERS = 1 << 17, 8, 5, (3, 4, 5, 6)
@@ -180,10 +182,9 @@ def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             order = np.lexsort((-logit, owner[toxic]))
             docs = owner[toxic][order]
             first = np.r_[True, docs[1:] != docs[:-1]]
-            rank = np.arange(len(docs)) - np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))
             best = logit[order][np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))]
             # A document's best window, and those about as high.
-            positives = toxic[order][(rank == 0) | ((rank < 40) & (logit[order] >= 0.5 * best) & (best > 0))]
+            positives = toxic[order][first | ((logit[order] >= 0.5 * best) & (best > 0))]
             hard = clean[np.argsort(-window_logits(clean))[: max(1, len(clean) // 20)]]
         for _ in range(STEPS):
             half = BATCH // 2
@@ -236,8 +237,24 @@ def curve(logits: np.ndarray, labels: np.ndarray) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on labelled documents whose labels may be learned from; ``labels`` has doc_id and toxic."""
-    sample = labelled_sample(docs, labels, "toxic", SAMPLE).where(F.char_length("text") <= CHARS).select("text", "label").toArrow()
-    return train(sample.column("text").to_pylist(), sample.column("label").to_numpy())
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.save(labelled_sample(docs, labels, "toxic", SAMPLE), "sample")
+    size = F.char_length("text")
+    start = F.when(size <= CHARS, 1).otherwise(1 + F.pmod(F.xxhash64("doc_id"), size - CHARS)).cast("int")
+    learned = sample.where((size <= CHARS) | (F.col("label") == 0)).select(F.substring("text", start, F.lit(CHARS)).alias("text"), "label").toArrow()
+    model = train(learned.column("text").to_pylist(), learned.column("label").to_numpy())
+    if not model.bucket.any():
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts):
+        scorer = Scorer(shared.value)
+        for part in parts:
+            for at, some in slices(part.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(scorer.logits(some)), part.column("label").slice(at, len(some))], names=["logit", "label"])
+
+    seen = sample.select("text", "label").mapInArrow(run, "logit double, label int").toArrow()
+    return model._replace(**curve(seen.column("logit").to_numpy(), seen.column("label").to_numpy()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
