@@ -303,6 +303,42 @@ def test_files_on_disk(spark, tmp_path):
     assert sum(r["line"].startswith("ERROR") for r in result_text(rows).collect()) == 2
 
 
+def test_archives_of_a_file_share_its_limits(spark):
+    """Two archives inside one, and one inside each of two files: only those of one file share."""
+    inner = zipped(*((f"{i}", b"words") for i in range(30)))
+    blob = zipped(("r", os.urandom(600_000)))
+    config = Config(max_archive_files=50, max_total_extract=2_000_000)
+    got = run(spark, [("two.zip", zipped(("a.zip", inner), ("b.zip", inner))), ("c.zip", zipped(("a.zip", inner))), ("d.zip", zipped(("a.zip", inner))), ("big.zip", zipped(("a.zip", blob), ("b.zip", blob), ("c.zip", blob)))], config).collect()
+    assert [r["objects_scanned"] for r in got[:3]] == [51, 32, 32] and [r["verdict"] for r in got] == ["error", "safe", "safe", "error"]
+    assert [n["object"] for n in got[0]["unscannable"]] == ["two.zip!b.zip"] and "object limit" in got[0]["error"]
+    # 1.8 MB for the inner archives leaves 200 kB for what is in them.
+    assert got[3]["objects_scanned"] >= 4 and all("size limit" in n["reason"] or "budget" in n["reason"] for n in got[3]["unscannable"])
+
+
+def test_members_are_rows_and_lookups_carry_no_contents(spark):
+    from verdikt.operators.scan import described, dissect, top_level
+    from verdikt.operators.signatures import looked_up
+
+    files = spark.createDataFrame([(1, "a.zip", bytearray(zipped(("x", b"1"), ("y", b"22"))))], "file_id long, name string, content binary")
+    level = described(top_level(files)).selectExpr("*", "0L as used_bytes", "0L as used_members")
+    rows = dissect(level, Config()).collect()
+    assert sorted((r["at"], r["member"], bytes(r["data"])) for r in rows if r["at"] is not None) == [(0, "x", b"1"), (1, "y", b"22")]
+    assert len([r for r in rows if r["at"] is None]) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        known = spark.createDataFrame([("sha256", "0" * 64, "f")], "algo string, hash string, source string")
+        plan = looked_up(level.select("file_id", "ord", "size", "sha256", "md5"), known)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" in plan and not any("content" in line for line in plan.splitlines() if "Exchange" in line or "Join" in line)
+
+
+def test_damaged_pdf_streams():
+    whole = zlib.compress(os.urandom(4000))
+    got, all_read = D.streams(b"x stream\r\n" + whole + b"endstream stream\n" + whole[:1500] + b"endstream endstream stream " + b"junk endstream stream\n" + whole)
+    assert all_read and got[0] == zlib.decompress(whole) and got[0].startswith(got[1]) and len(got) == 2 and len(got[1]) > 1000
+
+
 def test_empty_table(spark):
     files = spark.createDataFrame([], "file_id long, name string, content binary")
     config = Config()
@@ -322,7 +358,7 @@ def test_shortcut_and_names(spark):
     assert got["verdict"] == "malicious"
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from verdikt.__main__ import main
 
     (tmp_path / "in").mkdir()
@@ -336,6 +372,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*common, "scan", "--allow-no-signatures", "--quiet", str(tmp_path / "in/a.txt")], spark) == 0
     assert capsys.readouterr().out == ""
     assert main([*common, "status"], spark) == 0 and main([*common, "version"], spark) == 0 and main([*common, "config"], spark) == 0
+    assert "0 signatures of 0 sources" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(marker().encode())))
+    assert main([*common, "scan", "--allow-no-signatures", "--no-clamav", "-v", "--name", "piped.txt", "-"], spark) == 1
+    out = capsys.readouterr().out
+    assert "MALICIOUS  piped.txt" in out and "[heuristic] EICAR-Test-File (score 100) in piped.txt" in out
 
 
 def test_antivirus_daemon(spark, tmp_path):

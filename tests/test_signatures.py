@@ -91,6 +91,30 @@ def test_update_lifecycle(spark, tmp_path):
     assert {r["source"]: r["n"] for r in U.status(store).groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {"recent": 2, "shards": 2}
 
 
+def test_zip_feeds(spark, tmp_path):
+    """Members' lines, piece by piece; a zip without any hash is an error of its feed and leaves its old rows."""
+    import zipfile
+
+    def write(*lines):
+        with zipfile.ZipFile(tmp_path / "z", "w") as z:
+            z.writestr("folder/", "")
+            for i, text in enumerate(lines):
+                z.writestr(f"{i}.csv", text)
+
+    config = Config(feeds=(Feed("z", "zip", "full", url=f"file://{tmp_path / 'z'}"),))
+    store = Store(spark, str(tmp_path / "db"))
+    write("# note\n" + sha("1"), f'"x","{md5("2")}"\r\n')
+    assert store.created() == 0
+    U.update(spark, store, config, now=1e6)
+    assert {r["hash"] for r in store.read("base").collect()} == {sha("1"), md5("2")} and store.created() > 0
+    write("# " + sha("3"), "nothing")
+    with pytest.raises(RuntimeError):
+        U.update(spark, store, config, force=True, now=2e6)
+    assert {r["hash"] for r in store.read("base").collect()} == {sha("1"), md5("2")}
+    summary = S.set_summary(store.read("base"), store.read("delta")).first()
+    assert (summary["n"], summary["sources"]) == (2, ["z"])
+
+
 def test_readiness():
     config, state = Config(), {"last_error": "", "last_attempt": 0.0, "last_update": 0.0}
     ask = lambda n=1, age=0, locked=False, **s: U.readiness(config, n, 1000.0 - age, locked, state | s, 1000.0).state

@@ -20,7 +20,7 @@ from verdikt.operators import signatures as S
 from verdikt.operators.scan import scan
 from verdikt.operators.verdict import exit_code, result_json, result_text, results
 from verdikt.sources.feeds import list_lines
-from verdikt.sources.files import read_files
+from verdikt.sources.files import read_files, read_stream
 from verdikt.sources.scratch import Scratch
 from verdikt.sources.signature_store import Store
 
@@ -33,7 +33,10 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--data", default="signatures", help="folder of the signature table and local lists, shared by all executors")
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("scan")
-    one.add_argument("paths", nargs="+")
+    one.add_argument("paths", nargs="+", help="files and folders; - is standard input")
+    one.add_argument("--name", default="stdin", help="file name to assume for standard input")
+    one.add_argument("-v", "--verbose", action="store_true", help="print all detections, issues and warnings")
+    one.add_argument("--no-clamav", action="store_true")
     one.add_argument("--json", action="store_true")
     one.add_argument("--quiet", action="store_true", help="print only malicious and failed files")
     one.add_argument("--no-heuristics", action="store_true")
@@ -55,12 +58,15 @@ def scan_paths(spark: SparkSession, args: argparse.Namespace, config: Config) ->
         print(ready.reason, file=sys.stderr)
         return 3
     scratch = Scratch(spark, "scan")
-    files = scratch.save(read_files(spark, args.paths, config.max_file_size), "files")
+    files = read_files(spark, [p for p in args.paths if p != "-"], config.max_file_size)
+    if "-" in args.paths:
+        files = read_stream(spark, sys.stdin.buffer, args.name, config.max_file_size).unionByName(files)
+    files = scratch.save(files, "files")
     lists = {name: S.local_entries(list_lines(spark, f"{args.data}/{name}.d")) for name in ("custom", "allow")}
     scanned = scan(files, config, known, lists["custom"], lists["allow"], args.password)
     rows = scratch.save(results(files.drop("content"), scanned, config, count), "results")
     shown = rows.where("verdict <> 'safe'") if args.quiet else rows
-    column, lines = ("json", result_json(shown)) if args.json else ("line", result_text(shown))
+    column, lines = ("json", result_json(shown)) if args.json else ("line", result_text(shown, args.verbose))
     for row in lines.sort("file_id").toLocalIterator():
         print(row[column])
     return exit_code(rows).first()[0]
@@ -81,10 +87,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{name}: {said}")
         return 0
     if args.command == "status":
-        for row in refresh.status(Store(spark, args.data)).sort("source", "algo").collect():
+        store = Store(spark, args.data)
+        for row in refresh.status(store).sort("source", "algo").collect():
             print(f"{row['source']} {row['algo']} {row['n']}")
+        summary = S.set_summary(store.read("base"), store.read("delta")).first()
+        made = time.strftime("%Y-%m-%d %H:%M:%S UTC", time.gmtime(store.created())) if store.created() else "never"
+        print(f"{summary['n']} signatures of {len(summary['sources'])} sources ({', '.join(summary['sources'])}), made {made}")
         return 0
-    changes = {"heuristics": config.heuristics and not args.no_heuristics, "require_signatures": config.require_signatures and not args.allow_no_signatures}
+    changes = {"clamav": "off"} if args.no_clamav else {}
+    changes |= {"heuristics": config.heuristics and not args.no_heuristics, "require_signatures": config.require_signatures and not args.allow_no_signatures}
     return scan_paths(spark, args, dataclasses.replace(config, **changes))
 
 

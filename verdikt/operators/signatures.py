@@ -85,6 +85,12 @@ def set_counts(base: DataFrame, delta: DataFrame) -> DataFrame:
     return both.groupBy("source", "algo").agg(F.count(F.lit(1)).alias("n"))
 
 
+def set_summary(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """One row: n over both tiers, and the names of all their sources in order."""
+    counts = set_counts(base, delta)
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sort_array(F.collect_set("source")).alias("sources"))
+
+
 def local_entries(lines: DataFrame) -> DataFrame:
     """(algo, hash, name) of a local list's lines (file, line_no, line): the last entry of a hash wins.
 

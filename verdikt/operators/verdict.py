@@ -8,7 +8,7 @@ before the shuffle, by file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdikt.config import Config
@@ -85,9 +85,27 @@ def result_json(rows: DataFrame) -> DataFrame:
     return rows.select("file_id", F.to_json(F.struct(*columns)).alias("json"))
 
 
-def result_text(rows: DataFrame) -> DataFrame:
-    """(file_id, line): a result for reading."""
+def result_text(rows: DataFrame, verbose: bool = False) -> DataFrame:
+    """(file_id, line): a result for reading; verbose ones have a line for each detection, issue and warning too."""
     names = F.concat_ws(", ", shown_names(F.col("detections")))
     line = F.when(F.col("verdict") == "malicious", F.concat(F.lit("MALICIOUS  "), "file", F.lit("  (score "), F.col("score").cast("string"), F.lit("): "), names))
     line = line.when(F.col("verdict") == "error", F.concat(F.lit("ERROR      "), "file", F.lit("  "), F.coalesce("error", F.lit("")))).otherwise(F.concat(F.lit("SAFE       "), "file"))
+    if verbose:
+        hits = F.transform("detections", lambda d: F.concat(F.lit("    ["), d["engine"], F.lit("] "), d["name"], F.lit(" (score "), d["score"].cast("string"), F.lit(") in "), d["object"]))
+        notes = [F.transform(c, lambda n, label=label: F.concat(F.lit(f"    {label}: "), n["object"], F.lit(": "), n["reason"])) for c, label in (("unscannable", "not inspected"), ("warnings", "warning"))]
+        line = F.concat_ws("\n", line, hits, *notes)
     return rows.select("file_id", line.alias("line"))
+
+
+def top_findings(detections: DataFrame, most: int = 3) -> DataFrame:
+    """(file_id, names): names for display, strongest first. Only the best few of a file ever meet in one row."""
+    order = Window.partitionBy("file_id").orderBy(F.desc("score"), "ord", "seq", "name")
+    best = detections.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    held = best.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("k", "name", "score"))).alias("d"))
+    return held.select("file_id", F.concat_ws(",", shown_names(F.col("d"))).alias("names"))
+
+
+def first_of_each_name(detections: DataFrame) -> DataFrame:
+    """(file_id, name, score): of each name the first finding whose score is over zero, by object and place; one row a name leaves a task."""
+    first = detections.where("score > 0").groupBy("file_id", "name").agg(F.min(F.struct("ord", "seq", "score")).alias("first"))
+    return first.select("file_id", "name", F.col("first.score").alias("score"))

@@ -22,7 +22,7 @@ from verdikt.operators import rules as R
 from verdikt.operators import scan as SC
 from verdikt.operators import signatures as S
 from verdikt.operators import verdict as V
-from verdikt.plans.samples import KINDS, LINES, MAGICS, NAMES, TEXTS
+from verdikt.plans.samples import GAPS, KINDS, LINES, MAGICS, NAMES, SNIPPETS, TEXTS, cases
 from verdikt.sources.files import from_texts
 from verdikt.sources.scratch import Scratch
 from verdikt.streaming.scans import FILES, scan_stream
@@ -201,11 +201,13 @@ def _detect_sql() -> str:
     tests = [("4d5a", "pe"), ("7f454c46", "elf"), ("feedfacf", "macho"), ("cafebabe000000[01]", "macho"), ("d0cf11e0a1b11ae1", "ole"), ("504b0(304|506)", "zip"), ("1f8b08", "gzip"), ("425a683[1-9]", "bzip2"), ("fd377a585a00", "xz"), ("377abcaf271c", "7z"), ("526172211a07", "rar"), ("4d53434600000000", "cab"), ("4c00000001140200", "lnk"), ("7b5c7274", "rtf"), ("89504e470d0a1a0a|ffd8ff|47494638", "image")]
     cases = " ".join(f"WHEN regexp_matches(h, '^({m})') THEN '{t}'" for m, t in tests)
     assert set(types) <= {c for c, _, _ in MAGICS}
+    # Text by its first bytes: no zero byte, and control characters under a twentieth; the tables' strings are valid UTF-8.
+    text = """CASE WHEN strlen(t) = 0 THEN 'unknown' WHEN contains(left(t, 1024), '%PDF-') THEN 'pdf' WHEN regexp_matches(left(t, 8192), '\\x00') THEN 'unknown'
+ WHEN 20 * length(regexp_replace(left(t, 8192), '[^\\x01-\\x08\\x0b\\x0e-\\x1a\\x1c-\\x1f]', '', 'g')) < least(strlen(t), 8192) THEN 'text' ELSE 'unknown' END"""
     return f"""
 WITH blobs(c, h) AS (VALUES {magic}), typed AS (
 SELECT c AS "case", CASE {cases} WHEN h <> '' AND NOT contains(h, '00') AND regexp_full_match(h, '([2-7][0-9a-f])+') THEN 'text' ELSE 'unknown' END AS file_type FROM blobs
-UNION ALL SELECT 'd' || doc_id, CASE WHEN coalesce(text, '') = '' THEN 'unknown' ELSE 'text' END FROM documents WHERE text IS NOT NULL
-UNION ALL SELECT 'p' || page_id, CASE WHEN coalesce(html, '') = '' THEN 'unknown' ELSE 'text' END FROM pages WHERE html IS NOT NULL)
+UNION ALL SELECT c, CASE {cases} ELSE {text} END FROM (SELECT c, t, lower(hex(encode(left(t, 16)))) AS h FROM (SELECT 'd' || doc_id AS c, text AS t FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages) WHERE t IS NOT NULL))
 SELECT "case", file_type, file_type IN ('zip', 'gzip', 'bzip2', 'xz', 'tar') AS archive, file_type IN ('pe', 'elf', 'macho') AS executable FROM typed"""
 
 
@@ -280,7 +282,8 @@ def inspect_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.exploded(found, "findings", "case").select("case", F.col("name").alias("finding"), "score")
 
 
-def _inspect_sql() -> str:
+def _inspect_tests() -> list[tuple[str, int, str]]:
+    """(finding, score, condition) of all that inspection looks for in a text of columns name, text, low."""
     links, out = "ends_with(lower(name), '.rels')", """contains(low, 'targetmode="external"')"""
     hidden = "contains(low, '/oleobject') AND contains(low, 'mhtml:')"
     tests = [(r.name, r.score, _rule_sql(r, "low")) for r in R.SCRIPT]
@@ -301,10 +304,32 @@ def _inspect_sql() -> str:
         ("Heuristic.Script.EmbeddedPE", 50, "contains(text, 'TVqQAAMAAAAEAAAA') OR contains(text, 'TVpQAAIAAAAEAA8A')"),
         ("Heuristic.HTML.Smuggling", 40, "contains(low, 'createobjecturl') AND contains(low, 'atob(') AND (contains(low, '.download') OR contains(low, 'mssaveoropenblob'))"),
     ]
-    each = [f"""SELECT "case", {_q(n)} AS finding, {s} AS score FROM texts WHERE {t}""" for n, s, t in tests]
+    return tests
+
+
+def _inspect_sql() -> str:
+    each = [f"""SELECT "case", {_q(n)} AS finding, {s} AS score FROM texts WHERE {t}""" for n, s, t in _inspect_tests()]
     return f"WITH {_texts_sql()}\n" + "\nUNION ALL ".join(each)
 
 
+def rule_near_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule whose two halves stand apart in a text longer than a window, by more or less than one reaches."""
+    gap = F.element_at(F.array(*(F.lit(n) for n in GAPS)), (F.col("n_chars") % len(GAPS) + 1).cast("int"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("plain words "), F.lit(100)), F.lit("\ncurl "), F.repeat(F.lit("x "), gap), F.lit("| sudo bash"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", C.latin1(F.encode(body, "UTF-8")).alias("body"))
+    found = R.exploded(R.findings(rows, "body", R.SCRIPT, "f"), "f", "doc_id")
+    return found.select("doc_id", F.col("name").alias("finding"), "score")
+
+
+def _near_sql() -> str:
+    rule = next(r for r in R.SCRIPT if r.name == "Heuristic.Shell.PipeToShell")
+    gaps = f"[{', '.join(map(str, GAPS))}][n_chars % {len(GAPS)} + 1]"
+    return f"""
+WITH b AS (SELECT doc_id, 'curl ' || repeat('x ', {gaps}) || '| sudo bash' AS body FROM documents),
+w AS (SELECT doc_id, left(body, 4 + {R.REACH}) AS seen FROM b)
+SELECT doc_id, '{rule.name}' AS finding, {rule.score} AS score FROM w WHERE regexp_matches(seen, {_q(rule.regex)})"""
+
+
 def rtf_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RTF rules over every document as the body of an RTF, with control words by its length."""
     low = C.ascii_lower(F.concat(F.lit("{\\rtf1 "), "text", F.element_at(F.array(F.lit("\\ObjData 4d5a90000300000004000000FFFF"), F.lit("\\objupdate Equation.3"), F.lit("\\objclass Package d0cf11e0a1b11ae1 \\objocx"), F.lit("")), (F.col("n_chars") % 4 + 1).cast("int"))))
@@ -350,9 +375,7 @@ def file_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First finding of each name in an order, by line."""
-    held = _lines(spark, sf_dir).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(F.get("ord", F.lit(0)).alias("obj"), "seq", "name", "score"))).alias("f"))
-    kept = held.select("file_id", F.explode(R.distinct_findings(F.transform("f", lambda f: F.struct(f["name"].alias("name"), f["score"].alias("score"))))).alias("f"))
-    return kept.select("file_id", F.col("f.name").alias("name"), F.col("f.score").alias("score"))
+    return V.first_of_each_name(_lines(spark, sf_dir))
 
 
 def _verdicts(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
@@ -385,9 +408,7 @@ FROM orders o LEFT JOIN s ON s.file_id = o.o_orderkey)"""
 
 def top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names shown for each order: strongest first, at most three, weak ones left out after the first."""
-    entry = F.struct((-F.col("score")).alias("k"), F.get("ord", F.lit(0)).alias("o"), "seq", "name", "score")
-    held = _lines(spark, sf_dir).groupBy("file_id").agg(F.sort_array(F.collect_list(entry)).alias("d"))
-    return held.select("file_id", F.concat_ws(",", V.shown_names(F.col("d"))).alias("names"))
+    return V.top_findings(_lines(spark, sf_dir))
 
 
 _TOP_SQL = f"""
@@ -417,6 +438,49 @@ SELECT d.doc_id AS file_id, 'doc_' || d.doc_id || '.txt' AS file, strlen(d.text)
 FROM documents d LEFT JOIN allowed a ON a.hash = sha256(d.text) LEFT JOIN known k ON k.hash = sha256(d.text)"""
 
 
+def _snippet(length):
+    return F.element_at(F.array(*(F.lit(x) for x in SNIPPETS)), (length % len(SNIPPETS) + 1).cast("int"))
+
+
+def scan_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with lines of scripts put in: rules, signatures and lists meet in one verdict."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), _snippet(F.col("doc_id"))).alias("text"))
+    files = from_texts(docs, "doc_id", "text")
+    found = docs.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), F.lit("sha256").alias("algo"), "doc_id")
+    known = S.merged(found.where("doc_id % 7 = 3").select("algo", "hash", F.lit("feed").alias("source")), found.limit(0).select("algo", "hash", F.lit("feed").alias("source")))
+    allowed = found.where("doc_id % 11 = 5").select("algo", "hash").distinct().withColumn("name", F.lit("by hand"))
+    rows = V.results(files, SC.scan(files, CONFIG, known, None, allowed), CONFIG, 1)
+    return rows.select("file_id", "verdict", "score", F.size("detections").alias("n_detections"), "allowlisted")
+
+
+def _injected_sql() -> str:
+    snippets = ", ".join(_q(x) for x in SNIPPETS)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    each = "\nUNION ALL ".join(f"SELECT doc_id, {s} AS score FROM texts WHERE {t}" for _, s, t in _inspect_tests())
+    return f"""
+WITH texts AS (SELECT doc_id, 'doc_' || doc_id || '.txt' AS name, text, translate(text, '{upper}', '{lower}') AS low, sha256(text) AS hash FROM (SELECT doc_id, coalesce(text, '') || [{snippets}][doc_id % {len(SNIPPETS)} + 1] AS text FROM documents)),
+found AS ({each}),
+scored AS (SELECT doc_id, sum(score) AS score, count(*) AS n FROM found GROUP BY doc_id),
+listed AS (SELECT t.doc_id, t.hash IN (SELECT hash FROM texts WHERE doc_id % 11 = 5) AS allowlisted, t.hash IN (SELECT hash FROM texts WHERE doc_id % 7 = 3) AS known FROM texts t),
+judged AS (SELECT l.*, CASE WHEN allowlisted THEN 0 WHEN known THEN 100 ELSE coalesce(s.score, 0) END AS score, CASE WHEN allowlisted THEN 0 WHEN known THEN 1 ELSE coalesce(s.n, 0) END AS n FROM listed l LEFT JOIN scored s USING (doc_id))
+SELECT doc_id AS file_id, CASE WHEN score >= {CONFIG.threshold} THEN 'malicious' ELSE 'safe' END AS verdict, score::BIGINT AS score, n::INTEGER AS n_detections, allowlisted FROM judged"""
+
+
+def scan_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files of other kinds: bombs, nesting, passwords, cut members, programs, macros, PDF, shortcuts, wide text."""
+    made = cases()
+    files = spark.createDataFrame([(i, name, bytearray(content)) for i, (name, content, *_) in enumerate(made)], "file_id long, name string, content binary")
+    config = Config(require_signatures=False, max_file_size=1 << 20, max_total_extract=8 << 20, max_archive_files=50, max_archive_depth=3)
+    rows = V.results(files, SC.scan(files, config), config, 0)
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("detections", lambda d: d["name"]))), ",")
+    return rows.select("file", "verdict", "score", "objects_scanned", names.alias("names"), F.size("unscannable").alias("n_issues"))
+
+
+def _samples_sql() -> str:
+    rows = ", ".join(f"({_q(name)}, '{verdict}', {score}::BIGINT, {objects}::BIGINT, {_q(','.join(sorted(names)))}, {issues})" for name, _, verdict, score, objects, names, issues in cases())
+    return f"SELECT * FROM (VALUES {rows}) v(file, verdict, score, objects_scanned, names, n_issues)"
+
+
 def stream_scan_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan of the documents as a stream of files; nothing is allowed here."""
     scratch = Scratch(spark, "stream")
@@ -500,10 +564,16 @@ QUERIES = {
     "archive_roundtrip_tgz": _roundtrip("tgz", 2),
     "archive_roundtrip_nested": _roundtrip("nested", 2),
     "stream_scan_equals_batch": stream_scan_equals_batch,
+    "scan_injected": scan_injected,
+    "scan_samples": scan_samples,
+    "rule_near_window": rule_near_window,
 }
 
 ORACLES = {
     "scan_documents": _SCAN_SQL,
+    "scan_injected": _injected_sql(),
+    "scan_samples": _samples_sql(),
+    "rule_near_window": _near_sql(),
     "object_hashes": "SELECT doc_id AS file_id, 'doc_' || doc_id || '.txt' AS name, sha256(text) AS sha256, md5(text) AS md5, strlen(text) AS size FROM documents",
     "feed_line_parse": _feed_line_sql(),
     "sig_build_dedupe": _DEDUPE_SQL,

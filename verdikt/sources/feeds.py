@@ -1,15 +1,16 @@
 """Signature feeds: lines of downloaded files, and the downloads themselves.
 
-Downloads land as files; Spark reads and parses them. A zip feed's members are
-unpacked on the way. A feed that changes nothing since the last time (304) or
+Downloads land as files, piece by piece; Spark reads and parses them. A zip feed's
+members are unpacked on the way, and one in which no hash stands is an error. A feed that changes nothing since the last time (304) or
 has no further shard (404) says so by its own exception.
 """
 
 from __future__ import annotations
 
-import io
 import os
 import re
+import shutil
+import tempfile
 import urllib.error
 import urllib.request
 import zipfile
@@ -28,6 +29,25 @@ class NotFound(Exception):
     pass
 
 
+_HASH = re.compile(rb"(?:^|[, \t\"';|:])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{32})(?:[, \t\"';|:]|$)")
+
+
+def _unpacked(packed, out) -> None:
+    """Writes the lines of all members; ValueError where none holds a hash."""
+    found = False
+    with zipfile.ZipFile(packed) as archive:
+        for name in archive.namelist():
+            if name.endswith("/"):
+                continue
+            with archive.open(name) as member:
+                for line in member:
+                    found = found or line.lstrip()[:1] not in (b"#", b";") and _HASH.search(line.strip()) is not None
+                    out.write(line)
+            out.write(b"\n")
+    if not found:
+        raise ValueError("feed contained no hashes")
+
+
 def fetch(feed: Feed, folder: str, shard: int | None = None, etag: str = "", modified: str = "", timeout: float = 300) -> tuple[str, str, str]:
     """Downloads a feed into a file of the folder: (path, etag, last-modified)."""
     url = feed.url if shard is None else feed.url % shard
@@ -38,9 +58,18 @@ def fetch(feed: Feed, folder: str, shard: int | None = None, etag: str = "", mod
         request.add_header("If-None-Match", etag)
     if modified:
         request.add_header("If-Modified-Since", modified)
+    path = os.path.join(folder, f"{feed.name}{'' if shard is None else f'-{shard:05d}'}.txt")
     try:
-        with urllib.request.urlopen(request, timeout=timeout) as reply:
-            data, tag, since = reply.read(), reply.headers.get("ETag", ""), reply.headers.get("Last-Modified", "")
+        with tempfile.TemporaryFile() as held:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                shutil.copyfileobj(reply, held)
+                tag, since = reply.headers.get("ETag", ""), reply.headers.get("Last-Modified", "")
+            held.seek(0)
+            with open(path, "wb") as out:
+                if feed.format == "zip":
+                    _unpacked(held, out)
+                else:
+                    shutil.copyfileobj(held, out)
     except urllib.error.HTTPError as e:
         if e.code == 304:
             raise NotModified(url) from None
@@ -51,12 +80,6 @@ def fetch(feed: Feed, folder: str, shard: int | None = None, etag: str = "", mod
         if isinstance(e.reason, FileNotFoundError):
             raise NotFound(url) from None
         raise
-    if feed.format == "zip":
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            data = b"\n".join(archive.read(n) for n in archive.namelist() if not n.endswith("/"))
-    path = os.path.join(folder, f"{feed.name}{'' if shard is None else f'-{shard:05d}'}.txt")
-    with open(path, "wb") as f:
-        f.write(data)
     return path, tag, since
 
 

@@ -82,6 +82,13 @@ def read_files(spark: SparkSession, paths: Iterable[str], limit: int, per_task:
     return listed.repartition(tasks, "file_id").mapInArrow(run, FILES)
 
 
+def read_stream(spark: SparkSession, stream, name: str, limit: int) -> DataFrame:
+    """FILES of one stream, which comes before the files of any walk."""
+    data = stream.read(limit + 1)
+    problem = f"{name} exceeds the size limit ({limit} bytes)" if len(data) > limit else None
+    return spark.createDataFrame([(-1, name, None if problem else bytearray(data), problem, None)], FILES)
+
+
 def hashed(path: str) -> dict:
     """size, sha256, md5 and head of a file, read in pieces."""
     one, two, size, head = hashlib.sha256(), hashlib.md5(), 0, b""

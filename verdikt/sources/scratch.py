@@ -21,7 +21,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # local tests only: a cluster names its shared folder
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="verdikt-")
         self.spark, self.root = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._clear)

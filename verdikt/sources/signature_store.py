@@ -69,8 +69,14 @@ class Store:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             rows.select("algo", "hash", "src_idx", "source").repartitionByRange(n, "algo", "hash").sortWithinPartitions("algo", "hash").write.parquet(f"{self.folder}/{name}")
             pointer[tier] = name
+            pointer[f"{tier}-created"] = time.time()
         replace_file(f"{self.folder}/current.json", json.dumps(pointer).encode())
 
+    def created(self) -> float:
+        """When the newest snapshot in force was made; 0 where there is none."""
+        pointer = self._pointer()
+        return max((pointer.get(f"{tier}-created", 0.0) for tier in ("base", "delta") if tier in pointer), default=0.0)
+
     def point_lookup(self, tier: str, value: str) -> DataFrame:
         """The rows of one hash, by the minima and maxima of files and row groups."""
         return self.read(tier).where(F.col("hash") == value.lower())
