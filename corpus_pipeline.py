@@ -13,6 +13,15 @@ return the columns of ``documents``.
 
 Each row is judged by its own text. Models, their labels and their held-out fold
 are those of the operators; no label is looked at when a row is judged.
+
+A null text is judged as an empty one by the models, is no one's near-duplicate,
+stays null under masking and is packed as an end id alone; texts are never cut,
+however long. Of rows that tie or repeat, the models keep all or none; rows that
+repeat a doc_id count as one document in near_duplicates and stay or go together;
+a row without doc_id stays there. An empty table gives an empty one, of the
+columns of ``documents`` or, at the end, of pieces. Further columns, whatever
+their names, are kept up to packing, which ignores them. Where labels hold too
+little to learn from, the quality stage rejects all and the toxicity stage none.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import public_tokenizers
+import pytest
 
 import corpus_pipeline as C
 from test_near import brute
@@ -34,3 +35,23 @@ def test_stages_against_brute_force(spark):
 def test_run_is_repeatable(spark):
     once, again = (sorted(map(tuple, C.run(spark, "/root/testdata/sf0.001").select("doc_id", "start", "length", "ids_crc32").collect())) for _ in range(2))
     assert once and {r[0] for r in once} == {r[0] for r in again}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in C.STAGES])
+def test_stages_on_awkward_tables(spark, awkward, tmp_path, name):
+    """Nulls, empty and very long texts, repeated rows, null ids, clashing columns, tables without rows."""
+    stage, sf = dict(C.STAGES)[name], str(tmp_path)
+    labels = [(5, 1, 0), (9, 0, 1), (4, 1, 0), (8, 0, 1), (3, 1, 0), (2, 0, None), (None, 1, 1), (6, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{sf}/labels.parquet")
+    clashing = awkward.selectExpr("*", "true as kept", "0L as component_id", "0 as n", "'x' as sketch", "0L as place", "1 as label")
+    out, rows = stage(spark, clashing, sf), clashing.count()
+    if name == "packing":
+        assert check_packing(out.collect(), [(r["doc_id"], r["text"] or "") for r in clashing.collect()]) == 0
+    else:
+        assert out.columns == clashing.columns and out.count() <= rows
+        if name == "near_duplicates":
+            assert out.where("doc_id is null").count() == clashing.where("doc_id is null").count() and out.where("text is null").count() == 1
+        if name == "personal_data":
+            assert out.count() == rows and out.where("text is null").count() == 1
+    empty = stage(spark, clashing.limit(0), sf)
+    assert empty.count() == 0 and empty.columns == out.columns
