@@ -86,6 +86,38 @@ def test_orc_files(spark, awkward, scratch):
     assert orc_tokens.digests(spark, empty).count() == 0
 
 
+def test_orc_metadata(spark, scratch, monkeypatch):
+    """Footers: several stripes, run-length encoded ids, row indexes and Bloom filters on doc_id; and what a lookup reads."""
+    monkeypatch.setattr(orc_tokens, "STRIPE", 1 << 16)
+    path, n = scratch().path("m.orc"), 44_000
+    docs = spark.range(n).selectExpr("id * 3 as doc_id", "concat('some words of document ', id, ' and ', id * 7) as text").coalesce(1)
+    orc_tokens.write(docs, path, FILE, 2)
+    jvm, stripes, groups = spark._jvm, 0, 0
+    for file in spark.read.orc(path).inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == orc_tokens.ROW_GROUP and reader.getSchema().getFieldNames().get(0) == "doc_id"
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = [(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()]
+            assert (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds and not any(k.startswith("BLOOM") and c != 1 for c, k in kinds)
+            assert footer.getColumns(3).getKind().toString() == "DIRECT_V2"  # the ids: run lengths of integers
+            stripes, groups = stripes + 1, groups + -(-stripe.getNumberOfRows() // orc_tokens.ROW_GROUP)
+        rows.close()
+    assert stripes >= 2 * len(spark.read.orc(path).inputFiles()) and groups >= n // orc_tokens.ROW_GROUP
+
+    def read_by(ids):
+        found = orc_tokens.lookup(spark, path, ids)
+        rows = found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return len(rows), leaf.metrics().apply("numOutputRows").value()
+
+    some, read = read_by([3 * 12_345])
+    assert some == 1 and read <= orc_tokens.ROW_GROUP  # one row group by its minimum and maximum
+    some, read = read_by([3 * 12_345 + 1])
+    assert some == 0 and read == 0  # within the bounds, but not in the Bloom filter
+
+
 def check_packing(rows, texts, window=1024):
     by_doc, by_sequence = {}, {}
     for r in rows:
