@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+from oracle import same
 from verdikt.llm import pii
+from verdikt.llm.queries import ORACLES, QUERIES
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -72,3 +74,8 @@ def test_tables(spark, awkward, documents):
     assert pii.redact(docs).columns == docs.columns
     assert pii.digests(awkward).count() == pii.find(awkward).count() == awkward.count() and pii.digests(docs.limit(0)).count() == 0
     assert [s["kind"] for r in pii.find(docs).where("doc_id = 0").collect() for s in r["spans"]] == ["email", "ip"]
+
+
+@pytest.mark.parametrize("query", ["pii_base", "bpe_decoded"])
+def test_queries_equal_their_sql(spark, small, query):
+    same(QUERIES[query](spark, small), small, ORACLES[query])

@@ -61,6 +61,18 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, Scratch(spark, "op10"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 finds without deobfuscation, which SQL can say."""
+    return pii.digests(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded to a table of ids and decoded from it."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(ids, path, public_tokenizers.PATTERN).select("doc_id", F.sha2("raw", 256).alias("decoded_sha256"))
+
+
 def _op1_sql() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urls.RULES)
@@ -71,21 +83,43 @@ def _op1_sql() -> str:
 WITH rules(verdict, host, path) AS (VALUES {rules}),
 terms(term, weight) AS (VALUES {terms}),
 rest AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
-parts AS (SELECT page_id, list_reduce(list_prepend(translate(coalesce(url, ''), '{upper}', '{lower}'), [{escapes}]), lambda a, e: replace(a, e[1:3], e[4:4])) AS low,
+parts AS MATERIALIZED (SELECT page_id, list_reduce(list_prepend(translate(coalesce(url, ''), '{upper}', '{lower}'), [{escapes}]), lambda a, e: replace(a, e[1:3], e[4:4])) AS low,
   translate(regexp_extract(r, '^[^/?#]*'), '{upper}', '{lower}') AS host,
   regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
 fits AS (SELECT p.page_id, r.verdict, r.host || r.path AS rule,
   row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS k
   FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
-found AS (SELECT p.page_id, list(t.term ORDER BY t.term) AS terms, sum(t.weight)::INTEGER AS weight
-  FROM parts p JOIN terms t ON contains(p.low, t.term)
-   AND regexp_matches(p.low, '(^|[^\\pL\\pN])' || t.term || '($|[^\\pL\\pN])') GROUP BY p.page_id)
+found AS (SELECT t.page_id, list(t.term ORDER BY t.term) AS terms, sum(t.weight)::INTEGER AS weight
+  FROM (SELECT p.page_id, p.low, t.term, t.weight FROM parts p JOIN terms t ON contains(p.low, t.term)) t
+  WHERE regexp_matches(t.low, '(^|[^\\pL\\pN])' || t.term || '($|[^\\pL\\pN])') GROUP BY t.page_id)
 SELECT p.page_id, p.host, p.path, f.rule,
   coalesce(f.verdict, CASE WHEN coalesce(w.weight, 0) >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(w.terms, []) AS terms, coalesce(w.weight, 0) AS weight
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1 LEFT JOIN found w ON w.page_id = p.page_id"""
 
 
+def _pii_base_sql() -> str:
+    """Matches and what stands between them give the places; RE2 patterns as the contract has them."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    }
+    each = " UNION ALL ".join(f"SELECT r, {k} AS kind, '{name}' AS name, regexp_extract_all(text, '{p}') AS found, string_split_regex(text, '{p}') AS gaps FROM t" for k, (name, p) in enumerate(patterns.items()))
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(patterns))
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({each}),
+e AS (SELECT r, kind, name, unnest(found) AS s, unnest(gaps[1 : len(found)]) AS gap, generate_subscripts(found, 1) AS i FROM m WHERE len(found) > 0),
+p AS (SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY r, kind ORDER BY i) AS stop, reverse(regexp_replace(s, '[^0-9]', '', 'g')) AS d FROM e),
+ok AS (SELECT *, stop - length(s) AS start FROM p WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (ltrim(x, '0') <> '' AND right(ltrim(x, '0'), 3)::INTEGER > 255))) = 0
+  WHEN 3 THEN length(d) BETWEEN 9 AND 15
+  ELSE length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, i::INTEGER + 1, 1)::INTEGER ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(d, i::INTEGER + 1, 1)::INTEGER + 1] END)) % 10 = 0 END),
+g AS (SELECT r, {counts}, string_agg(name || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind) AS spans FROM ok GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in patterns)}, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN g USING (r)"""
+
+
 def _op4_sql() -> str:
     """The tree and its pieces, spelled out row by row. ``near`` holds pieces against pieces, not hashes of them."""
     piece = merkle.PIECE.replace("\\u", "\\x").replace("\\x3001\\x3002", "\\x{3001}\\x{3002}")
@@ -151,6 +185,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_toxicity": op9_toxicity,
     "op10_bm25_packing": op10_bm25_packing,
+    "pii_base": pii_base,
+    "bpe_decoded": bpe_decoded,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql()}
+ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql(), "pii_base": _pii_base_sql(), "bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}
