@@ -283,7 +283,8 @@ def test_files_over_the_limit(spark, tmp_path):
     assert gone["other"]["verdict"] == "error" and gone["bad"]["verdict"] == "malicious"
 
 
-def test_files_on_disk(spark, tmp_path):
+def test_files_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("verdikt.sources.files.LISTED", 2)
     (tmp_path / "_u").mkdir()
     for name, data in (("a.bin", b"x"), ("_u/b", b"y"), (".hid", b"z"), ("empty", b""), ("big", b"A" * 4096)):
         (tmp_path / name).write_bytes(data)

@@ -2,7 +2,8 @@
 
 Spark's own binary source leaves out empty files and names that begin with a
 dot or an underscore, which a scan may not. The walk lists regular files on the
-driver (paths and sizes only); contents are read in tasks. A file that cannot
+driver (paths and sizes only, ``LISTED`` of them at a time); contents are read in
+tasks. A file that cannot
 be listed or read, or is over the size limit, is a row with a problem; one over
 the limit is read in pieces, and its row has hashes, size and head (``large``).
 """
@@ -13,13 +14,19 @@ import hashlib
 import os
 import stat
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from verdikt.sources.scratch import Scratch
+
 #: What is known of a file too large to hold.
 LARGE = "struct<sha256:string,md5:string,size:bigint,head:binary,file:string>"
 FILES = f"file_id long, name string, content binary, problem string, large {LARGE}"
+LISTING = "file_id long, name string, size long, problem string"
+#: Files that the driver holds at a time while it lists them.
+LISTED = 100_000
 #: Bytes read at a time of a file too large to hold.
 CHUNK = 1 << 20
 #: Bytes of such a file that its type is told from.
@@ -58,9 +65,14 @@ def walk(paths: Iterable[str]) -> Iterator[tuple[str, int, str | None]]:
 
 def read_files(spark: SparkSession, paths: Iterable[str], limit: int, per_task: int = 64 << 20) -> DataFrame:
     """FILES of the paths, which every executor must be able to open."""
-    rows = [(i, p, n, problem) for i, (p, n, problem) in enumerate(walk(paths))]
-    listed = spark.createDataFrame(rows, "file_id long, name string, size long, problem string")
-    tasks = max(1, -(-sum(r[2] for r in rows) // per_task), -(-len(rows) // 10_000))
+    scratch, count, size = Scratch(spark, "walk"), 0, 0
+    spark.createDataFrame([], LISTING).write.parquet(scratch.path("files"))
+    for some in batched(walk(paths), LISTED):
+        rows = [(count + i, p, n, problem) for i, (p, n, problem) in enumerate(some)]
+        spark.createDataFrame(rows, LISTING).write.mode("append").parquet(scratch.path("files"))
+        count, size = count + len(rows), size + sum(r[2] for r in rows)
+    listed = spark.read.schema(LISTING).parquet(scratch.path("files"))
+    tasks = max(1, -(-size // per_task), -(-count // 10_000))
     known = pa.struct([("sha256", pa.string()), ("md5", pa.string()), ("size", pa.int64()), ("head", pa.binary()), ("file", pa.string())])
     schema = pa.schema([("file_id", pa.int64()), ("name", pa.string()), ("content", pa.binary()), ("problem", pa.string()), ("large", known)])
 
