@@ -1,6 +1,7 @@
 import functools
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from oracle import DATA
-from verdikt.llm import bpe, orc_tokens, packing
+from verdikt.llm import bpe, orc_tokens, packing, units
 from verdikt.llm.units import UnitEncoder
 
 RANKS, FILE = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -45,6 +46,14 @@ def test_runs_of_white_space_equal_whole_texts(n):
         assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(texts)] == whole
 
 
+def test_long_runs_are_all_seen():
+    rng = random.Random(8)
+    for _ in range(400):
+        parts = [rng.choice(["word ", "x", " " * rng.choice([1, 2000, 2048, 4095]), rng.choice(" \n\t") * rng.randint(4090, 9000), "a" * rng.randint(1, 5000)]) for _ in range(rng.randint(1, 9))]
+        text = "".join(parts)
+        assert units.long_runs(text) == [m.span() for m in re.finditer(r"[ \n\t]{4096,}", text)]
+
+
 def test_two_million_characters_of_one_class(documents):
     n = 2_000_000
     runs = [" " * n, "\n" * n, "\t" * n, "\u3000" * n, " \r\n" * (n // 3) + "end", "漢" * n, "x" * n, "5" * n, "!" * n, "'" * n, "漢a1!" * (n // 4), "a " * (n // 2)]

@@ -37,6 +37,15 @@ _LONG = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 SUFFIX = ".,!?;:#$%&*|"
 
 
+def long_runs(text: str) -> list[tuple[int, int]]:
+    """Spans of LONG_RUN white-space characters or more. One in LONG_RUN characters is looked at before all are."""
+    half = LONG_RUN // 2
+    for at in range(LONG_RUN - 1, len(text), LONG_RUN):  # a long run covers such a place, and half of it lies on one side
+        if text[at].isspace() and (text[at - half + 1 : at].isspace() or text[at + 1 : at + half].isspace()):
+            return [m.span() for m in _LONG.finditer(text)]
+    return []
+
+
 def _plain(piece: str) -> bool:
     return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
@@ -104,7 +113,7 @@ class UnitEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text; equal to tokenising the whole text at once."""
-        blank = {i: runs for i, text in enumerate(texts) if len(text) >= LONG_RUN and (runs := [m.span() for m in _LONG.finditer(text)])}
+        blank = {i: runs for i, text in enumerate(texts) if len(text) >= LONG_RUN and (runs := long_runs(text))}
         if not blank:
             return self._cut(texts)
         out = self._cut(["" if i in blank else text for i, text in enumerate(texts)])
