@@ -268,13 +268,25 @@ def findings(rows: DataFrame, text: str, rules: tuple[Rule, ...], out: str) -> D
     Texts are lower-cased by Spark only where a literal was found, unless a rule
     of the catalogue does without literals.
     """
-    known = F.array(*(finding(r.name, r.score) for r in rules))
-    places, held, low = (f"__{out}_{x}" for x in ("places", "held", "low"))
+    held, low, places, found = _steps(rows.sparkSession.sparkContext, text, rules, out)
+    names = tuple(f"__{out}_{x}" for x in ("held", "low", "places"))
+    for name, step in zip(names, (held, low, places)):
+        rows = rows.withColumn(name, step)
+    return rows.withColumn(out, found).drop(*names)
+
+
+@functools.cache
+def _steps(_context, text: str, rules: tuple[Rule, ...], out: str) -> tuple[Column, Column, Column, Column]:
+    """The expressions of ``findings``, one after another. Hundreds of calls make them, so they are made once in a Spark context."""
+    held, low, places = (f"__{out}_{x}" for x in ("held", "low", "places"))
     always = any(not (r.any_of or r.all_of or r.near) for r in rules)
-    placed = rows.withColumn(held, held_literals(F.col(text), literals_of(rules)))
-    placed = placed.withColumn(low, F.when(F.lit(always) | (F.size(held) > 0), ascii_lower(F.col(text))))
-    placed = placed.withColumn(places, matched(F.col(low), F.col(held), rules))
-    return placed.withColumn(out, F.transform(places, lambda i: F.get(known, i))).drop(places, held, low)
+    known = F.array(*(finding(r.name, r.score) for r in rules))
+    return (
+        held_literals(F.col(text), literals_of(rules)),
+        F.when(F.lit(always) | (F.size(held) > 0), ascii_lower(F.col(text))),
+        matched(F.col(low), F.col(held), rules),
+        F.transform(places, lambda i: F.get(known, i)),
+    )
 
 
 def mentions(text: Column, literal: str) -> Column:
