@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.sources.scratch import Scratch
 
-__all__ = ["Scratch", "batches", "for_splits", "hash_sample", "labelled_sample", "table", "tasks", "texts", "train_row"]
+__all__ = ["Scratch", "batches", "for_splits", "hash_sample", "labelled_sample", "packed", "slices", "table", "tasks", "texts", "train_row", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,30 @@ def batches(schema: pa.Schema, rows, size: int = 1024):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+def slices(part: pa.RecordBatch, column: str, size: int):
+    """The batch in runs of rows whose texts have about ``size`` bytes together; a longer text stands alone."""
+    total, at = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(part.column(column)), 0).to_pylist()):
+        if i > at and total + n > size:
+            yield part.slice(at, i - at)
+            total, at = 0, i
+        total += n
+    if part.num_rows > at:
+        yield part.slice(at)
+
+
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """values[cuts[i]:cuts[i + 1]] as the bytes of row i."""
+    values = np.ascontiguousarray(values)
+    offsets = (np.asarray(cuts) * values.dtype.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """All rows' values one after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def train_row(doc_id):
     """True for rows whose labels may be learned from; the others are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0

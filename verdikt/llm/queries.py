@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import bpe, ego, merkle, minhash, orc_tokens, packing, pii, quality, toxicity, urls
+from verdikt.llm import bpe, ego, merkle, minhash, orc_tokens, packing, pii, quality, substrings, toxicity, urls
 from verdikt.llm.common import Scratch, table, train_row
 
 
@@ -61,6 +61,10 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, Scratch(spark, "op10"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 finds without deobfuscation, which SQL can say."""
     return pii.digests(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -174,6 +178,20 @@ SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.component_id, e.vec_id =
 FROM embeddings e JOIN least m USING (vec_id) LEFT JOIN counted c USING (vec_id)"""
 
 
+def _op11_sql() -> str:
+    n = substrings.WINDOW
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + {n - 1}], ' ') AS s FROM starts),
+least AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+hits AS (SELECT doc_id, i FROM windows JOIN least USING (s) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS p, true AS gone FROM hits),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+told AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone IS NULL) AS kept FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN told t USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_orc_tokens": op2_orc_tokens,
@@ -185,8 +203,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_toxicity": op9_toxicity,
     "op10_bm25_packing": op10_bm25_packing,
+    "op11_substring_dedup": op11_substring_dedup,
     "pii_base": pii_base,
     "bpe_decoded": bpe_decoded,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql(), "pii_base": _pii_base_sql(), "bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}
+ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql(), "op11_substring_dedup": _op11_sql(), "pii_base": _pii_base_sql(), "bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}

@@ -18,7 +18,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _inverse(odd: np.uint64) -> np.uint64:
@@ -87,6 +87,19 @@ def hashed_words(column: pa.Array) -> Words:
     return Words(doc, mix(_segments(_BYTE[_LOWER[data]], _P, start, end)))
 
 
+def exact_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first hash, second hash) of each word, case kept; the two hashes are independent."""
+    data, cuts = raw_bytes(column)
+    start, end, doc = word_spans(data, cuts)
+    value = _BYTE[data]
+    return doc, mix(_segments(value, _P, start, end)), mix(_segments(value * value + np.uint64(0x632BE59BD9B4E019), _R, start, end))
+
+
+def windows(word: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each place on."""
+    return mix(_segments(word, _Q, at, at + k))
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted, without repeats."""
     values = np.sort(values)
