@@ -48,7 +48,7 @@ WINDOW = 13
 PERIOD, COVER = 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Pairs that a task gathers before it asks, bytes of text that are hashed at once.
-PAIRS, TEXT_BYTES = 1 << 21, 4 << 20
+PAIRS, TEXT_BYTES = 1 << 21, 1 << 20
 #: Rows of a question: the pair is still open; the hash is known to be shared; the pair is settled and only travels on.
 OPEN, SHARED, SETTLED = 0, 1, 2
 
@@ -59,10 +59,10 @@ _ASK_SQL, _ANSWER_SQL = "place int, kind int, docs binary, high binary, low bina
 
 
 class Hashed:
-    """A slice of texts as words: doc (row), two hashes a word, the word's place in its text, words after it."""
+    """A slice of texts as words: doc (row), one or two hashes a word, the word's place in its text, words from it on."""
 
-    def __init__(self, column: pa.Array):
-        self.doc, self.high, self.low = exact_words(column)
+    def __init__(self, column: pa.Array, lanes: int = 1):
+        self.doc, *self.hashes = exact_words(column, lanes)
         self.count = np.bincount(self.doc, minlength=len(column))
         self.first = np.r_[0, np.cumsum(self.count)]
         self.place = np.arange(len(self.doc)) - self.first[self.doc]
@@ -187,7 +187,7 @@ def anchor_questions(docs: DataFrame, places: int) -> DataFrame:
             for rows in slices(part, "text", TEXT_BYTES):
                 words = Hashed(rows.column("text"))
                 at = words.anchors()
-                keys = windows(words.high, at, ANCHOR)
+                keys = windows(words.hashes[0], at, ANCHOR)
                 yield from asked.add(ids[done + words.doc[at]], keys, np.zeros(len(keys), np.uint64))
                 done += rows.num_rows
         yield from asked.flush()
@@ -202,13 +202,13 @@ def window_questions(docs: DataFrame, places: int) -> DataFrame:
         asked = Questions(places, least=True)
         for part in parts:
             for rows in slices(part, "text", TEXT_BYTES):
-                ids, words = rows.column("doc_id").to_numpy(), Hashed(rows.column("text"))
+                ids, words = rows.column("doc_id").to_numpy(), Hashed(rows.column("text"), lanes=2)
                 at = words.anchors()
-                hit = at[_answered(rows, words.doc[at], windows(words.high, at, ANCHOR))]
+                hit = at[_answered(rows, words.doc[at], windows(words.hashes[0], at, ANCHOR))]
                 some = words.starts()
                 # An anchor is in the windows that start up to PERIOD - 1 words before it; those of another text do not reach a window's length.
                 some = some[covering(len(words.doc), hit, 0, PERIOD - 1)[some]]
-                yield from asked.add(ids[words.doc[some]], windows(words.high, some, WINDOW), windows(words.low, some, WINDOW))
+                yield from asked.add(ids[words.doc[some]], windows(words.hashes[0], some, WINDOW), windows(words.hashes[1], some, WINDOW))
         yield from asked.flush()
 
     return docs.mapInArrow(run, _ASK_SQL)
@@ -230,7 +230,7 @@ def without(docs: DataFrame) -> DataFrame:
                 if wanted.num_rows:
                     words = Hashed(wanted.column("text"))
                     at = words.starts()
-                    hit = at[_answered(wanted, words.doc[at], windows(words.high, at, WINDOW))]
+                    hit = at[_answered(wanted, words.doc[at], windows(words.hashes[0], at, WINDOW))]
                     covered = covering(len(words.doc), hit, WINDOW - 1, 0)
                     cuts = words.first.tolist()
                     gone = {k: covered[a:b] for k, a, b in zip(np.flatnonzero(pc.is_valid(rows.column("answers")).to_numpy(zero_copy_only=False)).tolist(), cuts, cuts[1:])}

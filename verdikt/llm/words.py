@@ -87,12 +87,13 @@ def hashed_words(column: pa.Array) -> Words:
     return Words(doc, mix(_segments(_BYTE[_LOWER[data]], _P, start, end)))
 
 
-def exact_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first hash, second hash) of each word, case kept; the two hashes are independent."""
+def exact_words(column: pa.Array, lanes: int) -> tuple[np.ndarray, ...]:
+    """(document, hash, ...) of each word, case kept; the hashes of the two lanes are independent."""
     data, cuts = raw_bytes(column)
     start, end, doc = word_spans(data, cuts)
     value = _BYTE[data]
-    return doc, mix(_segments(value, _P, start, end)), mix(_segments(value * value + np.uint64(0x632BE59BD9B4E019), _R, start, end))
+    first = mix(_segments(value, _P, start, end))
+    return (doc, first) if lanes == 1 else (doc, first, mix(_segments(value * value + np.uint64(0x632BE59BD9B4E019), _R, start, end)))
 
 
 def windows(word: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
