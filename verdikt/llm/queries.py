@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import bpe, ego, merkle, minhash, orc_tokens, packing, pii, quality, substrings, toxicity, urls
+from verdikt.llm import bpe, divergence, ego, merkle, minhash, orc_tokens, packing, pii, quality, substrings, toxicity, urls
 from verdikt.llm.common import Scratch, table, train_row
 
 
@@ -65,6 +65,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 finds without deobfuscation, which SQL can say."""
     return pii.digests(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -192,6 +196,24 @@ told AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN told t USING (doc_id)"""
 
 
+def _op13_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sums.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sums USING (lang, source)),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sides AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sides x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM s WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= {divergence.TOP}"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_orc_tokens": op2_orc_tokens,
@@ -204,8 +226,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bm25_packing": op10_bm25_packing,
     "op11_substring_dedup": op11_substring_dedup,
+    "op13_source_divergence": op13_source_divergence,
     "pii_base": pii_base,
     "bpe_decoded": bpe_decoded,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql(), "op11_substring_dedup": _op11_sql(), "pii_base": _pii_base_sql(), "bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}
+ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql(), "op11_substring_dedup": _op11_sql(), "op13_source_divergence": _op13_sql(), "pii_base": _pii_base_sql(), "bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}
