@@ -62,7 +62,7 @@ def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.digests(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+    return substrings.digests(table(spark, sf_dir, "documents"))
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

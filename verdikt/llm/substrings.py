@@ -20,15 +20,19 @@ Both questions are asked in the same way. A task gathers up to ``PAIRS`` pairs
 hash in the task only the least asks on, so a passage that a third of all
 documents have is asked for once a task, not once a document. The questions go
 as packed arrays, one for each range of hashes (``place``), and each range
-answers with packed arrays for each document. No pairs of documents come out.
+answers with packed arrays for each document; windows that the task has settled
+travel as runs of places in their text. Answers and texts meet by doc_id in one
+sort. No pairs of documents come out.
 
-An anchor's hash has 64 bits; a chance equality only adds a window to be looked
-at. Windows are equal where both of their independent 64-bit hashes are.
+Of an anchor's hash the range and 32 bits below it are sent; a chance equality
+only adds a window to be looked at. Windows are equal where both of their
+independent 64-bit hashes are.
 
 A null or empty text has no words; a text shorter than a window loses none. A
 very long text is one row of one task, some 40 bytes of memory a character. Rows
 that repeat a doc_id are one document with several texts, which does not take
-from itself; equal texts of different ids leave the least id's alone. A null
+from itself; they follow each other through one task, as a stream.
+Equal texts of different ids leave the least id's alone. A null
 doc_id takes no part: its row keeps all words and takes from no one. An empty
 table gives no rows; other columns are ignored.
 """
@@ -41,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdikt.llm.common import Scratch, packed, slices, tasks, texts, unpacked
+from verdikt.llm.common import packed, slices, tasks, texts, unpacked
 from verdikt.llm.words import exact_words, windows
 
 WINDOW = 13
@@ -49,13 +53,15 @@ PERIOD, COVER = 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Pairs that a task gathers before it asks, bytes of text that are hashed at once.
 PAIRS, TEXT_BYTES = 1 << 21, 1 << 20
-#: Rows of a question: the pair is still open; the hash is known to be shared; the pair is settled and only travels on.
+#: Rows of a question: pairs that are still open; hashes that are known to be shared; settled pairs, which only travel on.
 OPEN, SHARED, SETTLED = 0, 1, 2
 
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 _ASK = pa.schema([("place", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
-_ASK_SQL, _ANSWER_SQL = "place int, kind int, docs binary, high binary, low binary", "doc_id long, keys binary"
+_ASK_SQL = "place int, kind int, docs binary, high binary, low binary"
+#: ``print`` is null for hashes that hold for all texts of the document, else the text's, and ``keys`` are runs of its windows.
+_ANSWER = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("keys", pa.binary())])
+_ANSWER_SQL = "doc_id long, print long, keys binary"
 
 
 class Hashed:
@@ -84,194 +90,238 @@ def covering(n: int, at: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-class Questions:
-    """Pairs of a task, asked in packed rows, one for each place and kind."""
+def _place(hash_: np.ndarray, places: int) -> np.ndarray:
+    return ((hash_ >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int32)
 
-    def __init__(self, places: int, least: bool):
-        self._places, self._least, self._held, self._n = places, least, [], 0
 
-    def add(self, docs: np.ndarray, high: np.ndarray, low: np.ndarray):
-        self._held.append((docs, high, low))
-        self._n += len(docs)
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Places at which any of the columns, which are sorted together, changes."""
+    changed = np.zeros(len(columns[0]), bool)
+    changed[:1] = True
+    for c in columns:
+        changed[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(changed)
+
+
+def _rows(kind: int, docs: np.ndarray | None, place: np.ndarray, *keys: np.ndarray) -> pa.RecordBatch:
+    """One row for each place; within it sorted by document, as runs compress well."""
+    order = np.argsort(place, kind="stable") if docs is None else np.lexsort((docs, place))
+    place = place[order]
+    cuts = np.r_[_begins(place), len(place)]
+    none = pa.array([b""] * (len(cuts) - 1), pa.binary())
+    high, low = [*(packed(k[order], cuts) for k in keys), none][:2]
+    return pa.RecordBatch.from_arrays([pa.array(place[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, kind, np.int32)), none if docs is None else packed(docs[order], cuts), high, low], schema=_ASK)
+
+
+class Gathered:
+    """What a task has to ask: columns that are put together when there are ``PAIRS`` rows."""
+
+    def __init__(self, questions):
+        self._questions, self._held, self._n = questions, [], 0
+
+    def add(self, *columns: np.ndarray):
+        self._held.append(columns)
+        self._n += len(columns[0])
         if self._n >= PAIRS:
             yield from self.flush()
 
     def flush(self):
-        if not self._n:
-            return
-        docs, high, low = (np.concatenate(x) for x in zip(*self._held))
-        self._held, self._n = [], 0
-        order = np.lexsort((docs, low, high))
-        docs, high, low = docs[order], high[order], low[order]
-        new_key = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])]
-        new_pair = new_key | np.r_[True, docs[1:] != docs[:-1]]
-        docs, high, low, new_key = docs[new_pair], high[new_pair], low[new_pair], new_key[new_pair]
-        only = new_key & np.r_[new_key[1:], True]
-        if self._least:  # the least of the task asks, for the others the answer is known
-            parts = [(OPEN, new_key), (SETTLED, ~new_key)]
-        else:
-            parts = [(OPEN, only), (SHARED, new_key & ~only), (SETTLED, ~only)]
-        for kind, which in parts:
-            if which.any():
-                yield self._rows(kind, docs[which], high[which], low[which])
+        if self._n:
+            columns = [np.concatenate(x) for x in zip(*self._held)]
+            self._held, self._n = [], 0
+            yield from self._questions(*columns)
+
 
-    def _rows(self, kind: int, docs: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
-        key = docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if kind == SETTLED else high
-        place = ((key >> np.uint64(32)) * np.uint64(self._places) >> np.uint64(32)).astype(np.int32)
-        order = np.lexsort((docs, place))  # runs of one document compress well
-        docs, high, low, place = docs[order], high[order], low[order], place[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(place)]
-        lower = packed(low, cuts) if self._least and kind == OPEN else pa.array([b""] * (len(cuts) - 1), pa.binary())
-        seen = packed(docs, cuts) if kind != SHARED else pa.array([b""] * (len(cuts) - 1), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(place[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, kind, np.int32)), seen, packed(high, cuts), lower], schema=_ASK)
+def _answers(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(docs, kind="stable")
+    docs, keys = docs[order], keys[order]
+    cuts = np.r_[_begins(docs), len(docs)]
+    return pa.RecordBatch.from_arrays([pa.array(docs[cuts[:-1]], pa.int64()), pa.nulls(len(cuts) - 1, pa.int64()), packed(keys, cuts)], schema=_ANSWER)
 
 
 def _of(group: pa.Table, kind: int) -> pa.Table:
     return group.filter(pc.equal(group.column("kind"), kind))
 
 
-def _answers(docs: np.ndarray, keys: np.ndarray) -> pa.Table:
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]), len(docs)] if len(docs) else np.zeros(1, np.int64)
-    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(docs[cuts[:-1]], pa.int64()), packed(keys, cuts)], schema=_ANSWER)])
+def anchor_questions(docs: DataFrame, places: int) -> DataFrame:
+    def questions(docs: np.ndarray, hash_: np.ndarray):
+        order = np.lexsort((docs, hash_))
+        docs, hash_ = docs[order], hash_[order]
+        some = _begins(docs, hash_)
+        docs, hash_ = docs[some], hash_[some]
+        first = np.zeros(len(docs), bool)
+        first[_begins(hash_)] = True
+        only = first & np.r_[first[1:], True]
+        place, key = _place(hash_, places), hash_.astype(np.uint32)
+        for kind, which in ((OPEN, only), (SHARED, first & ~only), (SETTLED, ~only)):
+            if which.any():
+                where = _place(docs[which].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), places) if kind == SETTLED else place[which]
+                yield _rows(kind, None if kind == SHARED else docs[which], where, key[which])
+
+    def run(parts):
+        asked = Gathered(questions)
+        for part in parts:
+            for rows in slices(part, "text", TEXT_BYTES):
+                ids, words = rows.column("doc_id").to_numpy(), Hashed(rows.column("text"))
+                at = words.anchors()
+                yield from asked.add(ids[words.doc[at]], windows(words.hashes[0], at, ANCHOR))
+        yield from asked.flush()
+
+    return docs.mapInArrow(run, _ASK_SQL)
 
 
 def shared(group: pa.Table) -> pa.Table:
     """Of a range of anchors, for each document those that another has too."""
     asked, told, known = _of(group, OPEN), _of(group, SHARED), _of(group, SETTLED)
-    docs, keys = unpacked(asked.column("docs"), np.int64), unpacked(asked.column("high"), np.uint64)
+    docs, keys = unpacked(asked.column("docs"), np.int64), unpacked(asked.column("high"), np.uint32)
     order = np.lexsort((docs, keys))
     docs, keys = docs[order], keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    first = _begins(keys)
     last = np.r_[first[1:], len(keys)] - 1
-    many = (docs[first] != docs[last]) | np.isin(keys[first], unpacked(told.column("high"), np.uint64))
+    many = (docs[first] != docs[last]) | np.isin(keys[first], unpacked(told.column("high"), np.uint32))
     some = np.repeat(many, last - first + 1)
-    return _answers(np.r_[docs[some], unpacked(known.column("docs"), np.int64)], np.r_[keys[some], unpacked(known.column("high"), np.uint64)])
-
-
-def lesser(group: pa.Table) -> pa.Table:
-    """Of a range of windows, for each document those that one with a smaller id has too."""
-    asked, known = _of(group, OPEN), _of(group, SETTLED)
-    docs, high, low = unpacked(asked.column("docs"), np.int64), unpacked(asked.column("high"), np.uint64), unpacked(asked.column("low"), np.uint64)
-    order = np.lexsort((docs, low, high))
-    docs, high, low = docs[order], high[order], low[order]
-    first = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])] if len(docs) else np.zeros(0, bool)
-    least = docs[first][np.cumsum(first) - 1] if len(docs) else docs
-    some = docs > least
-    return _answers(np.r_[docs[some], unpacked(known.column("docs"), np.int64)], np.r_[high[some], unpacked(known.column("high"), np.uint64)])
+    return pa.Table.from_batches([_answers(np.r_[docs[some], unpacked(known.column("docs"), np.int64)], np.r_[keys[some], unpacked(known.column("high"), np.uint32)])])
 
 
-def _keys(part: pa.RecordBatch, i: int) -> np.ndarray:
-    """The distinct answers for row i, sorted."""
-    found = part.column("answers")[i].as_py()
-    return np.unique(np.frombuffer(b"".join(found), np.uint64)) if found else np.zeros(0, np.uint64)
+def met(docs: DataFrame, answers: DataFrame, places: int) -> DataFrame:
+    """Texts and answers (doc_id, print, text, keys), those of a document next to each other, its answers first."""
+    told = answers.withColumn("text", F.lit(None).cast("string"))
+    rows = docs.withColumns({"print": F.xxhash64("text"), "keys": F.lit(None).cast("binary")}).unionByName(told)
+    return rows.repartition(places, "doc_id").sortWithinPartitions("doc_id", F.col("text").isNotNull(), "print")
 
 
-def _answered(part: pa.RecordBatch, doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key, of the row ``doc``, is among the row's answers."""
-    out, cuts = np.zeros(len(keys), bool), np.searchsorted(doc, np.arange(part.num_rows + 1))
-    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-        if b > a and len(known := _keys(part, i)):
-            at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-            out[a:b] = known[at] == keys[a:b]
-    return out
+def _together(parts):
+    """(text rows, answers of their documents) of ``met``: answers as {doc_id: [(print, keys)]}."""
+    known: dict[int, list] = {}
+    for part in parts:
+        is_text = part.column("text").is_valid()
+        told = part.filter(pc.invert(is_text))
+        for key, print_, keys in zip(*(told.column(c).to_pylist() for c in ("doc_id", "print", "keys"))):
+            known.setdefault(key, []).append((print_, keys))
+        for rows in slices(part.filter(is_text), "text", TEXT_BYTES):
+            yield rows, known
+        last = part.column("doc_id")[part.num_rows - 1].as_py() if part.num_rows else None
+        known = {last: known[last]} if last in known else {}
 
 
-def anchor_questions(docs: DataFrame, places: int) -> DataFrame:
-    def run(parts):
-        asked = Questions(places, least=False)
-        for part in parts:
-            ids = part.column("doc_id").to_numpy()
-            done = 0
-            for rows in slices(part, "text", TEXT_BYTES):
-                words = Hashed(rows.column("text"))
-                at = words.anchors()
-                keys = windows(words.hashes[0], at, ANCHOR)
-                yield from asked.add(ids[done + words.doc[at]], keys, np.zeros(len(keys), np.uint64))
-                done += rows.num_rows
-        yield from asked.flush()
+def _among(found: list, kind: type, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among the answers' hashes."""
+    hashes = np.unique(np.frombuffer(b"".join(k for p, k in found if p is None), kind))
+    return hashes[np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)] == keys if len(hashes) else np.zeros(len(keys), bool)
 
-    return docs.mapInArrow(run, _ASK_SQL)
 
+def window_questions(texts_: DataFrame, places: int) -> DataFrame:
+    """Of ``met`` with shared anchors, the windows that hold one."""
 
-def window_questions(docs: DataFrame, places: int) -> DataFrame:
-    """Of (doc_id, text, answers: shared anchors) the windows that hold a shared anchor."""
+    def questions(docs: np.ndarray, high: np.ndarray, low: np.ndarray, print_: np.ndarray, at: np.ndarray):
+        order = np.lexsort((docs, low, high))
+        docs, high, low, print_, at = (x[order] for x in (docs, high, low, print_, at))
+        first = _begins(high, low)
+        least = np.repeat(docs[first], np.diff(np.r_[first, len(docs)]))
+        yield _rows(OPEN, docs[first], _place(high[first], places), high[first], low[first])
+        gone = docs > least
+        if gone.any():  # a lesser document of this task has them
+            docs, print_, at = docs[gone], print_[gone], at[gone]
+            order = np.lexsort((at, print_, docs))
+            docs, print_, at = docs[order], print_[order], at[order]
+            step = np.r_[True, (docs[1:] != docs[:-1]) | (print_[1:] != print_[:-1]) | (at[1:] > at[:-1] + 1)]
+            begin = np.flatnonzero(step)
+            runs = np.stack([at[begin], at[np.r_[begin[1:], len(at)] - 1] + 1], axis=1).astype(np.int64)
+            docs, print_ = docs[begin], print_[begin]
+            cuts = np.r_[_begins(docs, print_), len(docs)]
+            lead, n = cuts[:-1], np.arange(len(cuts))
+            where = _place(docs[lead].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), places)
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.full(len(lead), SETTLED, np.int32)), packed(docs[lead], n), packed(print_[lead], n), packed(runs.ravel(), 2 * cuts)], schema=_ASK)
 
     def run(parts):
-        asked = Questions(places, least=True)
-        for part in parts:
-            for rows in slices(part, "text", TEXT_BYTES):
-                ids, words = rows.column("doc_id").to_numpy(), Hashed(rows.column("text"), lanes=2)
-                at = words.anchors()
-                hit = at[_answered(rows, words.doc[at], windows(words.hashes[0], at, ANCHOR))]
-                some = words.starts()
-                # An anchor is in the windows that start up to PERIOD - 1 words before it; those of another text do not reach a window's length.
-                some = some[covering(len(words.doc), hit, 0, PERIOD - 1)[some]]
-                yield from asked.add(ids[words.doc[some]], windows(words.hashes[0], some, WINDOW), windows(words.hashes[1], some, WINDOW))
+        asked = Gathered(questions)
+        for rows, known in _together(parts):
+            ids = rows.column("doc_id").to_pylist()
+            rows = rows.filter(pa.array([i in known for i in ids], pa.bool_()))
+            if not rows.num_rows:
+                continue
+            ids, prints, words = rows.column("doc_id").to_numpy(), rows.column("print").to_numpy(), Hashed(rows.column("text"), lanes=2)
+            at = words.anchors()
+            keys, cuts = windows(words.hashes[0], at, ANCHOR).astype(np.uint32), np.searchsorted(words.doc[at], np.arange(len(ids) + 1))
+            hit = at[np.concatenate([_among(known[i], np.uint32, keys[a:b]) for i, a, b in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())])]
+            some = words.starts()
+            # An anchor is in the windows that start up to PERIOD - 1 words before it; those of another text do not reach a window's length.
+            some = some[covering(len(words.doc), hit, 0, PERIOD - 1)[some]]
+            doc = words.doc[some]
+            yield from asked.add(ids[doc], windows(words.hashes[0], some, WINDOW), windows(words.hashes[1], some, WINDOW), prints[doc], words.place[some])
         yield from asked.flush()
 
-    return docs.mapInArrow(run, _ASK_SQL)
+    return texts_.mapInArrow(run, _ASK_SQL)
+
+
+def lesser(group: pa.Table) -> pa.Table:
+    """Of a range of windows, for each document those that one with a smaller id has too."""
+    asked, known = _of(group, OPEN), _of(group, SETTLED)
+    docs, high, low = unpacked(asked.column("docs"), np.int64), unpacked(asked.column("high"), np.uint64), unpacked(asked.column("low"), np.uint64)
+    order = np.lexsort((docs, low, high))
+    docs, high, low = docs[order], high[order], low[order]
+    first = _begins(high, low)
+    some = docs > np.repeat(docs[first], np.diff(np.r_[first, len(docs)]))
+    settled = pa.RecordBatch.from_arrays([pa.array(unpacked(known.column("docs"), np.int64)), pa.array(unpacked(known.column("high"), np.int64)), known.column("low").combine_chunks()], schema=_ANSWER)
+    return pa.Table.from_batches([_answers(docs[some], high[some]), settled])
 
 
-def without(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_words, removed) of (doc_id, text, answers: windows to remove).
+def without(texts_: DataFrame) -> DataFrame:
+    """(doc_id, text, n_words, removed) of ``met`` with windows to remove.
 
     ``text`` holds the words that stay, joined by one space; ``removed`` has the runs of
     words that go, as [start, end) in words.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("removed", pa.list_(pa.list_(pa.int64())))])
 
+    def covered(rows: pa.RecordBatch, known: dict) -> dict[int, np.ndarray]:
+        """For rows whose documents have answers, which of their words go."""
+        ids = rows.column("doc_id").to_pylist()
+        at = [k for k, i in enumerate(ids) if i in known]
+        if not at:
+            return {}
+        some = rows.take(pa.array(at))
+        words = Hashed(some.column("text"))
+        starts, first = words.starts(), words.first.tolist()
+        keys, cuts = windows(words.hashes[0], starts, WINDOW), np.searchsorted(words.doc[starts], np.arange(len(at) + 1)).tolist()
+        out = {}
+        for k, row in enumerate(at):
+            found, print_ = known[ids[row]], some.column("print")[k].as_py()
+            gone = covering(first[k + 1] - first[k], starts[cuts[k] : cuts[k + 1]][_among(found, np.uint64, keys[cuts[k] : cuts[k + 1]])] - first[k], WINDOW - 1, 0)
+            for a, b in np.frombuffer(b"".join(r for p, r in found if p == print_), np.int64).reshape(-1, 2).tolist():
+                gone[a : b + WINDOW - 1] = True
+            out[row] = gone
+        return out
+
     def run(parts):
-        for part in parts:
-            for rows in slices(part, "text", TEXT_BYTES):
-                wanted = rows.filter(pc.is_valid(rows.column("answers")))
-                gone = {}
-                if wanted.num_rows:
-                    words = Hashed(wanted.column("text"))
-                    at = words.starts()
-                    hit = at[_answered(wanted, words.doc[at], windows(words.hashes[0], at, WINDOW))]
-                    covered = covering(len(words.doc), hit, WINDOW - 1, 0)
-                    cuts = words.first.tolist()
-                    gone = {k: covered[a:b] for k, a, b in zip(np.flatnonzero(pc.is_valid(rows.column("answers")).to_numpy(zero_copy_only=False)).tolist(), cuts, cuts[1:])}
-                texts_, counts, runs = [], [], []
-                for i, text in enumerate(rows.column("text").cast(pa.binary()).to_pylist()):
-                    words_, out = text.split(), gone.get(i)
-                    counts.append(len(words_))
-                    if out is None or not out.any():
-                        texts_.append(b" ".join(words_))
-                        runs.append([])
-                        continue
-                    texts_.append(b" ".join([w for w, x in zip(words_, out.tolist()) if not x]))
-                    edges = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
-                    runs.append(edges.reshape(-1, 2).tolist())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts_, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(runs, schema.field("removed").type)], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, text string, n_words long, removed array<array<long>>")
-
-
-def _met(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
-    return docs.join(answers, "doc_id", how).select("doc_id", "text", "answers")
-
-
-def deduplicate(docs: DataFrame, scratch: Scratch) -> DataFrame:
+        for rows, known in _together(parts):
+            gone, kept, counts, removed = covered(rows, known), [], [], []
+            for i, text in enumerate(rows.column("text").cast(pa.binary()).to_pylist()):
+                words, out = text.split(), gone.get(i)
+                counts.append(len(words))
+                if out is None or not out.any():
+                    kept.append(b" ".join(words))
+                    removed.append([])
+                else:
+                    kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x]))
+                    removed.append(np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8))).reshape(-1, 2).tolist())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, schema.field("removed").type)], schema=schema)
+
+    return texts_.mapInArrow(run, "doc_id long, text string, n_words long, removed array<array<long>>")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
     """Each row's doc_id, text without what earlier documents have, n_words (before) and removed (runs of words)."""
     places = tasks(docs)
     rows = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = rows.where("doc_id is not null")
-
-    def answers(questions: DataFrame, settle, name: str) -> DataFrame:
-        found = questions.groupBy("place").applyInArrow(settle, _ANSWER_SQL)
-        # One row a document, as long as the document itself at most.
-        return scratch.save(found.groupBy("doc_id").agg(F.collect_list("keys").alias("answers")), name)
-
-    anchors = answers(anchor_questions(known, places), shared, "anchors")
-    gone = answers(window_questions(_met(known, anchors, "inner"), places), lesser, "windows")
-    apart = rows.where("doc_id is null").withColumn("answers", F.lit(None).cast("array<binary>"))
-    return without(_met(known, gone, "left").unionByName(apart))
+    anchors = anchor_questions(known, places).groupBy("place").applyInArrow(shared, _ANSWER_SQL)
+    gone = window_questions(met(known, anchors, places), places).groupBy("place").applyInArrow(lesser, _ANSWER_SQL)
+    apart = rows.where("doc_id is null").withColumns({"print": F.lit(0).cast("long"), "keys": F.lit(None).cast("binary")})
+    return without(met(known, gone, places).unionByName(apart))
 
 
-def digests(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, run: n + F.get(run, F.lit(1)) - F.get(run, F.lit(0)))
-    return deduplicate(docs, scratch).select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return deduplicate(docs).select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
