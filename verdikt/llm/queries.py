@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdikt.llm import bpe, divergence, ego, merkle, minhash, orc_tokens, packing, pii, quality, substrings, toxicity, urls
+from verdikt.llm import bpe, divergence, ego, merkle, minhash, negatives, orc_tokens, packing, pii, quality, substrings, toxicity, urls
 from verdikt.llm.common import Scratch, table, train_row
 
 
@@ -65,6 +65,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
 
@@ -196,6 +200,17 @@ told AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN told t USING (doc_id)"""
 
 
+def _op12_sql() -> str:
+    n = negatives
+    return f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({int(n.SCALE)} * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % {n.EVERY} = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= {n.POSITIVES})
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b))::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.alike AND {n.FLOOR} * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= {n.NEGATIVES}"""
+
+
 def _op13_sql() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -226,9 +241,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bm25_packing": op10_bm25_packing,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
     "pii_base": pii_base,
     "bpe_decoded": bpe_decoded,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql(), "op11_substring_dedup": _op11_sql(), "op13_source_divergence": _op13_sql(), "pii_base": _pii_base_sql(), "bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}
+ORACLES: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_merkle": _op4_sql(), "op6_minhash_dedup": _op6_sql(), "op7_ego_embeddings": _op7_sql(), "op11_substring_dedup": _op11_sql(), "op12_hard_negatives": _op12_sql(), "op13_source_divergence": _op13_sql(), "pii_base": _pii_base_sql(), "bpe_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"}
