@@ -20,19 +20,18 @@ Both questions are asked in the same way. A task gathers up to ``PAIRS`` pairs
 hash in the task only the least asks on, so a passage that a third of all
 documents have is asked for once a task, not once a document. The questions go
 as packed arrays, one for each range of hashes (``place``), and each range
-answers with packed arrays for each document; windows that the task has settled
-travel as runs of places in their text. Answers and texts meet by doc_id in one
-sort. No pairs of documents come out.
+answers with one row for each hash that a document has to know of. Answers meet
+the texts by doc_id; both times it is the same shuffle of the texts. No pairs of
+documents come out.
 
-Of an anchor's hash the range and 32 bits below it are sent; a chance equality
+Of an anchor's hash the range and 32 more bits are sent; a chance equality
 only adds a window to be looked at. Windows are equal where both of their
 independent 64-bit hashes are.
 
 A null or empty text has no words; a text shorter than a window loses none. A
 very long text is one row of one task, some 40 bytes of memory a character. Rows
 that repeat a doc_id are one document with several texts, which does not take
-from itself; they follow each other through one task, as a stream.
-Equal texts of different ids leave the least id's alone. A null
+from itself. Equal texts of different ids leave the least id's alone. A null
 doc_id takes no part: its row keeps all words and takes from no one. An empty
 table gives no rows; other columns are ignored.
 """
@@ -44,6 +43,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdikt.llm.common import packed, slices, tasks, texts, unpacked
 from verdikt.llm.words import exact_words, windows
@@ -59,9 +59,8 @@ OPEN, SHARED, SETTLED = 0, 1, 2
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 _ASK = pa.schema([("place", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
 _ASK_SQL = "place int, kind int, docs binary, high binary, low binary"
-#: ``print`` is null for hashes that hold for all texts of the document, else the text's, and ``keys`` are runs of its windows.
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("keys", pa.binary())])
-_ANSWER_SQL = "doc_id long, print long, keys binary"
+#: One row for each document and hash.
+_FLAGS, _GONE = pa.schema([("doc_id", pa.int64()), ("key", pa.int32())]), pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
 
 
 class Hashed:
@@ -94,12 +93,16 @@ def _place(hash_: np.ndarray, places: int) -> np.ndarray:
     return ((hash_ >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int32)
 
 
+def _home(docs: np.ndarray, places: int) -> np.ndarray:
+    return _place(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), places)
+
+
 def _begins(*columns: np.ndarray) -> np.ndarray:
     """Places at which any of the columns, which are sorted together, changes."""
-    changed = np.zeros(len(columns[0]), bool)
-    changed[:1] = True
-    for c in columns:
-        changed[1:] |= c[1:] != c[:-1]
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    changed = np.ones(len(columns[0]), bool)
+    changed[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     return np.flatnonzero(changed)
 
 
@@ -132,11 +135,11 @@ class Gathered:
             yield from self._questions(*columns)
 
 
-def _answers(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+def _answers(docs: list[np.ndarray], keys: list[np.ndarray], schema: pa.Schema) -> pa.Table:
+    """Sorted by document, as runs compress well."""
+    docs, keys = np.concatenate(docs), np.concatenate(keys)
     order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    cuts = np.r_[_begins(docs), len(docs)]
-    return pa.RecordBatch.from_arrays([pa.array(docs[cuts[:-1]], pa.int64()), pa.nulls(len(cuts) - 1, pa.int64()), packed(keys, cuts)], schema=_ANSWER)
+    return pa.table([pa.array(docs[order]), pa.array(keys[order].view(np.dtype(f"i{keys.dtype.itemsize}")))], schema=schema)
 
 
 def _of(group: pa.Table, kind: int) -> pa.Table:
@@ -155,8 +158,7 @@ def anchor_questions(docs: DataFrame, places: int) -> DataFrame:
         place, key = _place(hash_, places), hash_.astype(np.uint32)
         for kind, which in ((OPEN, only), (SHARED, first & ~only), (SETTLED, ~only)):
             if which.any():
-                where = _place(docs[which].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), places) if kind == SETTLED else place[which]
-                yield _rows(kind, None if kind == SHARED else docs[which], where, key[which])
+                yield _rows(kind, None if kind == SHARED else docs[which], _home(docs[which], places) if kind == SETTLED else place[which], key[which])
 
     def run(parts):
         asked = Gathered(questions)
@@ -177,78 +179,56 @@ def shared(group: pa.Table) -> pa.Table:
     order = np.lexsort((docs, keys))
     docs, keys = docs[order], keys[order]
     first = _begins(keys)
-    last = np.r_[first[1:], len(keys)] - 1
+    last = np.r_[first, len(keys)][1:] - 1
     many = (docs[first] != docs[last]) | np.isin(keys[first], unpacked(told.column("high"), np.uint32))
     some = np.repeat(many, last - first + 1)
-    return pa.Table.from_batches([_answers(np.r_[docs[some], unpacked(known.column("docs"), np.int64)], np.r_[keys[some], unpacked(known.column("high"), np.uint32)])])
+    return _answers([docs[some], unpacked(known.column("docs"), np.int64)], [keys[some], unpacked(known.column("high"), np.uint32)], _FLAGS)
 
 
-def met(docs: DataFrame, answers: DataFrame, places: int) -> DataFrame:
-    """Texts and answers (doc_id, print, text, keys), those of a document next to each other, its answers first."""
-    told = answers.withColumn("text", F.lit(None).cast("string"))
-    rows = docs.withColumns({"print": F.xxhash64("text"), "keys": F.lit(None).cast("binary")}).unionByName(told)
-    return rows.repartition(places, "doc_id").sortWithinPartitions("doc_id", F.col("text").isNotNull(), "print")
+def met(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, text, keys): the texts, as they are shuffled once for all who ask, with their documents' answers, null where there are none."""
+    # At most as many keys as the document has words.
+    told = answers.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    return docs.join(told, "doc_id", "left")
 
 
-def _together(parts):
-    """(text rows, answers of their documents) of ``met``: answers as {doc_id: [(print, keys)]}."""
-    known: dict[int, list] = {}
-    for part in parts:
-        is_text = part.column("text").is_valid()
-        told = part.filter(pc.invert(is_text))
-        for key, print_, keys in zip(*(told.column(c).to_pylist() for c in ("doc_id", "print", "keys"))):
-            known.setdefault(key, []).append((print_, keys))
-        for rows in slices(part.filter(is_text), "text", TEXT_BYTES):
-            yield rows, known
-        last = part.column("doc_id")[part.num_rows - 1].as_py() if part.num_rows else None
-        known = {last: known[last]} if last in known else {}
-
-
-def _among(found: list, kind: type, keys: np.ndarray) -> np.ndarray:
-    """Which keys are among the answers' hashes."""
-    hashes = np.unique(np.frombuffer(b"".join(k for p, k in found if p is None), kind))
-    return hashes[np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)] == keys if len(hashes) else np.zeros(len(keys), bool)
+def _answered(rows: pa.RecordBatch, kind: type, doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key, of the row ``doc``, is among the row's answers."""
+    out, cuts, answers = np.zeros(len(keys), bool), np.searchsorted(doc, np.arange(rows.num_rows + 1)).tolist(), rows.column("keys")
+    for i in range(rows.num_rows):
+        a, b = cuts[i], cuts[i + 1]
+        if b > a:
+            known = np.unique(answers[i].values.to_numpy().view(kind))
+            out[a:b] = known[np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)] == keys[a:b]
+    return out
 
 
 def window_questions(texts_: DataFrame, places: int) -> DataFrame:
     """Of ``met`` with shared anchors, the windows that hold one."""
 
-    def questions(docs: np.ndarray, high: np.ndarray, low: np.ndarray, print_: np.ndarray, at: np.ndarray):
+    def questions(docs: np.ndarray, high: np.ndarray, low: np.ndarray):
         order = np.lexsort((docs, low, high))
-        docs, high, low, print_, at = (x[order] for x in (docs, high, low, print_, at))
-        first = _begins(high, low)
-        least = np.repeat(docs[first], np.diff(np.r_[first, len(docs)]))
+        docs, high, low = docs[order], high[order], low[order]
+        some = _begins(docs, low, high)
+        docs, high, low = docs[some], high[some], low[some]
+        first = np.zeros(len(docs), bool)
+        first[_begins(high, low)] = True
         yield _rows(OPEN, docs[first], _place(high[first], places), high[first], low[first])
-        gone = docs > least
-        if gone.any():  # a lesser document of this task has them
-            docs, print_, at = docs[gone], print_[gone], at[gone]
-            order = np.lexsort((at, print_, docs))
-            docs, print_, at = docs[order], print_[order], at[order]
-            step = np.r_[True, (docs[1:] != docs[:-1]) | (print_[1:] != print_[:-1]) | (at[1:] > at[:-1] + 1)]
-            begin = np.flatnonzero(step)
-            runs = np.stack([at[begin], at[np.r_[begin[1:], len(at)] - 1] + 1], axis=1).astype(np.int64)
-            docs, print_ = docs[begin], print_[begin]
-            cuts = np.r_[_begins(docs, print_), len(docs)]
-            lead, n = cuts[:-1], np.arange(len(cuts))
-            where = _place(docs[lead].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), places)
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.full(len(lead), SETTLED, np.int32)), packed(docs[lead], n), packed(print_[lead], n), packed(runs.ravel(), 2 * cuts)], schema=_ASK)
+        if not first.all():  # a lesser document of this task has them
+            yield _rows(SETTLED, docs[~first], _home(docs[~first], places), high[~first])
 
     def run(parts):
         asked = Gathered(questions)
-        for rows, known in _together(parts):
-            ids = rows.column("doc_id").to_pylist()
-            rows = rows.filter(pa.array([i in known for i in ids], pa.bool_()))
-            if not rows.num_rows:
-                continue
-            ids, prints, words = rows.column("doc_id").to_numpy(), rows.column("print").to_numpy(), Hashed(rows.column("text"), lanes=2)
-            at = words.anchors()
-            keys, cuts = windows(words.hashes[0], at, ANCHOR).astype(np.uint32), np.searchsorted(words.doc[at], np.arange(len(ids) + 1))
-            hit = at[np.concatenate([_among(known[i], np.uint32, keys[a:b]) for i, a, b in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist())])]
-            some = words.starts()
-            # An anchor is in the windows that start up to PERIOD - 1 words before it; those of another text do not reach a window's length.
-            some = some[covering(len(words.doc), hit, 0, PERIOD - 1)[some]]
-            doc = words.doc[some]
-            yield from asked.add(ids[doc], windows(words.hashes[0], some, WINDOW), windows(words.hashes[1], some, WINDOW), prints[doc], words.place[some])
+        for part in parts:
+            for rows in slices(part.filter(part.column("keys").is_valid()), "text", TEXT_BYTES):
+                ids, words = rows.column("doc_id").to_numpy(), Hashed(rows.column("text"), lanes=2)
+                at = words.anchors()
+                hit = at[_answered(rows, np.uint32, words.doc[at], windows(words.hashes[0], at, ANCHOR).astype(np.uint32))]
+                some = words.starts()
+                # An anchor is in the windows that start up to PERIOD - 1 words before it; those of another text do not reach a window's length.
+                some = some[covering(len(words.doc), hit, 0, PERIOD - 1)[some]]
+                if len(some):
+                    yield from asked.add(ids[words.doc[some]], windows(words.hashes[0], some, WINDOW), windows(words.hashes[1], some, WINDOW))
         yield from asked.flush()
 
     return texts_.mapInArrow(run, _ASK_SQL)
@@ -262,8 +242,7 @@ def lesser(group: pa.Table) -> pa.Table:
     docs, high, low = docs[order], high[order], low[order]
     first = _begins(high, low)
     some = docs > np.repeat(docs[first], np.diff(np.r_[first, len(docs)]))
-    settled = pa.RecordBatch.from_arrays([pa.array(unpacked(known.column("docs"), np.int64)), pa.array(unpacked(known.column("high"), np.int64)), known.column("low").combine_chunks()], schema=_ANSWER)
-    return pa.Table.from_batches([_answers(docs[some], high[some]), settled])
+    return _answers([docs[some], unpacked(known.column("docs"), np.int64)], [high[some], unpacked(known.column("high"), np.uint64)], _GONE)
 
 
 def without(texts_: DataFrame) -> DataFrame:
@@ -274,38 +253,27 @@ def without(texts_: DataFrame) -> DataFrame:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("removed", pa.list_(pa.list_(pa.int64())))])
 
-    def covered(rows: pa.RecordBatch, known: dict) -> dict[int, np.ndarray]:
-        """For rows whose documents have answers, which of their words go."""
-        ids = rows.column("doc_id").to_pylist()
-        at = [k for k, i in enumerate(ids) if i in known]
-        if not at:
-            return {}
-        some = rows.take(pa.array(at))
-        words = Hashed(some.column("text"))
-        starts, first = words.starts(), words.first.tolist()
-        keys, cuts = windows(words.hashes[0], starts, WINDOW), np.searchsorted(words.doc[starts], np.arange(len(at) + 1)).tolist()
-        out = {}
-        for k, row in enumerate(at):
-            found, print_ = known[ids[row]], some.column("print")[k].as_py()
-            gone = covering(first[k + 1] - first[k], starts[cuts[k] : cuts[k + 1]][_among(found, np.uint64, keys[cuts[k] : cuts[k + 1]])] - first[k], WINDOW - 1, 0)
-            for a, b in np.frombuffer(b"".join(r for p, r in found if p == print_), np.int64).reshape(-1, 2).tolist():
-                gone[a : b + WINDOW - 1] = True
-            out[row] = gone
-        return out
-
     def run(parts):
-        for rows, known in _together(parts):
-            gone, kept, counts, removed = covered(rows, known), [], [], []
-            for i, text in enumerate(rows.column("text").cast(pa.binary()).to_pylist()):
-                words, out = text.split(), gone.get(i)
-                counts.append(len(words))
-                if out is None or not out.any():
-                    kept.append(b" ".join(words))
-                    removed.append([])
-                else:
-                    kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x]))
-                    removed.append(np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8))).reshape(-1, 2).tolist())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, schema.field("removed").type)], schema=schema)
+        for part in parts:
+            for rows in slices(part, "text", TEXT_BYTES):
+                at = np.flatnonzero(rows.column("keys").is_valid().to_numpy(zero_copy_only=False))
+                some, gone, kept, counts, removed = rows.take(pa.array(at)), {}, [], [], []
+                if len(at):
+                    words = Hashed(some.column("text"))
+                    starts, first = words.starts(), words.first.tolist()
+                    hit = starts[_answered(some, np.uint64, words.doc[starts], windows(words.hashes[0], starts, WINDOW))]
+                    covered = covering(len(words.doc), hit, WINDOW - 1, 0)
+                    gone = {row: covered[a:b] for row, a, b in zip(at.tolist(), first, first[1:])}
+                for i, text in enumerate(rows.column("text").cast(pa.binary()).to_pylist()):
+                    words, out = text.split(), gone.get(i)
+                    counts.append(len(words))
+                    if out is None or not out.any():
+                        kept.append(b" ".join(words))
+                        removed.append([])
+                    else:
+                        kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x]))
+                        removed.append(np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8))).reshape(-1, 2).tolist())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, schema.field("removed").type)], schema=schema)
 
     return texts_.mapInArrow(run, "doc_id long, text string, n_words long, removed array<array<long>>")
 
@@ -313,12 +281,13 @@ def without(texts_: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Each row's doc_id, text without what earlier documents have, n_words (before) and removed (runs of words)."""
     places = tasks(docs)
-    rows = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    # Only where it must be: under a cast Spark would not see that the texts' two shuffles are one.
+    rows = texts(docs if docs.schema["doc_id"].dataType == T.LongType() else docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
     known = rows.where("doc_id is not null")
-    anchors = anchor_questions(known, places).groupBy("place").applyInArrow(shared, _ANSWER_SQL)
-    gone = window_questions(met(known, anchors, places), places).groupBy("place").applyInArrow(lesser, _ANSWER_SQL)
-    apart = rows.where("doc_id is null").withColumns({"print": F.lit(0).cast("long"), "keys": F.lit(None).cast("binary")})
-    return without(met(known, gone, places).unionByName(apart))
+    anchors = anchor_questions(known, places).groupBy("place").applyInArrow(shared, "doc_id long, key int")
+    gone = window_questions(met(known, anchors), places).groupBy("place").applyInArrow(lesser, "doc_id long, key long")
+    apart = rows.where("doc_id is null").withColumn("keys", F.lit(None).cast("array<long>"))
+    return without(met(known, gone).unionByName(apart))
 
 
 def digests(docs: DataFrame) -> DataFrame:
