@@ -44,7 +44,7 @@ from verdikt.llm.common import Scratch, packed, slices, tasks
 from verdikt.llm.words import raw_bytes
 
 MIN_DOCS, TOP = 30, 50
-TEXT_BYTES, ENTRIES, SOURCES = 2 << 20, 1 << 20, 256
+TEXT_BYTES, ENTRIES, SOURCES = 2 << 20, 1 << 16, 256
 
 _LETTER = np.ones(256, bool)
 _LETTER[:0x41] = _LETTER[0x5B:0x61] = _LETTER[0x7B:0x80] = False
