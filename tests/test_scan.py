@@ -165,7 +165,7 @@ def test_macros():
     # The known answer of MS-OVBA 3.2.2.
     packed = bytes.fromhex("01 2f b0 00 23 61 61 61 62 63 64 65 82 66 00 70 61 67 68 69 6a 01 38 08 61 6b 6c 00 30 6d 6e 6f 70 06 71 02 70 04 10 72 73 74 75 76 10 77 78 79 7a 00 3c")
     assert D.decompressed(packed, 1 << 20) == b"#aaabcdefaaaaghijaaaaaklaaamnopqaaaaaaaaaaaarstuvwxyzaaa"
-    assert D.decompressed(b"\1\0\0", 100) is None and D.modules(b"\0Attribut") == []
+    assert D.decompressed(b"\1\0\0", 100) is None and D.modules(b"\0Attribut") == ([], True)
 
 
 def compress_vba(source: bytes) -> bytes:
@@ -317,14 +317,15 @@ def test_archives_of_a_file_share_its_limits(spark):
 
 
 def test_members_are_rows_and_lookups_carry_no_contents(spark):
-    from verdikt.operators.scan import described, dissect, top_level
+    from verdikt.operators.scan import described, top_level, unfold
     from verdikt.operators.signatures import looked_up
 
-    files = spark.createDataFrame([(1, "a.zip", bytearray(zipped(("x", b"1"), ("y", b"22"))))], "file_id long, name string, content binary")
-    level = described(top_level(files)).selectExpr("*", "0L as used_bytes", "0L as used_members")
-    rows = dissect(level, Config()).collect()
-    assert sorted((r["at"], r["member"], bytes(r["data"])) for r in rows if r["at"] is not None) == [(0, "x", b"1"), (1, "y", b"22")]
-    assert len([r for r in rows if r["at"] is None]) == 1
+    inner = zipped(("z", b"333"))
+    files = spark.createDataFrame([(1, "a.zip", bytearray(zipped(("x", b"1"), ("in.zip", inner), ("y", b"22"))))], "file_id long, name string, content binary")
+    level = described(top_level(files))
+    rows = unfold(level, Config()).collect()
+    assert [(tuple(r["ord"]), r["path"], bytes(r["content"])) for r in rows if not r["container"]] == [((0,), "a.zip!x", b"1"), ((1,), "a.zip!in.zip", inner), ((1, 0), "a.zip!in.zip!z", b"333"), ((2,), "a.zip!y", b"22")]
+    assert [tuple(r["ord"]) for r in rows if r["container"]] == [(1,), ()]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         known = spark.createDataFrame([("sha256", "0" * 64, "f")], "algo string, hash string, source string")

@@ -70,31 +70,56 @@ def is_text(content: Column) -> Column:
     return F.pandas_udf(_text_flags, BooleanType())(F.struct(F.substring(content, 1, SAMPLE).alias("sample"), (F.octet_length(content) <= SAMPLE).alias("whole")))
 
 
+# First bytes of file types, in the order of the tests.
+MAGICS = (
+    ("pe", ("4d5a",)),
+    ("elf", ("7f454c46",)),
+    ("macho", ("feedface", "feedfacf", "cefaedfe", "cffaedfe", "cafebabe")),
+    ("ole", ("d0cf11e0a1b11ae1",)),
+    ("zip", ("504b0304", "504b0506")),
+    ("gzip", ("1f8b08",)),
+    ("bzip2", ("425a68",)),
+    ("xz", ("fd377a585a00",)),
+    ("7z", ("377abcaf271c",)),
+    ("rar", ("526172211a07",)),
+    ("cab", ("4d53434600000000",)),
+    ("lnk", ("4c00000001140200",)),
+    ("rtf", ("7b5c7274",)),
+    ("image", ("89504e470d0a1a0a", "ffd8ff", "47494638")),
+)
+
+
 def magic_type(content: Column) -> Column:
     """The file type by its magic bytes, tests in a fixed order; null where none fits."""
-    fat = (F.substring(content, 5, 3) == F.lit(b"\0\0\0")) & F.substring(content, 8, 1).between(F.lit(b"\x01"), F.lit(b"\x13"))
     n = F.octet_length(content)
+    fat = (F.substring(content, 5, 3) == F.lit(b"\0\0\0")) & F.substring(content, 8, 1).between(F.lit(b"\x01"), F.lit(b"\x13")) & (n >= 8)
+    further = {"macho": ~_starts(content, "cafebabe") | fat, "bzip2": F.substring(content, 4, 1).between(F.lit(b"1"), F.lit(b"9"))}
+    out = F
+    for kind, magics in MAGICS:
+        out = out.when(_starts(content, *magics) & further.get(kind, F.lit(True)), kind)
     return (
-        F.when(_starts(content, "4d5a"), "pe")
-        .when(_starts(content, "7f454c46"), "elf")
-        .when(_starts(content, "feedface", "feedfacf", "cefaedfe", "cffaedfe") | (_starts(content, "cafebabe") & fat & (n >= 8)), "macho")
-        .when(_starts(content, "d0cf11e0a1b11ae1"), "ole")
-        .when(_starts(content, "504b0304", "504b0506"), "zip")
-        .when(_starts(content, "1f8b08"), "gzip")
-        .when(_starts(content, "425a68") & F.substring(content, 4, 1).between(F.lit(b"1"), F.lit(b"9")), "bzip2")
-        .when(_starts(content, "fd377a585a00"), "xz")
-        .when(_starts(content, "377abcaf271c"), "7z")
-        .when(_starts(content, "526172211a07"), "rar")
-        .when(_starts(content, "4d53434600000000"), "cab")
-        .when(_starts(content, "4c00000001140200"), "lnk")
-        .when(_starts(content, "7b5c7274"), "rtf")
-        .when(_starts(content, "89504e470d0a1a0a", "ffd8ff", "47494638"), "image")
-        .when((n > 262) & (F.substring(content, 258, 5) == F.lit(b"ustar")), "tar")
+        out.when((n > 262) & (F.substring(content, 258, 5) == F.lit(b"ustar")), "tar")
         .when((n > 0x8006) & (F.substring(content, 0x8002, 5) == F.lit(b"CD001")), "iso")
         .when(F.substring(content, 1, 1024).contains(F.lit(b"%PDF-")), "pdf")
     )
 
 
+def container(data: bytes) -> str | None:
+    """The type of a content that may hold others (an archive or pdf), as ``magic_type`` has it; None for all other types."""
+    for kind, magics in MAGICS:
+        if any(data.startswith(bytes.fromhex(m)) for m in magics):
+            if kind == "macho" and data[:4] == b"\xca\xfe\xba\xbe" and not (len(data) >= 8 and data[4:7] == b"\0\0\0" and 1 <= data[7] <= 0x13):
+                continue
+            if kind == "bzip2" and data[3:4] not in [b"%d" % i for i in range(1, 10)]:
+                continue
+            return kind if kind in ARCHIVES else None
+    if len(data) > 262 and data[257:262] == b"ustar":
+        return "tar"
+    if len(data) > 0x8006 and data[0x8001:0x8006] == b"CD001":
+        return None
+    return "pdf" if b"%PDF-" in data[:1024] else None
+
+
 def file_type(content: Column) -> Column:
     """One of FILE_TYPES; only contents without a magic are tested for text."""
     magic = magic_type(content)

@@ -74,17 +74,17 @@ def outcome(reply: str) -> tuple[str | None, str | None]:
 
 
 def scanned(objects: DataFrame, address: str, timeout: float = 60) -> DataFrame:
-    """(file_id, ord, signature, problem) of objects with content, or with a ``file`` that holds it."""
-    schema = pa.schema([("file_id", pa.int64()), ("ord", pa.list_(pa.int32())), ("signature", pa.string()), ("problem", pa.string())])
+    """(file_id, ord, round, signature, problem) of objects with content, or with a ``file`` that holds it."""
+    schema = pa.schema([("file_id", pa.int64()), ("ord", pa.list_(pa.int32())), ("round", pa.int32()), ("signature", pa.string()), ("problem", pa.string())])
 
     def run(parts):
         for part in parts:
             for i in range(part.num_rows):
-                file_id, ord_, content, file = (part.column(c)[i].as_py() for c in ("file_id", "ord", "content", "file"))
+                file_id, ord_, round_, content, file = (part.column(c)[i].as_py() for c in ("file_id", "ord", "round", "content", "file"))
                 try:
                     signature, problem = outcome(asked(address, b"INSTREAM", content, timeout, file))
                 except (OSError, ValueError) as e:
                     signature, problem = None, f"ClamAV at {address or 'no address'} cannot be reached: {e}"
-                yield pa.RecordBatch.from_pylist([{"file_id": file_id, "ord": ord_, "signature": signature, "problem": problem}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"file_id": file_id, "ord": ord_, "round": round_, "signature": signature, "problem": problem}], schema=schema)
 
-    return objects.select("file_id", "ord", "content", "file").mapInArrow(run, "file_id long, ord array<int>, signature string, problem string")
+    return objects.select("file_id", "ord", "round", "content", "file").mapInArrow(run, "file_id long, ord array<int>, round int, signature string, problem string")

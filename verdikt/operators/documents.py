@@ -71,11 +71,11 @@ def decompressed(container: bytes, limit: int) -> bytes | None:
     return bytes(out) or None
 
 
-def modules(data: bytes) -> list[str]:
-    """Sources of the VBA modules anywhere in the data."""
-    starts = (m.start() - 3 for m in islice(_MODULE.finditer(data), MODULES))
-    texts = (decompressed(data[at : at + 2 * MODULE_BYTES], MODULE_BYTES) for at in starts)
-    return [text.decode("latin-1") for text in texts if text and text.startswith(b"Attribut")]
+def modules(data: bytes) -> tuple[list[str], bool]:
+    """(sources of the VBA modules anywhere in the data, whether all of them were read)."""
+    starts = [m.start() - 3 for m in islice(_MODULE.finditer(data), MODULES + 1)]
+    texts = [text for at in starts[:MODULES] if (text := decompressed(data[at : at + 2 * MODULE_BYTES], MODULE_BYTES)) and text.startswith(b"Attribut")]
+    return [text.decode("latin-1") for text in texts], len(starts) <= MODULES and all(len(text) < MODULE_BYTES for text in texts)
 
 
 def plain_names(data: bytes) -> tuple[bytes, bool]:

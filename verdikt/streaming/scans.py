@@ -31,6 +31,8 @@ def scan_stream(files: DataFrame, out: str, checkpoint: str, config: Config, sig
     def one(batch: DataFrame, number: int) -> None:
         table = signatures()
         n = table.limit(1).count()
-        results(batch, scan(batch, config, table), config, n).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scanned = scan(batch, config, table)
+        results(batch, scanned, config, n).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scanned.release()
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
