@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import re
 import struct
 
 import pytest
@@ -9,7 +10,8 @@ from verdikt.config import Config, Feed, load, seconds
 from verdikt.operators import refresh as U
 from verdikt.operators import signatures as S
 from verdikt.sources.feeds import list_lines
-from verdikt.sources.signature_store import Packed, Store, read_packed, write_packed
+from verdikt.sources.packed import Packed, Records, read_packed, write_packed
+from verdikt.sources.signature_store import Store, replace_file
 
 
 def sha(x):
@@ -133,3 +135,104 @@ def test_config(tmp_path):
         (tmp_path / "c.json").write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             load(tmp_path / "c.json")
+
+
+def written_out(rows, sources, created):
+    """A packed file of version 2 by its description."""
+    out = b"FGHDB\0\0\2" + struct.pack("<qH", created, len(sources)) + b"".join(struct.pack("<H", len(s)) + s.encode() for s in sources)
+    kinds = [sorted((bytes.fromhex(h), sources.index(s)) for a, h, _, s in rows if a == algo) for algo in ("sha256", "md5")]
+    return out + struct.pack("<QQ", *map(len, kinds)) + b"".join(h + bytes([p]) for k in kinds for h, p in k)
+
+
+def test_packed_file_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Byte for byte what its description says, from many tasks, with no row on the driver; mode of a replaced file stays."""
+    import pyspark.sql.classic.dataframe as frames
+
+    rows = [("sha256", sha(str(i)), i % 3, f"s{i % 3}") for i in range(400)] + [("md5", md5(str(i)), 1, "s1") for i in range(250)]
+    df = spark.createDataFrame(rows, "algo string, hash string, src_idx int, source string").repartition(7)
+    path = str(tmp_path / "p")
+    (tmp_path / "p").write_bytes(b"old")
+    os.chmod(path, 0o640)
+    monkeypatch.setattr(frames.DataFrame, "toLocalIterator", None)
+    assert write_packed(df, path, created=9) == {"sha256": 400, "md5": 250}
+    assert (tmp_path / "p").read_bytes() == written_out(rows, ["s0", "s1", "s2"], 9)
+    assert os.stat(path).st_mode & 0o777 == 0o640 and os.listdir(tmp_path) == ["p"]
+    assert write_packed(df.limit(0), str(tmp_path / "e"), created=9) == {} and read_packed(spark, str(tmp_path / "e")).count() == 0
+    with pytest.raises(Exception, match="one row a hash"):
+        write_packed(df.unionByName(df.limit(1)), path)
+    assert (tmp_path / "p").read_bytes() == written_out(rows, ["s0", "s1", "s2"], 9) and sorted(os.listdir(tmp_path)) == ["e", "p"]
+    replace_file(path, b"new")
+    assert os.stat(path).st_mode & 0o777 == 0o640
+
+
+def test_packed_lookups_are_pushed_down(spark, tmp_path):
+    rows = [("sha256", sha(str(i)), 0, "s") for i in range(5000)] + [("md5", md5(str(i)), 0, "s") for i in range(3000)]
+    path = str(tmp_path / "p")
+    write_packed(spark.createDataFrame(rows, "algo string, hash string, src_idx int, source string"), path)
+    table = read_packed(spark, path)
+    asked = [sha("17"), md5("2999"), sha("none"), "not a hash", md5("0").upper()]
+    found = table.where(table.hash.isin(asked))
+    assert sorted(r["hash"] for r in found.collect()) == sorted([sha("17"), md5("2999")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bFilter ", plan) and found.rdd.getNumPartitions() == 2
+    assert [tuple(r) for r in table.where(table.hash == sha("4")).collect()] == [("sha256", sha("4"), 0, "s")]
+    assert table.where(table.hash == sha("nothing")).count() == 0 and table.where("algo = 'md5'").count() == 3000
+    assert table.where("algo = 'md5' and source = 's' and hash > 'f'").count() == sum(md5(str(i)) > "f" for i in range(3000))
+    file = Packed(path)
+    with open(path, "rb") as f:
+        for algo, keys in (("sha256", [sha(str(i)) for i in range(300)]), ("md5", [md5(str(i)) for i in range(300)])):
+            records = Records(f, *file.table(algo))
+            assert all(records.find(bytes.fromhex(k)) == 0 for k in keys) and records.find(b"\0" * 8) is None and records.find(b"\xff" * 40) is None
+            assert records.reads <= 302 * 13  # of 5,000 records 13 halvings at most
+
+
+def test_lookups_do_not_shuffle_the_table(spark, tmp_path):
+    """Tiers are bucketed on disk: a look-up shuffles hashes that are asked for, not the table's, and base wins over delta."""
+    store = Store(spark, str(tmp_path))
+    table = lambda rows: spark.createDataFrame(rows, "algo string, hash string, src_idx int, source string")
+    base = [("sha256", sha(str(i)), 0, "b") for i in range(3000)] + [("md5", md5(str(i)), 0, "b") for i in range(100)]
+    store.write({"base": table(base), "delta": table([("sha256", sha("new"), 1, "d"), ("sha256", sha("5"), 1, "d")])})
+    rows = [(0, sha("5"), md5("x"), 1), (1, sha("none"), md5("7"), 1), (2, sha("new"), md5("none"), 1), (3, sha("zz"), md5("zz"), 1), (4, sha("6"), md5("6"), 0), (5, None, None, 1)]
+    objects = spark.createDataFrame(rows, "i int, sha256 string, md5 string, size long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = S.looked_up(objects, store.tiers(), None, spark.createDataFrame([("sha256", sha("new"), "ok")], "algo string, hash string, name string"))
+        assert {r["i"]: (r["allowed"], r["hit"]) for r in found.collect()} == {0: (False, "Malware.SHA256.b"), 1: (False, "Malware.MD5.b"), 2: (True, None), 3: (False, None), 4: (False, None), 5: (False, None)}
+        assert "Bucketed: true" in found._jdf.queryExecution().executedPlan().toString()
+        shuffled = exchanges_over(found._jdf.queryExecution().executedPlan().initialPlan(), "base-")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled == 0
+    # The snapshot is the same rows in another session, where no table is known yet.
+    again = Store(spark.newSession(), str(tmp_path))
+    assert sorted(map(tuple, again.read("base").collect())) == sorted(base) and again.point_lookup("base", sha("9")).count() == 1
+
+
+def exchanges_over(node, name):
+    """Shuffles that stand between a join and a scan of the table."""
+    if node.nodeName() == "Exchange":
+        return int(any(name in line for line in node.toString().splitlines()) and "Join" not in node.toString())
+    children = node.children()
+    return sum(exchanges_over(children.apply(i), name) for i in range(children.size()))
+
+
+def test_replaced_snapshots_go_when_no_reader_is_left(spark, tmp_path):
+    """A reader with a lease finishes during two refreshes; then the files go. Without one they stay for the grace time."""
+    store = Store(spark, str(tmp_path / "db"))
+    table = lambda *keys: spark.createDataFrame([("sha256", sha(k), 0, "s") for k in keys], "algo string, hash string, src_idx int, source string")
+    snapshots = lambda: {n for n in os.listdir(tmp_path / "db") if n.startswith(("base-", "delta-"))}
+    store.write({"base": table("1", "2"), "delta": table("3")})
+    first = snapshots()
+    with store.lease() as (base, delta):
+        store.write({"base": table("4"), "delta": None})
+        second = snapshots() - first
+        store.write({"base": table("5")})
+        assert store.vacuum() == [] and store.vacuum(grace=0) == sorted(second)
+        assert snapshots() & first == first and not snapshots() & second
+        assert {r["hash"] for r in base.unionByName(delta).collect()} == {sha("1"), sha("2"), sha("3")}
+    assert set(store.vacuum(grace=0)) == first and len(snapshots()) == 1 and store.vacuum(grace=0) == []
+    assert [r["hash"] for r in store.read("base").collect()] == [sha("5")]
+    with store.lease(seconds=-1):  # a process that died in its block
+        store.write({"base": table("6")})
+        assert len(store.vacuum(grace=0)) == 1
+    assert not any(n.startswith("lease-") for n in os.listdir(tmp_path / "db"))

@@ -50,21 +50,22 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 def scan_paths(spark: SparkSession, args: argparse.Namespace, config: Config) -> int:
     store = Store(spark, args.data)
-    known = S.merged(store.read("base"), store.read("delta"))
-    count = known.count()
-    state = refresh.load_state(args.data)
-    ready = refresh.readiness(config, count, state["last_update"], refresh.is_locked(args.data), state, time.time())
-    if ready.state != "ready":
-        print(ready.reason, file=sys.stderr)
-        return 3
-    scratch = Scratch(spark, "scan")
-    files = read_files(spark, [p for p in args.paths if p != "-"], config.max_file_size)
-    if "-" in args.paths:
-        files = read_stream(spark, sys.stdin.buffer, args.name, config.max_file_size).unionByName(files)
-    files = scratch.save(files, "files")
-    lists = {name: S.local_entries(list_lines(spark, f"{args.data}/{name}.d")) for name in ("custom", "allow")}
-    scanned = scan(files, config, known, lists["custom"], lists["allow"], args.password)
-    rows = scratch.save(results(files.drop("content"), scanned, config, count), "results")
+    with store.lease() as known:
+        count = sum(tier.count() for tier in known)
+        state = refresh.load_state(args.data)
+        ready = refresh.readiness(config, count, state["last_update"], refresh.is_locked(args.data), state, time.time())
+        if ready.state != "ready":
+            print(ready.reason, file=sys.stderr)
+            return 3
+        scratch = Scratch(spark, "scan")
+        files = read_files(spark, [p for p in args.paths if p != "-"], config.max_file_size)
+        if "-" in args.paths:
+            files = read_stream(spark, sys.stdin.buffer, args.name, config.max_file_size).unionByName(files)
+        files = scratch.save(files, "files")
+        lists = {name: S.local_entries(list_lines(spark, f"{args.data}/{name}.d")) for name in ("custom", "allow")}
+        scanned = scan(files, config, known, lists["custom"], lists["allow"], args.password)
+        rows = scratch.save(results(files.drop("content"), scanned, config, count), "results")
+        scanned.release()
     shown = rows.where("verdict <> 'safe'") if args.quiet else rows
     column, lines = ("json", result_json(shown)) if args.json else ("line", result_text(shown, args.verbose))
     for row in lines.sort("file_id").toLocalIterator():

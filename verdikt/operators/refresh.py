@@ -86,14 +86,13 @@ def _shards(feed: Feed, state: dict, folder: str) -> tuple[list[str], str]:
 def update(spark: SparkSession, store: Store, config: Config, force: bool = False, now: float | None = None) -> Report:
     """One refresh; RuntimeError where every feed failed, which changes nothing but the state."""
     now = time.time() if now is None else now
-    with locked(store.folder):
+    with locked(store.folder), tempfile.TemporaryDirectory(prefix="landing-", dir=store.folder) as landing:
         state = load_state(store.folder)
         full = wants_full(store, state, config, now, force)
         if not store.exists("base"):
             for kept in state["feeds"].values():
                 kept["next_shard"] = 0
         state["last_attempt"] = now
-        landing = tempfile.mkdtemp(prefix="landing-", dir=store.folder)
         landed: dict[str, list[str]] = {}
         said: dict[str, str] = {}
         for feed in (f for f in config.feeds if f.enabled):
@@ -130,6 +129,7 @@ def update(spark: SparkSession, store: Store, config: Config, force: bool = Fals
             changed = bool(new.head(1))
             if changed:
                 store.write({"delta": S.incremental_refresh(fetched, base, delta, enabled)})
+        store.vacuum()
         failed = [f"{n}: {s}" for n, s in said.items() if s not in ("ok", "not modified", "skipped")]
         state |= {"last_update": now, "last_error": "; ".join(failed)}
         save_state(store.folder, state)
@@ -155,7 +155,7 @@ def readiness(config: Config, signatures: int, last_refresh: float, locked_now:
         return Readiness("updating", f"{reason}; an update is in progress")
     if state["last_error"] and state["last_attempt"] > state["last_update"] and now - state["last_attempt"] < FAILURE_WINDOW:
         return Readiness("error", f"{reason} and the last update attempt failed: {state['last_error']}")
-    return Readiness("need_update", f"{reason}; an update has been started")
+    return Readiness("need_update", f"{reason}; an update is needed")
 
 
 def status(store: Store) -> DataFrame:

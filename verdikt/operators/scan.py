@@ -216,8 +216,8 @@ def opened_below(known: DataFrame, shut: DataFrame) -> DataFrame:
     return above.join(shut_places, ["file_id", "above"], "left_semi").select(*PLACE).distinct()
 
 
-def scan(files: DataFrame, config: Config, signatures: DataFrame | None = None, custom: DataFrame | None = None, allowed: DataFrame | None = None, password: str | None = None) -> Scanned:
-    """Scans (file_id, name, content). ``signatures`` has algo, hash, source; local lists algo, hash, name."""
+def scan(files: DataFrame, config: Config, signatures: DataFrame | list[DataFrame] | None = None, custom: DataFrame | None = None, allowed: DataFrame | None = None, password: str | None = None) -> Scanned:
+    """Scans (file_id, name, content). ``signatures`` has algo, hash, source (see ``looked_up``); local lists algo, hash, name."""
     spark = files.sparkSession
     scratch = Scratch(spark, "scan")
     if signatures is None:

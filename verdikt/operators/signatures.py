@@ -105,28 +105,31 @@ def local_entries(lines: DataFrame) -> DataFrame:
     return rows.groupBy("algo", "hash").agg(F.max_by("name", "place").alias("name"))
 
 
-def looked_up(objects: DataFrame, signatures: DataFrame, custom: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def looked_up(objects: DataFrame, signatures: DataFrame | list[DataFrame], custom: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """The objects with ``allowed`` (boolean) and ``hit`` (the first match's name, or null).
 
     Order: allowed SHA-256, custom SHA-256, signature SHA-256, custom MD5,
     signature MD5. Objects of no bytes are not looked up, and an MD5 never
-    allows. ``signatures`` has one row a hash (see ``merged``), local lists too.
+    allows. ``signatures`` has one row a hash (see ``merged``), local lists too; it
+    may be several tables, of which the first that has a hash counts.
 
-    The distinct hashes of the objects meet all lists in one join; what was
-    found, which is little as a rule, then goes back to the objects by one join
-    for each algorithm, so the objects need not be shuffled for a large list.
+    The distinct hashes of the objects meet each list in a join of its own, so that
+    a list that is bucketed by (algo, hash) is not shuffled; what was found, which is
+    little as a rule, then goes back to the objects by one join for each algorithm,
+    so the objects need not be shuffled for a large list.
     """
-    lists = [signatures.select("algo", "hash", F.lit(1).alias("rank"), F.concat(F.lit("Malware."), F.upper("algo"), F.lit("."), F.col("source")).alias("name"))]
+    tiers = signatures if isinstance(signatures, list) else [signatures]
+    lists = [t.select("algo", "hash", F.lit(1 + k).alias("rank"), F.concat(F.lit("Malware."), F.upper("algo"), F.lit("."), F.col("source")).alias("name")) for k, t in enumerate(tiers)]
     if custom is not None:
         lists.append(custom.select("algo", "hash", F.lit(0).alias("rank"), "name"))
     if allowed is not None:
         lists.append(allowed.where("algo = 'sha256'").select("algo", "hash", F.lit(-1).alias("rank"), F.lit(None).cast("string").alias("name")))
-    every = lists[0]
-    for more in lists[1:]:
-        every = every.unionByName(more)
     asked = objects.where("size > 0").select(F.explode(F.array(*(F.struct(F.lit(a).alias("algo"), F.col(a).alias("hash")) for a in ("sha256", "md5")))).alias("h"))
     asked = asked.select("h.algo", "h.hash").where("hash is not null").distinct()
-    best = asked.join(every, ["algo", "hash"]).groupBy("algo", "hash").agg(F.min(F.struct("rank", "name")).alias("best"))
+    hits = asked.join(lists[0], ["algo", "hash"])
+    for more in lists[1:]:
+        hits = hits.unionByName(asked.join(more, ["algo", "hash"]))
+    best = hits.groupBy("algo", "hash").agg(F.min(F.struct("rank", "name")).alias("best"))
     found = objects.withColumns({"__sha256": F.when(F.col("size") > 0, F.col("sha256")), "__md5": F.when(F.col("size") > 0, F.col("md5"))})
     for algo in ("sha256", "md5"):
         found = found.join(best.where(F.col("algo") == algo).select(F.col("hash").alias(f"__{algo}"), F.col("best").alias(f"__by_{algo}")), f"__{algo}", "left")

@@ -1,30 +1,27 @@
-"""Signature tables on disk: snapshots in Parquet, and the packed hash file.
+"""Signature tables on disk: snapshots in Parquet.
 
-A snapshot is a new folder, sorted by hash so that files and row groups cover
-narrow ranges of it; a pointer file names the one in force and is replaced in
-one step, so readers see the old snapshot or the new one whole.
-
-A packed file (little endian) has an 8-byte magic that ends in its version, the
-time it was made, the names of its sources, and sorted records of 32 + 1 bytes
-(SHA-256) and, from version 2, 16 + 1 bytes (MD5). It is read in tasks, each of
-which takes an interval of the records.
+A snapshot is a new folder, bucketed by kind and hash, so that look-ups need no
+shuffle of it, and sorted, so that row groups cover narrow ranges; a pointer file names the one in force and is replaced in
+one step, so readers see the old snapshot or the new one whole. A replaced snapshot
+goes when a grace time is over and no reader holds a lease on it. Packed hash files
+are in ``packed``.
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
-import struct
+import shutil
 import time
 import uuid
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIGNATURES = "algo string, hash string, src_idx int, source string"
-# The packed file's magic, without the version byte.
-MAGIC = b"FGHDB\0\0"
+from verdikt.sources.packed import SIGNATURES, put_in_place
+
 
 
 def replace_file(path: str, data: bytes) -> None:
@@ -34,14 +31,23 @@ def replace_file(path: str, data: bytes) -> None:
         f.write(data)
         f.flush()
         os.fsync(f.fileno())
-    os.replace(temporary, path)
+    put_in_place(temporary, path)
+
+
+TIERS = ("base", "delta")
+#: Seconds for which a replaced snapshot stays for readers that have no lease.
+GRACE = 3_600
+
+
+def _table(snapshot: str) -> str:
+    return f"verdikt_{snapshot.replace('-', '_')}"
 
 
 class Store:
     """Snapshots of the tiers base and delta in one folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = spark, os.path.abspath(folder)
         os.makedirs(folder, exist_ok=True)
 
     def _pointer(self) -> dict[str, str]:
@@ -54,22 +60,75 @@ class Store:
     def exists(self, tier: str) -> bool:
         return tier in self._pointer()
 
-    def read(self, tier: str) -> DataFrame:
-        at = self._pointer().get(tier)
-        return self.spark.read.schema(SIGNATURES).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], SIGNATURES)
+    def read(self, tier: str, pointer: dict | None = None) -> DataFrame:
+        pointer = self._pointer() if pointer is None else pointer
+        at, n = pointer.get(tier), pointer.get(f"{tier}-buckets")
+        if not at:
+            return self.spark.createDataFrame([], SIGNATURES)
+        if not n:
+            return self.spark.read.schema(SIGNATURES).parquet(f"{self.folder}/{at}")
+        # The folder says which bucket a file is, the table how many there are; other sessions may not know it yet.
+        table = _table(at)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({SIGNATURES}) USING parquet CLUSTERED BY (algo, hash) SORTED BY (algo, hash) INTO {n} BUCKETS LOCATION '{self.folder}/{at}'")
+        return self.spark.table(table)
+
+    def tiers(self, pointer: dict | None = None) -> list[DataFrame]:
+        """Base, then delta: for look-ups, where the first that has a hash counts."""
+        pointer = self._pointer() if pointer is None else pointer
+        return [self.read(tier, pointer) for tier in TIERS]
+
+    @contextmanager
+    def lease(self, seconds: float = 86_400):
+        """The tiers in force, whose files stay while the block runs, or for so many seconds if its process dies in it."""
+        while True:
+            pointer, file = self._pointer(), f"{self.folder}/lease-{uuid.uuid4().hex}.json"
+            held = [pointer[t] for t in TIERS if t in pointer]
+            replace_file(file, json.dumps({"held": held, "until": time.time() + seconds}).encode())
+            if self._pointer() == pointer:
+                break
+            os.remove(file)  # a refresh came between; the lease may be too late
+        try:
+            yield self.tiers(pointer)
+        finally:
+            os.remove(file)
+
+    def vacuum(self, grace: float = GRACE) -> list[str]:
+        """Removes snapshots that were replaced over ``grace`` seconds ago and that no lease holds; their names. One refresh at a time may call it."""
+        pointer, now, held = self._pointer(), time.time(), set()
+        for file in glob.glob(f"{glob.escape(self.folder)}/lease-*.json"):
+            try:
+                with open(file) as f:
+                    lease = json.load(f)
+            except FileNotFoundError:  # given back meanwhile
+                continue
+            held |= set(lease["held"]) if lease["until"] > now else set()
+        retired = pointer.get("retired", {})
+        gone = [name for name, since in retired.items() if now - since >= grace and name not in held]
+        if gone:
+            # The pointer forgets them first: what is half removed is never looked for again.
+            pointer["retired"] = {n: since for n, since in retired.items() if n not in gone}
+            replace_file(f"{self.folder}/current.json", json.dumps(pointer).encode())
+        for name in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {_table(name)}")
+            shutil.rmtree(f"{self.folder}/{name}", ignore_errors=True)
+        return gone
 
     def write(self, tiers: dict[str, DataFrame | None]) -> None:
         """Puts new snapshots in force together; None takes a tier away."""
         pointer = self._pointer()
+        retired = pointer.setdefault("retired", {})
         for tier, rows in tiers.items():
+            pointer.pop(f"{tier}-buckets", None)
+            if tier in pointer:
+                retired[pointer[tier]] = time.time()
             if rows is None:
                 pointer.pop(tier, None)
                 continue
             name = f"{tier}-{uuid.uuid4().hex}"
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows.select("algo", "hash", "src_idx", "source").repartitionByRange(n, "algo", "hash").sortWithinPartitions("algo", "hash").write.parquet(f"{self.folder}/{name}")
-            pointer[tier] = name
-            pointer[f"{tier}-created"] = time.time()
+            dealt = rows.select("algo", "hash", "src_idx", "source").repartition(n, "algo", "hash").sortWithinPartitions("algo", "hash")
+            dealt.write.bucketBy(n, "algo", "hash").sortBy("algo", "hash").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(_table(name))
+            pointer[tier], pointer[f"{tier}-created"], pointer[f"{tier}-buckets"] = name, time.time(), n
         replace_file(f"{self.folder}/current.json", json.dumps(pointer).encode())
 
     def created(self) -> float:
@@ -80,77 +139,3 @@ class Store:
     def point_lookup(self, tier: str, value: str) -> DataFrame:
         """The rows of one hash, by the minima and maxima of files and row groups."""
         return self.read(tier).where(F.col("hash") == value.lower())
-
-
-class Packed:
-    """Header of a packed file; ValueError where it isn't one."""
-
-    def __init__(self, path: str):
-        self.path = path
-        size = os.path.getsize(path)
-        with open(path, "rb") as f:
-            head = f.read(18)
-            if len(head) < 18 or head[:7] != MAGIC or head[7] not in (1, 2):
-                raise ValueError("bad magic (not a packed hash file)")
-            self.created, count = struct.unpack_from("<qH", head, 8)
-            self.sources = []
-            for _ in range(count):
-                raw = f.read(2)
-                name = f.read(struct.unpack("<H", raw)[0]) if len(raw) == 2 else b""
-                if len(raw) < 2 or len(name) < struct.unpack("<H", raw)[0]:
-                    raise ValueError("truncated source table")
-                self.sources.append(name.decode())
-            counts = f.read(8 if head[7] == 1 else 16)
-            if len(counts) < (8 if head[7] == 1 else 16):
-                raise ValueError("truncated header")
-            self.sha256, self.md5 = struct.unpack("<Q", counts)[0] if head[7] == 1 else struct.unpack("<QQ", counts)[0], 0 if head[7] == 1 else struct.unpack("<QQ", counts)[1]
-            self.start = f.tell()
-        if size - self.start != 33 * self.sha256 + 17 * self.md5:
-            raise ValueError("record table size mismatch")
-
-
-def read_packed(spark: SparkSession, path: str, per_task: int = 500_000) -> DataFrame:
-    """SIGNATURES of a packed file that every executor can open; an unknown source's name is 'unknown'."""
-    file = Packed(path)
-    spans, at = [], file.start
-    for algo, width, count in (("sha256", 32, file.sha256), ("md5", 16, file.md5)):
-        spans += [(algo, width, at + (width + 1) * i, min(per_task, count - i)) for i in range(0, count, per_task)]
-        at += (width + 1) * count
-    if not spans:
-        return spark.createDataFrame([], SIGNATURES)
-    schema = pa.schema([("algo", pa.string()), ("hash", pa.string()), ("src_idx", pa.int32()), ("source", pa.string())])
-    sources = file.sources
-
-    def run(parts):
-        for part in parts:
-            for span in part.to_pylist():
-                width = span["width"]
-                with open(path, "rb") as f:
-                    f.seek(span["at"])
-                    raw = f.read((width + 1) * span["n"])
-                records = [raw[i : i + width + 1] for i in range(0, len(raw), width + 1)]
-                rows = [{"algo": span["algo"], "hash": r[:width].hex(), "src_idx": r[width], "source": sources[r[width]] if r[width] < len(sources) else "unknown"} for r in records]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    listed = spark.createDataFrame(spans, "algo string, width int, at long, n long")
-    return listed.repartition(len(spans), "algo", "at").mapInArrow(run, SIGNATURES)
-
-
-def write_packed(signatures: DataFrame, path: str, created: int | None = None) -> dict[str, int]:
-    """A packed file of version 2: the driver streams the sorted rows to one file, a partition at a time."""
-    sources = [r["source"] for r in signatures.groupBy("source").agg(F.min("src_idx").alias("i")).sort("i", "source").collect()]
-    if len(sources) > 255:
-        raise ValueError("a packed file holds 255 sources at most")
-    place = {s: i for i, s in enumerate(sources)}
-    counts = {r["algo"]: r["n"] for r in signatures.groupBy("algo").agg(F.count(F.lit(1)).alias("n")).collect()}
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    with open(temporary, "wb") as f:
-        f.write(MAGIC + b"\2" + struct.pack("<qH", int(time.time()) if created is None else created, len(sources)))
-        for s in sources:
-            f.write(struct.pack("<H", len(s.encode())) + s.encode())
-        f.write(struct.pack("<QQ", counts.get("sha256", 0), counts.get("md5", 0)))
-        for algo in ("sha256", "md5"):
-            for r in signatures.where(F.col("algo") == algo).sort("hash").toLocalIterator():
-                f.write(bytes.fromhex(r["hash"]) + bytes([place[r["source"]]]))
-    os.replace(temporary, path)
-    return counts
