@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from verdikt.operators import scan as SC
 from verdikt.operators import signatures as S
 from verdikt.operators import verdict as V
 from verdikt.plans.samples import GAPS, KINDS, LINES, MAGICS, NAMES, SNIPPETS, TEXTS, cases
-from verdikt.sources.files import from_texts
+from verdikt.sources.files import from_texts, local_path, read_files, write_files
 from verdikt.sources.scratch import Scratch
 from verdikt.streaming.scans import FILES, scan_stream
 
@@ -438,6 +439,30 @@ SELECT d.doc_id AS file_id, 'doc_' || d.doc_id || '.txt' AS file, strlen(d.text)
 FROM documents d LEFT JOIN allowed a ON a.hash = sha256(d.text) LEFT JOIN known k ON k.hash = sha256(d.text)"""
 
 
+#: Bytes beyond which the files of ``scan_large_files`` are only hashed.
+LARGE_FILES = 2_000
+
+
+def scan_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files on disk, of which those over a small limit are read in pieces: hashes, lists and the type by the head."""
+    folder = local_path(Scratch(spark, "large").path("files"))
+    write_files(from_texts(_table(spark, sf_dir, "documents"), "doc_id", "text"), folder)
+    config = replace(CONFIG, max_file_size=LARGE_FILES)
+    files = read_files(spark, [folder], config.max_file_size)
+    rows = V.results(files, SC.scan(files, config, _known(spark, sf_dir), None, _allowed(spark, sf_dir)), config, 1)
+    doc_id = F.regexp_extract("file", r"doc_(-?\d+)\.txt$", 1).cast("long").alias("doc_id")
+    return rows.select(doc_id, "size", "sha256", "md5", "verdict", "score", "allowlisted", F.get("detections", F.lit(0))["name"].alias("first_name"), F.size("unscannable").alias("n_issues"))
+
+
+_LARGE_SQL = f"""
+WITH {_KNOWN_SQL},
+f AS (SELECT d.doc_id, strlen(d.text) AS size, sha256(d.text) AS sha256, md5(d.text) AS md5, a.hash IS NOT NULL AS allowlisted, a.hash IS NULL AND k.hash IS NOT NULL AS bad, k.source
+  FROM documents d LEFT JOIN allowed a ON a.hash = sha256(d.text) LEFT JOIN known k ON k.hash = sha256(d.text)),
+g AS (SELECT *, size > {LARGE_FILES} AND NOT allowlisted AND NOT bad AS unseen FROM f)
+SELECT doc_id, size, sha256, md5, CASE WHEN bad THEN 'malicious' WHEN unseen THEN 'error' ELSE 'safe' END AS verdict, CASE WHEN bad THEN 100 ELSE 0 END::BIGINT AS score, allowlisted,
+ CASE WHEN bad THEN 'Malware.SHA256.' || source END AS first_name, unseen::INTEGER AS n_issues FROM g"""
+
+
 def _snippet(length):
     return F.element_at(F.array(*(F.lit(x) for x in SNIPPETS)), (length % len(SNIPPETS) + 1).cast("int"))
 
@@ -535,6 +560,7 @@ def _roundtrip_sql(path: str, depth: int) -> str:
 
 QUERIES = {
     "scan_documents": scan_documents,
+    "scan_large_files": scan_large_files,
     "object_hashes": object_hashes,
     "feed_line_parse": feed_line_parse,
     "sig_build_dedupe": sig_build_dedupe,
@@ -571,6 +597,7 @@ QUERIES = {
 
 ORACLES = {
     "scan_documents": _SCAN_SQL,
+    "scan_large_files": _LARGE_SQL,
     "scan_injected": _injected_sql(),
     "scan_samples": _samples_sql(),
     "rule_near_window": _near_sql(),

@@ -13,11 +13,13 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdikt.sources.scratch import Scratch
 
@@ -112,6 +114,32 @@ def hashed(path: str) -> dict:
     return {"size": size, "sha256": one.hexdigest(), "md5": two.hexdigest(), "head": head}
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes rows (name, content) as files of a folder that all executors share, null as empty; how many."""
+
+    def run(parts):
+        for part in parts:
+            for name, content in zip(part.column("name").to_pylist(), part.column("content").to_pylist()):
+                if os.path.basename(name) != name or name in ("", ".", ".."):
+                    raise ValueError(f"{name!r} is no file name")
+                temporary = f"{folder}/.{uuid.uuid4().hex}"
+                with open(temporary, "wb") as f:
+                    f.write(content or b"")
+                os.replace(temporary, f"{folder}/{name}")  # a task that runs again writes the same file again
+            yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows], pa.int64())})
+
+    os.makedirs(folder, exist_ok=True)
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def local_path(path: str) -> str:
+    """The path of a file: or plain address; ValueError for those of other stores."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{path} is not in a file system that every executor mounts")
+    return os.path.normpath("/" + rest.lstrip("/")) if scheme else path
+
+
 def hash_files(files: DataFrame) -> DataFrame:
     """(file_id, size, sha256, md5) of (file_id, name), read in pieces: for files too large to hold."""
     schema = pa.schema([("file_id", pa.int64()), ("size", pa.int64()), ("sha256", pa.string()), ("md5", pa.string())])
@@ -127,6 +155,4 @@ def hash_files(files: DataFrame) -> DataFrame:
 
 def from_texts(rows: DataFrame, key: str, text: str, prefix: str = "doc_", suffix: str = ".txt") -> DataFrame:
     """A table's texts as files: file_id, name, content."""
-    from pyspark.sql import functions as F
-
     return rows.select(F.col(key).cast("long").alias("file_id"), F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit(suffix)).alias("name"), F.encode(F.col(text), "UTF-8").alias("content"))
