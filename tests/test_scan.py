@@ -283,8 +283,7 @@ def test_files_over_the_limit(spark, tmp_path):
     assert gone["other"]["verdict"] == "error" and gone["bad"]["verdict"] == "malicious"
 
 
-def test_files_on_disk(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("verdikt.sources.files.LISTED", 2)
+def test_files_on_disk(spark, tmp_path):
     (tmp_path / "_u").mkdir()
     for name, data in (("a.bin", b"x"), ("_u/b", b"y"), (".hid", b"z"), ("empty", b""), ("big", b"A" * 4096)):
         (tmp_path / name).write_bytes(data)
@@ -405,3 +404,34 @@ def test_antivirus_daemon(spark, tmp_path):
     assert "cannot be reached" in run(spark, files[1:2], gone).first()["error"]
     auto = run(spark, files[1:2], Config(clamav="auto", clamav_address=str(tmp_path / "gone"))).first()
     assert auto["verdict"] == "safe" and auto["warnings"]
+
+
+def test_walk_is_the_same_as_a_walk_on_the_driver(spark, tmp_path, monkeypatch):
+    """Deep and empty folders, links to files, folders and above, hidden names, named links, what can't be listed; no path comes to the driver."""
+    import pyspark.sql.classic.dataframe as frames
+
+    from verdikt.sources.files import walk
+    from verdikt.sources.scratch import Scratch
+
+    top = tmp_path / "top"
+    for name in ("a", "b/c/d/e", "b/.h/_u", "b/c/x", "z z/\u00e9"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(name.encode())
+    (top / "none/deep").mkdir(parents=True)
+    os.symlink(top / "a", top / "link")
+    os.symlink(top, top / "b" / "loop")
+    os.symlink(top / "b", tmp_path / "named")
+    os.mkfifo(top / "pipe")
+    with open(os.fsencode(str(top)) + b"/bad\xff", "wb"):
+        pass
+    paths = [str(top), str(tmp_path / "named"), str(top / "link"), str(tmp_path / "lost"), str(top / "pipe")]
+    scratch = Scratch(spark, "test")
+    collect, seen = frames.DataFrame.collect, []
+    monkeypatch.setattr(frames.DataFrame, "collect", lambda self: seen.append(self.columns) or collect(self))
+    listed = walk(spark, paths, scratch)
+    assert [c for c in seen if c != ["name"]] == [["part", "count"]]  # a single name, to see whether there is a further level
+    rows = collect(listed.sort("file_id"))
+    expected = {(os.path.join(d, f), os.lstat(os.path.join(d, f)).st_size) for p in paths[:2] for d, _, fs in os.walk(p) for f in fs if os.path.isfile(os.path.join(d, f)) and not os.path.islink(os.path.join(d, f)) and "\udcff" not in f}
+    assert {(r["name"], r["size"]) for r in rows if r["problem"] is None} == expected | {(str(top / "link"), 1)}
+    assert {r["name"]: r["problem"] for r in rows if r["problem"]} == {str(tmp_path / "lost"): f"[Errno 2] No such file or directory: '{tmp_path / 'lost'}'", str(top / "pipe"): "not a regular file", str(top) + "/bad\ufffd": "the name is not UTF-8"}
+    assert [r["file_id"] for r in rows] == list(range(len(rows))) and [r["name"] for r in rows] == sorted((r["name"] for r in rows), key=str.encode)

@@ -1,11 +1,11 @@
 """Files to scan: a walk that loses none, and contents read by the executors.
 
 Spark's own binary source leaves out empty files and names that begin with a
-dot or an underscore, which a scan may not. The walk lists regular files on the
-driver (paths and sizes only, ``LISTED`` of them at a time); contents are read in
-tasks. A file that cannot
-be listed or read, or is over the size limit, is a row with a problem; one over
-the limit is read in pieces, and its row has hashes, size and head (``large``).
+dot or an underscore, which a scan may not. The walk lists regular files, and their
+contents are read, in tasks, for which every executor must see the same folders. A
+file that cannot be listed or read, or is over the size limit, is a row with a
+problem; one over the limit is read in pieces, and its row has hashes, size and
+head (``large``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import os
 import stat
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import batched
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,53 +27,93 @@ from verdikt.sources.scratch import Scratch
 LARGE = "struct<sha256:string,md5:string,size:bigint,head:binary,file:string>"
 FILES = f"file_id long, name string, content binary, problem string, large {LARGE}"
 LISTING = "file_id long, name string, size long, problem string"
-#: Files that the driver holds at a time while it lists them.
-LISTED = 100_000
 #: Bytes read at a time of a file too large to hold.
 CHUNK = 1 << 20
 #: Bytes of such a file that its type is told from.
 HEAD = 64 << 10
 
 
-def walk(paths: Iterable[str]) -> Iterator[tuple[str, int, str | None]]:
-    """(path, size, problem): named paths may be links, links inside a folder aren't followed."""
-    for top in paths:
-        try:
-            mode = os.stat(top).st_mode
-        except OSError as e:
-            yield top, 0, str(e)
-            continue
-        if stat.S_ISREG(mode):
-            yield top, os.stat(top).st_size, None
-        elif stat.S_ISDIR(mode):
-            errors: list[OSError] = []
-            for folder, names, files in os.walk(top, onerror=errors.append):
-                names.sort()
-                for name in sorted(files):
-                    path = os.path.join(folder, name)
-                    try:
-                        info = os.lstat(path)
-                    except OSError as e:
-                        yield path, 0, str(e)
-                        continue
-                    if stat.S_ISREG(info.st_mode):
-                        yield path, info.st_size, None
-                while errors:
-                    e = errors.pop()
-                    yield e.filename or top, 0, str(e)
-        else:
-            yield top, 0, "not a regular file"
+_LISTED = pa.schema([("name", pa.string()), ("size", pa.int64()), ("problem", pa.string()), ("folder", pa.bool_())])
+
+
+def _listed(path: str, size: int = 0, problem: str | None = None, folder: bool = False) -> dict:
+    try:
+        path.encode()
+    except UnicodeEncodeError:  # bytes that are no UTF-8; such a file can be named in no result as it is
+        path, problem, folder = path.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), problem or "the name is not UTF-8", False
+    return {"name": path, "size": size, "problem": problem, "folder": folder}
+
+
+def _named(path: str) -> Iterator[dict]:
+    """A path that was asked for; it may be a link."""
+    try:
+        info = os.stat(path)
+    except OSError as e:
+        yield _listed(path, problem=str(e))
+        return
+    regular, folder = stat.S_ISREG(info.st_mode), stat.S_ISDIR(info.st_mode)
+    yield _listed(path, info.st_size if regular else 0, None if regular or folder else "not a regular file", folder)
+
+
+def _inside(folder: str) -> Iterator[dict]:
+    """Regular files and folders of a folder; links aren't followed."""
+    try:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield _listed(entry.path, folder=True)
+                    elif entry.is_file(follow_symlinks=False):
+                        yield _listed(entry.path, entry.stat(follow_symlinks=False).st_size)
+                except OSError as e:
+                    yield _listed(entry.path, problem=str(e))
+    except OSError as e:
+        yield _listed(folder, problem=str(e))
+
+
+def walk(spark: SparkSession, paths: Iterable[str], scratch: Scratch) -> DataFrame:
+    """LISTING of all regular files under the paths, numbered in the order of their names; what can't be listed is a row with a problem.
+
+    Folders are listed by tasks, level by level; the driver only learns whether
+    there is a further level, and one count for each partition of the numbering.
+    """
+
+    def listing(look):
+        def run(parts):
+            for part in parts:
+                for path in part.column("name").to_pylist():
+                    rows = look(path)
+                    while some := list(islice(rows, 10_000)):
+                        yield pa.RecordBatch.from_pylist(some, schema=_LISTED)
+
+        return run
+
+    schema = "name string, size long, problem string, folder boolean"
+    frontier, depth, found = spark.createDataFrame([(p,) for p in paths], "name string"), 0, None
+    while True:
+        level = frontier.repartition("name").mapInArrow(listing(_inside if depth else _named), schema)
+        level = scratch.save(level, f"level-{depth}")
+        files = level.where("not folder").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        frontier, depth = level.where("folder").select("name"), depth + 1
+        if not frontier.head(1):
+            break
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = found.repartitionByRange(n, "name").sortWithinPartitions("name").select("*", F.spark_partition_id().alias("part"), inside.alias("at"))
+    ranged, before, starts = scratch.save(ranged, "ranged"), 0, []
+    for part, held in sorted(tuple(r) for r in ranged.groupBy("part").count().collect()):
+        starts.append((part, before))
+        before += held
+    first = F.broadcast(spark.createDataFrame(starts, "part int, first long"))  # one row a partition
+    return ranged.join(first, "part").select((F.col("first") + F.col("at")).alias("file_id"), "name", "size", "problem")
 
 
 def read_files(spark: SparkSession, paths: Iterable[str], limit: int, per_task: int = 64 << 20) -> DataFrame:
     """FILES of the paths, which every executor must be able to open."""
-    scratch, count, size = Scratch(spark, "walk"), 0, 0
-    spark.createDataFrame([], LISTING).write.parquet(scratch.path("files"))
-    for some in batched(walk(paths), LISTED):
-        rows = [(count + i, p, n, problem) for i, (p, n, problem) in enumerate(some)]
-        spark.createDataFrame(rows, LISTING).write.mode("append").parquet(scratch.path("files"))
-        count, size = count + len(rows), size + sum(r[2] for r in rows)
-    listed = spark.read.schema(LISTING).parquet(scratch.path("files"))
+    scratch = Scratch(spark, "walk")
+    listed = scratch.save(walk(spark, paths, scratch), "files")
+    count, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = max(1, -(-size // per_task), -(-count // 10_000))
     known = pa.struct([("sha256", pa.string()), ("md5", pa.string()), ("size", pa.int64()), ("head", pa.binary()), ("file", pa.string())])
     schema = pa.schema([("file_id", pa.int64()), ("name", pa.string()), ("content", pa.binary()), ("problem", pa.string()), ("large", known)])
