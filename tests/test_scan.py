@@ -298,7 +298,11 @@ def test_files_on_disk(spark, tmp_path):
     verdicts = {os.path.basename(r["file"]): r["verdict"] for r in rows.collect()}
     assert verdicts["a.bin"] == verdicts["empty"] == "safe" and verdicts["big"] == verdicts["none"] == "error"
     assert exit_code(rows).first()[0] == 2
-    line = {json.loads(r["json"])["file"]: json.loads(r["json"]) for r in result_json(rows).collect()}[str(tmp_path / "big")]
+    lines = {json.loads(r["json"])["file"]: json.loads(r["json"]) for r in result_json(rows).collect()}
+    line, lost = lines[str(tmp_path / "big")], lines[str(tmp_path / "none")]
+    assert set(lost) == {"file", "error"} and "No such file" in lost["error"]
+    strict = results(files, scan(files, Config(require_signatures=False, unscannable="malicious")), Config(require_signatures=False, unscannable="malicious"), 0)
+    assert {os.path.basename(r["file"]): r["verdict"] for r in strict.collect() if r["verdict"] != "safe"} == {"big": "malicious", "none": "error"}
     assert line["detections"] == [] and line["unscannable"] and "warnings" not in line
     assert sum(r["line"].startswith("ERROR") for r in result_text(rows).collect()) == 2
 
@@ -373,7 +377,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main([*common, "scan", "--allow-no-signatures", "--quiet", str(tmp_path / "in/a.txt")], spark) == 0
     assert capsys.readouterr().out == ""
     assert main([*common, "status"], spark) == 0 and main([*common, "version"], spark) == 0 and main([*common, "config"], spark) == 0
-    assert "0 signatures of 0 sources" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "0 signatures of 0 sources" in out and "antivirus daemon: disabled" in out
     monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(marker().encode())))
     assert main([*common, "scan", "--allow-no-signatures", "--no-clamav", "-v", "--name", "piped.txt", "-"], spark) == 1
     out = capsys.readouterr().out

@@ -14,8 +14,8 @@ import time
 
 from pyspark.sql import SparkSession
 
-from verdikt.config import Config, load
-from verdikt.operators import refresh
+from verdikt.config import Config, config_path, data_folder, load
+from verdikt.operators import clamd, refresh
 from verdikt.operators import signatures as S
 from verdikt.operators.scan import scan
 from verdikt.operators.verdict import exit_code, result_json, result_text, results
@@ -29,8 +29,8 @@ VERSION = "0.1.0"
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="verdikt")
-    parser.add_argument("--config", default="verdikt.json")
-    parser.add_argument("--data", default="signatures", help="folder of the signature table and local lists, shared by all executors")
+    parser.add_argument("--config", help="settings; default: $VERDIKT_CONFIG, else the system's or the user's file")
+    parser.add_argument("--data", help="folder of the signature table and local lists, shared by all executors; default: the system's or the user's")
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("scan")
     one.add_argument("paths", nargs="+", help="files and folders; - is standard input")
@@ -75,6 +75,8 @@ def scan_paths(spark: SparkSession, args: argparse.Namespace, config: Config) ->
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _arguments(argv)
+    args.config = config_path(args.config)
+    args.data = args.data or str(data_folder(args.config))
     config = load(args.config)
     if args.command == "version":
         print(VERSION)
@@ -94,6 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         summary = S.set_summary(store.read("base"), store.read("delta")).first()
         made = time.strftime("%Y-%m-%d %H:%M:%S UTC", time.gmtime(store.created())) if store.created() else "never"
         print(f"{summary['n']} signatures of {len(summary['sources'])} sources ({', '.join(summary['sources'])}), made {made}")
+        print(f"antivirus daemon: {clamd.described(config.clamav, config.clamav_address)}")
         return 0
     changes = {"clamav": "off"} if args.no_clamav else {}
     changes |= {"heuristics": config.heuristics and not args.no_heuristics, "require_signatures": config.require_signatures and not args.allow_no_signatures}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from dataclasses import dataclass, field, fields
 from pathlib import Path
@@ -85,6 +86,36 @@ class Config:
         return [f.name for f in self.feeds if f.enabled]
 
 
+#: Folders of a system-wide installation: settings, data.
+SYSTEM = (Path("/etc/verdikt"), Path("/var/lib/verdikt"))
+FILE = "config.json"
+
+
+def _user(variable: str, fallback: str) -> Path:
+    return Path(os.environ.get(variable) or Path.home() / fallback) / "verdikt"
+
+
+def config_path(explicit: str | None = None, system: tuple[Path, Path] = SYSTEM, root: bool | None = None) -> Path:
+    """Which file holds the settings: the one named, $VERDIKT_CONFIG, the system's if it is there or root runs, the user's.
+
+    Without either file it is the system's where its data are there, so that a table
+    that root keeps is shared, else the user's.
+    """
+    if named := explicit or os.environ.get("VERDIKT_CONFIG"):
+        return Path(named)
+    root = os.geteuid() == 0 if root is None else root
+    shared, own = system[0] / FILE, _user("XDG_CONFIG_HOME", ".config") / FILE
+    if shared.exists() or root:
+        return shared
+    return shared if not own.exists() and system[1].exists() else own
+
+
+def data_folder(config: Path, system: tuple[Path, Path] = SYSTEM, root: bool | None = None) -> Path:
+    """Where the signature table is kept if no folder is named."""
+    root = os.geteuid() == 0 if root is None else root
+    return system[1] if root or config.parent == system[0] else _user("XDG_DATA_HOME", ".local/share")
+
+
 def load(path: str | Path) -> Config:
     """The settings of a JSON file; defaults where it is missing."""
     if not Path(path).exists():

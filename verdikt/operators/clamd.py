@@ -58,6 +58,35 @@ def asked(address: str, command: bytes, content: bytes | None = None, timeout: f
     return reply.rstrip(b"\0\n").decode("utf-8", "replace")
 
 
+def ping(address: str, timeout: float = 5) -> None:
+    """Returns where the daemon answers; ValueError for another reply, OSError where there is none."""
+    if (reply := asked(address, b"PING", timeout=timeout)) != "PONG":
+        raise ValueError(f"unexpected PING reply {reply!r}")
+
+
+def version(address: str, timeout: float = 5) -> str:
+    """Engine and database version; ValueError where the daemon does not tell."""
+    reply = asked(address, b"VERSION", timeout=timeout)
+    if not reply.startswith("ClamAV"):
+        raise ValueError(f"clamd: {reply}")
+    return reply
+
+
+def described(mode: str, address: str) -> str:
+    """The daemon's state for a status report: disabled, its version, or why it does not answer."""
+    if mode == "off":
+        return "disabled"
+    try:
+        return f"{address}, {version(address)}"
+    except (OSError, ValueError) as e:
+        why = e
+    try:
+        ping(address)
+        return f"{address}, version unknown"
+    except (OSError, ValueError):
+        return f"{address or 'no address'} cannot be reached: {why}"
+
+
 def outcome(reply: str) -> tuple[str | None, str | None]:
     """(signature, problem) of a reply: both are None for a clean content."""
     text = reply.partition(": ")[2] or reply

@@ -57,7 +57,9 @@ def results(files: DataFrame, scanned: Scanned, config: Config, signatures: int)
     lacking = ~F.col("allowlisted") & F.lit(config.require_signatures and signatures == 0)
     listed = F.coalesce("unscannable", F.array().cast(pairs))
     rows = rows.withColumns({"score": F.coalesce("score", F.lit(0).cast("long")), "unscannable": F.when(lacking, F.concat(missing, listed)).otherwise(listed)})
-    rows = rows.withColumn("verdict", verdict(F.col("score"), F.col("allowlisted"), F.size("unscannable"), config))
+    # What could not be read at all is a failure under any policy.
+    judged = verdict(F.col("score"), F.col("allowlisted"), F.size("unscannable"), config)
+    rows = rows.withColumn("verdict", F.when(F.col("size").isNull(), "error").otherwise(judged))
     rows = rows.withColumn("error", F.when(F.col("verdict") == "error", F.get("unscannable", 0)["reason"]))
     none = F.array().cast("array<struct<engine:string,name:string,object:string,score:int>>")
     return rows.select("file_id", "file", "size", "sha256", "md5", "type", "verdict", "error", "score", "objects_scanned", "allowlisted", F.coalesce("detections", none).alias("detections"), "unscannable", F.coalesce("warnings", F.array().cast(pairs)).alias("warnings"))
@@ -78,11 +80,11 @@ def exit_code(verdicts: DataFrame) -> DataFrame:
 
 
 def result_json(rows: DataFrame) -> DataFrame:
-    """(file_id, json): a result as one JSON line; empty lists and nulls are left out, detections stay."""
+    """(file_id, json): a result as one JSON line; empty lists and nulls are left out, detections stay. Of a file that could not be read there is its name and the error."""
     def filled(c):
         return F.when(F.size(c) > 0, F.col(c)).alias(c)
     columns = ["file", "size", "sha256", "md5", "type", "verdict", "error", filled("unscannable"), "score", "detections", "objects_scanned", filled("warnings"), F.when(F.col("allowlisted"), True).alias("allowlisted")]
-    return rows.select("file_id", F.to_json(F.struct(*columns)).alias("json"))
+    return rows.select("file_id", F.when(F.col("size").isNull(), F.to_json(F.struct("file", "error"))).otherwise(F.to_json(F.struct(*columns))).alias("json"))
 
 
 def result_text(rows: DataFrame, verbose: bool = False) -> DataFrame:
