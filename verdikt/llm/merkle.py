@@ -9,10 +9,12 @@ the paragraphs of the others show where the edits are (``differences``).
 
 Below a paragraph are its pieces, runs that end after one of a few characters
 (``ENDS``) or are ``LONGEST`` long, each a 64-bit hash that holds its length.
-``likeness`` is 1 for equal roots; else sections that both trees have count in
-full, and of the others the pieces that the others of the other tree hold (all
-pieces of a paragraph that both have, and those inside changed ones). It is the
-share of the characters of both texts that so match, and always under 1.
+``likeness`` is 1 for equal roots; else it is the share of the characters of both
+texts in pieces that the two have in common, each as often as both have it, and
+always under 1. Equal sections and paragraphs have equal pieces, so what branches
+share counts in full without being looked at one by one. Repeats of a piece are
+numbered (``numbered``), which makes a set of what may be held twice; sets are met
+by hashing, so that the work grows with the text and not with its square.
 
 ``with_next`` pairs each row with the following one by ascending id without a
 global sort: ids are dealt into blocks of ``BLOCK`` consecutive values, so one
@@ -66,6 +68,18 @@ def pieces(lines: Column) -> Column:
     return F.transform(lines, lambda line: F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), numbered))
 
 
+def numbered(parts: Column) -> Column:
+    """The pieces of all lines as distinct values: the k-th repeat of a piece is a value of its own, of the same length."""
+    again = lambda p, k: F.when(k == 0, p).otherwise(F.xxhash64(p, k).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(p.bitwiseAND(F.lit(_LENGTH).cast("long"))))
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
+        return _let(begins, lambda b: F.flatten(F.zip_with(b, F.concat(F.slice(b, 2, 1 << 30), F.array(F.size(s))), lambda at, to: F.transform(F.sequence(F.lit(0), to - at - 1), lambda k: again(F.get(s, at), k)))))
+
+    return F.when(F.size(parts) > 0, _let(F.sort_array(F.flatten(parts)), runs)).otherwise(F.array().cast("array<bigint>"))
+
+
 def section_ends(leaves: Column) -> Column:
     """Places, from 1, of the paragraphs that end a section."""
     n = F.size(leaves)
@@ -74,11 +88,11 @@ def section_ends(leaves: Column) -> Column:
     return F.filter(places, lambda i: (i == n) | (F.conv(F.substring(F.get(leaves, i - 1), 1, 1), 16, 10).cast("int") % SECTION == 0))
 
 
-def sections(leaves: Column, parts: Column, ends: Column) -> Column:
-    """array<struct<node, leaves, pieces>> of the content-defined runs of paragraphs."""
+def sections(leaves: Column, ends: Column) -> Column:
+    """array<struct<node, leaves>> of the content-defined runs of paragraphs."""
     starts = F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ends))
-    runs = F.zip_with(ends, starts, lambda end, start: F.struct(F.slice(leaves, start + 1, end - start).alias("leaves"), F.slice(parts, start + 1, end - start).alias("pieces")))
-    return F.transform(runs, lambda run: F.struct(F.sha2(F.concat_ws("", run["leaves"]), 256).alias("node"), run["leaves"].alias("leaves"), run["pieces"].alias("pieces")))
+    runs = F.zip_with(ends, starts, lambda end, start: F.slice(leaves, start + 1, end - start))
+    return F.transform(runs, lambda run: F.struct(F.sha2(F.concat_ws("", run), 256).alias("node"), run.alias("leaves")))
 
 
 def root(tree: Column) -> Column:
@@ -86,7 +100,7 @@ def root(tree: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, of: dict[str, str]) -> DataFrame:
-    """The rows with a column struct<root, sections, size> for each text column: ``of`` has new name -> text.
+    """The rows with a column struct<root, sections, pieces, size> for each text column: ``of`` has new name -> text.
 
     Each step is a column of its own, so that none is computed again for every
     paragraph that refers to it. Texts must not be null.
@@ -94,10 +108,10 @@ def fingerprints(rows: DataFrame, of: dict[str, str]) -> DataFrame:
     kept = rows.columns
     split, leaves, parts, ends, trees = ({x: f"__{part}_{x}" for x in of} for part in ("lines", "leaves", "pieces", "ends", "tree"))
     rows = rows.withColumns({split[x]: lines(F.col(text)) for x, text in of.items()})
-    rows = rows.withColumns({leaves[x]: paragraphs(F.col(split[x])) for x in of} | {parts[x]: pieces(F.col(split[x])) for x in of})
+    rows = rows.withColumns({leaves[x]: paragraphs(F.col(split[x])) for x in of} | {parts[x]: numbered(pieces(F.col(split[x]))) for x in of})
     rows = rows.withColumns({ends[x]: section_ends(F.col(leaves[x])) for x in of})
-    rows = rows.withColumns({trees[x]: sections(F.col(leaves[x]), F.col(parts[x]), F.col(ends[x])) for x in of})
-    return rows.select(*kept, *(F.struct(root(F.col(trees[x])).alias("root"), F.col(trees[x]).alias("sections"), F.char_length(F.translate(F.col(text), "\n", "")).cast("long").alias("size")).alias(x) for x, text in of.items()))
+    rows = rows.withColumns({trees[x]: sections(F.col(leaves[x]), F.col(ends[x])) for x in of})
+    return rows.select(*kept, *(F.struct(root(F.col(trees[x])).alias("root"), F.col(trees[x]).alias("sections"), F.col(parts[x]).alias("pieces"), F.char_length(F.translate(F.col(text), "\n", "")).cast("long").alias("size")).alias(x) for x, text in of.items()))
 
 
 def _let(value: Column, then) -> Column:
@@ -109,27 +123,10 @@ def _weight(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), lambda sum_, p: sum_ + p.bitwiseAND(F.lit(_LENGTH).cast("long")))
 
 
-def _loose(a: Column, b: Column) -> Column:
-    """The pieces of a's sections that b does not have."""
-    nodes = lambda tree: F.transform(tree["sections"], lambda s: s["node"])
-    return _let(F.array_except(nodes(a), nodes(b)), lambda own: F.flatten(F.flatten(F.transform(F.filter(a["sections"], lambda s: F.array_contains(own, s["node"])), lambda s: s["pieces"]))))
-
-
-def _held(x: Column, y: Column) -> Column:
-    """Length of the pieces of x, repeats included, that are in y; the shorter list is searched."""
-
-    def length(k: Column) -> Column:
-        those = lambda some: _weight(F.filter(x, lambda p: F.array_contains(some, p)))
-        return F.when(F.size(k["both"]) <= F.size(k["one"]), those(k["both"])).otherwise(_weight(x) - those(k["one"]))
-
-    return _let(F.struct(F.array_intersect(x, y).alias("both"), F.array_except(x, y).alias("one")), length)
-
-
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints; 1 exactly when the roots are equal."""
     total = a["size"] + b["size"]
-    missed = lambda s: _weight(s["a"]) + _weight(s["b"]) - _held(s["a"], s["b"]) - _held(s["b"], s["a"])
-    share = (total - _let(F.struct(_loose(a, b).alias("a"), _loose(b, a).alias("b")), missed)) / total
+    share = 2 * _weight(F.array_intersect(a["pieces"], b["pieces"])) / total
     return F.when(a["root"] == b["root"], 1.0).when(total == 0, 0.0).otherwise(F.least(share, total / (total + 1.0)))
 
 

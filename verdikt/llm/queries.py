@@ -148,13 +148,11 @@ numbered AS (SELECT *, coalesce(sum(CASE WHEN strpos('08192a3b4c5d6e7f', left(le
 sections AS (SELECT k, x, s, sha256(string_agg(leaf, '' ORDER BY i)) AS node, string_agg(left(leaf, 16), '' ORDER BY i) AS short FROM numbered GROUP BY ALL),
 prints AS (SELECT t.k, t.x, sha256(coalesce(p.nodes, '')) AS root, p.short, length(replace(t.t, chr(10), '')) AS size FROM texts t
   LEFT JOIN (SELECT k, x, string_agg(node, '' ORDER BY s) AS nodes, string_agg(left(node, 16) || ':' || short, '/' ORDER BY s) AS short FROM sections GROUP BY ALL) p USING (k, x)),
-pieces AS (SELECT k, x, node, unnest(regexp_extract_all(line, '{piece}')) AS piece FROM numbered JOIN sections USING (k, x, s)),
-sides AS (SELECT v.* FROM (VALUES ('b', 'a', 'b'), ('b', 'b', 'a'), ('c', 'a', 'c'), ('c', 'c', 'a')) v(pair, mine, other)),
-loose AS (SELECT sides.pair, sides.mine, p.k, p.piece FROM pieces p JOIN sides ON p.x = sides.mine WHERE NOT EXISTS (SELECT 1 FROM sections s WHERE s.k = p.k AND s.x = sides.other AND s.node = p.node)),
-missed AS (SELECT l.k, l.pair, sum(length(l.piece)) AS n FROM loose l WHERE NOT EXISTS (SELECT 1 FROM loose m WHERE m.k = l.k AND m.pair = l.pair AND m.mine <> l.mine AND m.piece = l.piece) GROUP BY ALL),
-near AS (SELECT p.k, q.x AS pair, p.size + q.size AS total, CASE WHEN p.root = q.root THEN 1.0 WHEN p.size + q.size = 0 THEN 0.0
-  ELSE least((p.size + q.size - coalesce(m.n, 0))::DOUBLE / (p.size + q.size), (p.size + q.size)::DOUBLE / (p.size + q.size + 1)) END::DOUBLE AS near
-  FROM prints p JOIN prints q ON p.k = q.k AND p.x = 'a' AND q.x <> 'a' LEFT JOIN missed m ON m.k = p.k AND m.pair = q.x)
+pieces AS (SELECT k, x, piece, count(*) * length(piece) AS n FROM (SELECT k, x, unnest(regexp_extract_all(line, '{piece}')) AS piece FROM leaves) GROUP BY k, x, piece),
+shared AS (SELECT p.k, q.x AS pair, sum(least(p.n, q.n)) AS n FROM pieces p JOIN pieces q ON p.k = q.k AND p.piece = q.piece AND p.x = 'a' AND q.x <> 'a' GROUP BY ALL),
+near AS (SELECT p.k, q.x AS pair, CASE WHEN p.root = q.root THEN 1.0 WHEN p.size + q.size = 0 THEN 0.0
+  ELSE least((2 * coalesce(s.n, 0))::DOUBLE / (p.size + q.size), (p.size + q.size)::DOUBLE / (p.size + q.size + 1)) END::DOUBLE AS near
+  FROM prints p JOIN prints q ON p.k = q.k AND p.x = 'a' AND q.x <> 'a' LEFT JOIN shared s ON s.k = p.k AND s.pair = q.x)
 SELECT o.doc_id, length(o.a) AS n_chars, sha256(o.b) AS edited_sha256, concat_ws('/', p.root, p.short) AS fingerprint, concat_ws('/', q.root, q.short) AS edited_fingerprint, y.near AS near_edited, z.near AS near_next
 FROM pairs o JOIN prints p ON p.k = o.k AND p.x = 'a' JOIN prints q ON q.k = o.k AND q.x = 'b' JOIN near y ON y.k = o.k AND y.pair = 'b' JOIN near z ON z.k = o.k AND z.pair = 'c'"""
 
