@@ -70,14 +70,21 @@ def pieces(lines: Column) -> Column:
 
 def numbered(parts: Column) -> Column:
     """The pieces of all lines as distinct values: the k-th repeat of a piece is a value of its own, of the same length."""
-    again = lambda p, k: F.when(k == 0, p).otherwise(F.xxhash64(p, k).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(p.bitwiseAND(F.lit(_LENGTH).cast("long"))))
+    again = lambda p, k: F.xxhash64(p, k).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(p.bitwiseAND(F.lit(_LENGTH).cast("long")))
+
+    def repeats(s: Column) -> Column:
+        return F.filter(s, lambda p, i: (i > 0) & (p == F.get(s, F.greatest(i - 1, F.lit(0)))))
 
     def runs(s: Column) -> Column:
-        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        """Of sorted repeats, which are few as a rule, each as a value of its own."""
+        places = F.sequence(F.lit(0), F.size(s) - 1)
         begins = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
-        return _let(begins, lambda b: F.flatten(F.zip_with(b, F.concat(F.slice(b, 2, 1 << 30), F.array(F.size(s))), lambda at, to: F.transform(F.sequence(F.lit(0), to - at - 1), lambda k: again(F.get(s, at), k)))))
+        return _let(begins, lambda b: F.flatten(F.zip_with(b, F.concat(F.slice(b, 2, 1 << 30), F.array(F.size(s))), lambda at, to: F.transform(F.sequence(F.lit(1), to - at), lambda k: again(F.get(s, at), k)))))
+
+    def all_of(flat: Column) -> Column:
+        return _let(F.array_distinct(flat), lambda one: F.when(F.size(one) == F.size(flat), one).otherwise(F.concat(one, _let(_let(F.sort_array(flat), repeats), runs))))
 
-    return F.when(F.size(parts) > 0, _let(F.sort_array(F.flatten(parts)), runs)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(parts) > 0, _let(F.flatten(parts), all_of)).otherwise(F.array().cast("array<bigint>"))
 
 
 def section_ends(leaves: Column) -> Column:
