@@ -9,7 +9,9 @@ source characters which that character stands for:
 
 1. homoglyphs, full-width and foreign digits to ASCII, invisible characters to
    nothing;
-2. runs of spelled digits ("plus four four seven ...") to digits;
+2. runs of spelled digits, figures and dots with a disguise among them ("plus 44
+   seven ...", "8 dot 8 dot 8 dot 8", "10[.]0[.]0[.]1") to figures, where that
+   makes an identifier;
 3. at/dot disguises ("jo (at) mail [dot] org", "jo at mail dot org") to @ and .
 
 The detectors run over the rewritten text, and what they find is mapped back to
@@ -135,14 +137,27 @@ class Mapped(NamedTuple):
         """Replaces [a, b) by a string for each of the ascending, disjoint edits."""
         if not edits:
             return self
-        texts, starts, ends, changed, done = [], [], [], [], 0
-        for a, b, out in edits:
-            texts += [self.text[done:a], out]
-            starts += [self.start[done:a], np.full(len(out), self.start[a])]
-            ends += [self.end[done:a], np.full(len(out), self.end[b - 1])]
-            changed += [self.changed[done:a], np.ones(len(out), bool)]
-            done = b
-        return Mapped("".join([*texts, self.text[done:]]), *(np.concatenate([*new, old[done:]]) for new, old in ((starts, self.start), (ends, self.end), (changed, self.changed))))
+        a, b, size = (np.array(x) for x in zip(*((a, b, len(out)) for a, b, out in edits)))
+        gone = np.zeros(len(self.text) + 1, np.int64)
+        np.add.at(gone, a, 1)
+        np.add.at(gone, b, -1)
+        kept = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
+        changed = np.zeros(len(kept) + size.sum(), bool)
+        changed[np.repeat(a - (np.cumsum(b - a) - (b - a)), size) + np.arange(size.sum())] = True
+        start, end = np.empty(len(changed), np.int64), np.empty(len(changed), np.int64)
+        start[changed], end[changed] = np.repeat(self.start[a], size), np.repeat(self.end[b - 1], size)
+        start[~changed], end[~changed] = self.start[kept], self.end[kept]
+        old = changed.copy()
+        old[~changed] = self.changed[kept]
+        return Mapped(rewritten(self.text, edits), start, end, old)
+
+
+def rewritten(text: str, edits: list[tuple[int, int, str]]) -> str:
+    parts, done = [], 0
+    for a, b, out in edits:
+        parts += [text[done:a], out]
+        done = b
+    return "".join([*parts, text[done:]])
 
 
 #: Letters of other alphabets that look like ASCII letters, dashes and dots.
@@ -201,19 +216,20 @@ AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punto", "point", "pu
 
 _WORD = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _DOTS = "|".join(DOT_WORDS)
-_GAP = r"[ \t\n,\-]{1,3}"
-_ITEM = rf"(?:{_WORD}|{_DOTS}|[0-9]{{1,20}})"
-#: Three spelled digits in a row, with anything of a number around them.
-_RUN = re.compile(rf"(?<!\w)(?:plus{_GAP}|\+[ ]?)?(?:{_ITEM}{_GAP}){{0,20}}?(?:(?:{_WORD}){_GAP}){{2}}(?:{_WORD})(?!\w)(?:{_GAP}{_ITEM}(?!\w))*", re.IGNORECASE)
-_ITEMS = re.compile(rf"plus|\+|{_WORD}|{_DOTS}|[0-9]+", re.IGNORECASE)
-
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+_IN_BRACKETS = rf"{_OPEN}[ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}{_CLOSE}"
+
+#: What a number may be made of; ``lastgroup`` names the kind.
+_ITEM = re.compile(rf"(?P<figure>[0-9]++)|(?P<point>\.)|(?P<dot>{_IN_BRACKETS}|(?<!\w)(?:{_DOTS})(?!\w))|(?P<plus>(?<!\w)plus(?!\w)|\+)|(?P<word>(?<!\w)(?:{_WORD})(?!\w))", re.IGNORECASE)
+#: What may stand between two of them.
+_GAP = re.compile(r"[ \t\n,()\-]{0,3}")
+
 _AT = re.compile(rf"[ \t]{{0,3}}{_OPEN}[ \t]{{0,3}}(?:{'|'.join(AT_WORDS)}|@)[ \t]{{0,3}}{_CLOSE}[ \t]{{0,3}}|[ \t]{{1,3}}(?:{'|'.join(AT_WORDS)}|@)[ \t]{{1,3}}|@", re.IGNORECASE)
-_DOT = rf"(?:[ \t]{{0,3}}{_OPEN}[ \t]{{0,3}}(?:{_DOTS}|\.)[ \t]{{0,3}}{_CLOSE}[ \t]{{0,3}}|[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}})"
-_REST = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}})+(?![A-Za-z0-9-])", re.IGNORECASE)
+_DOT = rf"(?:[ \t]{{0,3}}{_IN_BRACKETS}[ \t]{{0,3}}|[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}})"
 _DOT_AT = re.compile(_DOT, re.IGNORECASE)
-#: A local part has 64 characters at most; one disguised dot or more may stand in it.
-_BEFORE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+){{0,3}}\Z", re.IGNORECASE)
+#: Domains and local parts with plain and disguised dots, of any length.
+_REST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++", re.IGNORECASE)
+_BEFORE = re.compile(rf"[A-Za-z0-9._%+-]++(?:{_DOT}[A-Za-z0-9._%+-]++)*+", re.IGNORECASE)
 _TOP = re.compile(r"[A-Za-z]{2,24}\Z")
 
 
@@ -229,34 +245,72 @@ def unify_characters(text: Mapped) -> Mapped:
     return out
 
 
+def _runs(text: str):
+    """Items of numbers that stand side by side, two or more with a disguise among them."""
+    run: list[re.Match] = []
+    for item in _ITEM.finditer(text):
+        if run:
+            gap = item.start() - run[-1].end()
+            points = "point" in (item.lastgroup, run[-1].lastgroup)
+            if gap > 3 * (not points) or not _GAP.fullmatch(text, run[-1].end(), item.start()):
+                yield run
+                run = []
+        run.append(item)
+    yield run
+
+
+def _spoken(text: str, run: list[re.Match], glue: str) -> list[tuple[int, int, str]]:
+    """Edits that write a run in figures: gaps between figures stay, between figures and words there is ``glue``, elsewhere nothing."""
+    edits, last = [], None
+    for item in run:
+        kind = item.lastgroup
+        if last is not None and last.end() < item.start():
+            kinds = {kind, last.lastgroup}
+            if kinds != {"figure"}:
+                edits.append((last.end(), item.start(), glue if kinds == {"figure", "word"} else ""))
+        if kind == "word":
+            edits.append((*item.span(), _DIGIT_OF[item[0].lower()]))
+        elif kind == "dot" or kind == "plus" and item[0] != "+":
+            edits.append((*item.span(), "." if kind == "dot" else "+"))
+        last = item
+    return edits
+
+
 def unify_digits(text: Mapped) -> Mapped:
+    """Rewrites the runs that are identifiers in figures, so that numbers in prose stay words."""
     edits = []
-    for run in _RUN.finditer(text.text):
-        items = [m[0].lower() for m in _ITEMS.finditer(run[0])]
-        while items[-1] in DOT_WORDS:
-            items.pop()
-        out = "".join("+" if i in ("plus", "+") else "." if i in DOT_WORDS else _DIGIT_OF.get(i, i) for i in items)
-        edits.append((run.start(), run.end(), out))
+    for run in _runs(text.text):
+        if len(run) < 2 or not any(i.lastgroup in ("word", "dot") or i.lastgroup == "plus" and i[0] != "+" for i in run):
+            continue
+        first, last = run[0].start(), run[-1].end()
+        for glue in (" ", ""):
+            found = _spoken(text.text, run, glue)
+            if plain_spans(rewritten(text.text[first:last], [(a - first, b - first, out) for a, b, out in found])):
+                edits += found
+                break
     return text.rewrite(edits)
 
 
 def unify_addresses(text: Mapped) -> Mapped:
-    """Rewrites whole disguised addresses only, so that "at" and "dot" elsewhere stay words."""
+    """Rewrites whole disguised addresses only, so that "at" and "dot" elsewhere stay words.
+
+    A local part ends where its "at" begins, and no "at" inside a local part or
+    domain begins an address, so that no stretch of text is read twice.
+    """
     edits, done = [], 0
+    before = {m.end(): m for m in _BEFORE.finditer(text.text)}
     for at in _AT.finditer(text.text):
-        rest = _REST.match(text.text, at.end())
-        if at.start() < done or rest is None:
+        local = before.get(at.start())
+        if local is None or local.start() < done:
             continue
-        dots = [*_DOT_AT.finditer(rest[0])]
-        if at[0].strip(" \t")[0] not in "[({<" and not dots:  # a bare "at" needs a disguised dot after it
-            continue
-        if not _TOP.search(rest[0]):
+        rest = _REST.match(text.text, at.end())
+        if rest is None or not _TOP.search(rest[0]):
             continue
-        ahead = max(done, at.start() - 160)
-        before = _BEFORE.search(text.text, ahead, at.start())
-        if before is None:
+        ahead, dots = [*_DOT_AT.finditer(local[0])], [*_DOT_AT.finditer(rest[0])]
+        plain = at[0] == "@" and any(m[0].strip(" \t")[0] in "[({<" for m in ahead)
+        if at[0].strip(" \t")[0] not in "[({<" and not dots and not plain:  # a bare "at" needs a disguised dot with it
             continue
-        edits += [(m.start() + before.start(), m.end() + before.start(), ".") for m in _DOT_AT.finditer(before[0])]
+        edits += [(m.start() + local.start(), m.end() + local.start(), ".") for m in ahead]
         edits += [(at.start(), at.end(), "@")]
         edits += [(m.start() + at.end(), m.end() + at.end(), ".") for m in dots]
         done = rest.end()
@@ -267,8 +321,9 @@ def unify_addresses(text: Mapped) -> Mapped:
 @functools.cache
 def trigger() -> str:
     glyphs = _ranges(sorted([*homoglyphs(), *map(ord, INVISIBLE)]))
-    gap = r"[ \t\n,\-]{1,3}"
-    return rf"[{glyphs}]|(?i:\b(?:{_DOTS})\b|[\[({{<][ \t]*(?:{'|'.join(AT_WORDS)}|@|\.)[ \t]*[\])}}>]|(?:(?:{_WORD}){gap}){{2}}(?:{_WORD}))"
+    gap, words = r"[ \t\n,().\-]{1,3}", rf"(?:{_WORD})"
+    spoken = rf"\b(?:{_WORD}|plus){gap}(?:{_WORD}|[0-9+])|[0-9]{gap}{words}\b"
+    return rf"[{glyphs}]|(?i:\b(?:{_DOTS})\b|{_OPEN}[ \t]*(?:{'|'.join(AT_WORDS)}|@|\.)[ \t]*{_CLOSE}|{spoken})"
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
