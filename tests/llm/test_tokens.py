@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -187,7 +188,7 @@ def test_packing_joins_like_documents_of_many_shards(documents, scratch, topics)
     order = rng.sample(range(len(texts)), len(texts))
     rows = packing.pack(documents([(i, texts[i]) for i in order]), FILE, 0, scratch(), shard_tokens=10_000).collect()
     assert check_packing(rows, list(enumerate(texts))) == 0
-    assert len({r["sequence_id"] >> 32 for r in rows}) >= topics // 16
+    assert len({r["sequence_id"] >> 24 for r in rows}) >= topics // 16
     windows = {}
     for r in rows:
         windows.setdefault(r["doc_id"], set()).add(r["sequence_id"])
@@ -233,3 +234,20 @@ def test_a_sketch_of_many_documents_is_dealt_among_shards():
 def test_packing_of_real_documents(spark, small, scratch):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     assert check_packing(packing.pack(docs, FILE, 0, scratch(), shard_tokens=50_000).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()]) == 0
+
+
+def test_shards_are_cut_from_sorted_ranges(documents, scratch, monkeypatch):
+    """A range gives any number of shards, and what the driver samples does not grow with them."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=40)) for _ in range(400)] + ["same words in all of these " * 4] * 200
+    monkeypatch.setattr(packing, "RANGES", 2)
+    monkeypatch.setattr(packing, "BOUND_SAMPLE", 8)
+    rows = packing.pack(documents(texts), FILE, 0, scratch(), shard_tokens=2000).collect()
+    assert check_packing(rows, list(enumerate(texts))) == 0
+    seen = {r["sequence_id"] >> 24 for r in rows}
+    assert {s >> 22 for s in seen} == {0, 1} and len(seen) >= 10
+
+
+def test_shards_of_a_range():
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "ids": [b"ab", b"cd", b"x" * 20, b"ef", b"gh", b"ij"]})
+    assert [k for k, _ in packing.shards([part, part], 5)] == [[0, 1], [2], [3, 4], [5, 0], [1], [2], [3, 4], [5]]

@@ -3,8 +3,9 @@
 Documents are tokenised once, into a table of ids in the shared scratch folder;
 each task adds to it one row of document frequencies, so that counting over all
 documents costs no second pass. The documents are sorted by a sketch of their
-tokens into shards of about ``SHARD_TOKENS`` ids, so that like documents meet
-however many shards there are (``routes``). In each shard a BM25 inverted index,
+tokens: tasks take ranges of sketches, sort them and cut them into shards of about
+``SHARD_TOKENS`` ids one after another, so that like documents meet however many
+shards there are (``routes``). In each shard a BM25 inverted index,
 whose terms are the tokens, returns for the document that a window began with
 (its seed) the unused documents most like it; they fill the window in that
 order. Neighbours that the sketch sends to another shard are not seen. A document
@@ -12,14 +13,16 @@ longer than the space left is cut, and its rest opens the next window as its
 seed. When the seed has no unused neighbour left, the next unused document
 follows. Frequencies, the number of documents and their mean length are those of
 all documents, so every shard weighs tokens alike; what reaches the tasks is one
-weight for each token of the vocabulary and one bound for each shard.
+weight for each token of the vocabulary and one bound for each of at most
+``RANGES`` ranges.
 
 All windows of a shard but the last are full. What is left at its end is cut
 into windows whose lengths are powers of two, which take no padding.
 
 A null text is an empty document, one end id long; a null doc_id is kept as it
 is; repeated rows are packed one by one; an empty table gives no rows; other
-columns are ignored. One document is held whole in a task, as is one shard.
+columns are ignored. One document, however long, is held whole in a task, as is one
+shard, which a longer document fills alone.
 """
 
 from __future__ import annotations
@@ -28,25 +31,26 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdikt.llm.bpe import file_encoder, slices
-from verdikt.llm.common import Scratch, batches, texts
+from verdikt.llm.common import Scratch, batches, tasks, texts
 from verdikt.llm.words import distinct
 
 SHARD_TOKENS = 400_000
 K1, B = 1.2, 0.75
 #: In a shard of up to AT_ONCE documents, tokens in more than one of DENSE are scored by a matrix of up to CELLS, the others by postings.
 AT_ONCE, DENSE, CELLS = 2000, 64, 1 << 21
-#: Documents for each shard whose sketches give the shards' bounds, on average.
-BOUND_SAMPLE = 64
+#: Ranges of sketches at most, and documents for each that give the ranges' bounds, on average.
+RANGES, BOUND_SAMPLE = 1 << 15, 64
 #: Parts of a sketch, 16 bits each.
 PARTS = 4
 #: Rows of frequencies that are summed by one task, until so few are left for the driver.
 SUMS = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
-ROUTED = "doc_id long, place long, ids binary, shard long"
+ROUTED = "doc_id long, place long, ids binary, sketch long, `range` int"
 TOKENS = "doc_id long, place long, ids binary, df binary, documents long, tokens long"
 
 
@@ -137,17 +141,18 @@ def sketches(ids: list[bytes], kind: str, ranks: np.ndarray) -> np.ndarray:
 
 
 def dealt(sketch: np.ndarray, place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The shard of each document; a sketch that fills several is dealt among them by place."""
+    """The range of each document; a sketch that fills several is dealt among them by place."""
     low, high = np.searchsorted(bounds, sketch, "left"), np.searchsorted(bounds, sketch, "right")
     salt = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
     return low + (salt % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64)
 
 
-def routes(documents: DataFrame, kind: str, ranks: np.ndarray, n: int, shards: int) -> DataFrame:
-    """ROUTED: documents (doc_id, place, ids) by ranges of their sketches with about as many ids each.
+def routes(documents: DataFrame, kind: str, ranks: np.ndarray, n: int, ranges: int) -> DataFrame:
+    """ROUTED: documents (doc_id, place, ids), ``ranges`` partitions by sketch with about as many ids each, in order.
 
-    The bounds are quantiles of a sample by a hash of the place. The more
-    documents there are, the more parts of a sketch a shard's documents share.
+    The bounds are quantiles of a sample by a hash of the place, BOUND_SAMPLE
+    documents for each of at most RANGES ranges: what the driver holds has a size
+    that does not depend on the input. A range holds any number of shards.
     """
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
@@ -156,20 +161,37 @@ def routes(documents: DataFrame, kind: str, ranks: np.ndarray, n: int, shards: i
             ids = part.column("ids").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(sketches(ids, kind, shared.value), pa.int64()), pa.array([len(i) for i in ids], pa.int64())], names=["sketch", "bytes"])
 
-    few = documents.where(F.pmod(F.xxhash64("place"), F.lit(max(1, n // (shards * BOUND_SAMPLE)))) == 0)
+    share = min(1.0, ranges * BOUND_SAMPLE / max(n, 1))
+    few = documents.where(F.pmod(F.xxhash64("place"), F.lit(1 << 40)) < int((1 << 40) * share))
     seen = few.select("ids").mapInArrow(measured, "sketch long, bytes long").toArrow()
     sketch, size = seen.column("sketch").to_numpy(), seen.column("bytes").to_numpy()
     order = np.argsort(sketch, kind="stable")
     upto = np.cumsum(size[order])
-    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards) if len(upto) else np.zeros(0, np.int64)
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges) if len(upto) else np.zeros(0, np.int64)
     bounds = documents.sparkSession.sparkContext.broadcast(sketch[order][cuts])
 
     def run(parts):
         for part in parts:
-            shard = dealt(sketches(part.column("ids").to_pylist(), kind, shared.value), part.column("place").to_numpy(), bounds.value)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shard, pa.int64())], names=["doc_id", "place", "ids", "shard"])
+            sketch = sketches(part.column("ids").to_pylist(), kind, shared.value)
+            place = dealt(sketch, part.column("place").to_numpy(), bounds.value)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sketch, pa.int64()), pa.array(place, pa.int32())], names=["doc_id", "place", "ids", "sketch", "range"])
 
-    return documents.mapInArrow(run, ROUTED)
+    return documents.mapInArrow(run, ROUTED).repartitionById(ranges, "range").sortWithinPartitions("sketch", "place")
+
+
+def shards(parts, shard_bytes: int):
+    """Runs of a range's sorted documents with about ``shard_bytes`` of ids, one at a time, as (doc_id, ids) lists."""
+    keys, ids, total = [], [], 0
+    for part in parts:
+        for key, raw in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
+            if ids and total + len(raw) > shard_bytes:
+                yield keys, ids
+                keys, ids, total = [], [], 0
+            keys.append(key)
+            ids.append(raw)
+            total += len(raw)
+    if ids:
+        yield keys, ids
 
 
 class Index:
@@ -204,7 +226,7 @@ class Index:
         self._of = np.searchsorted(doc, np.arange(n + 1))
 
     def ranked(self, seed: int) -> np.ndarray:
-        """Documents that share tokens with the seed, best first, ties by place."""
+        """Documents that share tokens with the seed, best first, ties by their order in the shard."""
         tokens = self._token[self._of[seed] : self._of[seed + 1]]
         row = self._row[tokens]
         score = np.zeros(self._n) if self._scores is None else self._scores[seed]
@@ -262,21 +284,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, window:
     table = scratch.save(tokenised(docs, tokenizer, end_id, size), "tokens")
     df, n, tokens = statistics(table.where("df is not null").select("df", "documents", "tokens"), size)
     idf, mean_tokens = np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(n, 1)
-    shards = max(1, -(-(tokens + n) // shard_tokens))
+    ranges = max(1, min(-(-(tokens + n) // shard_tokens), tasks(table), RANGES))
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
-    def run(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by("place")
-        keys, at = shard.column("doc_id").to_pylist(), shard.column("shard")[0].as_py()
-        ids = [np.frombuffer(raw, kind) for raw in shard.column("ids").to_pylist()]
-        lengths = [len(i) for i in ids]
-        index = Index([i[:-1] for i in ids], shared.value, mean_tokens)
-        columns = [[] for _ in schema.names]
-        for d, s, n, q, o in fill(lengths, index.ranked, window):
-            crc = zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes())
-            for column, value in zip(columns, (keys[d], s, n, crc, lengths[d], (at << 32) + q, o)):
-                column.append(value)
-        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=schema)
+    def run(parts):
+        at = TaskContext.get().partitionId()
+        for number, (keys, raw) in enumerate(shards(parts, shard_tokens * np.dtype(kind).itemsize)):
+            ids = [np.frombuffer(r, kind) for r in raw]
+            lengths = [len(i) for i in ids]
+            index = Index([i[:-1] for i in ids], shared.value, mean_tokens)
+            first = (at << 46) + (number << 24)
+            pieces = ((keys[d], s, m, zlib.crc32(ids[d][s : s + m].astype("<u4").tobytes()), lengths[d], first + q, o) for d, s, m, q, o in fill(lengths, index.ranked, window))
+            yield from batches(schema, pieces, 8192)
 
     documents = table.where("ids is not null").select("doc_id", "place", "ids")
-    return routes(documents, kind, rankings(df, idf), n, shards).groupBy("shard").applyInArrow(run, SCHEMA)
+    return routes(documents, kind, rankings(df, idf), n, ranges).select("doc_id", "ids").mapInArrow(run, SCHEMA)
