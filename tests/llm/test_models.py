@@ -56,22 +56,86 @@ def test_risk_finds_the_hidden_bad():
     assert (model.scores(f([good() for _ in range(100)])) > 0.8).all() and (model.scores(f([bad() for _ in range(100)])) < 0.2).all()
 
 
-def test_unseen_misspellings():
+CLEAN = [f"{a}{b}{c}" for a in ("pl", "tr", "gr") for b in ("ane", "ust", "ood") for c in ("", "s", "ly")]
+
+
+def clean_text(rng, *more, k=60):
+    words = [*rng.choices(CLEAN, k=k), *more]
+    return " ".join(rng.sample(words, len(words)))
+
+
+def test_unseen_misspellings(spark, documents):
     rng = random.Random(4)
-    clean = [f"{a}{b}{c}" for a in ("pl", "tr", "gr") for b in ("ane", "ust", "ood") for c in ("", "s", "ly")]
-    text = lambda *more: " ".join([*rng.choices(clean, k=60), *more])
-    texts = [text() for _ in range(300)] + [text(rng.choice(["worthless", "disgusting", "pathetic"])) for _ in range(100)]
-    model = toxicity.train(texts, np.array([0] * 300 + [1] * 100))
+    texts = [clean_text(rng) for _ in range(300)] + [clean_text(rng, rng.choice(["worthless", "disgusting", "pathetic"])) for _ in range(100)]
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(documents(texts), labels)
     scorer = toxicity.Scorer(model)
+    text = lambda *more: clean_text(rng, *more)
     chance = [model.probability(x) for x in scorer.logits([text("worthlesss"), text("disgustin"), text("patheticc"), text("WORTHLESS!"), text(), text()])]
     assert min(chance[:4]) > 0.5 > max(chance[4:])
 
 
+def test_long_texts_are_learned_from(spark, documents, monkeypatch):
+    """All toxic texts are long, with one toxic word each, and few of their windows are drawn; partitions and repeated ids make no difference."""
+    monkeypatch.setattr(toxicity, "DRAWN", 20_000)
+    rng = random.Random(9)
+    texts = [clean_text(rng, k=1000) for _ in range(60)] + [clean_text(rng, rng.choice(["worthless", "disgusting"]), k=4000) for _ in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(120)], "doc_id long, toxic int")
+    assert min(len(t) for t in texts[60:]) > 15_000
+    rows = [*enumerate(texts), (3, texts[3] + " zzz"), (70, texts[70] + " zzz")]
+    model, again = (toxicity.fit(documents(rng.sample(rows, len(rows)), parts=n), labels) for n in (2, 5))
+    assert model.bias == again.bias and model.slope == again.slope and (model.bucket == again.bucket).all()
+    chance = [model.probability(x) for x in toxicity.Scorer(model).logits([clean_text(rng, "worthless", k=3000), clean_text(rng, "disgustingg", k=50), clean_text(rng, k=3000), clean_text(rng, k=50)])]
+    assert min(chance[:2]) > 0.5 > max(chance[2:])
+
+
+def test_windows_written_out(spark, documents):
+    texts = ["a b c d e f g", "x y", "", None, "1 2"]
+    sample = documents(texts).selectExpr("doc_id", "coalesce(text, '') text", "cast(doc_id % 2 as int) label")
+    got = sorted((r["doc_id"], r["place"], r["words"]) for r in toxicity.drawn_windows(sample).collect())
+    assert got == [(0, 0, "a b c d e"), (0, 1, "b c d e f"), (0, 2, "c d e f g"), (1, 0, "x y")]
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.5, 1.0, 0.0)
+    scorer = toxicity.Scorer(model)
+    scorer.learn(set("abcdefg"))
+    best = sorted(r["place"] for r in toxicity.highest_windows(sample, model).where("doc_id = 0").collect())
+    assert best == [0, 1, 2] and np.argmax(scorer.windows(list("abcdefg"))) in best
+
+
+def test_gradients_written_out():
+    """Against finite differences of the cross entropy, window by window."""
+    rng = np.random.default_rng(3)
+    vectors, softmax, bias = rng.normal(size=(6, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    units, edges = np.array([0, 1, 1, 4, 5, 0, 2]), np.array([0, 3, 5])
+    target = np.array([[1, 0], [0, 1], [0, 1]], float)
+
+    def loss(v, s, b):
+        total = 0.0
+        for at, to, y in zip(edges, [*edges[1:], len(units)], target):
+            z = sum(v[u] for u in units[at:to]) / (to - at) @ s + b
+            total -= (y * (z - math.log(sum(math.exp(x) for x in z)))).sum()
+        return total
+
+    touched, of_vectors, of_softmax, of_bias = toxicity.gradients(vectors, softmax, bias, units, edges, target)
+    assert touched.tolist() == [0, 1, 2, 4, 5]
+    all_vectors = np.zeros_like(vectors)
+    all_vectors[touched] = of_vectors
+    for array, got, scale in ((vectors, all_vectors, 1), (softmax, of_softmax, 3), (bias, of_bias, 3)):
+        for place in np.ndindex(array.shape):
+            old, step = array[place], 1e-6
+            array[place] = old + step
+            up = loss(vectors, softmax, bias)
+            array[place] = old - step
+            down = loss(vectors, softmax, bias)
+            array[place] = old
+            assert abs((up - down) / 2 / step / scale - got[place]) < 1e-5
+
+
 def test_word_units_are_those_of_the_word():
     cuts, bucket = toxicity.word_units(["été", "a", "worthless", "a"])
     assert (np.diff(cuts) > 0).all() and (bucket[cuts[1] : cuts[2]] == bucket[cuts[3] : cuts[4]]).all()
     alone = toxicity.word_units(["worthless"])[1]
     assert sorted(alone) == sorted(bucket[cuts[2] : cuts[3]])
+    assert sorted(toxicity.word_units(["a"])[1]) == sorted(bucket[cuts[1] : cuts[2]])  # alone, shorter than the longest n-gram
 
 
 @pytest.mark.parametrize("model", [quality, toxicity])

@@ -80,12 +80,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int)
     Rows are taken where a hash of the doc_id is under the threshold that leaves
     ``bound`` of them on average; the chosen ids, a bounded list, are broadcast,
     so that texts are not shuffled. Null labels and ids are left out, and of
-    repeated ids one row is taken.
+    repeated ids the least text is taken.
     """
     known = labels.where(f"doc_id is not null and {column} is not null").where(train_row(F.col("doc_id")))
     chosen = hash_sample(known.groupBy("doc_id").agg(F.min(column).cast("int").alias("label")), bound)
     found = texts(docs, "doc_id").join(F.broadcast(chosen), "doc_id")
-    return found.dropDuplicates(["doc_id"])
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def hash_sample(keys: DataFrame, bound: int) -> DataFrame:

@@ -19,13 +19,20 @@ its parts: after training each bucket is one number, a word's logit is computed
 once and remembered, and scoring makes no vectors.
 
 The sample is at most about ``SAMPLE`` labelled texts, taken by a hash of the
-doc_id. Windows are learned from in those of at most ``CHARS`` characters, and in
-as much of a longer clean text, from a place that its doc_id's hash gives; a
-longer toxic text, of which a part may be clean, has a say in the curve only.
-Scoring takes every text whole. A text without letters, empty or null gets the prior of an empty window (the
-softmax's bias alone). Without labelled texts of both kinds that have words
-every score is next to 0 (1e-13). Repeated rows are scored one by one, an empty table gives no rows, and columns other than
-doc_id and text are ignored.
+doc_id; of a repeated doc_id the least text is taken. Its texts are cut into
+windows by the executors, all of each whatever its length, and about ``DRAWN``
+windows of either label are learned from, drawn by a hash of doc_id and place.
+With the model of that, executors look through every window of the whole sample
+again for the ``TOXIC_BEST`` highest of each toxic text and the ``CLEAN_BEST`` of
+each clean one; training goes on with these, so that the toxic words of a very
+long text are found wherever they are. Windows are sorted by doc_id and place:
+how the input is partitioned makes no difference to the model.
+
+Scoring takes every text whole. A text without letters, empty or null gets the
+prior of an empty window (the softmax's bias alone). Without labelled texts of
+both kinds that have words every score is next to 0 (1e-13). Repeated rows are
+scored one by one, an empty table gives no rows, and columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +42,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +51,11 @@ from verdikt.llm.common import Scratch, batches, labelled_sample, texts
 from verdikt.llm.words import mix
 
 BUCKETS, DIMENSIONS, WINDOW, ORDERS = 1 << 17, 8, 5, (3, 4, 5, 6)
-SAMPLE, CHARS, CLEAN_WINDOWS = 6000, 20_000, 300_000
-ROUNDS, STEPS, BATCH, RATE = 4, 60, 4096, 0.5
+#: Labelled texts, windows drawn of either label, and highest windows of each text; about these many at most.
+SAMPLE, DRAWN, TOXIC_BEST, CLEAN_BEST = 6000, 300_000, 64, 16
+#: Rounds over the drawn windows, rounds over the highest ones.
+FIRST_ROUNDS, LAST_ROUNDS = 2, 3
+STEPS, BATCH, RATE = 60, 4096, 0.5
 #: Word logits remembered by one worker; emptied when full.
 MEMORY = 500_000
 THRESHOLD = 0.5
@@ -65,7 +76,7 @@ def word_units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(data))
     owners, hashes = [], []
     rolled = np.zeros(len(data), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
+    for n in range(1, min(max(ORDERS), len(data)) + 1):
         rolled[: len(data) - n + 1] = rolled[: len(data) - n + 1] * np.uint64(0x100000001B3) + data[n - 1 :]
         if n in ORDERS:
             inside = at + n <= end[owner]
@@ -114,11 +125,12 @@ class Scorer:
     def __init__(self, model: Model):
         self._model, self._known = model, {}
 
-    def logit(self, found: list[str]) -> float:
+    def windows(self, found: list[str]) -> np.ndarray:
+        """Logits of a text's windows in order; of the bias alone where it has no words."""
         if not found:
-            return self._model.bias
+            return np.array([self._model.bias])
         sums, sizes = np.array([self._known[w] for w in found]).T
-        return float((window_sums(sums) / window_sums(sizes)).max()) + self._model.bias
+        return window_sums(sums) / window_sums(sizes) + self._model.bias
 
     def learn(self, words: set[str]) -> None:
         new = list(words.difference(self._known))
@@ -133,93 +145,106 @@ class Scorer:
     def logits(self, some: list[str]) -> list[float]:
         found = [words_of(text) for text in some]
         self.learn(set().union(*found))
-        return [self.logit(words) for words in found]
-
-
-def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """A model from whole texts and 0/1 labels."""
-    labels = np.asarray(labels)
-    nothing = Model(np.zeros(BUCKETS), -30.0, 1.0, 0.0)
-    if not all(any(y == label and words_of(t) for t, y in zip(documents, labels)) for label in (0, 1)):
-        return nothing
-    rng = np.random.default_rng(seed)
-    vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in documents]
-    cuts, bucket = _units_in_parts(list(vocabulary))
-    count = np.diff(cuts)
-    # Windows as rows of word numbers; -1 where a document has fewer words. Of clean ones a bounded number is drawn.
-    share = min(1.0, CLEAN_WINDOWS / max(1, sum(len(w) for w, y in zip(coded, labels) if not y)))
-    rows, owner = [], []
-    for doc, words in enumerate(coded):
-        if not len(words):
-            continue
-        first = np.arange(max(1, len(words) - WINDOW + 1))
-        if not labels[doc]:
-            first = first[rng.random(len(first)) < share] if share < 1 else first
-        held = words[first[:, None] + np.arange(WINDOW)] if len(words) >= WINDOW else np.r_[words, [-1] * (WINDOW - len(words))].astype(np.int32)[None]
-        rows.append(held)
-        owner.append(np.full(len(held), doc, np.int32))
-    rows, owner = np.concatenate(rows), np.concatenate(owner)
-    toxic, clean = np.flatnonzero(labels[owner] == 1), np.flatnonzero(labels[owner] == 0)
-    if not len(clean):
-        return nothing
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    softmax, bias = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
-    seen_v, seen_s, seen_b = np.full((BUCKETS, 1), 1e-3, np.float32), np.full(softmax.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
-
-    def word_logits() -> np.ndarray:
-        return np.add.reduceat((vectors @ (softmax[:, 1] - softmax[:, 0]))[bucket], cuts[:-1])
-
-    def window_logits(which: np.ndarray) -> np.ndarray:
-        sums, sizes = np.r_[word_logits(), 0.0], np.r_[count, 0]
-        parts = [rows[which[at : at + 50_000]] for at in range(0, len(which), 50_000)]
-        return np.concatenate([sums[p].sum(axis=1) / np.maximum(1, sizes[p].sum(axis=1)) for p in parts]) + bias[1] - bias[0]
-
-    positives = toxic
-    for turn in range(ROUNDS):
-        if turn:
-            logit = window_logits(toxic)
-            order = np.lexsort((-logit, owner[toxic]))
-            docs = owner[toxic][order]
-            first = np.r_[True, docs[1:] != docs[:-1]]
-            best = logit[order][np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))]
-            # A document's best window, and those about as high.
-            positives = toxic[order][first | ((logit[order] >= 0.5 * best) & (best > 0))]
-            hard = clean[np.argsort(-window_logits(clean))[: max(1, len(clean) // 20)]]
-        for _ in range(STEPS):
-            half = BATCH // 2
-            # Half of the clean windows are hard ones, those that the last round took for toxic most.
-            easy = rng.choice(clean, half if not turn else half // 2)
-            batch = np.concatenate([rng.choice(positives, half), easy, rng.choice(hard, half - len(easy))] if turn else [rng.choice(positives, half), easy])
-            target = np.zeros((len(batch), 2), np.float32)
-            target[:half, 1] = target[half:, 0] = 1
-            words = rows[batch]
-            real = words >= 0
-            flat, of = words[real], np.repeat(np.arange(len(batch)), real.sum(axis=1))
-            size = count[flat]
-            units = bucket[np.repeat(cuts[flat], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-            of = np.repeat(of, size)
-            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            n = np.diff(np.r_[edges, len(of)])[:, None].astype(np.float32)
-            average = np.add.reduceat(vectors[units], edges, axis=0) / n
-            z = average @ softmax + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            error = (p - target) / len(batch)
-            grad_s, grad_b = average.T @ error, error.sum(axis=0)
-            grad_a = (error @ softmax.T / n)[of] * len(batch)
-            touched, inverse = np.unique(units, return_inverse=True)
-            grad_v = np.stack([np.bincount(inverse, grad_a[:, d], len(touched)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
-            seen_v[touched] += (grad_v * grad_v).mean(axis=1, keepdims=True)
-            vectors[touched] -= RATE * grad_v / np.sqrt(seen_v[touched])
-            seen_s += grad_s * grad_s
-            softmax -= RATE * grad_s / np.sqrt(seen_s)
-            seen_b += grad_b * grad_b
-            bias -= RATE * grad_b / np.sqrt(seen_b)
-    model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64), float(bias[1] - bias[0]), 1.0, 0.0)
-    sums = np.add.reduceat(model.bucket[bucket], cuts[:-1])
-    highest = np.array([(window_sums(sums[w]) / window_sums(count[w])).max() if len(w) else 0.0 for w in coded]) + model.bias
-    return model._replace(**curve(highest, labels))
+        return [float(self.windows(words).max()) for words in found]
+
+
+class Windows:
+    """Windows as rows of word numbers, -1 where a text has fewer words, with the place of their text and its label."""
+
+    def __init__(self, found: pa.Table):
+        found = found.sort_by([("doc_id", "ascending"), ("place", "ascending")])
+        vocabulary: dict[str, int] = {}
+        words = [w.split(" ") for w in found.column("words").to_pylist()]
+        self.rows = np.full((len(words), WINDOW), -1, np.int32)
+        for row, some in zip(self.rows, words):
+            row[: len(some)] = [vocabulary.setdefault(w, len(vocabulary)) for w in some]
+        self.owner = np.unique(found.column("doc_id").to_numpy(), return_inverse=True)[1]
+        self.toxic, self.clean = (np.flatnonzero(found.column("label").to_numpy() == y) for y in (1, 0))
+        if vocabulary:
+            self.cuts, self.bucket = _units_in_parts(list(vocabulary))
+            self.count = np.diff(self.cuts)
+
+    def units(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, edges): units of the windows one after another, and where each window's begin."""
+        words = self.rows[which]
+        real = words >= 0
+        flat, of = words[real], np.repeat(np.arange(len(which)), real.sum(axis=1))
+        size = self.count[flat]
+        units = self.bucket[np.repeat(self.cuts[flat], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        of = np.repeat(of, size)
+        return units, np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+
+    def logits(self, which: np.ndarray, bucket: np.ndarray, bias: float) -> np.ndarray:
+        sums, sizes = np.r_[np.add.reduceat(bucket[self.bucket], self.cuts[:-1]), 0.0], np.r_[self.count, 0]
+        parts = [self.rows[which[at : at + 50_000]] for at in range(0, len(which), 50_000)]
+        return np.concatenate([sums[p].sum(axis=1) / np.maximum(1, sizes[p].sum(axis=1)) for p in parts]) + bias
+
+
+def gradients(vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, units: np.ndarray, edges: np.ndarray, target: np.ndarray):
+    """(buckets, theirs, softmax's, bias's): gradients of the windows' cross entropy, summed for the vectors, in the mean for the softmax."""
+    sizes = np.diff(np.r_[edges, len(units)])
+    n = sizes[:, None].astype(np.float32)
+    average = np.add.reduceat(vectors[units], edges, axis=0) / n
+    z = average @ softmax + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    error = (p - target) / len(target)
+    each = (error @ softmax.T / n)[np.repeat(np.arange(len(sizes)), sizes)] * len(target)
+    touched, inverse = np.unique(units, return_inverse=True)
+    of_vectors = np.stack([np.bincount(inverse, each[:, d], len(touched)) for d in range(vectors.shape[1])], axis=1).astype(vectors.dtype)
+    return touched, of_vectors, average.T @ error, error.sum(axis=0)
+
+
+class Learner:
+    """Vectors and softmax as they are learned by AdaGrad, over one table of windows after another."""
+
+    def __init__(self, seed: int = 7):
+        self._rng = np.random.default_rng(seed)
+        self._vectors = self._rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+        self._softmax, self._bias = self._rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
+        self._seen = [np.full((BUCKETS, 1), 1e-3, np.float32), np.full((DIMENSIONS, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)]
+        self._turn = 0
+
+    def model(self) -> Model:
+        return Model((self._vectors @ (self._softmax[:, 1] - self._softmax[:, 0])).astype(np.float64), float(self._bias[1] - self._bias[0]), 1.0, 0.0)
+
+    def rounds(self, windows: Windows, n: int) -> None:
+        for _ in range(n):
+            positives, hard = self._chosen(windows)
+            for _ in range(STEPS):
+                half = BATCH // 2
+                # Half of the clean windows are hard ones, those that the last round took for toxic most.
+                easy = self._rng.choice(windows.clean, half - half // 2 if len(hard) else half)
+                batch = np.concatenate([self._rng.choice(positives, half), easy, *([self._rng.choice(hard, half - len(easy))] if len(hard) else [])])
+                target = np.zeros((len(batch), 2), np.float32)
+                target[:half, 1] = target[half:, 0] = 1
+                self._step(*windows.units(batch), target)
+            self._turn += 1
+
+    def _chosen(self, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """(toxic windows, hard clean windows) of a round; in the first, all and none."""
+        if not self._turn:
+            return windows.toxic, windows.clean[:0]
+        bucket, bias = self.model()[:2]
+        logit = windows.logits(windows.toxic, bucket, bias)
+        order = np.lexsort((-logit, windows.owner[windows.toxic]))
+        docs, high = windows.owner[windows.toxic][order], logit[order]
+        first = np.r_[True, docs[1:] != docs[:-1]]
+        best = high[np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))]
+        # A document's best window, and those about as high.
+        positives = windows.toxic[order][first | ((high >= 0.5 * best) & (best > 0))]
+        hard = np.argsort(-windows.logits(windows.clean, bucket, bias), kind="stable")[: max(1, len(windows.clean) // 20)]
+        return positives, windows.clean[hard]
+
+    def _step(self, units: np.ndarray, edges: np.ndarray, target: np.ndarray) -> None:
+        touched, of_vectors, of_softmax, of_bias = gradients(self._vectors, self._softmax, self._bias, units, edges, target)
+        seen_v, seen_s, seen_b = self._seen
+        seen_v[touched] += (of_vectors * of_vectors).mean(axis=1, keepdims=True)
+        self._vectors[touched] -= RATE * of_vectors / np.sqrt(seen_v[touched])
+        seen_s += of_softmax * of_softmax
+        self._softmax -= RATE * of_softmax / np.sqrt(seen_s)
+        seen_b += of_bias * of_bias
+        self._bias -= RATE * of_bias / np.sqrt(seen_b)
 
 
 def curve(logits: np.ndarray, labels: np.ndarray) -> dict[str, float]:
@@ -235,25 +260,80 @@ def curve(logits: np.ndarray, labels: np.ndarray) -> dict[str, float]:
     return {"slope": float(w[0] / scale), "shift": float(w[1])}
 
 
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("place", pa.int64()), ("words", pa.string())])
+_FOUND = "doc_id long, label int, place long, words string"
+
+
+def _windows(rows, words: list[str], places: np.ndarray, doc_id: int, label: int) -> None:
+    rows += ((doc_id, label, at, " ".join(words[at : at + WINDOW])) for at in places.tolist())
+
+
+def drawn_windows(sample: DataFrame) -> DataFrame:
+    """_FOUND: about DRAWN windows of either label, of all of the sample's texts whole."""
+
+    def counted(parts):
+        for part in parts:
+            label, n = part.column("label").to_numpy(), np.array([len(words_of(t)) for t in part.column("text").to_pylist()])
+            n = np.where(n, np.maximum(1, n - WINDOW + 1), 0)
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([int(n[label == y].sum()) for y in (0, 1)])], names=["label", "n"])
+
+    total = dict(sample.select("text", "label").mapInArrow(counted, "label int, n long").groupBy("label").agg(F.sum("n")).collect())
+    share = {y: min(1.0, DRAWN / max(1, n)) for y, n in total.items()}
+
+    def run(parts):
+        for part in parts:
+            rows: list[tuple] = []
+            for key, text, label in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+                words = words_of(text)
+                at = np.arange(max(1, len(words) - WINDOW + 1) if words else 0)
+                dice = mix(mix(np.array([key], np.int64).view(np.uint64)) + at.astype(np.uint64)) >> np.uint64(11)
+                _windows(rows, words, at[dice < share[label] * (1 << 53)], key, label)
+            yield from batches(_SCHEMA, rows, 8192)
+
+    return sample.select("doc_id", "text", "label").mapInArrow(run, _FOUND)
+
+
+def highest_windows(sample: DataFrame, model: Model) -> DataFrame:
+    """_FOUND: each text's highest windows, TOXIC_BEST or CLEAN_BEST of them; ties by place."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts):
+        scorer = Scorer(shared.value)
+        for part in parts:
+            rows: list[tuple] = []
+            for key, text, label in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+                if words := words_of(text):
+                    scorer.learn(set(words))
+                    best = np.argsort(-scorer.windows(words), kind="stable")[: TOXIC_BEST if label else CLEAN_BEST]
+                    _windows(rows, words, best, key, label)
+            yield from batches(_SCHEMA, rows, 8192)
+
+    return sample.select("doc_id", "text", "label").mapInArrow(run, _FOUND)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on labelled documents whose labels may be learned from; ``labels`` has doc_id and toxic."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.save(labelled_sample(docs, labels, "toxic", SAMPLE), "sample")
-    size = F.char_length("text")
-    start = F.when(size <= CHARS, 1).otherwise(1 + F.pmod(F.xxhash64("doc_id"), size - CHARS)).cast("int")
-    learned = sample.where((size <= CHARS) | (F.col("label") == 0)).select(F.substring("text", start, F.lit(CHARS)).alias("text"), "label").toArrow()
-    model = train(learned.column("text").to_pylist(), learned.column("label").to_numpy())
-    if not model.bucket.any():
-        return model
+    drawn = drawn_windows(sample).toArrow()
+    windows = Windows(drawn)
+    if not len(windows.toxic) or not len(windows.clean):
+        return Model(np.zeros(BUCKETS), -30.0, 1.0, 0.0)
+    learner = Learner()
+    learner.rounds(windows, FIRST_ROUNDS)
+    best = highest_windows(sample, learner.model()).toArrow()
+    # Of toxic texts the highest alone; of clean ones those drawn as well.
+    learner.rounds(Windows(pa.concat_tables([best, drawn.filter(pc.equal(drawn.column("label"), 0))])), LAST_ROUNDS)
+    model = learner.model()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts):
         scorer = Scorer(shared.value)
         for part in parts:
             for at, some in slices(part.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(scorer.logits(some)), part.column("label").slice(at, len(some))], names=["logit", "label"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, len(some)), pa.array(scorer.logits(some)), part.column("label").slice(at, len(some))], names=["doc_id", "logit", "label"])
 
-    seen = sample.select("text", "label").mapInArrow(run, "logit double, label int").toArrow()
+    seen = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, logit double, label int").toArrow().sort_by("doc_id")
     return model._replace(**curve(seen.column("logit").to_numpy(), seen.column("label").to_numpy()))
 
 
