@@ -1,12 +1,13 @@
-"""Content rules: a catalogue as data, and its evaluation as Spark expressions.
+"""Content rules: a catalogue as data, and its evaluation over columns of texts.
 
 A rule fires where one of its ``any_of`` literals, all of its ``all_of``
 literals and its regular expression are found in the lower-cased text. With
 ``near`` literals the expression must match within 1024 characters of one of
-them, which bounds what it may span. ``findings`` evaluates a whole catalogue:
-one Aho-Corasick pass over the text finds all literals, and Spark expressions
-put the rules together, trying a regular expression only where its literals are.
-Windows are cut in Python, for texts over 1024 characters that hold an anchor.
+them, which bounds what it may span. ``findings`` evaluates a whole catalogue
+in one pass of Arrow batches, text by text: Aho-Corasick finds all literals, and
+a regular expression is tried only where its literals are, and in windows for texts
+over 1024 characters. A worker holds a batch as it came and one text beside it, and
+gives back the places of the rules that fire.
 
 The patterns are in RE2 syntax and meaning; ``java`` and ``python`` say the same
 to the other engines, for which word boundaries and white space mean more.
@@ -17,13 +18,11 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from verdikt.functions.content import ascii_lower
-
 
 class Rule(NamedTuple):
     name: str
@@ -32,6 +31,8 @@ class Rule(NamedTuple):
     all_of: tuple[str, ...] = ()
     regex: str = ""
     near: tuple[str, ...] = ()
+    #: Literals of which every match of the expression holds one; they spare texts without any a search.
+    hint: tuple[str, ...] = ()
 
 
 #: Characters on either side of an anchor, and hits of one anchor, that are looked at.
@@ -106,22 +107,22 @@ BINARY = (
 )
 
 VBA = (
-    Rule('Heuristic.Macro.AutoExec', 30, regex=r"\b(autoopen|auto_open|autoexec|autoclose|auto_close|document_open|documentopen|document_close|workbook_open|workbook_activate|workbook_beforeclose|app_documentopen|app_workbookopen|document_new|autonew)\b"),
-    Rule('Heuristic.Macro.Shell', 35, regex=r'(\bshell\s*\(|\bshell\s+["\w]|wscript\.shell|shellexecute|\.run\s*\(?["\w]|\.exec\s*\(|win32_process|\.create\s*\()'),
+    Rule('Heuristic.Macro.AutoExec', 30, regex=r"\b(autoopen|auto_open|autoexec|autoclose|auto_close|document_open|documentopen|document_close|workbook_open|workbook_activate|workbook_beforeclose|app_documentopen|app_workbookopen|document_new|autonew)\b", hint=('autoopen', 'auto_open', 'autoexec', 'autoclose', 'auto_close', 'document_open', 'documentopen', 'document_close', 'workbook_open', 'workbook_activate', 'workbook_beforeclose', 'app_workbookopen', 'document_new', 'autonew')),
+    Rule('Heuristic.Macro.Shell', 35, regex=r'(\bshell\s*\(|\bshell\s+["\w]|wscript\.shell|shellexecute|\.run\s*\(?["\w]|\.exec\s*\(|win32_process|\.create\s*\()', hint=('shell', '.run', '.exec', 'win32_process', '.create')),
     Rule('Heuristic.Macro.Download', 35, any_of=('urldownloadtofile', 'msxml2.xmlhttp', 'microsoft.xmlhttp', 'winhttp.winhttprequest', 'msxml2.serverxmlhttp', 'internetexplorer.application', 'downloadfile', 'downloadstring')),
     Rule('Heuristic.Macro.WriteFile', 20, any_of=('adodb.stream', 'savetofile', 'put #', 'binary access write', 'scripting.filesystemobject')),
     Rule('Heuristic.Macro.PowerShell', 40, any_of=('powershell', 'pwsh', 'mshta', 'cscript', 'wscript.exe', 'cmd.exe', 'cmd /c', 'regsvr32', 'rundll32', 'certutil')),
-    Rule('Heuristic.Macro.Win32API', 30, regex=r'declare\s+(ptrsafe\s+)?(function|sub)\s+\w+\s+lib\s+"(kernel32|ntdll|user32|shell32|urlmon)'),
+    Rule('Heuristic.Macro.Win32API', 30, regex=r'declare\s+(ptrsafe\s+)?(function|sub)\s+\w+\s+lib\s+"(kernel32|ntdll|user32|shell32|urlmon)', hint=('declare',)),
     Rule('Heuristic.Macro.ShellcodeInjection', 70, any_of=('virtualalloc', 'virtualallocex', 'rtlmovememory', 'createthread', 'writeprocessmemory', 'enumsystemlocales', 'createtimerqueuetimer'), all_of=('lib "kernel32',)),
-    Rule('Heuristic.Macro.Obfuscation', 20, regex=r"((chrw?\$?\s*\(\s*[\d&h]+\s*[\-+*/xor ]*\s*[\d&h]*\s*\)\s*[&+]\s*){15,}|strreverse\s*\(|callbyname\s*\()"),
+    Rule('Heuristic.Macro.Obfuscation', 20, regex=r"((chrw?\$?\s*\(\s*[\d&h]+\s*[\-+*/xor ]*\s*[\d&h]*\s*\)\s*[&+]\s*){15,}|strreverse\s*\(|callbyname\s*\()", hint=('chr', 'strreverse', 'callbyname')),
     Rule('Heuristic.Macro.Environment', 10, any_of=('environ(', 'environ$(', '%temp%', '%appdata%', 'getspecialfolder')),
     Rule('Heuristic.Macro.AntiAnalysis', 20, any_of=('application.displayalerts = false', 'accessvbom', 'vbawarnings', 'application.screenupdating = false'), all_of=('reg',)),
 )
 
 PDF_JS = (
-    Rule('Heuristic.PDF.JS.HeapSpray', 60, regex=r'''(%u0c0c%u0c0c|%u9090%u9090|%u0a0a%u0a0a|\\x0c\\x0c\\x0c\\x0c|unescape\s*\(\s*["']%u[0-9a-f]{4}%u)'''),
+    Rule('Heuristic.PDF.JS.HeapSpray', 60, regex=r'''(%u0c0c%u0c0c|%u9090%u9090|%u0a0a%u0a0a|\\x0c\\x0c\\x0c\\x0c|unescape\s*\(\s*["']%u[0-9a-f]{4}%u)''', hint=('%u', r'\x0c\x0c\x0c\x0c')),
     Rule('Heuristic.PDF.JS.KnownExploit', 80, any_of=('util.printf', 'collab.geticon', 'collab.collectemailinfo', 'spell.customdictionaryopen', 'media.newplayer', 'getannots', 'doc.printseps')),
-    Rule('Heuristic.PDF.JS.Eval', 20, regex=r"eval\s*\(|unescape\s*\(|string\.fromcharcode"),
+    Rule('Heuristic.PDF.JS.Eval', 20, regex=r"eval\s*\(|unescape\s*\(|string\.fromcharcode", hint=('eval', 'unescape', 'string.fromcharcode')),
     Rule('Heuristic.PDF.JS.Export', 30, any_of=('exportdataobject', 'app.launchurl', 'this.submitform')),
 )
 
@@ -159,16 +160,13 @@ def java(pattern: str) -> str:
 
 @functools.cache
 def python(pattern: str) -> re.Pattern[str]:
-    """The RE2 pattern for Python's engine, on ISO-8859-1 text."""
+    """The RE2 pattern for Python's engine."""
     return re.compile(_translate(pattern, r"\Z"), re.ASCII)
 
 
-def _either(parts: list[Column]) -> Column:
-    return functools.reduce(lambda a, b: a | b, parts)
-
-
+@functools.cache
 def literals_of(rules: tuple[Rule, ...]) -> tuple[str, ...]:
-    return tuple(sorted({x for r in rules for x in (*r.any_of, *r.all_of, *r.near)}))
+    return tuple(sorted({x for r in rules for x in (*r.any_of, *r.all_of, *r.near, *r.hint)}))
 
 
 @functools.cache
@@ -182,28 +180,15 @@ def _automaton(literals: tuple[str, ...]):
     return found
 
 
-def lowered(text: str) -> str:
-    """A to Z lower-cased, in ISO-8859-1 text."""
-    return text.encode("latin-1", "replace").lower().decode("latin-1")
-
-
-def held_literals(text: Column, literals: tuple[str, ...]) -> Column:
-    """Places of the literals that the lower-cased text holds: one pass for all of them, where a search for each takes as many."""
-
-    def held(texts: pd.Series) -> pd.Series:
-        found = _automaton(literals)
-        return pd.Series([None if t is None else sorted({place for _, place in found.iter(lowered(t))}) for t in texts], dtype=object)
-
-    return F.pandas_udf(held, ArrayType(IntegerType()))(text)
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def _literals(has, rule: Rule) -> Column:
-    tests = [has(x) for x in rule.all_of]
-    if rule.any_of:
-        tests.append(_either([has(x) for x in rule.any_of]))
-    if rule.near:
-        tests.append(_either([has(x) for x in rule.near]))
-    return functools.reduce(lambda a, b: a & b, tests, F.lit(True))
+def lowered(text: str) -> str:
+    """A to Z lower-cased and no other character."""
+    try:
+        return text.encode("latin-1").lower().decode("latin-1")
+    except UnicodeEncodeError:
+        return text.translate(_LOWER)
 
 
 def windows(text: str, rule: Rule) -> Iterator[str]:
@@ -220,37 +205,28 @@ def near_matches(text: str, rule: Rule) -> bool:
     return any(python(rule.regex).search(w) for w in windows(text, rule))
 
 
-def _near_udf(rules: tuple[Rule, ...]):
-    def confirmed(texts: pd.Series, open_rules: pd.Series) -> pd.Series:
-        return pd.Series([[] if t is None else [i for i in which if near_matches(t, rules[i])] for t, which in zip(texts, open_rules)], dtype=object)
+def fired(text: str, rules: tuple[Rule, ...]) -> list[int]:
+    """Places in the catalogue, ascending, of the rules that fire in the text, upper case read as lower."""
+    low, literals = lowered(text), literals_of(rules)
+    held = {literals[place] for place in {place for _, place in _automaton(literals).iter(low)}}
+    return [i for i, rule in enumerate(rules) if _fires(low, held, rule)]
 
-    return F.pandas_udf(confirmed, ArrayType(IntegerType()))
 
+def _fires(low: str, held: set[str], rule: Rule) -> bool:
+    if not held.issuperset(rule.all_of) or any(some and held.isdisjoint(some) for some in (rule.any_of, rule.near, rule.hint)):
+        return False
+    if not rule.regex:
+        return True
+    return near_matches(low, rule) if rule.near and len(low) > REACH else bool(python(rule.regex).search(low))
 
-def matched(text: Column, held: Column, rules: tuple[Rule, ...]) -> Column:
-    """Places in the catalogue, ascending, of the rules that fire in the lower-cased text (null: none).
 
-    ``held`` is what ``held_literals`` finds in the text. Expressions are tried
-    only where a rule's literals are there.
-    """
-    place = {x: i for i, x in enumerate(literals_of(rules))}
-    none = F.array().cast("array<int>")
-    short = F.char_length(text) <= REACH
-    here, later = [], []
-    for i, rule in enumerate(rules):
-        fires = _literals(lambda x: F.array_contains(held, place[x]), rule)
-        if rule.near:
-            later.append(F.when(~short & fires, F.lit(i)))
-            fires = short & fires
-        if rule.regex:
-            fires = fires & text.rlike(java(rule.regex))
-        here.append(F.when(fires, F.lit(i)))
-    now = F.filter(F.array(*here), lambda i: i.isNotNull())
-    if not later:
-        return F.coalesce(now, none)
-    candidates = F.filter(F.array(*later), lambda i: i.isNotNull())
-    confirmed = _near_udf(rules)(F.when(F.size(candidates) > 0, text), candidates)
-    return F.array_sort(F.concat(F.coalesce(now, none), F.coalesce(confirmed, none)))
+def places(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """array<int>: what ``fired`` gives for each text, none for a null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(([] if (t := x.as_py()) is None else fired(t, rules) for x in texts), pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, ArrayType(IntegerType()))(text)
 
 
 def finding(name: str, score: int) -> Column:
@@ -263,30 +239,10 @@ def chosen(*tests: tuple[Column, str, int]) -> Column:
 
 
 def findings(rows: DataFrame, text: str, rules: tuple[Rule, ...], out: str) -> DataFrame:
-    """The rows with ``out``, array<FINDING>, of the rules that fire in column ``text``, upper case read as lower.
-
-    Texts are lower-cased by Spark only where a literal was found, unless a rule
-    of the catalogue does without literals.
-    """
-    held, low, places, found = _steps(rows.sparkSession.sparkContext, text, rules, out)
-    names = tuple(f"__{out}_{x}" for x in ("held", "low", "places"))
-    for name, step in zip(names, (held, low, places)):
-        rows = rows.withColumn(name, step)
-    return rows.withColumn(out, found).drop(*names)
-
-
-@functools.cache
-def _steps(_context, text: str, rules: tuple[Rule, ...], out: str) -> tuple[Column, Column, Column, Column]:
-    """The expressions of ``findings``, one after another. Hundreds of calls make them, so they are made once in a Spark context."""
-    held, low, places = (f"__{out}_{x}" for x in ("held", "low", "places"))
-    always = any(not (r.any_of or r.all_of or r.near) for r in rules)
+    """The rows with ``out``, array<FINDING>, of the rules that fire in column ``text``, upper case read as lower."""
+    held = f"__{out}_places"
     known = F.array(*(finding(r.name, r.score) for r in rules))
-    return (
-        held_literals(F.col(text), literals_of(rules)),
-        F.when(F.lit(always) | (F.size(held) > 0), ascii_lower(F.col(text))),
-        matched(F.col(low), F.col(held), rules),
-        F.transform(places, lambda i: F.get(known, i)),
-    )
+    return rows.withColumn(held, places(F.col(text), rules)).withColumn(out, F.transform(held, lambda i: F.get(known, i))).drop(held)
 
 
 def mentions(text: Column, literal: str) -> Column:
