@@ -92,6 +92,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return texts(docs, "doc_id").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _decoded(part: pa.RecordBatch, decode_bytes):
+    """(doc_id, bytes) of each row, of which one at a time has its ids as Python numbers: those take ten times the column's bytes."""
+    for key, ids in zip(part.column("doc_id"), part.column("ids")):
+        yield key.as_py(), decode_bytes(ids.as_py() or [])
+
+
 def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """Raw bytes of each id list: doc_id, raw binary. Ids need not be valid UTF-8 when decoded."""
     schema = pa.schema([("doc_id", pa.int64()), ("raw", pa.binary())])
@@ -99,7 +105,7 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(parts):
         encoding = rank_encoding(path, pattern)
         for part in parts:
-            yield from batches(schema, ((k, encoding.decode_bytes(i or [])) for k, i in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist())), 256)
+            yield from batches(schema, _decoded(part, encoding.decode_bytes), 256)
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
 
