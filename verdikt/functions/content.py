@@ -8,7 +8,7 @@ functions are needed: each byte is one character, and none is lost.
 import string
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
@@ -41,6 +41,9 @@ def _starts(content: Column, *magics: str) -> Column:
     return out
 
 
+_CONTROL = bytes(c for c in range(0x20) if c not in (9, 10, 12, 13, 27))
+
+
 def looks_like_text(sample: bytes, whole: bool) -> bool:
     """The sample's share of broken UTF-8 and control characters is under a twentieth."""
     if not sample:
@@ -49,7 +52,11 @@ def looks_like_text(sample: bytes, whole: bool) -> bool:
         return True
     if 0 in sample:
         return False
-    text = sample.decode("utf-8", "surrogateescape")
+    try:
+        sample.decode()
+        return 20 * (len(sample) - len(sample.translate(None, _CONTROL))) < len(sample)
+    except UnicodeDecodeError:
+        text = sample.decode("utf-8", "surrogateescape")
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     broken = (codes >= 0xDC80) & (codes <= 0xDCFF)
     if not whole:  # what is broken within the last three bytes may be a character that the sample cuts off
@@ -61,13 +68,13 @@ def looks_like_text(sample: bytes, whole: bool) -> bool:
     return int((broken | control).sum()) * 20 < len(sample)
 
 
-def _text_flags(rows: pd.DataFrame) -> pd.Series:
-    return pd.Series([s is not None and looks_like_text(bytes(s), bool(w)) for s, w in zip(rows["sample"], rows["whole"])], dtype=object)
+def _text_flags(samples: pa.Array, wholes: pa.Array) -> pa.Array:
+    return pa.array((s.is_valid and looks_like_text(s.as_py(), bool(w.as_py())) for s, w in zip(samples, wholes)), pa.bool_())
 
 
 def is_text(content: Column) -> Column:
     """Sampled from the first bytes; contents that need no look send none of theirs to Python."""
-    return F.pandas_udf(_text_flags, BooleanType())(F.struct(F.substring(content, 1, SAMPLE).alias("sample"), (F.octet_length(content) <= SAMPLE).alias("whole")))
+    return F.arrow_udf(_text_flags, BooleanType())(F.substring(content, 1, SAMPLE), F.octet_length(content) <= SAMPLE)
 
 
 # First bytes of file types, in the order of the tests.
@@ -180,13 +187,13 @@ def byte_entropy(data: bytes) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def _bits(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: byte_entropy(bytes(v)))
+def _bits(values: pa.Array) -> pa.Array:
+    return pa.array((byte_entropy(v.as_py()) for v in values), pa.float64())
 
 
 def content_entropy(content: Column) -> Column:
     """Shannon entropy of a content's bytes, in bits; contents must not be null."""
-    return F.pandas_udf(_bits, DoubleType())(content)
+    return F.arrow_udf(_bits, DoubleType())(content)
 
 
 def hashes(content: Column) -> dict[str, Column]:
