@@ -33,7 +33,7 @@ from verdikt.operators import archives, clamd, documents, programs
 from verdikt.operators.inspect import TEXT_SEEN, inspected
 from verdikt.operators.rules import exploded
 from verdikt.operators.signatures import ARCHIVE, HEURISTIC, MATCH, SIGNATURE, looked_up
-from verdikt.sources.files import LARGE
+from verdikt.sources.files import LARGE, gathered
 from verdikt.sources.scratch import Scratch
 
 OBJECTS = f"file_id long, ord array<int>, path string, name string, depth int, content binary, problem string, large {LARGE}"
@@ -142,16 +142,15 @@ def unfold(files: DataFrame, config: Config, password: str | None = None) -> Dat
     that lead to a member; the budget bounds what may come out.
     """
 
-    def run(parts):
+    def rows(parts):
         for part in parts:
             for i in range(part.num_rows):
                 get = {c: part.column(c)[i].as_py() for c in part.schema.names}
                 one = Unfolding(get["file_id"], config, password, set(get.get("closed") or ()))
-                for row in one.rows(get["name"], get["path"], get["content"]):
-                    yield pa.RecordBatch.from_pylist([row], schema=_MEMBERS)
+                yield from one.rows(get["name"], get["path"], get["content"])
 
     columns = [c for c in ("file_id", "path", "name", "content", "closed") if c in files.columns]
-    return files.select(*columns).mapInArrow(run, MEMBERS)
+    return files.select(*columns).mapInArrow(lambda parts: gathered(rows(parts), _MEMBERS), MEMBERS)
 
 
 def dissect(objects: DataFrame) -> DataFrame:
@@ -179,16 +178,20 @@ def dissect(objects: DataFrame) -> DataFrame:
                 row["names"] = ["Heuristic.Macro.Present"]
         return row
 
+    def detail(part, i: int) -> dict:
+        name, kind, data = (part.column(c)[i].as_py() for c in ("name", "kind", "content"))
+        try:
+            row = details(name, kind, data)
+        except Exception as e:  # a reader's failure is this object's, not the job's
+            row = {"names": [], "notes": [f"!could not be parsed: {type(e).__name__}: {e}"]}
+        return row | {"content": data}
+
     def run(parts):
         for part in parts:
-            for i in range(part.num_rows):
-                name, kind, data = (part.column(c)[i].as_py() for c in ("name", "kind", "content"))
-                try:
-                    row = details(name, kind, data)
-                except Exception as e:  # a reader's failure is this object's, not the job's
-                    row = {"names": [], "notes": [f"!could not be parsed: {type(e).__name__}: {e}"]}
-                one = pa.RecordBatch.from_pylist([row], schema=_DETAIL)
-                yield pa.RecordBatch.from_arrays([*part.slice(i, 1).columns, *one.columns], names=[*part.schema.names, *_DETAIL.names])
+            at = 0
+            for some in gathered((detail(part, i) for i in range(part.num_rows)), _DETAIL):
+                yield pa.RecordBatch.from_arrays([*part.slice(at, len(some)).columns, *some.columns], names=[*part.schema.names, *_DETAIL.names])
+                at += len(some)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in objects.schema)
     return objects.mapInArrow(run, f"{fields}, {DETAIL}")

@@ -109,6 +109,20 @@ def walk(spark: SparkSession, paths: Iterable[str], scratch: Scratch) -> DataFra
     return ranged.join(first, "part").select((F.col("first") + F.col("at")).alias("file_id"), "name", "size", "problem")
 
 
+def gathered(rows: Iterable[dict], schema: pa.Schema, most: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches, which end with the row that makes them ``most`` rows or ``size`` bytes of contents and texts."""
+    held: list[dict] = []
+    total = 0
+    for row in rows:
+        held.append(row)
+        total += sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
+        if len(held) >= most or total >= size:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def read_files(spark: SparkSession, paths: Iterable[str], limit: int, per_task: int = 64 << 20) -> DataFrame:
     """FILES of the paths, which every executor must be able to open."""
     scratch = Scratch(spark, "walk")
@@ -118,7 +132,7 @@ def read_files(spark: SparkSession, paths: Iterable[str], limit: int, per_task:
     known = pa.struct([("sha256", pa.string()), ("md5", pa.string()), ("size", pa.int64()), ("head", pa.binary()), ("file", pa.string())])
     schema = pa.schema([("file_id", pa.int64()), ("name", pa.string()), ("content", pa.binary()), ("problem", pa.string()), ("large", known)])
 
-    def run(parts):
+    def opened(parts):
         for part in parts:
             for row in part.to_pylist():
                 content, problem, large = None, row["problem"], None
@@ -131,9 +145,9 @@ def read_files(spark: SparkSession, paths: Iterable[str], limit: int, per_task:
                             content = f.read()
                 except OSError as e:
                     problem = str(e)
-                yield pa.RecordBatch.from_pylist([{"file_id": row["file_id"], "name": row["name"], "content": content, "problem": problem, "large": large}], schema=schema)
+                yield {"file_id": row["file_id"], "name": row["name"], "content": content, "problem": problem, "large": large}
 
-    return listed.repartition(tasks, "file_id").mapInArrow(run, FILES)
+    return listed.repartition(tasks, "file_id").mapInArrow(lambda parts: gathered(opened(parts), schema), FILES)
 
 
 def read_stream(spark: SparkSession, stream, name: str, limit: int) -> DataFrame:
