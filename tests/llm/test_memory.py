@@ -36,3 +36,19 @@ def test_windows_hold_words_once():
     for row, text in zip(found[0].rows.tolist(), words):
         some = [names.setdefault(w, len(names)) for w in text.split(" ")]
         assert row == some + [-1] * (toxicity.WINDOW - len(some))
+
+
+def test_training_holds_units_once():
+    n, rng = 30_000, np.random.default_rng(4)
+    words = [" ".join("".join(chr(97 + c) for c in w) for w in rng.integers(0, 26, (toxicity.WINDOW, 9))) for _ in range(n)]
+    table = lambda some, label: pa.table({"doc_id": pa.array([i // 9 for i in some]), "label": pa.array([label] * len(some), pa.int32()), "place": pa.array(some, pa.int64()), "words": [words[i] for i in some]})
+    drawn, best = pa.concat_tables([table(range(0, n, 2), 0), table(range(1, n, 2), 1)]), table(range(1, n, 20), 1)
+    found, bucket = [], np.random.default_rng(5).normal(size=toxicity.BUCKETS)
+    assert peak(lambda: found.append(toxicity.Windows(drawn))) < 60  # units as long integers, words as strings: 88
+    assert peak(lambda: found.append(found[0].logits(found[0].clean, bucket, 0.5))) < 20  # all units' logits at once: 43
+    # Kept windows beside others are as one table of both.
+    both, one = toxicity.Windows(best, found[0]), toxicity.Windows(pa.concat_tables([best, drawn.slice(0, n // 2)]))
+    assert [[both.words[w].as_py() for w in row] for row in both.rows[:500].tolist()] == [[one.words[w].as_py() for w in row] for row in one.rows[:500].tolist()]
+    assert (both.owner == one.owner).all() and (both.toxic == one.toxic).all() and (both.clean == one.clean).all()
+    assert (both.logits(both.toxic, bucket, 0.5) == one.logits(one.toxic, bucket, 0.5)).all()
+    assert (both.units(both.clean[:99])[0] == one.units(one.clean[:99])[0]).all()

@@ -92,11 +92,14 @@ def word_units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))], bucket[order]
 
 
-def _units_in_parts(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def _units_in_parts(words: pa.Array, at_once: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
     """As word_units, some words at a time, which takes less memory."""
-    parts = [word_units(words[at : at + at_once]) for at in range(0, len(words), at_once)]
-    count = np.concatenate([np.diff(cuts) for cuts, _ in parts])
-    return np.r_[0, np.cumsum(count)], np.concatenate([bucket.astype(np.int32) for _, bucket in parts])
+    count, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), at_once):
+        cuts, bucket = word_units(words.slice(at, at_once).to_pylist())
+        count.append(np.diff(cuts))
+        buckets.append(bucket.astype(np.int32))
+    return np.concatenate(count), np.concatenate(buckets)
 
 
 class Model(NamedTuple):
@@ -148,22 +151,43 @@ class Scorer:
         return [float(self.windows(words).max()) for words in found]
 
 
+def _numbered(texts: pa.ChunkedArray, known: pa.Array | None, at_once: int = 1 << 15) -> tuple[np.ndarray, pa.Array]:
+    """(rows of word numbers, words in the order of their numbers), some texts at a time: what holds all is a number for each word, not the words."""
+    known = pa.array([], texts.type) if known is None else known
+    rows, at = np.full((len(texts), WINDOW), -1, np.int32), 0
+    for chunk in texts.chunks:
+        for some in (chunk.slice(i, at_once) for i in range(0, len(chunk), at_once)):
+            words = pc.split_pattern(some, " ")
+            flat, size = words.flatten(), pc.list_value_length(words).to_numpy()
+            number = pc.index_in(flat, value_set=known)
+            if number.null_count:
+                known = pa.concat_arrays([known, pc.unique(flat.filter(pc.is_null(number)))])
+                number = pc.index_in(flat, value_set=known)
+            rows[at : at + len(some)][np.arange(WINDOW) < size[:, None]] = number.to_numpy()
+            at += len(some)
+    return rows, known
+
+
 class Windows:
-    """Windows as rows of word numbers, -1 where a text has fewer words, with the place of their text and its label."""
-
-    def __init__(self, found: pa.Table):
-        found = found.sort_by([("doc_id", "ascending"), ("place", "ascending")])
-        # Words are numbered in Arrow, in the order of their first places: as Python strings they would take ten times the memory.
-        words = pc.split_pattern(found.column("words").combine_chunks(), " ")
-        numbered = words.flatten().dictionary_encode()
-        vocabulary, size = numbered.dictionary.to_pylist(), pc.list_value_length(words).to_numpy()
-        self.rows = np.full((len(words), WINDOW), -1, np.int32)
-        self.rows[np.arange(WINDOW) < size[:, None]] = numbered.indices.to_numpy()
-        self.owner = np.unique(found.column("doc_id").to_numpy(), return_inverse=True)[1]
-        self.toxic, self.clean = (np.flatnonzero(found.column("label").to_numpy() == y) for y in (1, 0))
-        if vocabulary:
-            self.cuts, self.bucket = _units_in_parts(vocabulary)
-            self.count = np.diff(self.cuts)
+    """Windows as rows of word numbers, -1 where a text has fewer words, with the place of their text and its label.
+
+    ``kept``: other windows, of which the clean ones stand here as well; their words keep their numbers.
+    """
+
+    def __init__(self, found: pa.Table, kept: Windows | None = None):
+        rows, self.words = _numbered(found.column("words"), kept.words if kept else None)
+        doc, place, label = (found.column(c).to_numpy() for c in ("doc_id", "place", "label"))
+        if kept:
+            also = kept.clean
+            rows, doc, place, label = np.concatenate([rows, kept.rows[also]]), np.r_[doc, kept.doc[also]], np.r_[place, kept.place[also]], np.r_[label, np.zeros(len(also), label.dtype)]
+        order = np.lexsort((place, doc))
+        self.rows, self.doc, self.place, label = rows[order], doc[order], place[order], label[order]
+        self.owner = np.cumsum(np.r_[False, self.doc[1:] != self.doc[:-1]][: len(doc)], dtype=np.int32)
+        self.toxic, self.clean = (np.flatnonzero(label == y).astype(np.int32) for y in (1, 0))
+        self.count, self.bucket = _units_in_parts(self.words.slice(len(kept.words) if kept else 0))
+        if kept:
+            self.count, self.bucket = np.r_[kept.count, self.count], np.r_[kept.bucket, self.bucket]
+        self.cuts = np.r_[0, np.cumsum(self.count)]
 
     def units(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(buckets, edges): units of the windows one after another, and where each window's begin."""
@@ -176,8 +200,10 @@ class Windows:
         return units, np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
 
     def logits(self, which: np.ndarray, bucket: np.ndarray, bias: float) -> np.ndarray:
-        sums, sizes = np.r_[np.add.reduceat(bucket[self.bucket], self.cuts[:-1]), 0.0], np.r_[self.count, 0]
-        parts = [self.rows[which[at : at + 50_000]] for at in range(0, len(which), 50_000)]
+        edges = [self.cuts[at : at + 20_001] for at in range(0, len(self.count), 20_000)]
+        sums = np.concatenate([*(np.add.reduceat(bucket[self.bucket[e[0] : e[-1]]], e[:-1] - e[0]) for e in edges), [0.0]])
+        sizes = np.r_[self.count, 0]
+        parts = (self.rows[which[at : at + 50_000]] for at in range(0, len(which), 50_000))
         return np.concatenate([sums[p].sum(axis=1) / np.maximum(1, sizes[p].sum(axis=1)) for p in parts]) + bias
 
 
@@ -190,9 +216,9 @@ def gradients(vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, units:
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     error = (p - target) / len(target)
-    each = (error @ softmax.T / n)[np.repeat(np.arange(len(sizes)), sizes)] * len(target)
-    touched, inverse = np.unique(units, return_inverse=True)
-    of_vectors = np.stack([np.bincount(inverse, each[:, d], len(touched)) for d in range(vectors.shape[1])], axis=1).astype(vectors.dtype)
+    each, of = error @ softmax.T / n * len(target), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    touched = np.flatnonzero(np.bincount(units, minlength=len(vectors)))
+    of_vectors = np.stack([np.bincount(units, each[of, d], len(vectors))[touched] for d in range(vectors.shape[1])], axis=1).astype(vectors.dtype)
     return touched, of_vectors, average.T @ error, error.sum(axis=0)
 
 
@@ -316,15 +342,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on labelled documents whose labels may be learned from; ``labels`` has doc_id and toxic."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.save(labelled_sample(docs, labels, "toxic", SAMPLE), "sample")
-    drawn = drawn_windows(sample).toArrow()
-    windows = Windows(drawn)
+    windows = Windows(drawn_windows(sample).toArrow())
     if not len(windows.toxic) or not len(windows.clean):
         return Model(np.zeros(BUCKETS), -30.0, 1.0, 0.0)
     learner = Learner()
     learner.rounds(windows, FIRST_ROUNDS)
-    best = highest_windows(sample, learner.model()).toArrow()
     # Of toxic texts the highest alone; of clean ones those drawn as well.
-    learner.rounds(Windows(pa.concat_tables([best, drawn.filter(pc.equal(drawn.column("label"), 0))])), LAST_ROUNDS)
+    windows = Windows(highest_windows(sample, learner.model()).toArrow(), windows)
+    learner.rounds(windows, LAST_ROUNDS)
+    del windows
+    pa.default_memory_pool().release_unused()
     model = learner.model()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
