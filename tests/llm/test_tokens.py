@@ -1,5 +1,6 @@
 import functools
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -251,3 +252,29 @@ def test_shards_are_cut_from_sorted_ranges(documents, scratch, monkeypatch):
 def test_shards_of_a_range():
     part = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "ids": [b"ab", b"cd", b"x" * 20, b"ef", b"gh", b"ij"]})
     assert [k for k, _ in packing.shards([part, part], 5)] == [[0, 1], [2], [3, 4], [5, 0], [1], [2], [3, 4], [5]]
+
+
+def test_words_go_to_the_model_alone():
+    """Plain words take the library's short way, all others the long one; both give the ids of the whole text."""
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()] + list("abcdefgh" * 9)
+    others = ["Ā", "œuf", "漢字", "ǅ", "é", "don't", "'s", "x1", "²", "½", "a²", "ª", "µ", "º", "s", "ll", "<|endoftext|>", "x" * 201, "é" * 300, "a.\nb", "ß,,", "\x85", "\xad"]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=20) + rng.choices(others, k=rng.randint(0, 4))) for _ in range(1500)]
+    given = []
+    plain = bpe.file_encoder(FILE)
+    encoder = UnitEncoder(lambda units: given.extend(units) or plain._all(units), plain._piece, encode_word=plain._word)
+    whole = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(raw, "<u4").tolist() for at in range(0, len(texts), 100) for raw in encoder.encode(texts[at : at + 100])] == whole
+    long_way = {p.removeprefix(" ") for unit in given for p in unit.split("\n")} - {text.split(" ")[0] for text in texts}
+    assert not long_way.intersection(words)  # before: nearly all of them
+
+
+def test_words_take_the_long_way_where_other_steps_come_first(tmp_path):
+    steps = json.loads(open(FILE, encoding="utf-8").read())
+    for n, change in enumerate([{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": steps["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [{**steps["added_tokens"][0], "id": steps["model"]["vocab"]["the"], "content": "the"}]}]):
+        path = str(tmp_path / f"{n}.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(steps | change, file)
+        assert bpe.word_encoder(path) is None
+    assert bpe.word_encoder(FILE) is not None

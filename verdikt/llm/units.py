@@ -61,11 +61,12 @@ class UnitEncoder:
     ``encode_all`` tokenises a list of strings and returns an array of ids for
     each, ``encode_piece`` one string without pre-tokenising it. Units without
     inner white space are handed over many to a string, parted by line breaks,
-    which are pre-tokens of their own there.
+    which are pre-tokens of their own there. ``encode_word``, where the library has a
+    shorter way for it, gives the ids of a space with letters up to U+00FF after it.
     """
 
-    def __init__(self, encode_all: Callable[[Sequence[str]], list[np.ndarray]], encode_piece: Callable[[str], np.ndarray], memory: int = MEMORY):
-        self._all, self._piece, self._memory = encode_all, encode_piece, memory
+    def __init__(self, encode_all: Callable[[Sequence[str]], list[np.ndarray]], encode_piece: Callable[[str], np.ndarray], memory: int = MEMORY, encode_word: Callable[[str], bytes] | None = None):
+        self._all, self._piece, self._memory, self._word = encode_all, encode_piece, memory, encode_word
         self._after: dict[str, bytes] = {}  # piece -> ids of " " + piece
         self._bare: dict[str, bytes] = {}  # words after line breaks, and punctuation -> ids
         self._break = encode_all(["\n"])[0]
@@ -106,6 +107,10 @@ class UnitEncoder:
             pieces = pieces.difference([p for p, _ in joint]).union([s for _, s in joint if s not in known])
             ends = list({p[len(s) :] for p, s in joint}.difference(bare))
             bare.update(zip(ends, self._library(ends)))
+        if self._word:
+            words = [p for p in pieces if p.isalpha() and len(p) <= LONGEST_KEPT and (p.isascii() or max(p) <= "\xff")]
+            known.update(zip(words, map(self._word, words)))
+            pieces = pieces.difference(words)
         plain = list(pieces)
         known.update(zip(plain, self._library([" " + p for p in plain])))
         known.update([(p, known[s] + bare[p[len(s) :]]) for p, s in joint])
