@@ -1,8 +1,14 @@
+import random
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
+from oracle import same
 from pyspark.sql import functions as F
 from verdikt.operators import inspect as I
 from verdikt.operators import rules as R
+from verdikt.plans.catalog import ORACLES, QUERIES
 from verdikt.plans.samples import TEXTS
 
 
@@ -46,3 +52,30 @@ def test_first_finding_of_a_name_counts(spark):
 def test_risky_names(spark):
     rows = spark.createDataFrame([("x/A.EXE",), ("a.txt",), ("docm",)], "n string")
     assert [r[0] for r in rows.select(I.is_risky_name(F.col("n"))).collect()] == [True, False, False]
+
+
+def test_every_anchor_counts(spark, tmp_path):
+    """Texts with thousands of anchors before the one that a rule needs: the query gives what its SQL gives."""
+    texts = ["plain", "curl\n" * 2500, "wget curl\n" * 3000 + "x" * 5000, "curl " * 20_000 + "\n"]
+    rows = [(i * 100 + k, t, k) for i, t in enumerate(texts) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    (tmp_path / "sql").mkdir()
+    pq.write_table(pq.read_table(f"{tmp_path}/documents.parquet"), f"{tmp_path}/sql/documents.parquet")
+    got = QUERIES["rule_near_window"](spark, str(tmp_path))
+    assert got.count() > len(texts)
+    same(got, f"{tmp_path}/sql", ORACLES["rule_near_window"])
+
+
+def test_windows_are_searched_by_themselves():
+    """Searching overlapping windows together changes nothing: boundaries at a window's ends, matches longer than it."""
+    dice, near = random.Random(4), [r for rules in R.CATALOGUES.values() for r in rules if r.near]
+    each = lambda text, r: any(R.python(r.regex).search(text[max(0, m.start() - R.REACH) : m.end() + R.REACH]) for a in r.near for m in re.finditer(re.escape(a), text))
+    for _ in range(3000):
+        rule = dice.choice(near)
+        words = [*rule.near, *re.findall(r"[a-z0-9/\\.:-]{2,}", rule.regex), " ", "|", "(", "sh", "shx", "\n", "a" * 300, "x " * 200, "iexx", ".exey"]
+        text = "".join(dice.choices(words, k=dice.randint(10, 60)))
+        assert R.near_matches(text, rule) == each(text, rule)
+    # A window ends within a word: by itself it has a match. Further off it has none.
+    for gap, name in ((R.REACH - 3, ["Heuristic.Shell.PipeToShell"]), (R.REACH - 2, [])):
+        text = "curl\n" * 3000 + "curl" + "a" * gap + "|shell" + "x" * 2000
+        assert [R.SCRIPT[i].name for i in R.fired(text, R.SCRIPT)] == name

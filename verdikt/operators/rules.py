@@ -3,7 +3,7 @@
 A rule fires where one of its ``any_of`` literals, all of its ``all_of``
 literals and its regular expression are found in the lower-cased text. With
 ``near`` literals the expression must match within 1024 characters of one of
-them, which bounds what it may span. ``findings`` evaluates a whole catalogue
+them, wherever that stands, which bounds what it may span. ``findings`` evaluates a whole catalogue
 in one pass of Arrow batches, text by text: Aho-Corasick finds all literals, and
 a regular expression is tried only where its literals are, and in windows for texts
 over 1024 characters. A worker holds a batch as it came and one text beside it, and
@@ -35,8 +35,8 @@ class Rule(NamedTuple):
     hint: tuple[str, ...] = ()
 
 
-#: Characters on either side of an anchor, and hits of one anchor, that are looked at.
-REACH, HITS = 1024, 2000
+#: Characters on either side of an anchor that are looked at; beginnings of windows this far apart are searched at once.
+REACH, TOGETHER = 1024, 4096
 
 # Rule names, scores, literals and patterns.
 SCRIPT = (
@@ -134,17 +134,19 @@ _BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z
 _TOKEN = re.compile(r"\\.|\[\^?\]?|\]|\$|.", re.S)
 
 
-def _translate(pattern: str, end: str) -> str:
+def _translate(pattern: str, end: str, begin: str = "^", boundary: str = _BOUNDARY) -> str:
     out, inside = [], False
     for token in _TOKEN.findall(pattern):
         if token == r"\b":
-            token = _BOUNDARY
+            token = boundary
         elif token == r"\s":
             token = r" \t\n\f\r" if inside else r"[ \t\n\f\r]"
         elif token == r"\S":
             token = r"\x00-\x08\x0b\x0e-\x1f\x21-\x{10ffff}" if inside else r"[^ \t\n\f\r]"
         elif token == "$" and not inside:
             token = end
+        elif token == "^" and not inside:
+            token = begin
         elif token[0] == "[":
             inside = True
         elif token == "]":
@@ -164,6 +166,12 @@ def python(pattern: str) -> re.Pattern[str]:
     return re.compile(_translate(pattern, r"\Z"), re.ASCII)
 
 
+@functools.cache
+def unbound(pattern: str) -> re.Pattern[str]:
+    """The RE2 pattern without what looks beyond a match: it matches wherever a part of the text, taken by itself, has a match."""
+    return re.compile(_translate(pattern, "", "", ""), re.ASCII)
+
+
 @functools.cache
 def literals_of(rules: tuple[Rule, ...]) -> tuple[str, ...]:
     return tuple(sorted({x for r in rules for x in (*r.any_of, *r.all_of, *r.near, *r.hint)}))
@@ -191,18 +199,33 @@ def lowered(text: str) -> str:
         return text.translate(_LOWER)
 
 
-def windows(text: str, rule: Rule) -> Iterator[str]:
+def windows(text: str, rule: Rule) -> Iterator[list[tuple[int, int]]]:
+    """Where the windows around all anchors begin and end, one anchor after another, in runs that begin near each other."""
     for anchor in rule.near:
+        run: list[tuple[int, int]] = []
         at = text.find(anchor)
-        for _ in range(HITS):
-            if at < 0:
-                break
-            yield text[max(0, at - REACH) : at + len(anchor) + REACH]
+        while at >= 0:
+            begin = max(0, at - REACH)
+            if run and begin - run[0][0] > TOGETHER:
+                yield run
+                run = []
+            run.append((begin, at + len(anchor) + REACH))
             at = text.find(anchor, at + len(anchor))
+        if run:
+            yield run
 
 
 def near_matches(text: str, rule: Rule) -> bool:
-    return any(python(rule.regex).search(w) for w in windows(text, rule))
+    """Whether a window has a match by itself. Windows overlap: those of a part that has no match even unbound are not searched one by one."""
+    exact, loose = python(rule.regex), unbound(rule.regex)
+
+    def among(run: list[tuple[int, int]]) -> bool:
+        if len(run) == 1:
+            return bool(exact.search(text[slice(*run[0])]))
+        half = len(run) // 2
+        return bool(loose.search(text, run[0][0], run[-1][1])) and (among(run[:half]) or among(run[half:]))
+
+    return any(map(among, windows(text, rule)))
 
 
 def fired(text: str, rules: tuple[Rule, ...]) -> list[int]:
