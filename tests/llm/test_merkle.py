@@ -116,3 +116,48 @@ def test_texts_are_shuffled_once(documents):
     plan = M.digests(documents([(i, f"text {i}") for i in range(50)]))._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(block" in line and "REPARTITION" in line]
     assert len(exchanges) <= 2  # the dealt texts, and the same again for the groups' first texts
+
+
+def test_pieces_of_whole_texts(spark):
+    """What finds the pieces of a whole text finds, line by line, what ``PIECE`` says."""
+    rng = random.Random(6)
+    bounds = [chr(int(x, 16) + d) for x in "100 2fff 3001 3002 5000 50ff 6000 60ff 7000 70ff 10ffff".split() for d in (-1, 0, 1) if int(x, 16) + d < 0x110000]
+    parts = [*"aeiost gkqGK07.,;:!?|\x00\x85\xff\r\n", *bounds, "b" * 63, "c" * 64, "é" * 70, "漢" * 130, "\U0001f600" * 63, "漢" * 63 + "、"]
+    rows = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randint(0, 60))),) for _ in range(3000)], "text string")
+    by_line = F.flatten(F.transform(M.lines(F.col("text")), lambda line: F.regexp_extract_all(line, F.lit(M.PIECE), F.lit(0))))
+    assert rows.where(~by_line.eqNullSafe(F.regexp_extract_all("text", F.lit(M._PIECE), F.lit(0)))).count() == 0
+
+
+def test_likeness_by_the_rests_is_that_of_the_whole(spark, documents):
+    """Edited texts are met where they may differ; the whole fingerprints give the same."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices([*"aeiost gk.\né漢", "x" * 90, "x" * 1500, "spam. " * 9], k=rng.choice([0, 1, 5, 30, 300]))) for _ in range(300)]
+    texts += ["x" * 5000, "x" * 5000 + ".", "\n", "\n\n", "a\n" * 2000, "a\n" * 2001, "漢" * 3000]
+    docs = documents(list(enumerate(texts)))
+    pairs = M.with_next(docs).withColumn("edited", M.edited(F.col("text"), F.col("next_text")))
+    prints = M.fingerprints(pairs, {"a": "text", "b": "edited", "c": "next_text"})
+    whole = prints.select("doc_id", M.likeness(F.col("a"), F.col("b")), M.likeness(F.col("a"), F.col("c")), M.as_text(F.col("b")))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, M.digests(docs).select("doc_id", "near_edited", "near_next", "edited_fingerprint").collect()))
+
+
+def test_work_is_a_few_times_that_of_cutting_words(spark, documents):
+    """Of ordinary texts, measured side by side: 4.4 times when this was written, 12.2 while Java tested each character against the class of all ends."""
+    import time
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(2, 9))) for _ in range(3000)]
+    docs = documents([(i, " ".join(rng.choices(words, k=2500))) for i in range(600)], parts=4, extra=False).cache()
+    docs.count()
+
+    def seconds(rows):
+        took = []
+        for _ in range(3):
+            began = time.time()
+            rows.write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took)
+
+    cut = M.with_next(docs).select(*(F.regexp_extract_all(x, F.lit(r"[^ ]+"), F.lit(0)).alias(x) for x in ("text", "next_text")))
+    ratio = seconds(M.digests(docs)) / seconds(cut)
+    docs.unpersist()
+    assert ratio < 7, ratio

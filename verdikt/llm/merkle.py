@@ -14,7 +14,9 @@ texts in pieces that the two have in common, each as often as both have it, and
 always under 1. Equal sections and paragraphs have equal pieces, so what branches
 share counts in full without being looked at one by one. Repeats of a piece are
 numbered (``numbered``), which makes a set of what may be held twice; sets are met
-by hashing, so that the work grows with the text and not with its square.
+by hashing, so that the work grows with the text and not with its square. A text and
+its edited one begin alike: up to there (``kept``) all characters count, and only the
+rests are met piece by piece.
 
 ``with_next`` pairs each row with the following one by ascending id without a
 global sort: ids are dealt into blocks of ``BLOCK`` consecutive values, so one
@@ -49,8 +51,16 @@ SECTION = 8
 ENDS = r"gkqxzjvbGKQXZJVB07.,;:!?|\u3001\u3002\u5000-\u50ff\u6000-\u60ff\u7000-\u70ff"
 LONGEST = 64
 PIECE = rf"[^{ENDS}]{{0,{LONGEST - 1}}}[{ENDS}]|[^{ENDS}]{{1,{LONGEST}}}"
+#: The same pieces, of a whole text of many lines. Java takes about a microsecond for each character of which it finds that
+#: the class of all ``ENDS`` doesn't hold it, so the others are said as ranges, and pieces of ISO-8859-1 alone tried first.
+_LATIN = ENDS[: ENDS.index("\\")]
+_PLAIN = rf"[^\n{_LATIN}\x{{100}}-\x{{10ffff}}]"
+_OTHER = rf"[{_PLAIN}\x{{100}}-\x{{3000}}\x{{3003}}-\x{{4fff}}\x{{5100}}-\x{{5fff}}\x{{6100}}-\x{{6fff}}\x{{7100}}-\x{{10ffff}}]"
+_PIECE = rf"{_PLAIN}{{0,{LONGEST - 1}}}+[{_LATIN}]|{_OTHER}{{0,{LONGEST - 1}}}+[{ENDS}]|{_OTHER}{{1,{LONGEST}}}+"
 #: Low bits of a piece's hash, in which its length stands.
 _LENGTH = 127
+#: Characters before a place in which the end of a piece is looked for.
+_FAR = 1024
 
 
 def lines(text: Column) -> Column:
@@ -62,29 +72,30 @@ def paragraphs(lines: Column) -> Column:
     return F.transform(lines, lambda p: F.sha2(p, 256))
 
 
-def pieces(lines: Column) -> Column:
-    """Of each line, its pieces: 57 bits of a hash and 7 of the length."""
-    numbered = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.char_length(p).cast("long"))
-    return F.transform(lines, lambda line: F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), numbered))
+def pieces(text: Column) -> Column:
+    """The pieces of all of a text's lines, ascending: 57 bits of a hash and 7 of the length."""
+    hashed = lambda p: F.coalesce(F.xxhash64(p).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.char_length(p).cast("long")), F.lit(0))  # noqa: E731  not null, so that Spark sorts plain longs
+    return F.sort_array(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), hashed))
 
 
 def numbered(parts: Column) -> Column:
-    """The pieces of all lines as distinct values: the k-th repeat of a piece is a value of its own, of the same length."""
+    """Sorted pieces as distinct values: the k-th repeat of a piece is a value of its own, of the same length."""
     again = lambda p, k: F.xxhash64(p, k).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(p.bitwiseAND(F.lit(_LENGTH).cast("long")))
 
-    def repeats(s: Column) -> Column:
-        return F.filter(s, lambda p, i: (i > 0) & (p == F.get(s, F.greatest(i - 1, F.lit(0)))))
-
     def runs(s: Column) -> Column:
         """Of sorted repeats, which are few as a rule, each as a value of its own."""
         places = F.sequence(F.lit(0), F.size(s) - 1)
         begins = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
         return _let(begins, lambda b: F.flatten(F.zip_with(b, F.concat(F.slice(b, 2, 1 << 30), F.array(F.size(s))), lambda at, to: F.transform(F.sequence(F.lit(1), to - at), lambda k: again(F.get(s, at), k)))))
 
-    def all_of(flat: Column) -> Column:
-        return _let(F.array_distinct(flat), lambda one: F.when(F.size(one) == F.size(flat), one).otherwise(F.concat(one, _let(_let(F.sort_array(flat), repeats), runs))))
+    repeats = F.filter(parts, lambda p, i: (i > 0) & (p == F.get(parts, F.greatest(i - 1, F.lit(0)))))
+    one = F.array_distinct(parts)
+    return F.when(F.size(one) == F.size(parts), one).otherwise(F.concat(one, _let(repeats, runs)))
+
 
-    return F.when(F.size(parts) > 0, _let(F.flatten(parts), all_of)).otherwise(F.array().cast("array<bigint>"))
+def size(text: Column) -> Column:
+    """Characters in pieces: all but the ends of lines."""
+    return F.char_length(F.replace(text, F.lit("\n"), F.lit(""))).cast("long")
 
 
 def section_ends(leaves: Column) -> Column:
@@ -106,19 +117,31 @@ def root(tree: Column) -> Column:
     return F.sha2(F.concat_ws("", F.transform(tree, lambda s: s["node"])), 256)
 
 
-def fingerprints(rows: DataFrame, of: dict[str, str]) -> DataFrame:
-    """The rows with a column struct<root, sections, pieces, size> for each text column: ``of`` has new name -> text.
+def trees(rows: DataFrame, of: dict[str, str]) -> DataFrame:
+    """The rows with a column struct<root, sections> for each text column: ``of`` has new name -> text.
 
     Each step is a column of its own, so that none is computed again for every
     paragraph that refers to it. Texts must not be null.
     """
     kept = rows.columns
-    split, leaves, parts, ends, trees = ({x: f"__{part}_{x}" for x in of} for part in ("lines", "leaves", "pieces", "ends", "tree"))
-    rows = rows.withColumns({split[x]: lines(F.col(text)) for x, text in of.items()})
-    rows = rows.withColumns({leaves[x]: paragraphs(F.col(split[x])) for x in of} | {parts[x]: numbered(pieces(F.col(split[x]))) for x in of})
+    leaves, ends, tree = ({x: f"__{part}_{x}" for x in of} for part in ("leaves", "ends", "tree"))
+    rows = rows.withColumns({leaves[x]: paragraphs(lines(F.col(text))) for x, text in of.items()})
     rows = rows.withColumns({ends[x]: section_ends(F.col(leaves[x])) for x in of})
-    rows = rows.withColumns({trees[x]: sections(F.col(leaves[x]), F.col(ends[x])) for x in of})
-    return rows.select(*kept, *(F.struct(root(F.col(trees[x])).alias("root"), F.col(trees[x]).alias("sections"), F.col(parts[x]).alias("pieces"), F.char_length(F.translate(F.col(text), "\n", "")).cast("long").alias("size")).alias(x) for x, text in of.items()))
+    rows = rows.withColumns({tree[x]: sections(F.col(leaves[x]), F.col(ends[x])) for x in of})
+    return rows.select(*kept, *(F.struct(root(F.col(tree[x])).alias("root"), F.col(tree[x]).alias("sections")).alias(x) for x in of))
+
+
+def bags(rows: DataFrame, of: dict[str, str]) -> DataFrame:
+    """The rows with a column array<long> of the numbered pieces of each text column: ``of`` has new name -> text."""
+    rows = rows.withColumns({x: pieces(F.col(text)) for x, text in of.items()})
+    return rows.withColumns({x: numbered(F.col(x)) for x in of})
+
+
+def fingerprints(rows: DataFrame, of: dict[str, str]) -> DataFrame:
+    """The rows with a column struct<root, sections, pieces, size> for each text column: ``of`` has new name -> text. Texts must not be null."""
+    held = {x: f"__bag_{x}" for x in of}
+    found = bags(trees(rows, of), {held[x]: text for x, text in of.items()})
+    return found.withColumns({x: F.struct(f"{x}.*", F.col(held[x]).alias("pieces"), size(F.col(text)).alias("size")) for x, text in of.items()}).drop(*held.values())
 
 
 def _let(value: Column, then) -> Column:
@@ -127,14 +150,16 @@ def _let(value: Column, then) -> Column:
 
 
 def _weight(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda sum_, p: sum_ + p.bitwiseAND(F.lit(_LENGTH).cast("long")))
+    return F.when(F.size(parts) == 0, 0).otherwise(F.aggregate(parts, F.lit(0).cast("long"), lambda sum_, p: sum_ + p.bitwiseAND(F.lit(_LENGTH).cast("long"))))
+
+
+def _near(equal: Column, shared: Column, total: Column) -> Column:
+    return F.when(equal, 1.0).when(total == 0, 0.0).otherwise(F.least(2 * shared / total, total / (total + 1.0)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints; 1 exactly when the roots are equal."""
-    total = a["size"] + b["size"]
-    share = 2 * _weight(F.array_intersect(a["pieces"], b["pieces"])) / total
-    return F.when(a["root"] == b["root"], 1.0).when(total == 0, 0.0).otherwise(F.least(share, total / (total + 1.0)))
+    return _near(a["root"] == b["root"], _weight(F.array_intersect(a["pieces"], b["pieces"])), a["size"] + b["size"])
 
 
 def differences(a: Column, b: Column) -> Column:
@@ -205,6 +230,13 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.left(text, F.char_length(text) - cut), F.left(after, cut))
 
 
+def kept(text: Column) -> Column:
+    """Characters that the text and its edited one begin with and that end with a piece or a line: those up to the last such end, or none if that is far."""
+    left = F.char_length(text) - F.floor(F.char_length(text) / 4).cast("int")
+    open_ = F.char_length(F.regexp_extract(F.reverse(F.right(F.left(text, left), F.lit(_FAR))), rf"\A{_OTHER}*+", 0))
+    return F.when(open_ < _FAR, left - open_).otherwise(0)
+
+
 def as_text(print_: Column) -> Column:
     """A fingerprint as a string: the root, then each section's node and its paragraphs, 16 hex digits each."""
     parts = F.transform(print_["sections"], lambda s: F.concat_ws("", F.substring(s["node"], 1, 16), F.lit(":"), F.concat_ws("", F.transform(s["leaves"], lambda leaf: F.substring(leaf, 1, 16)))))
@@ -213,15 +245,20 @@ def as_text(print_: Column) -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    prints = fingerprints(pairs, {"a": "text", "b": "edited", "c": "next_text"})
-    a, b, c = (F.col(x) for x in "abc")
-    return prints.select(
+    text, then = F.col("text"), F.col("next_text")
+    rows = with_next(docs).withColumns({"edited": edited(text, then), "__kept": kept(text)})
+    rest = lambda whole: F.substring(whole, F.col("__kept") + 1, F.char_length(whole))
+    rows = rows.withColumns({"__rest": rest(text), "__new": rest(F.col("edited"))})
+    # What both begin with is as often in one as in the other: only the rests are met piece by piece.
+    rows = bags(trees(rows, {"a": "text", "b": "edited"}), {"__pieces": "text", "__next": "next_text", "__old": "__rest", "__put": "__new"})
+    rows = rows.withColumns({f"__size_{x}": size(F.col(x)) for x in ("text", "edited", "next_text", "__rest")} | {"__in_edited": F.array_intersect("__old", "__put"), "__in_next": F.array_intersect("__pieces", "__next")})
+    a, b, n = F.col("a"), F.col("b"), F.col("__size_text")
+    return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(a).alias("fingerprint"),
         as_text(b).alias("edited_fingerprint"),
-        likeness(a, b).alias("near_edited"),
-        likeness(a, c).alias("near_next"),
+        _near(a["root"] == b["root"], n - F.col("__size___rest") + _weight(F.col("__in_edited")), n + F.col("__size_edited")).alias("near_edited"),
+        _near(text == then, _weight(F.col("__in_next")), n + F.col("__size_next_text")).alias("near_next"),
     )
